@@ -133,3 +133,87 @@ def refit(old_gram: DataFrame, new_rows: DataFrame, x_cols: Sequence[str], y: st
     """Grams are additive: refit = old Gram + Gram of the new rows."""
     new = G.gram(new_rows, x_cols, y, by)
     return G.combine(old_gram.unionByName(new), by)
+
+
+# M6 / M7 --------------------------------------------------------------------
+def arma_design(df: DataFrame, y: str, P: int, Q: int, d: int = 0, m: int | None = None, keys=(),
+                order_by: str = "Date") -> tuple[DataFrame, list[str]]:
+    """Two-stage least-squares design (Hannan–Rissanen, declared instead of
+    maximum likelihood): difference ``d`` times, fit a long AR(m) by one
+    Gram per series, take its residuals, then expose y lags 1..P and
+    residual lags 1..Q.  Any ARMA(p≤P, q≤Q) is a sub-design of it."""
+    keys = list(keys)
+    w = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy(order_by)
+    z = df.select(*keys, order_by, F.col(y).cast("double").alias("z"))
+    for _ in range(d):
+        z = z.withColumn("z", F.col("z") - F.lag("z").over(w))
+    z = z.filter(F.col("z").isNotNull())
+    m = m or max(P, Q) + 5
+    ar = z.withColumns({f"a{i}": F.lag("z", i).over(w) for i in range(1, m + 1)})
+    g = G.gram(ar, [f"a{i}" for i in range(1, m + 1)], "z", by=keys)
+    params = linear_fit(g, by=keys, kind="ols")
+    res = linear_apply(ar, params, [f"a{i}" for i in range(1, m + 1)], by=keys, out="_ar")
+    res = res.withColumn("e", F.col("z") - F.col("_ar")).drop("_ar", *[f"a{i}" for i in range(1, m + 1)])
+    cols = [f"y_l{i}" for i in range(1, P + 1)] + [f"e_l{j}" for j in range(1, Q + 1)]
+    des = res.withColumns({f"y_l{i}": F.lag("z", i).over(w) for i in range(1, P + 1)}) \
+             .withColumns({f"e_l{j}": F.lag("e", j).over(w) for j in range(1, Q + 1)})
+    return des, cols
+
+
+def arma_grid(df: DataFrame, y: str, orders: Sequence[tuple[int, int]], d: int = 0, train_ratio: float = 0.7,
+              keys=(), order_by: str = "Date") -> DataFrame:
+    """M7: every (p, q) order fitted on the train rows of each series from
+    ONE Gram of the widest design, then scored one step ahead on the test
+    rows (actual lags, fixed parameters).  Coefficients are a bounded
+    artefact (orders × width) and are inlined as literals, so all orders are
+    scored in a single projection.  Output: per (keys, p, q) errors."""
+    from .split import number_rows
+    keys = list(keys)
+    P = max(p for p, _ in orders)
+    Q = max(q for _, q in orders)
+    des, cols = arma_design(df, y, P, Q, d, keys=keys, order_by=order_by)
+    des = des.dropna(subset=cols)
+    nr = number_rows(des, keys, order_by)
+    nr = nr.withColumn("role", F.when(F.col("rn") <= F.floor(F.col("n") * train_ratio), "train").otherwise("test"))
+    g = G.gram(nr.filter(F.col("role") == "train"), cols, "z", by=keys)
+    rows = g.collect()  # one Gram per series: (P+Q)² numbers each
+    preds = []
+    for r in rows:
+        gn = to_gram_dict(r)
+        key_cond = F.lit(True)
+        for k in keys:
+            key_cond = key_cond & (F.col(k) == F.lit(r[k]))
+        for p, q_ in orders:
+            idx = list(range(p)) + [P + j for j in range(q_)]
+            sub = {"n": gn["n"], "sx": gn["sx"][idx], "sy": gn["sy"], "xx": gn["xx"][np.ix_(idx, idx)],
+                   "xy": gn["xy"][idx], "yy": gn["yy"]}
+            c, b = solve(sub, "ols")
+            expr = F.lit(float(c))
+            for coef, i in zip(b, idx):
+                expr = expr + F.col(cols[i]) * F.lit(float(coef))
+            preds.append((p, q_, key_cond, expr))
+    test = nr.filter(F.col("role") == "test")
+    from functools import reduce
+    parts = [test.filter(kc).select(*keys, F.lit(p).alias("p"), F.lit(q_).alias("q"), F.col("z").alias("y"), e.alias("yhat"))
+             for p, q_, kc, e in preds]
+    scored = reduce(lambda a, b: a.unionByName(b), parts)
+    from .evaluate import errors
+    return errors(scored, "y", "yhat", by=[*keys, "p", "q"])
+
+
+def to_gram_dict(row) -> dict:
+    return G.to_numpy(row.asDict() if hasattr(row, "asDict") else row)
+
+
+# M4 / M5 --------------------------------------------------------------------
+def ml_fit(df: DataFrame, x_cols: Sequence[str], y: str, kind: str = "tree", **params):
+    """M4/M5 through Spark ML (distributed training): ``glm`` (family=…),
+    ``tree``, ``forest``, ``gbt`` (boosted stumps stand in for AdaBoost,
+    declared)."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml import regression as R
+    va = VectorAssembler(inputCols=list(x_cols), outputCol="features", handleInvalid="skip")
+    est = {"glm": R.GeneralizedLinearRegression, "tree": R.DecisionTreeRegressor, "forest": R.RandomForestRegressor,
+           "gbt": R.GBTRegressor, "linear": R.LinearRegression}[kind](labelCol=y, featuresCol="features", **params)
+    data = va.transform(df)
+    return est.fit(data), va
