@@ -44,9 +44,13 @@ def stop_array() -> Column:
     return F.array(*[F.lit(w) for w in STOP_WORDS])
 
 
+def is_stop(t: Column) -> Column:
+    """Stop-word membership as an IN list (planned as a hash-set lookup)."""
+    return t.isin(STOP_WORDS)
+
+
 def drop_stop_words(arr: Column) -> Column:
-    stop = stop_array()
-    return F.filter(arr, lambda t: ~F.array_contains(stop, t))
+    return F.filter(arr, lambda t: ~is_stop(t))
 
 
 def normalize_text(c) -> Column:

@@ -90,10 +90,12 @@ def linear_apply(df: DataFrame, params: DataFrame, x_cols: Sequence[str], by: Se
     if by:
         return df.join(params, on=list(by), how="inner") \
             .withColumn(out, predict_expr(x_cols, F.col("coef"), F.col("intercept"))).drop("coef", "intercept")
-    # one model: coefficients as scalar subqueries (evaluated once, no join)
-    acc = params.select("intercept").scalar()
-    for i, c in enumerate(x_cols):
-        acc = acc + q(c).cast("double") * params.select(F.col("coef")[i]).scalar()
+    # one model: its parameters are a bounded artefact (p+1 numbers), read
+    # once and inlined as literals, as a fitted Spark ML model holds them
+    row = params.first()
+    acc = F.lit(float(row["intercept"]))
+    for c, b in zip(x_cols, row["coef"]):
+        acc = acc + q(c).cast("double") * F.lit(float(b))
     return df.withColumn(out, acc)
 
 

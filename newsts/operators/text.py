@@ -81,7 +81,7 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stem:
             t = t.withColumn("w", F.col("stem"))
     else:
         t = raw.withColumn("w", F.col("form"))
-    t = t.filter(~F.array_contains(TX.stop_array(), F.col("w")))
+    t = t.filter(~TX.is_stop(F.col("w")))
     t = t.withColumn("w", TX.strip_punctuation("w"))
     t = t.withColumn("w", F.when(F.col("w").rlike("^[0-9]+$"), F.lit("<NUM>")).otherwise(F.col("w")))
     t = t.filter(F.col("w") != "")
@@ -303,7 +303,7 @@ def triples(tokens: DataFrame, verbs: Sequence[str] = tuple(RELATION_WORDS), id_
     t = tokens.withColumn("is_rel", F.array_contains(vs, F.col("token")))
     content = (~F.col("is_rel")) & F.col("token").rlike(r"^[\p{L}\p{N}_]+$")
     if stop:
-        content = content & ~F.array_contains(TX.stop_array(), F.col("token"))
+        content = content & ~TX.is_stop(F.col("token"))
     t = t.withColumn("is_content", content)
     # both neighbours use running frames (unbounded preceding → one row
     # back), one ascending and one descending, so each is linear per document

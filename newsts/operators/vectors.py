@@ -35,13 +35,18 @@ def assemble(long: DataFrame, keys: Sequence[str], parts: Sequence[str]) -> Data
 
 
 def daily_vectors(df: DataFrame, col: str, parts: Sequence[str] = ("mean",), by: Sequence[str] = ("Date",),
-                  out: str = "vec") -> DataFrame:
+                  out: str = "vec", weight: str | None = None) -> DataFrame:
     """A4 (``parts=('mean',)``), A5 (max‖mean‖min), A6 (max‖min):
-    element-wise aggregates per group, concatenated in ``parts`` order."""
-    long = explode_vector(df, col, by)
-    agg = long.groupBy(*by, "dim").agg(*[_AGG[p]("x").alias(p) for p in parts])
-    wide = assemble(agg, by, parts)
-    return wide.select(*by, F.concat(*[F.col(p) for p in parts]).alias(out))
+    element-wise aggregates per group, concatenated in ``parts`` order.
+    Uses Spark ML's ``Summarizer`` — a mergeable vector aggregate with a
+    partial (map-side) stage — so no group's vectors are gathered and no
+    row is exploded per dimension."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+    summ = Summarizer.metrics(*parts)
+    v = array_to_vector(F.col(col))
+    agg = df.groupBy(*by).agg((summ.summary(v, F.col(weight)) if weight else summ.summary(v)).alias("_s"))
+    return agg.select(*by, F.concat(*[vector_to_array(F.col(f"_s.{p}")) for p in parts]).alias(out))
 
 
 def daily_scalar_mean(df: DataFrame, col: str, by: Sequence[str] = ("Date",), out: str = "mean_of_mean") -> DataFrame:
@@ -92,13 +97,11 @@ def sentence_vectors(tokens: DataFrame, word_vectors: DataFrame, id_col: str = "
                      term_col: str = "term", vec_col: str = "vector") -> DataFrame:
     """Mean of the unit word vectors of a document's known tokens
     (unknown tokens dropped).  Token counts are pre-aggregated per
-    (document, term), so each distinct term is expanded once per document."""
-    tf = tokens.groupBy(id_col, token_col).agg(F.count(F.lit(1)).alias("tf"))
+    (document, term); the document mean is a tf-weighted vector mean."""
+    tf = tokens.groupBy(id_col, token_col).agg(F.count(F.lit(1)).cast("double").alias("tf"))
     wv = word_vectors.select(F.col(term_col).alias(token_col), FV.unit(vec_col).alias("u")).filter(F.col("u").isNotNull())
     j = tf.join(wv, on=token_col, how="inner")
-    long = j.select(id_col, "tf", F.posexplode("u").alias("dim", "x"))
-    agg = long.groupBy(id_col, "dim").agg((F.sum(F.col("x") * F.col("tf")) / F.sum("tf")).alias("mean"))
-    return assemble(agg, [id_col], ["mean"]).withColumnRenamed("mean", "sentence_vector")
+    return daily_vectors(j, "u", ("mean",), by=[id_col], out="sentence_vector", weight="tf")
 
 
 def first_token_vector(df: DataFrame, col: str, word_vectors: DataFrame, id_col: str, stems: DataFrame | None = None,

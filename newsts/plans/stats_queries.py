@@ -177,9 +177,9 @@ mm AS (SELECT col, min(x) AS xl, max(x) AS xh, min(y) AS yl, max(y) AS yh FROM l
 b AS (SELECT l.col, CASE WHEN (xh - xl) / 10 = 0 THEN 0 ELSE least(floor((x - xl) / ((xh - xl) / 10)), 9) END AS bx,
              CASE WHEN (yh - yl) / 10 = 0 THEN 0 ELSE least(floor((y - yl) / ((yh - yl) / 10)), 9) END AS by_ FROM l JOIN mm USING (col)),
 ct AS (SELECT col, bx, by_, count(*) AS n FROM b GROUP BY 1, 2, 3),
-nn AS (SELECT col, sum(n) AS "N" FROM ct GROUP BY col),
+nn AS (SELECT col, sum(n) AS tot FROM ct GROUP BY col),
 px AS (SELECT col, bx, sum(n) AS nx FROM ct GROUP BY 1, 2), py AS (SELECT col, by_, sum(n) AS ny FROM ct GROUP BY 1, 2)
-SELECT col, round(sum(n / "N" * ln(n * "N" / (nx * ny))), 6) AS mi FROM ct JOIN nn USING (col) JOIN px USING (col, bx) JOIN py USING (col, by_)
+SELECT col, round(sum(n / tot * ln(n * tot / (nx * ny))), 6) AS mi FROM ct JOIN nn USING (col) JOIN px USING (col, bx) JOIN py USING (col, by_)
 GROUP BY col""")
 def binned_mi(spark, sf):
     return ST.binned_mi(S.table(spark, sf, "lineitem"), LI_X, "l_extendedprice").withColumn("mi", F.round("mi", 6))

@@ -3,6 +3,7 @@ documents and pages."""
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from ..functions import text as TX
@@ -69,8 +70,14 @@ def _docs(spark, sf):
     return S.table(spark, sf, "documents")
 
 
+def _t2_texts(spark, sf):
+    # read by several branches of one plan: kept (memory, spilling to
+    # disk) so the whole-text cleaning runs once per query
+    return TO.basic_tokens(_docs(spark, sf)).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def _t2_terms(spark, sf):
-    return TO.whitespace_terms(TO.basic_tokens(_docs(spark, sf)))
+    return TO.whitespace_terms(_t2_texts(spark, sf)).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _vocab(spark, sf):
@@ -147,7 +154,7 @@ s AS (SELECT doc_id, pos, rank, row_number() OVER (PARTITION BY doc_id ORDER BY
 k AS (SELECT doc_id, count(*) AS n, string_agg(CAST(rank AS VARCHAR), ' ' ORDER BY pos) AS ids FROM s WHERE back <= 50 GROUP BY doc_id)
 SELECT doc_id, CASE WHEN n < 50 THEN repeat('0 ', CAST(50 - n AS INTEGER)) ELSE '' END || ids AS padded, CAST(n AS INTEGER) AS kept FROM k""")
 def pad_sequences(spark, sf):
-    texts = TO.basic_tokens(_docs(spark, sf))
+    texts = _t2_texts(spark, sf)
     seq = TO.id_sequences(TO.frequency_terms(texts), TO.frequency_vocab(texts, n=2000), id_name="rank")
     padded = TO.pad("ids", 50)
     return seq.select("doc_id", F.array_join(padded, " ").alias("padded"),
@@ -158,7 +165,7 @@ def pad_sequences(spark, sf):
 def _cooc(spark, sf):
     vocab = _vocab(spark, sf)
     dt = TO.doc_term(_t2_terms(spark, sf), vocab)
-    return TO.cooccurrence(dt, 2000), vocab
+    return TO.cooccurrence(dt, 2000).persist(StorageLevel.MEMORY_AND_DISK), vocab
 
 
 @register("cooccurrence", f"""WITH {T2_SQL}, {WS_TERMS}, {VOCAB}, {DOC_TERM}, {COOC}

@@ -187,11 +187,15 @@ def first_token_vector(spark, sf):
 
 @register("word2vec")
 def word2vec(spark, sf):
-    """Word2Vec (Spark ML) on the token lists of every document; the
-    learnt vectors of the vocabulary (vector size 16, one pass; declared)."""
+    """Word2Vec (Spark ML) trained on the (subject, relation, object)
+    token lists of every extracted triple (min count 1); the learnt
+    vectors of the vocabulary.  Vector size 16, one pass (declared)."""
     from pyspark.ml.feature import Word2Vec
-    docs = S.table(spark, sf, "documents")
-    toks = docs.select(F.filter(F.split(TO.TX.basic_clean("text"), " "), lambda t: t != "").alias("tokens"))
-    model = Word2Vec(vectorSize=16, minCount=1, maxIter=1, seed=42, inputCol="tokens", outputCol="v").fit(toks)
     from pyspark.ml.functions import vector_to_array
+    docs = S.table(spark, sf, "documents")
+    tr = TO.triples(TO.token_table(docs))
+    lists = tr.select(F.array("subject", "relation", "object").alias("tokens"))
+    parts = spark.sparkContext.defaultParallelism
+    model = Word2Vec(vectorSize=16, minCount=1, maxIter=1, seed=42, numPartitions=parts,
+                     inputCol="tokens", outputCol="v").fit(lists)
     return model.getVectors().select("word", F.size(vector_to_array("vector")).alias("dim"))
