@@ -24,19 +24,26 @@ def minmax_fit(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.agg(*exprs)
 
 
-def _bounds(params: DataFrame, c: str) -> tuple[Column, Column]:
-    lo = params.select(F.col(f"`{c}__min`")).scalar()
-    hi = params.select(F.col(f"`{c}__max`")).scalar()
-    return lo, hi
+def _bounds(params, c: str) -> tuple[Column, Column]:
+    """Fitted bounds of one column as literals.  ``params`` is the one-row
+    fit result (2 numbers per column, a bounded artefact); it is read once
+    per transform, like a fitted Spark ML scaler holds its bounds."""
+    row = params if isinstance(params, dict) else params.first().asDict()
+    return F.lit(row[f"{c}__min"]).cast("double"), F.lit(row[f"{c}__max"]).cast("double")
+
+
+def _row(params: DataFrame) -> dict:
+    return params.first().asDict()
 
 
 def minmax_apply(df: DataFrame, params: DataFrame, cols: Sequence[str], lo: float = 0.0, hi: float = 1.0,
                  suffix: str = "") -> DataFrame:
     """F11 transform: (x-min)/(max-min)·(hi-lo)+lo; a constant training
     column has range 1, so it maps to ``lo`` (as scikit-learn does)."""
+    row = _row(params)
     out = {}
     for c in cols:
-        mn, mx = _bounds(params, c)
+        mn, mx = _bounds(row, c)
         rng = F.when(mx - mn == 0, F.lit(1.0)).otherwise(mx - mn)
         out[c + suffix] = (q(c) - mn) / rng * (hi - lo) + lo
     return df.withColumns(out)
@@ -45,9 +52,10 @@ def minmax_apply(df: DataFrame, params: DataFrame, cols: Sequence[str], lo: floa
 def minmax_invert(df: DataFrame, params: DataFrame, cols: Sequence[str], lo: float = 0.0, hi: float = 1.0,
                   suffix: str = "") -> DataFrame:
     """F11 inverse transform."""
+    row = _row(params)
     out = {}
     for c in cols:
-        mn, mx = _bounds(params, c)
+        mn, mx = _bounds(row, c)
         rng = F.when(mx - mn == 0, F.lit(1.0)).otherwise(mx - mn)
         out[c + suffix] = (q(c) - lo) / (hi - lo) * rng + mn
     return df.withColumns(out)

@@ -37,11 +37,14 @@ def errors(df: DataFrame, y: str = "y", yhat: str = "yhat", by: Sequence[str] =
 
 
 def scaled_errors(df: DataFrame, params: DataFrame, y: str, yhat: str, by: Sequence[str] = ()) -> DataFrame:
-    """Errors of the label rescaled to (0,1) with the train scaler."""
+    """Errors of the label and its prediction rescaled to (0,1) with
+    the train scaler of the label."""
     from ..functions.scale import minmax_apply
-    s = minmax_apply(df.withColumn("_yhat_src", F.col(yhat)), params, [y], suffix="__s")
-    s = s.withColumn(yhat + "__s", (F.col(yhat) - params.select(F.col(f"`{y}__min`")).scalar())
-                     / (params.select(F.col(f"`{y}__max`")).scalar() - params.select(F.col(f"`{y}__min`")).scalar()))
+    s = minmax_apply(df.withColumn(yhat + "__src", F.col(yhat)), params, [y], suffix="__s")
+    row = params.first().asDict()
+    lo, hi = row[f"{y}__min"], row[f"{y}__max"]
+    rng = (hi - lo) or 1.0
+    s = s.withColumn(yhat + "__s", (F.col(yhat) - F.lit(lo)) / F.lit(rng))
     return errors(s, y + "__s", yhat + "__s", by)
 
 
