@@ -540,3 +540,65 @@ def union_sources(spark, sf):
     d = S.table(spark, sf, "documents").select("doc_id", "source", "n_chars")
     parts = [d.filter(F.col("source") == s) for s in ("src1", "src2", "src3")]
     return J.sort(J.stack(*parts), "doc_id")
+
+
+# P1 / P7 / P8 / P9 ------------------------------------------------------------
+@register("project_select", f"""
+WITH {EWIDE}, s AS ({_sup_sql(['click', 'purchase'], 1, 1)})
+SELECT "Date", round("click(t-1)", 6) AS click_lag, round("purchase(t-1)", 6) AS purchase_lag,
+       round("purchase(t)", 6) AS label FROM s WHERE "click(t-1)" IS NOT NULL""")
+def project_select(spark, sf):
+    """P9 numeric columns → W2 → P7 drop current-day columns but the label →
+    P8 keep the masked columns → P1 rename."""
+    wide = J.numeric_only(S.events_daily_wide(spark, sf).withColumn("note", F.lit("x")))
+    sup = W.supervised(wide.select("Date", "click", "purchase"), ["click", "purchase"], 1, 1)
+    cur = J.drop_current(sup, label="purchase(t)")
+    kept = J.keep_selected(cur, ["click(t-1)", "purchase(t-1)", "purchase(t)"], [True, True, True])
+    out = J.project(kept, {"Date": "Date", "click(t-1)": "click_lag", "purchase(t-1)": "purchase_lag", "purchase(t)": "label"})
+    return rounded(out, ["click_lag", "purchase_lag", "label"])
+
+
+# J5 / J11 / U3 ------------------------------------------------------------------
+@register("columns_outer", f"""
+WITH {ODAILY}, {LDAILY}, cnt AS (SELECT CAST(o_orderdate AS DATE) AS "Date", count(*) AS "Orders" FROM orders GROUP BY 1)
+SELECT "Date", round("Price", 6) AS "Price", "Qty", "Orders" FROM od FULL JOIN ld USING ("Date") FULL JOIN cnt USING ("Date")""")
+def columns_outer(spark, sf):
+    cnt = S.table(spark, sf, "orders").groupBy(F.to_date("o_orderdate").alias("Date")).agg(F.count(F.lit(1)).alias("Orders"))
+    res = J.columns_outer([S.orders_daily(spark, sf), S.lineitem_daily(spark, sf), cnt])
+    return rounded(res, ["Price"])
+
+
+@register("align_predictions", f"""
+WITH {ODAILY}, r AS (SELECT "Date", "Price", row_number() OVER (ORDER BY "Date") AS rn FROM od),
+p AS (SELECT rn - 30 AS j, "Price" AS pred FROM r WHERE rn > 30)
+SELECT r.rn, r."Date", round(r."Price", 6) AS "Price", round(p.pred, 6) AS pred
+FROM r FULL JOIN p ON r.rn = p.j + 30""")
+def align_predictions(spark, sf):
+    """Prediction j belongs to row offset + j (here: a shifted copy)."""
+    from ..operators.split import number_rows
+    d = number_rows(S.orders_daily(spark, sf)).drop("n")
+    preds = d.filter(F.col("rn") > 30).select((F.col("rn") - 30).alias("j"), F.col("Price").alias("pred"))
+    res = J.align_predictions(d, preds, 30)
+    return res.select("rn", "Date", r6("Price").alias("Price"), r6("pred").alias("pred"))
+
+
+@register("stack_forecast", f"""
+WITH {ODAILY}, last AS (SELECT max("Date") AS d FROM od)
+SELECT "Date", round("Price", 6) AS "Price", NULL::DOUBLE AS forecast FROM od
+UNION ALL
+SELECT CAST(d + CAST(i AS INTEGER) AS DATE), NULL::DOUBLE, round((SELECT "Price" FROM od ORDER BY "Date" DESC LIMIT 1), 6)
+FROM last, range(1, 4) t(i)""")
+def stack_forecast(spark, sf):
+    """U3 + F21: history rows stacked with the next 1..3 calendar days'
+    forecasts (random walk), missing columns null."""
+    d = S.orders_daily(spark, sf)
+    last = J.last_n(d, 1)
+    fut = last.select(F.explode(F.sequence(F.date_add("Date", 1), F.date_add("Date", 3))).alias("Date"),
+                      F.col("Price").alias("forecast"))
+    return rounded(J.stack(d, fut), ["Price", "forecast"])
+
+
+@register("top_days", f"""WITH {ODAILY} SELECT "Date", round("Price", 6) AS "Price" FROM od ORDER BY "Price" DESC, "Date" LIMIT 10""")
+def top_days(spark, sf):
+    """Top-10 days by price (a report-sized limit)."""
+    return rounded(J.top_by(S.orders_daily(spark, sf), "Price", 10, ascending=False, tie=["Date"]), ["Price"])
