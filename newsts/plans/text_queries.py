@@ -329,3 +329,53 @@ SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1) AS title, regexp
 def page_title(spark, sf):
     return L.page_values(S.table(spark, sf, "pages"),
                          {"title": r"<title>(.*?)</title>", "h1": r"<h1>(.*?)</h1>", "lang": r'<html lang="([a-z]+)"'})
+
+
+# S8 / S9 / S10 ------------------------------------------------------------------------------
+def _listing_pages(spark, sf):
+    """One landed listing page per event row (derived with to_json)."""
+    e = S.events(spark, sf)
+    child = F.struct(F.struct(F.get_json_object("props", "$.k").cast("int").alias("score"),
+                              F.col("event_type").alias("title")).alias("data"))
+    page = F.to_json(F.struct(F.struct(F.array(child).alias("children")).alias("data")))
+    return e.select("event_id", "Date", page.alias("json"))
+
+
+@register("listing_json", """
+SELECT CAST(ts AS DATE) AS "Date", CAST(json_extract(props, '$.k') AS INTEGER) AS score, event_type AS title FROM events""")
+def listing_json(spark, sf):
+    """S8 (+O1): listing pages → (score, title) rows, highest score first,
+    stamped with the page's day."""
+    pages = _listing_pages(spark, sf)
+    rows = L.listing_json(pages, "json", stamp=F.col("Date"))
+    return rows.orderBy(F.col("score").desc())
+
+
+@register("listing_days", """
+SELECT CAST(ts AS DATE) AS "Date", CAST(json_extract(props, '$.k') AS INTEGER) AS score, event_type AS title FROM events""")
+def listing_days(spark, sf):
+    """Pages fetched per back-day t; Date = as_of − t."""
+    pages = _listing_pages(spark, sf)
+    as_of = S.events(spark, sf).select(F.max("ts")).scalar()
+    pages = pages.withColumn("t", F.datediff(F.to_date(as_of), F.col("Date")))
+    return L.listing_days(pages, as_of, "t", "json")
+
+
+@register("series_json", """
+WITH p AS (SELECT o_orderpriority AS k, CAST(o_orderdate AS DATE) AS "Date", avg(o_totalprice) AS v FROM orders GROUP BY 1, 2),
+w AS (SELECT "Date", max(v) FILTER (WHERE k = '1-URGENT') AS "CLC1", max(v) FILTER (WHERE k = '2-HIGH') AS "CLC2",
+             max(v) FILTER (WHERE k = '3-MEDIUM') AS "CLC3", max(v) FILTER (WHERE k = '4-NOT SPECIFIED') AS "CLC4" FROM p GROUP BY 1)
+SELECT "Date", round("CLC1", 6) AS "CLC1", round("CLC2", 6) AS "CLC2", round("CLC3", 6) AS "CLC3", round("CLC4", 6) AS "CLC4" FROM w
+WHERE "CLC1" IS NOT NULL AND "CLC2" IS NOT NULL AND "CLC3" IS NOT NULL AND "CLC4" IS NOT NULL""")
+def series_json(spark, sf):
+    """Per-contract JSON series ``[[yyyymmdd, value], …]`` → Date →
+    outer pivot of the contracts → rows with every contract present."""
+    names = {"1-URGENT": "CLC1", "2-HIGH": "CLC2", "3-MEDIUM": "CLC3", "4-NOT SPECIFIED": "CLC4"}
+    d = S.orders_daily(spark, sf, keys=["o_orderpriority"]).filter(F.col("o_orderpriority").isin(list(names)))
+    mapping = F.create_map(*[x for k, v in names.items() for x in (F.lit(k), F.lit(v))])
+    point = F.array(F.date_format("Date", "yyyyMMdd"), F.col("Price").cast("string"))
+    js = d.select(mapping[F.col("o_orderpriority")].alias("name"),
+                  F.to_json(F.struct(F.array(F.struct(F.array(point).alias("data"))).alias("series"))).alias("json"))
+    long = L.series_json(js, "name", "json")
+    wide = long.groupBy("Date").pivot("name", list(names.values())).agg(F.first("value")).dropna()
+    return wide.select("Date", *[F.round(c, 6).alias(c) for c in names.values()])

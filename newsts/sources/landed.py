@@ -38,7 +38,7 @@ def series_json(json_df: DataFrame, name_col: str = "name", col: str = "json") -
     """``{"series":[{"data":[[yyyymmdd, value], …]}]}`` per contract →
     long rows (name, Date, value); pivot + dropna give the wide table."""
     s = json_df.select(name_col, F.from_json(F.col(col), "series array<struct<data: array<array<string>>>>").alias("s"))
-    pts = s.select(name_col, F.explode(F.col("s")[0]["data"]).alias("p"))
+    pts = s.select(name_col, F.explode(F.col("s")["series"][0]["data"]).alias("p"))
     return pts.select(name_col, F.to_date(F.col("p")[0], "yyyyMMdd").alias("Date"), F.col("p")[1].cast("double").alias("value"))
 
 
