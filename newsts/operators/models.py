@@ -219,3 +219,20 @@ def ml_fit(df: DataFrame, x_cols: Sequence[str], y: str, kind: str = "tree", **p
            "gbt": R.GBTRegressor, "linear": R.LinearRegression}[kind](labelCol=y, featuresCol="features", **params)
     data = va.transform(df)
     return est.fit(data), va
+
+
+# W14 ------------------------------------------------------------------------
+def rolling_ar1(df: DataFrame, y: str, past: int = 25, keys=(), order_by: str = "Date") -> DataFrame:
+    """Sliding train window of ``past`` rows with a one-step forecast per
+    row: y_s = a + b·y_{s−1} fitted by least squares on the pairs inside
+    rows [t−past, t−1] (window ``regr_*`` aggregates), ŷ_t = a + b·y_{t−1}.
+    Re-aimed from a per-window ARMA(1,1) maximum-likelihood fit (declared).
+    The forecast error is only ever used lagged (``err_lag1``)."""
+    w = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy(order_by)
+    frame = w.rowsBetween(-past, -1)
+    d = df.withColumn("_y1", F.lag(y, 1).over(w))
+    d = d.withColumns({"_b": F.regr_slope(y, "_y1").over(frame), "_a": F.regr_intercept(y, "_y1").over(frame),
+                       "_k": F.regr_count(y, "_y1").over(frame)})
+    d = d.withColumn("yhat", F.when(F.col("_k") == past, F.col("_a") + F.col("_b") * F.col("_y1")))
+    d = d.withColumn("err", F.col(y) - F.col("yhat")).withColumn("err_lag1", F.lag("err", 1).over(w))
+    return d.drop("_y1", "_b", "_a", "_k")

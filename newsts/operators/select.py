@@ -146,3 +146,41 @@ def pca_fit(df: DataFrame, cols: Sequence[str], k: int):
     from pyspark.ml.feature import PCA, VectorAssembler
     va = VectorAssembler(inputCols=list(cols), outputCol="_v", handleInvalid="skip")
     return PCA(k=k, inputCol="_v", outputCol="pca").fit(va.transform(df)), va
+
+
+def rfe_cv(block_grams: DataFrame, names: Sequence[str], kind: str = "lasso", alpha: float = 1.0,
+           min_n: int = 1, block: str = "_blk") -> DataFrame:
+    """For every time fold, RFE on the fold's train Gram and the test
+    R² of each subset size on the fold's test block; the size with the best
+    mean score is chosen and RFE on all blocks picks the features.
+    Output: (n_features, mean_r2, chosen, features)."""
+    rows = block_grams.groupBy().agg(F.collect_list(F.struct(F.col(block).alias("b"), "n", "sx", "sy", "xx", "xy", "yy")).alias("blocks"))
+    schema = "n_features int, mean_r2 double, chosen boolean, features array<string>"
+
+    def run(it):
+        for pdf in it:
+            for rec in pdf.to_dict("records"):
+                blocks = {int(b["b"]): G.to_numpy(b) for b in rec["blocks"]}
+                folds = sorted(k for k in blocks if k >= 0)
+                p = len(names)
+                scores = {n: [] for n in range(min_n, p + 1)}
+                for f in folds:
+                    train = None
+                    for b, g in blocks.items():
+                        if b < f:
+                            train = g if train is None else {k: train[k] + g[k] for k in g}
+                    ranks = rfe_order(train, 1, kind, alpha)
+                    order = sorted(range(p), key=lambda i: ranks[i])
+                    for n in scores:
+                        idx = sorted(order[:n])
+                        scores[n].append(_cv_r2({**{b: g for b, g in blocks.items() if b < f}, f: blocks[f]}, [f], idx))
+                means = {n: float(np.mean(v)) for n, v in scores.items()}
+                best = max(means, key=lambda n: (means[n], -n))
+                total = None
+                for g in blocks.values():
+                    total = g if total is None else {k: total[k] + g[k] for k in g}
+                ranks = rfe_order(total, best, kind, alpha)
+                chosen = [names[i] for i in range(p) if ranks[i] == 1]
+                yield pd.DataFrame([[n, means[n], n == best, chosen if n == best else []] for n in sorted(means)],
+                                   columns=["n_features", "mean_r2", "chosen", "features"])
+    return rows.mapInPandas(run, schema)

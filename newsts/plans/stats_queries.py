@@ -350,3 +350,66 @@ def holdout_r2(spark, sf):
     li = _lineitem_days(spark, sf)
     li = li.withColumn("role", F.when(F.col("rn") <= F.floor(F.col("n") * 2 / 3), "train").otherwise("test"))
     return V.holdout(li, LI_X, "l_extendedprice")
+
+
+# W14 ----------------------------------------------------------------------------------------
+@register("rolling_ar", f"""WITH {ODAILY}, d AS (SELECT "Date", "Price" AS y, lag("Price") OVER (ORDER BY "Date") AS y1 FROM od),
+w AS (SELECT "Date", y, y1, regr_slope(y, y1) OVER f AS b, regr_intercept(y, y1) OVER f AS a, regr_count(y, y1) OVER f AS k
+      FROM d WINDOW f AS (ORDER BY "Date" ROWS BETWEEN 25 PRECEDING AND 1 PRECEDING)),
+e AS (SELECT "Date", CASE WHEN k = 25 THEN a + b * y1 END AS yhat, y FROM w)
+SELECT "Date", round(yhat, 2) AS yhat, round(lag(y - yhat) OVER (ORDER BY "Date"), 2) AS err_lag1 FROM e""")
+def rolling_ar(spark, sf):
+    """25-row sliding train window, one-step forecast per row; its
+    error is a feature only when lagged (D9)."""
+    d = M.rolling_ar1(S.orders_daily(spark, sf), "Price", 25)
+    return d.select("Date", F.round("yhat", 2).alias("yhat"), F.round("err_lag1", 2).alias("err_lag1"))
+
+
+@register("sliding_arrays", f"""WITH {ODAILY}, w AS (SELECT "Date", count(*) OVER f AS n, sum("Price") OVER f AS s
+  FROM od WINDOW f AS (ORDER BY "Date" ROWS BETWEEN 25 PRECEDING AND 1 PRECEDING))
+SELECT "Date", CAST(n AS INTEGER) AS n, round(s, 2) AS total FROM w WHERE n > 0""")
+def sliding_arrays(spark, sf):
+    """W14 windows themselves: the previous 25 values as an ordered array."""
+    d = W.sliding_arrays(S.orders_daily(spark, sf), "Price", 25, name="past")
+    d = d.filter(F.size("past") > 0)
+    return d.select("Date", F.size("past").cast("int").alias("n"),
+                    F.round(F.aggregate("past", F.lit(0.0), lambda a, x: a + x), 2).alias("total"))
+
+
+# X8 / V3 / V11 ---------------------------------------------------------------------------
+@register("rfe_cv")
+def rfe_cv(spark, sf):
+    """RFE with cross-validated subset size from ship-day block Grams."""
+    li = _lineitem_days(spark, sf)
+    folds = time_folds_df(li.select("n").distinct(), k=5)
+    lab = assign_folds(li, folds).withColumn("_blk", F.coalesce("fold", F.lit(-1)))
+    g = G.gram(lab, LI_X, "l_extendedprice", by=["_blk"])
+    return X.rfe_cv(g, LI_X, kind="ols")
+
+
+@register("ts_folds_gap", f"""WITH {ODAILY}, n AS (SELECT count(*) AS n FROM od),
+f AS (SELECT n, CAST(floor(n / 6) AS INTEGER) AS ts, unnest(range(0, 5)) AS fold FROM n)
+SELECT CAST(fold AS INTEGER) AS fold, CAST(n - (5 - fold) * ts + 1 AS INTEGER) AS test_start,
+       CAST(n - (5 - fold) * ts + ts AS INTEGER) AS test_end, CAST(n - (5 - fold) * ts - 2 AS INTEGER) AS train_end FROM f""")
+def ts_folds_gap(spark, sf):
+    """V3: folds with a gap of h−1 = 2 rows between train and test."""
+    d = S.orders_daily(spark, sf)
+    lengths = d.agg(F.count(F.lit(1)).alias("n"))
+    return time_folds_df(lengths, k=5, gap=2)
+
+
+@register("scaled_errors", f"""WITH {ODAILY}, r AS (SELECT *, row_number() OVER (ORDER BY "Date") AS rn, count(*) OVER () AS n,
+  lag("Price") OVER (ORDER BY "Date") AS yhat FROM od),
+p AS (SELECT min("Price") AS lo, max("Price") AS hi FROM r WHERE rn <= floor(n * 0.7)),
+s AS (SELECT ("Price" - lo) / (hi - lo) AS y, (yhat - lo) / (hi - lo) AS yh FROM r, p WHERE rn > floor(n * 0.7))
+SELECT count(*) AS n, round(avg(abs(yh - y)), 6) AS mae, round(sqrt(avg((yh - y) * (yh - y))), 6) AS rmse,
+       round(avg(abs(yh - y) / greatest(abs(y), 2.220446049250313e-16)), 6) AS mape,
+       round(1 - sum((yh - y) * (yh - y)) / (var_pop(y) * count(y)), 6) AS r2 FROM s""")
+def scaled_errors(spark, sf):
+    """Test errors on the label rescaled with the train scaler."""
+    from ..functions.scale import minmax_fit
+    d = M.random_walk(S.orders_daily(spark, sf), "Price")
+    sp = ordered_split(d, 0.7)
+    params = minmax_fit(sp.filter("role = 'train'"), ["Price"])
+    e = V.scaled_errors(sp.filter("role = 'test'"), params, "Price", "yhat")
+    return _r(e, ["mae", "rmse", "mape", "r2"])
