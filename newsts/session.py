@@ -21,6 +21,10 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # wide lag matrices (hundreds of IsNotNull constraints over aliases) make
+    # constraint inference explode combinatorially; the filters it would
+    # add are not needed for these plans
+    "spark.sql.constraintPropagation.enabled": "false",
     # broadcast only what the planner has measured to be small
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
 }
@@ -49,6 +53,37 @@ def get_spark(app: str = "newsts", cpus: int | None = None,
     return spark
 
 
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``newsts`` importable on the executors (the Python workers of
+    pandas UDFs import it): zip the package once per application and add
+    it with ``addPyFile`` (Spark distributes it to every executor)."""
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    import shutil
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = tempfile.mkdtemp(prefix="newsts-pkg-")
+    base = shutil.make_archive(os.path.join(out, "newsts"), "zip", root_dir=os.path.dirname(pkg), base_dir="newsts")
+    sc.addPyFile(base)
+    _SHIPPED.add(key)
+
+
+RUNTIME_CONF = {"spark.sql.session.timeZone": "UTC", "spark.sql.constraintPropagation.enabled": "false"}
+
+
+def prepare(spark: SparkSession) -> str:
+    """Settings every query relies on, applied to any session (also one
+    created by a caller): UTC session time, no constraint explosion on wide
+    plans, the shared checkpoint folder, the package on the executors."""
+    for k, v in RUNTIME_CONF.items():
+        spark.conf.set(k, v)
+    return ensure_checkpoint_dir(spark)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Read ``spark.checkpoint.dir``; set a private one only when unset."""
     d = spark.conf.get("spark.checkpoint.dir", None)
@@ -58,6 +93,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         d = tempfile.mkdtemp(prefix="newsts-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
+    ship_package(spark)
     return d
 
 
