@@ -167,37 +167,39 @@ def cooccurrence(dt: DataFrame, n_terms: int, id_col: str = "doc_id", chunk: int
     """n_ij = Σ_doc tf_i·tf_j over ordered pairs, self pairs included.
 
     Each task folds its documents into one partial term×term matrix with
-    numpy (documents in chunks of ``chunk``), and emits only its non-zero
-    cells; the shuffle then sums at most n_terms² cells per task.  No
-    per-document pair rows are ever produced, so a huge document costs
-    the same as many small ones."""
+    numpy (documents in chunks of ``chunk``) and emits it as dense row
+    blocks (term i, array of n_terms sums): at most n_terms rows per task
+    cross the shuffle, whatever the number or length of the documents, and
+    no per-document pair rows are ever produced.  Rows of the same term are
+    then summed element-wise (``Summarizer``, a mergeable aggregate) and
+    only non-zero cells are kept."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
     V = int(n_terms)
 
     def partial(it):
         acc = np.zeros((V, V))
-        buf = []
-
-        def flush(rows):
-            df = pd.concat(rows)
-            docs, inv = np.unique(df[id_col].to_numpy(), return_inverse=True)
-            for s in range(0, len(docs), chunk):
-                sel = (inv >= s) & (inv < s + chunk)
-                D = np.zeros((min(chunk, len(docs) - s), V))
-                np.add.at(D, (inv[sel] - s, df["term_id"].to_numpy()[sel] - 1), df["tf"].to_numpy()[sel])
-                acc[:] += D.T @ D
-
-        for pdf in it:
-            if len(pdf):
-                buf.append(pdf)
-        if buf:
-            flush(buf)
-            i, j = np.nonzero(acc)
-            yield pd.DataFrame({"i": (i + 1).astype("int64"), "j": (j + 1).astype("int64"), "w": acc[i, j]})
+        buf = [pdf for pdf in it if len(pdf)]
+        if not buf:
+            return
+        df = pd.concat(buf)
+        docs, inv = np.unique(df[id_col].to_numpy(), return_inverse=True)
+        tid = df["term_id"].to_numpy() - 1
+        tf = df["tf"].to_numpy()
+        for s in range(0, len(docs), chunk):
+            sel = (inv >= s) & (inv < s + chunk)
+            D = np.zeros((min(chunk, len(docs) - s), V))
+            np.add.at(D, (inv[sel] - s, tid[sel]), tf[sel])
+            acc += D.T @ D
+        rows = np.nonzero(acc.any(axis=1))[0]
+        yield pd.DataFrame({"i": (rows + 1).astype("int64"), "row": [acc[r] for r in rows]})
 
     # co-locate each document's rows in one task (hash on the document id)
     src = dt.select(id_col, "term_id", F.col("tf").cast("double").alias("tf")).repartition(id_col)
-    parts = src.mapInPandas(partial, "i long, j long, w double")
-    return parts.groupBy("i", "j").agg(F.sum("w").alias("n_ij"))
+    parts = src.mapInPandas(partial, "i long, row array<double>")
+    summed = parts.groupBy("i").agg(Summarizer.sum(array_to_vector("row")).alias("v"))
+    cells = summed.select("i", F.posexplode(vector_to_array("v")).alias("j0", "n_ij"))
+    return cells.filter(F.col("n_ij") != 0).select("i", (F.col("j0") + 1).cast("long").alias("j"), "n_ij")
 
 
 def ppmi(cooc: DataFrame) -> DataFrame:
