@@ -94,14 +94,18 @@ def decompose_classical(df: DataFrame, col: str, period: int = 10, keys=(), orde
     rn = F.row_number().over(w)
     d = df.withColumn("_rn", rn)
     half = period // 2
+    # the centred sum is written out term by term (oldest first): one fixed
+    # evaluation order, so the result does not depend on a frame algorithm
+    def at(k):
+        return F.lag(col, -k).over(w) if k < 0 else (F.col(col) if k == 0 else F.lead(col, k).over(w))
     if period % 2 == 0:
-        frame = w.rowsBetween(-half, half)
-        s = F.sum(col).over(frame) - 0.5 * F.lag(col, half).over(w) - 0.5 * F.lead(col, half).over(w)
-        cnt = F.count(col).over(frame)
-        trend = F.when(cnt == period + 1, s / period)
+        terms = [0.5 * at(-half)] + [at(k) for k in range(-half + 1, half)] + [0.5 * at(half)]
     else:
-        frame = w.rowsBetween(-half, half)
-        trend = F.when(F.count(col).over(frame) == period, F.avg(col).over(frame))
+        terms = [at(k) for k in range(-half, half + 1)]
+    total = terms[0]
+    for t in terms[1:]:
+        total = total + t
+    trend = total / period
     d = d.withColumn("trend", trend).withColumn("_phase", (F.col("_rn") - 1) % period)
     phase = (d.filter(F.col("trend").isNotNull())
               .groupBy(*keys, "_phase").agg(F.avg(F.col(col) - F.col("trend")).alias("_pm")))

@@ -203,18 +203,15 @@ def pacf(spark, sf):
 # X6 (window form) ----------------------------------------------------------------------------
 @register("decompose_window", f"""WITH {ODAILY},
 w AS (SELECT "Date", "Price", row_number() OVER o AS rn,
-        CASE WHEN count("Price") OVER (ORDER BY "Date" ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) = 11
-             THEN (sum("Price") OVER (ORDER BY "Date" ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)
-                   - 0.5 * lag("Price", 5) OVER o - 0.5 * lead("Price", 5) OVER o) / 10 END AS trend
+        (0.5 * lag("Price", 5) OVER o + lag("Price", 4) OVER o + lag("Price", 3) OVER o + lag("Price", 2) OVER o + lag("Price", 1) OVER o + "Price" + lead("Price", 1) OVER o + lead("Price", 2) OVER o + lead("Price", 3) OVER o + lead("Price", 4) OVER o + 0.5 * lead("Price", 5) OVER o) / 10 AS trend
       FROM od WINDOW o AS (ORDER BY "Date")),
 ph AS (SELECT (rn - 1) % 10 AS phase, avg("Price" - trend) AS pm FROM w WHERE trend IS NOT NULL GROUP BY 1),
 sea AS (SELECT phase, pm - (SELECT avg(pm) FROM ph) AS seasonal FROM ph)
-SELECT "Date", round(trend, 2) AS trend, round(seasonal, 2) AS seasonal, round("Price" - trend - seasonal, 2) AS residual
+SELECT "Date", round(trend, 6) AS trend, round(seasonal, 6) AS seasonal, round("Price" - trend - seasonal, 6) AS residual
 FROM w JOIN sea ON sea.phase = (w.rn - 1) % 10""")
 def decompose_window(spark, sf):
     d = ST.decompose_classical(S.orders_daily(spark, sf), "Price", 10)
-    # values near 1e5: 2 decimals keep 8 significant digits
-    return d.select("Date", *[F.round(c, 2).alias(c) for c in ("trend", "seasonal", "residual")])
+    return d.select("Date", *[F.round(c, 6).alias(c) for c in ("trend", "seasonal", "residual")])
 
 
 # rows-only: Gram solvers, tests, selection, ARMA, hybrid --------------------------------------
