@@ -29,7 +29,9 @@ def lda_terms_fit(tokens: DataFrame, k: int = 4, vocab_size: int = 2000, seed: i
     from pyspark.ml.clustering import LDA
     from pyspark.ml.feature import CountVectorizer
     cv = CountVectorizer(inputCol=list_col, outputCol="features", vocabSize=vocab_size).fit(tokens)
-    lda = LDA(k=k, seed=seed, maxIter=max_iter, optimizer="online").fit(cv.transform(tokens))
+    # every LDA iteration rescans its input: materialise the count vectors once
+    data = cut_lineage(cv.transform(tokens).select("features"))
+    lda = LDA(k=k, seed=seed, maxIter=max_iter, optimizer="online").fit(data)
     return cv, lda
 
 
@@ -53,7 +55,7 @@ def lda_vectors_fit(df: DataFrame, col: str, k: int = 5, seed: int = 42, max_ite
     """Fit on non-negative (min-max scaled) dense vectors."""
     from pyspark.ml.clustering import LDA
     from pyspark.ml.functions import array_to_vector
-    data = df.select(array_to_vector(col).alias("features"))
+    data = cut_lineage(df.select(array_to_vector(col).alias("features")))
     return LDA(k=k, seed=seed, maxIter=max_iter, optimizer="online").fit(data)
 
 
@@ -89,7 +91,8 @@ def nmf_fit(doc_term: DataFrame, n_terms: int, k: int = 4, iters: int = 10, tol:
     W = rng.random((n_terms, k))
     W /= np.linalg.norm(W, axis=0, keepdims=True)
     Wc = rng.random((n_terms, k)) if ppmi is not None else None
-    A = doc_term.select(id_col, "term_id", F.col("tf").cast("double").alias("a"))
+    # A is read twice per iteration: materialise it once (shared folder)
+    A = cut_lineage(doc_term.select(id_col, "term_id", F.col("tf").cast("double").alias("a")))
     a2 = A.agg(F.sum(F.col("a") * F.col("a"))).first()[0]
     docs = A.select(id_col).distinct()
     H = cut_lineage(docs.withColumn("h", F.array(*[F.lit(float(x)) for x in rng.random(k)])))

@@ -40,7 +40,8 @@ def lda_vectors(spark, sf):
     dims = [f"d{i}" for i in range(64)]
     wide = sv.select("doc_id", *[F.col("sentence_vector")[i].alias(d) for i, d in enumerate(dims)])
     params = minmax_fit(wide, dims)
-    scaled = minmax_apply(wide, params, dims).select("doc_id", F.array(*dims).alias("v"))
+    from ..session import cut_lineage
+    scaled = cut_lineage(minmax_apply(wide, params, dims).select("doc_id", F.array(*dims).alias("v")))
     lda = TP.lda_vectors_fit(scaled, "v", k=5)
     topics = TP.lda_vectors_apply(scaled, "v", lda, keep=["doc_id"])
     dated = S.news(spark, sf).select(F.col("ID").alias("doc_id"), "Date")

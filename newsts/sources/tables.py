@@ -26,10 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events with a real ``timestamp`` and its UTC ``Date``."""
+    """events with their UTC ``Date``.  ``ts`` keeps its stored type
+    (``TIMESTAMP_NTZ``, wall time in UTC) so comparisons on it stay
+    cast-free and reach the parquet scan as pushed filters; streams cast
+    it to ``timestamp`` where a watermark needs one."""
     df = table(spark, sf_dir, "events")
-    return (df.withColumn("ts", F.col("ts").cast("timestamp"))
-              .withColumn("Date", F.to_date("ts")))
+    return df.withColumn("Date", F.to_date("ts"))
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
