@@ -38,6 +38,8 @@ def gram(df: DataFrame, x_cols: Sequence[str], y: str, by: Sequence[str] = ()) -
                     q(y).cast("double").alias("y")).dropna()
     schema = _schema(df, by)
     xs = [f"x{i}" for i in range(p)]
+    if p <= SQL_MAX_P:
+        return _gram_sql(src, xs, by)
 
     def partial(it):
         acc: dict = {}
@@ -67,6 +69,26 @@ def gram(df: DataFrame, x_cols: Sequence[str], y: str, by: Sequence[str] = ()) -
     return combine(parts, by)
 
 
+# narrow designs: the p(p+1)/2 product sums as built-in aggregates (JVM,
+# whole-stage codegen, partial aggregation); wider ones fold in numpy
+SQL_MAX_P = 16
+
+
+def _gram_sql(src: DataFrame, xs: Sequence[str], by: Sequence[str]) -> DataFrame:
+    p = len(xs)
+    prods = {}
+    for i in range(p):
+        for j in range(i, p):
+            prods[(i, j)] = F.sum(F.col(xs[i]) * F.col(xs[j])).alias(f"_p{i}_{j}")
+    aggs = [F.count(F.lit(1)).alias("n"), *[F.sum(x).alias(f"_s{i}") for i, x in enumerate(xs)], F.sum("y").alias("sy"),
+            *prods.values(), *[F.sum(F.col(x) * F.col("y")).alias(f"_y{i}") for i, x in enumerate(xs)],
+            F.sum(F.col("y") * F.col("y")).alias("yy")]
+    g = src.groupBy(*by).agg(*aggs)
+    xx = [F.col(f"_p{min(i, j)}_{max(i, j)}") for i in range(p) for j in range(p)]
+    return g.select(*by, F.col("n").cast("long").alias("n"), F.array(*[F.col(f"_s{i}") for i in range(p)]).alias("sx"),
+                    "sy", F.array(*xx).alias("xx"), F.array(*[F.col(f"_y{i}") for i in range(p)]).alias("xy"), "yy")
+
+
 def combine(parts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Sum partial Gram rows per group (element-wise for the arrays)."""
     def add_arrays(c):
