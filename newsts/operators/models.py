@@ -139,7 +139,7 @@ def refit(old_gram: DataFrame, new_rows: DataFrame, x_cols: Sequence[str], y: st
 
 # M6 / M7 --------------------------------------------------------------------
 def arma_design(df: DataFrame, y: str, P: int, Q: int, d: int = 0, m: int | None = None, keys=(),
-                order_by: str = "Date") -> tuple[DataFrame, list[str]]:
+                order_by: str = "Date", seasonal: tuple[int, int] = (0, 0)) -> tuple[DataFrame, list[str]]:
     """Two-stage least-squares design (Hannan–Rissanen, declared instead of
     maximum likelihood): difference ``d`` times, fit a long AR(m) by one
     Gram per series, take its residuals, then expose y lags 1..P and
@@ -159,11 +159,17 @@ def arma_design(df: DataFrame, y: str, P: int, Q: int, d: int = 0, m: int | None
     cols = [f"y_l{i}" for i in range(1, P + 1)] + [f"e_l{j}" for j in range(1, Q + 1)]
     des = res.withColumns({f"y_l{i}": F.lag("z", i).over(w) for i in range(1, P + 1)}) \
              .withColumns({f"e_l{j}": F.lag("e", j).over(w) for j in range(1, Q + 1)})
+    # seasonal AR terms (P_s lags at multiples of the season s) as extra columns
+    ps, season = seasonal
+    if ps and season:
+        scols = [f"y_s{k}" for k in range(1, ps + 1)]
+        des = des.withColumns({f"y_s{k}": F.lag("z", k * season).over(w) for k in range(1, ps + 1)})
+        cols = cols + scols
     return des, cols
 
 
 def arma_grid(df: DataFrame, y: str, orders: Sequence[tuple[int, int]], d: int = 0, train_ratio: float = 0.7,
-              keys=(), order_by: str = "Date") -> DataFrame:
+              keys=(), order_by: str = "Date", seasonal: tuple[int, int] = (0, 0)) -> DataFrame:
     """M7: every (p, q) order fitted on the train rows of each series from
     ONE Gram of the widest design, then scored one step ahead on the test
     rows (actual lags, fixed parameters).  Coefficients are a bounded
@@ -173,7 +179,8 @@ def arma_grid(df: DataFrame, y: str, orders: Sequence[tuple[int, int]], d: int =
     keys = list(keys)
     P = max(p for p, _ in orders)
     Q = max(q for _, q in orders)
-    des, cols = arma_design(df, y, P, Q, d, keys=keys, order_by=order_by)
+    des, cols = arma_design(df, y, P, Q, d, keys=keys, order_by=order_by, seasonal=seasonal)
+    n_season = seasonal[0] if seasonal[0] and seasonal[1] else 0
     des = des.dropna(subset=cols)
     nr = number_rows(des, keys, order_by)
     nr = nr.withColumn("role", F.when(F.col("rn") <= F.floor(F.col("n") * train_ratio), "train").otherwise("test"))
@@ -186,7 +193,7 @@ def arma_grid(df: DataFrame, y: str, orders: Sequence[tuple[int, int]], d: int =
         for k in keys:
             key_cond = key_cond & (F.col(k) == F.lit(r[k]))
         for p, q_ in orders:
-            idx = list(range(p)) + [P + j for j in range(q_)]
+            idx = list(range(p)) + [P + j for j in range(q_)] + [P + Q + k for k in range(n_season)]
             sub = {"n": gn["n"], "sx": gn["sx"][idx], "sy": gn["sy"], "xx": gn["xx"][np.ix_(idx, idx)],
                    "xy": gn["xy"][idx], "yy": gn["yy"]}
             c, b = solve(sub, "ols")

@@ -439,3 +439,96 @@ def make_stationary(df: DataFrame, cols: Sequence[str], alpha: float = 0.05, max
         cur = diff(cur, cols, 1, order_by=order_by)
         order += 1
     return cur, order
+
+
+# X6 (LOESS form) -----------------------------------------------------------------------
+def _loess(x: np.ndarray, y: np.ndarray, xq: np.ndarray, span: int, w_rob: np.ndarray | None = None) -> np.ndarray:
+    """Local linear fit with tricube weights over the ``span`` nearest
+    points (widened beyond the data when span > n), evaluated at ``xq``."""
+    n = len(x)
+    out = np.empty(len(xq))
+    q = min(span, n)
+    for k, x0 in enumerate(xq):
+        d = np.abs(x - x0)
+        idx = np.argsort(d, kind="stable")[:q]
+        h = d[idx].max()
+        if span > n:
+            h = h + (span - n) / 2.0
+        h = max(h, 1e-12)
+        w = (1 - (d[idx] / h) ** 3) ** 3
+        w = np.clip(w, 0, None)
+        if w_rob is not None:
+            w = w * w_rob[idx]
+        xs, ys = x[idx], y[idx]
+        sw = w.sum()
+        if sw <= 0:
+            out[k] = ys.mean()
+            continue
+        xm = (w * xs).sum() / sw
+        ym = (w * ys).sum() / sw
+        sxx = (w * (xs - xm) ** 2).sum()
+        b = (w * (xs - xm) * (ys - ym)).sum() / sxx if sxx > 1e-12 * max(1.0, xm * xm) else 0.0
+        out[k] = ym + b * (x0 - xm)
+    return out
+
+
+def stl_numpy(y: np.ndarray, period: int, seasonal: int = 7, inner: int = 2, outer: int = 0):
+    """STL (Cleveland et al. 1990): inner loop of cycle-subseries LOESS,
+    low-pass filtering and trend LOESS; optional robustness iterations."""
+    n = len(y)
+    ns = seasonal if seasonal % 2 else seasonal + 1
+    nt = int(np.ceil(1.5 * period / (1 - 1.5 / ns)))
+    nt += (nt % 2 == 0)
+    nl = period + (period % 2 == 0)
+    T = np.zeros(n)
+    S = np.zeros(n)
+    rob = np.ones(n)
+    t_idx = np.arange(n, dtype=float)
+    for _ in range(outer + 1):
+        for _ in range(inner):
+            det = y - T
+            C = np.zeros(n + 2 * period)
+            for k in range(period):
+                pos = np.arange(k, n, period)
+                if len(pos) == 0:
+                    continue
+                xs = np.arange(len(pos), dtype=float)
+                xq = np.arange(-1, len(pos) + 1, dtype=float)
+                sm = _loess(xs, det[pos], xq, ns, rob[pos])
+                C[k + period * np.arange(len(pos) + 2)] = sm
+            def ma(a, m):
+                c = np.cumsum(np.insert(a, 0, 0.0))
+                return (c[m:] - c[:-m]) / m
+            L = ma(ma(ma(C, period), period), 3)
+            L = _loess(np.arange(len(L), dtype=float), L, np.arange(len(L), dtype=float), nl)
+            S = C[period:period + n] - L[:n]
+            T = _loess(t_idx, y - S, t_idx, nt, rob)
+        if outer:
+            r = np.abs(y - T - S)
+            h = 6 * np.median(r)
+            rob = np.clip(1 - (r / max(h, 1e-12)) ** 2, 0, None) ** 2
+    return T, S, y - T - S
+
+
+def decompose_stl(df: DataFrame, col: str, period: int = 10, keys: Sequence[str] = (), order_by: str = "Date",
+                  seasonal: int = 7, robust: bool = False) -> DataFrame:
+    """X6 with LOESS: one series per group (a daily table per key), so the
+    work scales with the number of series.  Parts sum to the input."""
+    keys = list(keys)
+    grp = keys or ["_series"]
+    src = df.select(*keys, order_by, F.col(col).cast("double").alias("y"))
+    if not keys:
+        src = src.withColumn("_series", F.lit(0))
+    fields = [src.schema[k] for k in grp] + [src.schema[order_by]]
+    schema = T.StructType([*fields, T.StructField("trend", T.DoubleType()), T.StructField("seasonal", T.DoubleType()),
+                           T.StructField("residual", T.DoubleType())])
+
+    def run(pdf):
+        pdf = pdf.sort_values(order_by)
+        t, s, r = stl_numpy(pdf["y"].to_numpy(dtype=float), period, seasonal, 2, 15 if robust else 0)
+        out = pdf[[*grp, order_by]].copy()
+        out["trend"], out["seasonal"], out["residual"] = t, s, r
+        return out
+
+    res = src.groupBy(*grp).applyInPandas(run, schema)
+    return res.drop("_series") if not keys else res

@@ -410,3 +410,17 @@ def scaled_errors(spark, sf):
     params = minmax_fit(sp.filter("role = 'train'"), ["Price"])
     e = V.scaled_errors(sp.filter("role = 'test'"), params, "Price", "yhat")
     return _r(e, ["mae", "rmse", "mape", "r2"])
+
+
+@register("decompose_stl")
+def decompose_stl(spark, sf):
+    """X6 (LOESS/STL, period 10) per order priority series."""
+    d = S.orders_daily(spark, sf, keys=["o_orderpriority"])
+    return ST.decompose_stl(d, "Price", 10, keys=["o_orderpriority"])
+
+
+@register("sarima")
+def sarima(spark, sf):
+    """M6 seasonal form: (1, 2, 1) with one seasonal AR lag at 12, fitted by
+    two-stage least squares on 70 % of the days, one-step test errors."""
+    return M.arma_grid(S.orders_daily(spark, sf), "Price", [(1, 1)], d=2, seasonal=(1, 12))

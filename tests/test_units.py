@@ -242,3 +242,19 @@ def test_rfe_order_drops_weakest():
     g = {"n": 500, "sx": X.sum(0), "sy": y.sum(), "xx": X.T @ X, "xy": X.T @ y, "yy": y @ y}
     ranks = rfe_order(g, 1, "ols")
     assert ranks == [1, 3, 2]
+
+
+def test_stl_parts_sum_and_recover_season(spark):
+    n, period = 120, 10
+    t = np.arange(n)
+    season = np.sin(2 * np.pi * t / period) * 3
+    y = 0.05 * t + season
+    T_, S_, R_ = ST.stl_numpy(y, period)
+    assert np.allclose(T_ + S_ + R_, y)
+    assert np.corrcoef(S_[20:-20], season[20:-20])[0, 1] > 0.95
+    d0 = dt.date(2024, 1, 1)
+    df = spark.createDataFrame([(d0 + dt.timedelta(days=int(i)), float(v)) for i, v in zip(t, y)], "Date date, x double")
+    rows = ST.decompose_stl(df, "x", period).collect()
+    assert len(rows) == n
+    for r in rows:
+        assert r["trend"] + r["seasonal"] + r["residual"] == pytest.approx(y[(r["Date"] - d0).days])
