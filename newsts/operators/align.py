@@ -179,10 +179,9 @@ def last_n(df: DataFrame, n: int, order_by: str = "Date") -> DataFrame:
 
 def head_ratio(df: DataFrame, ratio: float, keys=(), order_by: str = "Date") -> DataFrame:
     """First ``floor(n·ratio)`` rows of each series."""
-    w = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy(order_by)
-    wn = Window.partitionBy(*keys) if keys else Window.partitionBy()
-    return (df.withColumn("_rn", F.row_number().over(w)).withColumn("_n", F.count(F.lit(1)).over(wn))
-              .filter(F.col("_rn") <= F.floor(F.col("_n") * F.lit(ratio))).drop("_rn", "_n"))
+    from .split import number_rows
+    res = number_rows(df, keys, order_by)
+    return res.filter(F.col("rn") <= F.floor(F.col("n") * F.lit(ratio))).drop("rn", "n")
 
 
 def top_by(df: DataFrame, col: str, n: int, ascending: bool = True, tie: Sequence[str] = ()) -> DataFrame:
