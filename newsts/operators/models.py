@@ -168,6 +168,10 @@ def arma_design(df: DataFrame, y: str, P: int, Q: int, d: int = 0, m: int | None
     return des, cols
 
 
+# fixed value: the most series whose fitted orders are inlined into one plan
+MAX_INLINE_SERIES = 200
+
+
 def arma_grid(df: DataFrame, y: str, orders: Sequence[tuple[int, int]], d: int = 0, train_ratio: float = 0.7,
               keys=(), order_by: str = "Date", seasonal: tuple[int, int] = (0, 0)) -> DataFrame:
     """M7: every (p, q) order fitted on the train rows of each series from
@@ -185,7 +189,11 @@ def arma_grid(df: DataFrame, y: str, orders: Sequence[tuple[int, int]], d: int =
     nr = number_rows(des, keys, order_by)
     nr = nr.withColumn("role", F.when(F.col("rn") <= F.floor(F.col("n") * train_ratio), "train").otherwise("test"))
     g = G.gram(nr.filter(F.col("role") == "train"), cols, "z", by=keys)
-    rows = g.collect()  # one Gram per series: (P+Q)² numbers each
+    # one Gram per series ((P+Q)² numbers each); their coefficients become
+    # literals, so the number of series inlined this way is bounded
+    if g.count() > MAX_INLINE_SERIES:
+        raise ValueError("too many series to inline; fit per series with linear_fit(by=keys) and join")
+    rows = g.collect()
     preds = []
     for r in rows:
         gn = to_gram_dict(r)

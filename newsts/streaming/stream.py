@@ -86,12 +86,20 @@ def stream_publish(df: DataFrame, target: str, key: str = "Date", name: str = "p
     d = work_dir(spark, name)
 
     def publish_batch(batch: DataFrame, epoch: int) -> None:
+        batch = batch.persist()
+        bounds = batch.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).first()
+        if bounds["lo"] is None:
+            batch.unpersist()
+            return
         try:
-            have = batch.sparkSession.read.parquet(target).select(key).distinct()
+            # only the batch's key range of the target is read (pushed filter)
+            have = (batch.sparkSession.read.parquet(target)
+                    .filter(F.col(key).between(F.lit(bounds["lo"]), F.lit(bounds["hi"]))).select(key).distinct())
             new = batch.join(have, on=key, how="left_anti")
         except Exception:  # noqa: BLE001 - the target does not exist yet
             new = batch
         new.write.mode("append").parquet(target)
+        batch.unpersist()
 
     q = (df.writeStream.foreachBatch(publish_batch).option("checkpointLocation", os.path.join(d, "_ck"))
            .trigger(availableNow=True).start())
