@@ -163,7 +163,8 @@ def doc_term(terms: DataFrame, vocab: DataFrame, id_col: str = "doc_id") -> Data
 
 
 # T7 / T8 / T9 -------------------------------------------------------------------
-def cooccurrence(dt: DataFrame, n_terms: int, id_col: str = "doc_id", chunk: int = 512) -> DataFrame:
+def cooccurrence(dt: DataFrame, n_terms: int, id_col: str = "doc_id", chunk: int = 512,
+                 docs_whole_in_tasks: bool = False) -> DataFrame:
     """n_ij = Σ_doc tf_i·tf_j over ordered pairs, self pairs included.
 
     Each task folds its documents into one partial term×term matrix with
@@ -194,8 +195,13 @@ def cooccurrence(dt: DataFrame, n_terms: int, id_col: str = "doc_id", chunk: int
         rows = np.nonzero(acc.any(axis=1))[0]
         yield pd.DataFrame({"i": (rows + 1).astype("int64"), "row": [acc[r] for r in rows]})
 
-    # co-locate each document's rows in one task (hash on the document id)
-    src = dt.select(id_col, "term_id", F.col("tf").cast("double").alias("tf")).repartition(id_col)
+    # each document's rows must sit in one task: hash on the document id,
+    # unless they come straight from exploding one row per document (a
+    # scan → explode → broadcast-join chain never splits a document), in
+    # which case no shuffle is needed before the partial matrices
+    src = dt.select(id_col, "term_id", F.col("tf").cast("double").alias("tf"))
+    if not docs_whole_in_tasks:
+        src = src.repartition(id_col)
     parts = src.mapInPandas(partial, "i long, row array<double>")
     summed = parts.groupBy("i").agg(Summarizer.sum(array_to_vector("row")).alias("v"))
     cells = summed.select("i", F.posexplode(vector_to_array("v")).alias("j0", "n_ij"))

@@ -164,8 +164,11 @@ def pad_sequences(spark, sf):
 # T7 / T8 / T9 -----------------------------------------------------------------------
 def _cooc(spark, sf):
     vocab = _vocab(spark, sf)
-    dt = TO.doc_term(_t2_terms(spark, sf), vocab)
-    return TO.cooccurrence(dt, 2000).persist(StorageLevel.MEMORY_AND_DISK), vocab
+    # token rows joined to the (broadcast) vocabulary stay in the task of
+    # their document, so the partial matrices need no shuffle before them
+    hits = _t2_terms(spark, sf).join(F.broadcast(vocab.select("term", "term_id")), on="term")
+    dt = hits.select("doc_id", "term_id", F.lit(1.0).alias("tf"))
+    return TO.cooccurrence(dt, 2000, docs_whole_in_tasks=True).persist(StorageLevel.MEMORY_AND_DISK), vocab
 
 
 @register("cooccurrence", f"""WITH {T2_SQL}, {WS_TERMS}, {VOCAB}, {DOC_TERM}, {COOC}
