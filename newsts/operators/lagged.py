@@ -63,13 +63,12 @@ def supervised(df: DataFrame, cols: Sequence[str], n_in: int = 1, n_out: int = 1
     w = _win(keys, order_by)
     if as_array:
         frame = w.rowsBetween(-n_in, n_out - 1)
-        width = (n_in + n_out) * len(cols)
         res = df.select(*keep, F.flatten(F.collect_list(F.array(*[F.col(c).cast("double") for c in cols])).over(frame)).alias("features"),
                         F.count(F.lit(1)).over(frame).alias("_n"))
         if drop:
             res = res.filter((F.col("_n") == n_in + n_out)
                              & F.forall("features", lambda x: x.isNotNull()))
-        return res.drop("_n").withColumn("features", F.col("features")) if width else res
+        return res.drop("_n")
     exprs, names = [], []
     for i in range(n_in, 0, -1):
         for c in cols:

@@ -36,16 +36,13 @@ def to_long(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = (), order_
 def acf(df: DataFrame, col: str, nlags: int, keys=(), order_by: str = "Date") -> DataFrame:
     """Autocorrelation r_k = Σ(x_t−m)(x_{t−k}−m) / Σ(x_t−m)², k = 0..nlags,
     m the series mean: one windowed pass of lag products."""
-    wn = Window.partitionBy(*keys) if keys else Window.partitionBy()
     mean = df.groupBy(*keys).agg(F.avg(col).alias("_m"))
     d = (df.join(mean, on=list(keys)) if keys else df.withColumn("_m", df.select(F.avg(col)).scalar()))
     d = d.withColumn("_c", F.col(col) - F.col("_m"))
     w = _w(keys, order_by)
     prods = d.select(*keys, *[(F.col("_c") * F.lag("_c", k).over(w)).alias(f"p{k}") for k in range(nlags + 1)])
     agg = prods.groupBy(*keys).agg(*[F.sum(f"p{k}").alias(f"s{k}") for k in range(nlags + 1)])
-    long = agg.select(*keys, F.posexplode(F.array(*[F.col(f"s{k}") / F.col("s0") for k in range(nlags + 1)])).alias("lag", "acf"))
-    _ = wn
-    return long
+    return agg.select(*keys, F.posexplode(F.array(*[F.col(f"s{k}") / F.col("s0") for k in range(nlags + 1)])).alias("lag", "acf"))
 
 
 def pacf_from_acf(r: np.ndarray) -> np.ndarray:
