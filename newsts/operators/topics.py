@@ -44,7 +44,10 @@ def lda_terms_apply(tokens: DataFrame, cv, lda, id_col: str = "doc_id", term_col
     vocab = spark.createDataFrame([([w],) for w in cv.vocabulary], "terms array<string>")
     scored = lda.transform(cv.transform(vocab)).select(F.col("terms")[0].alias(term_col),
                                                         vector_to_array("topicDistribution").alias("topics"))
-    j = tokens.join(scored, on=term_col, how="inner")
+    # one row per vocabulary word (bounded by the CountVectorizer cut):
+    # scored once, materialised, and broadcast to the token rows
+    scored = cut_lineage(scored)
+    j = tokens.join(F.broadcast(scored), on=term_col, how="inner")
     k = lda.getK()
     agg = j.groupBy(id_col).agg(*[F.avg(F.col("topics")[i]).alias(f"Topic{i + 1}") for i in range(k)])
     return agg
