@@ -53,3 +53,23 @@ def tokenizer_path(name: str) -> str:
     executors find their own copy."""
     import public_tokenizers
     return public_tokenizers.path(name)
+
+
+BATCH_BYTES = 8 << 20  # documented parameter: bytes of one column handled at once in a Python task
+
+
+def bounded_batches(batches, column: str, most: int = BATCH_BYTES):
+    """Arrow batches cut into pieces whose ``column`` holds at most ``most``
+    bytes, or one row where a single row is larger."""
+    for batch in batches:
+        start, n = 0, batch.num_rows
+        if batch.column(column).nbytes <= most:
+            if n:
+                yield batch
+            continue
+        while start < n:
+            k = 1
+            while start + 2 * k <= n and batch.slice(start, 2 * k).column(column).nbytes <= most:
+                k *= 2
+            yield batch.slice(start, k)
+            start += k

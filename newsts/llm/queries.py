@@ -6,9 +6,30 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import documents
+from . import bpe, packing
+from .common import documents, store, work_folder
 from .exact_dedup import exact_dedup
+from .token_counts import token_counts
+
+BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(bpe.decode(bpe.encode(documents(spark, sf_dir), BYTE_BPE), BYTE_BPE))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # a new cache for each call, so every call encodes all distinct texts
+    counts = token_counts(documents(spark, sf_dir), WORD_BPE, work_folder(spark, "token-cache"))
+    return counts.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.cut_pieces(documents(spark, sf_dir), BYTE_BPE)
+    pieces = store(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces")
+    return packing.assign(pieces).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,5 +51,8 @@ WINDOW w AS (PARTITION BY norm ORDER BY n_chars DESC, doc_id)
 """
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "op4_bpe": (op4_bpe, None),
+    "op7_token_counts": (op7_token_counts, None),
+    "op9_packing": (op9_packing, None),
     "op10_exact_dedup": (op10_exact_dedup, OP10_SQL),
 }
