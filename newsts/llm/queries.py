@@ -11,15 +11,63 @@ from pyspark.sql import functions as F
 from . import bpe, packing
 from .common import documents, store, work_folder
 from .exact_dedup import exact_dedup
+from .near_dedup import near_dedup
+from .quality_rules import STOP_WORDS, quality_rules
 from .token_counts import token_counts
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(documents(spark, sf_dir)).select("doc_id", "class_id", "class_size", "kept")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(bpe.encode(documents(spark, sf_dir), BYTE_BPE), BYTE_BPE))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(documents(spark, sf_dir)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+_STOP = ", ".join(f"'{x}'" for x in sorted({y for w in STOP_WORDS.values() for z in w for y in (z, z.capitalize())}))
+OP6_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)),
+                     lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents),
+grams AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d)),
+again AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM grams) WHERE n > 1),
+covered AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n
+  FROM (SELECT doc_id, i, unnest(range(0, 8)) AS k FROM again) GROUP BY doc_id),
+m AS (
+  SELECT d.doc_id, len(w) AS n_words,
+         length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+         length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+         length(regexp_replace(text, '[^\p{{Lu}}]', '', 'g')) AS n_upper,
+         len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+         coalesce(c.n, 0) AS n_repeat_words,
+         len(list_filter(w, lambda x: x IN ({_STOP}))) AS n_stop_words
+  FROM d LEFT JOIN covered c ON d.doc_id = c.doc_id),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed
+       AND NOT coalesce(word_chars / n_words < 2.0 OR word_chars / n_words > 12.0, false)
+       AND NOT coalesce(n_symbols / n_words > 0.1, false)
+       AND NOT coalesce(n_stop_words / n_words < 0.06, false)
+       AND NOT coalesce(n_dup_lines / n_lines > 0.5, false)
+       AND NOT coalesce(n_upper / word_chars > 0.4, false) AS kept
+FROM b
+"""
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a new cache for each call, so every call encodes all distinct texts
     counts = token_counts(documents(spark, sf_dir), WORD_BPE, work_folder(spark, "token-cache"))
@@ -51,7 +99,9 @@ WINDOW w AS (PARTITION BY norm ORDER BY n_chars DESC, doc_id)
 """
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "op2_near_dedup": (op2_near_dedup, None),
     "op4_bpe": (op4_bpe, None),
+    "op6_quality_rules": (op6_quality_rules, OP6_SQL),
     "op7_token_counts": (op7_token_counts, None),
     "op9_packing": (op9_packing, None),
     "op10_exact_dedup": (op10_exact_dedup, OP10_SQL),
