@@ -13,6 +13,7 @@ from .common import documents, store, work_folder
 from .exact_dedup import exact_dedup
 from .near_dedup import near_dedup
 from .quality_rules import STOP_WORDS, quality_rules
+from .suffix_dedup import suffix_dedup
 from .token_counts import token_counts
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -74,6 +75,12 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(documents(spark, sf_dir)).select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.cut_pieces(documents(spark, sf_dir), BYTE_BPE)
     pieces = store(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces")
@@ -103,6 +110,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op4_bpe": (op4_bpe, None),
     "op6_quality_rules": (op6_quality_rules, OP6_SQL),
     "op7_token_counts": (op7_token_counts, None),
+    "op8_suffix_dedup": (op8_suffix_dedup, None),
     "op9_packing": (op9_packing, None),
     "op10_exact_dedup": (op10_exact_dedup, OP10_SQL),
 }
