@@ -12,10 +12,12 @@ blank-separated chunks that it has seen, in dictionaries of bounded size.
 
 from __future__ import annotations
 
-import heapq
 import json
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,8 @@ from .common import bounded_batches, columns, tokenizer_path
 # as Unicode defines it
 PIECES = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
           r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
-PIECE_CACHE = 300_000  # documented parameter: pieces kept by a task
+MARKS = ".,;:!?%$#*&|"  # marks, neither letters nor digits, that often follow a word
+PIECE_CACHE = 100_000  # documented parameter: pieces kept by a task
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -68,51 +71,75 @@ class ByteBpe:
         for token, i in added.items():
             self.strings[i] = token.encode()
         self.byte_ids = [vocab[alphabet[b]] for b in range(256)]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        # for each left id the right ids that merge with it, and the rank; the id that each rank makes
+        self.rank: list[dict[int, int]] = [{} for _ in self.strings]
+        self.merged: list[int] = []
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges[vocab[a], vocab[b]] = rank, vocab[a + b]
+            self.rank[vocab[a]][vocab[b]] = rank
+            self.merged.append(vocab[a + b])
         self.find = regex.compile(PIECES).findall
         self.pieces: dict[str, bytes] = {}
         self.chunks = ChunkMemo(self.encode_plain, added)
 
     def merge(self, ids: list[int]) -> list[int]:
-        """Merge the symbols of one piece."""
-        n, merges = len(ids), self.merges
-        after, before = [*range(1, n), -1], list(range(-1, n - 1))
-        queue = [(*m, i, ids[i], ids[i + 1]) for i in range(n - 1) if (m := merges.get((ids[i], ids[i + 1])))]
-        # an entry is (rank, merged, position, left, right); equal ranks are the same pair, so the leftmost goes first
-        heapq.heapify(queue)
+        """Merge the symbols of one piece.  A queue entry is rank and position
+        in one number, so that the leftmost of equal ranks goes first; it is
+        stale if the symbols there no longer make a pair of that rank."""
+        n, rank, merged = len(ids), self.rank, self.merged
+        bits = n.bit_length()
+        here = (1 << bits) - 1
+        queue = [r << bits | i for i, (a, b) in enumerate(pairwise(ids)) if (r := rank[a].get(b)) is not None]
+        if not queue:
+            return ids
+        heapify(queue)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while queue:
-            _, merged, i, left, right = heapq.heappop(queue)
+            entry = heappop(queue)
+            i = entry & here
             j = after[i]
-            if ids[i] != left or j < 0 or ids[j] != right:
-                continue  # stale: one of the two has been merged since
-            ids[i], ids[j] = merged, -1
+            left = ids[i]
+            if left < 0 or j >= n or rank[left].get(ids[j]) != entry >> bits:
+                continue
+            new = ids[i] = merged[entry >> bits]
+            ids[j] = -1
             k = after[i] = after[j]
-            if k >= 0:
+            if k < n:
                 before[k] = i
-                if m := merges.get((merged, ids[k])):
-                    heapq.heappush(queue, (*m, i, merged, ids[k]))
+                if (r := rank[new].get(ids[k])) is not None:
+                    heappush(queue, r << bits | i)
             h = before[i]
-            if h >= 0 and (m := merges.get((ids[h], merged))):
-                heapq.heappush(queue, (*m, h, ids[h], merged))
+            if h >= 0 and (r := rank[ids[h]].get(new)) is not None:
+                heappush(queue, r << bits | h)
         return [i for i in ids if i >= 0]
 
+    def _ids(self, piece: str) -> bytes:
+        return array("I", self.merge([self.byte_ids[b] for b in piece.encode()])).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            if len(self.pieces) >= PIECE_CACHE:
+                shrink(self.pieces, PIECE_CACHE)
+            ids = self.pieces[piece] = self._ids(piece)
+        return ids
+
     def encode_plain(self, texts: list[str]) -> list[bytes]:
         """Ids, as little-endian unsigned 32-bit, of texts without added tokens."""
-        out, known = [], self.pieces
+        out, words = [], self.chunks.later
         for text in texts:
-            parts = []
-            for piece in self.find(text):
-                ids = known.get(piece)
-                if ids is None:
-                    if len(known) >= PIECE_CACHE:
-                        shrink(known, PIECE_CACHE)
-                    ids = known[piece] = np.array(
-                        self.merge([self.byte_ids[b] for b in piece.encode()]), dtype="<u4").tobytes()
-                parts.append(ids)
-            out.append(b"".join(parts))
+            if text[:1] == " " and (word := text[1:].rstrip(MARKS)).isalpha():
+                # the common chunk, a word with marks after it, needs no pattern
+                if len(word) == len(text) - 1:
+                    ids = self._ids(text)
+                else:
+                    ids = words.get(word)
+                    if ids is None:
+                        ids = words[word] = self._ids(" " + word)
+                    ids += self._piece(text[len(word) + 1:])
+            else:
+                ids = b"".join(map(self._piece, self.find(text)))
+            out.append(ids)
         return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:

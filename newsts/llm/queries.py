@@ -11,22 +11,44 @@ from pyspark.sql import functions as F
 from . import bpe, packing
 from .common import documents, store, work_folder
 from .exact_dedup import exact_dedup
+from .html_text import extract_main_text
 from .near_dedup import near_dedup
 from .quality_rules import STOP_WORDS, quality_rules
+from .site_quality import site_quality
 from .suffix_dedup import suffix_dedup
 from .token_counts import token_counts
+from .toxicity import toxicity
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity(docs, docs, _labels(spark, sf_dir)).drop("rid")
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(documents(spark, sf_dir)).select("doc_id", "class_id", "class_size", "kept")
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract_main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(bpe.encode(documents(spark, sf_dir), BYTE_BPE), BYTE_BPE))
 
 
+def op5_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return site_quality(docs, docs, _labels(spark, sf_dir)).drop("rid")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -106,8 +128,11 @@ WINDOW w AS (PARTITION BY norm ORDER BY n_chars DESC, doc_id)
 """
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "op1_toxicity": (op1_toxicity, None),
     "op2_near_dedup": (op2_near_dedup, None),
+    "op3_html_text": (op3_html_text, None),
     "op4_bpe": (op4_bpe, None),
+    "op5_site_quality": (op5_site_quality, None),
     "op6_quality_rules": (op6_quality_rules, OP6_SQL),
     "op7_token_counts": (op7_token_counts, None),
     "op8_suffix_dedup": (op8_suffix_dedup, None),

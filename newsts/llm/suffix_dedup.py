@@ -241,10 +241,12 @@ def _union(lo: list[int], hi: list[int]) -> list[tuple[int, int]]:
     return out
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """rid, doc_id, n_bytes, spans (start, end; half open, in bytes), kept (the
-    remaining bytes): one row per input row.
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False) -> DataFrame:
+    """rid, doc_id, n_bytes, n_removed, spans (start, end; half open, in bytes),
+    kept (the remaining bytes): one row per input row.
 
+    With ``as_text`` ``kept`` is a string; bytes of characters that were cut
+    apart are left out.
     A null text counts as empty; a text of fewer than 100 bytes loses nothing.
     Rows with the same doc_id come in their order, null ids last; of repeated
     rows the first keeps its text.
@@ -257,18 +259,19 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded_batches(batches, "text"):
-            kept, spans = [], []
-            for text, lo, hi in zip(_bytes(batch), batch.column("lo").to_pylist(), batch.column("hi").to_pylist(), strict=True):
+            kept, spans, texts = [], [], _bytes(batch)
+            sizes = pa.array([len(x) for x in texts], pa.int64())
+            for text, lo, hi in zip(texts, batch.column("lo").to_pylist(), batch.column("hi").to_pylist(), strict=True):
                 cuts = _union(lo or [], hi or [])
                 bounds = [0, *[x for c in cuts for x in c], len(text)]
                 kept.append(b"".join(text[i:j] for i, j in zip(bounds[::2], bounds[1::2], strict=True)))
                 spans.append([{"start": i, "end": j} for i, j in cuts])
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id"), pa.array(spans, kind), pa.array(kept, pa.binary())],
-                                             names=["rid", "doc_id", "spans", "kept"])
+            texts = pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id"), sizes, pa.array(spans, kind), texts],
+                                             names=["rid", "doc_id", "n_bytes", "spans", "kept"])
 
     joined = narrow.join(lists, "rid", "left").select("rid", "doc_id", "text", "lo", "hi")
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return (joined.mapInArrow(cut, "rid long, doc_id long, spans array<struct<start: long, end: long>>, kept binary")
-            .select("rid", "doc_id", (F.octet_length("kept") + removed).cast("long").alias("n_bytes"),
-                    removed.alias("n_removed"), "spans", "kept"))
+    schema = f"rid long, doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept {'string' if as_text else 'binary'}"
+    return joined.mapInArrow(cut, schema).select("rid", "doc_id", "n_bytes", removed.alias("n_removed"), "spans", "kept")
