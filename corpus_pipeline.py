@@ -1,11 +1,74 @@
-"""Training-data pipeline: stages over documents, each applying one operator."""
+"""Training-data pipeline over ``documents``: toxic documents go, then exact
+copies, then near copies, then repeated passages; the rest is packed.
 
+Each stage takes (spark, docs, sf_dir) and works on all rows of ``docs``.  All
+but the last return the columns of ``docs``.  Rows are told apart by a number
+of their own, so repeated, equal or null ids do no harm.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from newsts.llm import packing
+from newsts.llm.common import documents, store
+from newsts.llm.exact_dedup import exact_dedup
+from newsts.llm.near_dedup import near_dedup
+from newsts.llm.queries import BYTE_BPE
+from newsts.llm.suffix_dedup import suffix_dedup
+from newsts.llm.toxicity import reject_toxic
+
+ROW = "__row"
+
+
+def _with(docs: DataFrame, decided: DataFrame, how: str) -> DataFrame:
+    """Rows of ``docs`` joined to the decisions on them (rid, ...)."""
+    numbered = docs.withColumn(ROW, F.monotonically_increasing_id())
+    return numbered.join(decided.withColumnRenamed("rid", ROW), ROW, how).drop(ROW)
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return reject_toxic(docs, documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _with(docs, store(exact_dedup(docs).filter("NOT kept").select("rid"), "dropped"), "left_anti")
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _with(docs, store(near_dedup(docs).filter("NOT kept").select("rid"), "dropped"), "left_anti")
+
+
+def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without repeated passages; ``n_chars`` follows the text."""
+    kept = suffix_dedup(docs, as_text=True).select("rid", F.col("kept").alias("__kept"))
+    joined = _with(docs.drop("text"), kept, "inner")
+    new = {"text": F.col("__kept"), "n_chars": F.length("__kept").cast("long")}
+    return joined.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    pieces = packing.cut_pieces(docs, BYTE_BPE)
+    pieces = store(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces")
+    return packing.assign(pieces).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("exact_dedup", exact_dedup_stage),
+    ("near_dedup", near_dedup_stage),
+    ("suffix_dedup", suffix_dedup_stage),
+    ("packing", packing_stage),
+]
+
+# a classifier and a tokenizer cannot be written in SQL
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each result is stored and read again."""
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = store(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
