@@ -16,16 +16,17 @@ decreasing packing, without any task that sees all pieces.
 
 from __future__ import annotations
 
-import os
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .chunks import ChunkMemo
+from .bpe import PIECES, ByteBpe
 from .common import bounded_batches, columns, store, tokenizer_path
 
 WINDOW = 1024
@@ -105,21 +106,26 @@ def best_fit_decreasing(counts: dict[int, int], window: int = WINDOW) -> np.ndar
 
 
 class _Ids:
-    """Ids of texts as the ``tokenizers`` library gives them, by chunks."""
+    """Ids of whole texts by a compiled byte-level BPE, from the vocabulary of
+    a ``tokenizers`` file whose ids follow the order of its merges."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-        model = Tokenizer.from_file(path)
-        model.no_truncation()
-        model.no_padding()
-
-        def plain(texts: list[str]) -> list[bytes]:
-            found = model.encode_batch(texts, add_special_tokens=False)
-            return [np.array(x.ids, "<u4").tobytes() for x in found]
-
-        added = {t.content: i for i, t in model.get_added_tokens_decoder().items()}
-        self.encode = ChunkMemo(plain, added).encode
+        import tiktoken
+        model = ByteBpe(path)
+        if any(a >= b for a, b in pairwise(model.merged)):
+            raise ValueError("the ids do not follow the merges")
+        made = {*model.byte_ids, *model.merged}
+        ranks = {s: i for i, s in enumerate(model.strings) if i in made}
+        self.plain = tiktoken.Encoding("plain", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.added, self.cut = model.chunks.added, model.chunks.cut
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit; none for a null text."""
+        out = []
+        for text in texts:
+            parts = self.cut.split(text) if self.cut and text else [text or ""]
+            out.append(b"".join(self.added[x] if k % 2 else array("I", self.plain(x)).tobytes() for k, x in enumerate(parts)))
+        return out
 
 
 @lru_cache(maxsize=2)
