@@ -118,12 +118,12 @@ def compile_rules(thresholds=THRESHOLDS) -> list[tuple[str, Column]]:
     n = F.col("n_words")
     metrics = {
         "n_words": n,
-        "mean_word_chars": F.col("word_chars") / n,
-        "symbol_word_ratio": F.col("n_symbols") / n,
-        "stop_word_ratio": F.col("n_stop_words") / n,
-        "upper_char_ratio": F.col("n_upper") / F.col("word_chars"),
-        "dup_line_ratio": F.col("n_dup_lines") / F.col("n_lines"),
-        "repeat_word_ratio": F.col("n_repeat_words") / n,
+        "mean_word_chars": F.try_divide("word_chars", n),
+        "symbol_word_ratio": F.try_divide("n_symbols", n),
+        "stop_word_ratio": F.try_divide("n_stop_words", n),
+        "upper_char_ratio": F.try_divide("n_upper", F.col("word_chars")),
+        "dup_line_ratio": F.try_divide("n_dup_lines", F.col("n_lines")),
+        "repeat_word_ratio": F.try_divide("n_repeat_words", n),
     }
 
     def failed(name: str, least, most) -> Column:

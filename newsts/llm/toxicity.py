@@ -231,10 +231,12 @@ def reject_toxic(docs: DataFrame, training: DataFrame, labels: DataFrame, thresh
     """The rows of ``docs`` that are not rejected, with all their columns; they
     pass through the scoring task, so nothing is shuffled."""
     chain = fit_on(training, labels, id_col, text_col)
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])  # names with dots have no path
+    text = f"c{docs.columns.index(text_col)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(chain)
-        for batch in bounded_batches(batches, text_col):
-            yield batch.filter(pa.array(scorer(batch.column(text_col).to_pylist())[:, -1] < threshold))
+        for batch in bounded_batches(batches, text):
+            yield batch.filter(pa.array(scorer(batch.column(text).to_pylist())[:, -1] < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
