@@ -64,7 +64,7 @@ def relative_date(c, as_of: Column) -> Column:
     second(s) ago`` → as_of − N as a date; otherwise a date in
     ``MMM dd, yyyy``; any parse failure → as_of's date; a relative text
     with another unit → null."""
-    s = F.substring(_c(c), 4, 1 << 20)
+    s = F.substr(_c(c), F.lit(4))
     rel = F.regexp_extract(s, r"^(\d+) (hour|minute|second)s? ago$", 0)
     n = F.regexp_extract(s, r"^(\d+) ", 1)
     unit = F.regexp_extract(s, r"^\d+ ([a-z]+?)s? ago$", 1)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .lagged import q
+from .lagged import complete, q
 
 GRAM_FIELDS = [("n", T.LongType()), ("sx", T.ArrayType(T.DoubleType())), ("sy", T.DoubleType()),
                ("xx", T.ArrayType(T.DoubleType())), ("xy", T.ArrayType(T.DoubleType())), ("yy", T.DoubleType())]
@@ -31,11 +31,12 @@ def _schema(df: DataFrame, by: Sequence[str]) -> T.StructType:
 
 
 def gram(df: DataFrame, x_cols: Sequence[str], y: str, by: Sequence[str] = ()) -> DataFrame:
-    """Per-group sufficient statistics of (X, y); rows with a null dropped."""
+    """Per-group sufficient statistics of (X, y); rows with a null in X or y dropped."""
     by = list(by)
     p = len(x_cols)
     src = df.select(*by, *[q(c).cast("double").alias(f"x{i}") for i, c in enumerate(x_cols)],
-                    q(y).cast("double").alias("y")).dropna()
+                    q(y).cast("double").alias("y"))
+    src = complete(src, [c for c in src.columns if c not in by])
     schema = _schema(df, by)
     xs = [f"x{i}" for i in range(p)]
     if p <= SQL_MAX_P:
@@ -90,12 +91,16 @@ def _gram_sql(src: DataFrame, xs: Sequence[str], by: Sequence[str]) -> DataFrame
 
 
 def combine(parts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Sum partial Gram rows per group (element-wise for the arrays)."""
-    def add_arrays(c):
-        return F.aggregate(F.collect_list(c), F.lit(None).cast("array<double>"),
-                           lambda acc, a: F.when(acc.isNull(), a).otherwise(F.zip_with(acc, a, lambda u, v: u + v)))
-    return parts.groupBy(*by).agg(F.sum("n").alias("n"), add_arrays("sx").alias("sx"), F.sum("sy").alias("sy"),
-                                  add_arrays("xx").alias("xx"), add_arrays("xy").alias("xy"), F.sum("yy").alias("yy"))
+    """Sum partial Gram rows per group.  ``Summarizer.sum`` is a mergeable
+    aggregate: a task holds one running sum per group, not a list of parts."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    def total(c):
+        return vector_to_array(Summarizer.sum(array_to_vector(F.col(c)))).alias(c)
+    g = parts.groupBy(*by).agg(F.sum("n").alias("n"), total("sx"), F.sum("sy").alias("sy"), total("xx"), total("xy"),
+                               F.sum("yy").alias("yy"))
+    return g.filter(F.col("n").isNotNull())
 
 
 def to_numpy(row) -> dict:

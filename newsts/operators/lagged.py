@@ -38,6 +38,12 @@ def with_row_number(df: DataFrame, keys=(), order_by="Date", name="rn") -> DataF
     return df.withColumn(name, F.row_number().over(_win(keys, order_by)))
 
 
+def complete(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Rows without a null in ``names``: one condition on one array, as
+    hundreds of separate conditions are costly to plan."""
+    return df.filter(~F.exists(F.array(*[q(n).isNull() for n in names]), lambda x: x))
+
+
 # W1 -------------------------------------------------------------------------
 def shift(df: DataFrame, cols: Sequence[str], k: int, keys=(), order_by="Date") -> DataFrame:
     """Lag (k>0) or lead (k<0) each column by |k| rows: ``c(t-k)``/``c(t+k)``."""
@@ -81,7 +87,7 @@ def supervised(df: DataFrame, cols: Sequence[str], n_in: int = 1, n_out: int = 1
             names.append(lag_name(c, -i))
     res = df.select(*keep, *exprs)
     if drop:
-        res = res.dropna("any", subset=names)
+        res = complete(res, names)
     return res
 
 

@@ -67,9 +67,10 @@ def assign_folds(df: DataFrame, folds: DataFrame, keys: Sequence[str] = (), rn:
 
 
 def repeated_folds(df: DataFrame, k: int = 3, repeats: int = 10, seed: int = 42, id_col: str = "rn") -> DataFrame:
-    """V4: repeated random k-fold; fold of a row in repeat r from a hash
-    of (id, r, seed) — deterministic and task-local (different RNG from
-    the reference, declared)."""
+    """V4: repeated random k-fold with folds of equal size (± 1): in each
+    repeat the rows are ordered by a hash of (id, repeat, seed) and cut into
+    ``k`` tiles — deterministic (different RNG from the reference, declared)."""
     reps = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))
     res = df.withColumn("repeat", reps)
-    return res.withColumn("fold", F.pmod(F.xxhash64(F.col(id_col), F.col("repeat"), F.lit(seed)), F.lit(k)).cast("int"))
+    w = Window.partitionBy("repeat").orderBy(F.xxhash64(F.col(id_col), F.col("repeat"), F.lit(seed)), F.col(id_col))
+    return res.withColumn("fold", (F.ntile(k).over(w) - 1).cast("int"))

@@ -244,12 +244,24 @@ def adf_pvalue(stat: float) -> float:
 
 
 def _ols_from_gram(xx, xy, yy, n, idx):
-    """OLS on a sub-design (columns ``idx`` of the Gram, column 0 = const)."""
+    """OLS on a sub-design (columns ``idx`` of the Gram, column 0 = const).
+    The constant is taken out first and the rest is scaled to unit diagonal,
+    so columns of any size and mean are solved alike."""
     A = xx[np.ix_(idx, idx)]
     b = xy[idx]
-    coef = np.linalg.lstsq(A, b, rcond=None)[0]
-    ssr = float(yy - 2 * coef @ b + coef @ A @ coef)
-    return coef, max(ssr, 0.0), A
+    a0, m = A[0, 0], A[0, 1:] / A[0, 0]
+    S = A[1:, 1:] - a0 * np.outer(m, m)
+    s = b[1:] - m * b[0]
+    scale = np.sqrt(np.maximum(np.diag(S), np.finfo(float).tiny))
+    slope = np.linalg.lstsq(S / np.outer(scale, scale), s / scale, rcond=None)[0] / scale
+    ssr = float(yy - b[0] ** 2 / a0 - 2 * slope @ s + slope @ S @ slope)
+    return np.concatenate([[b[0] / a0 - m @ slope], slope]), max(ssr, 0.0), A
+
+
+def _inverse(A):
+    """Pseudo-inverse, scaled to unit diagonal first."""
+    d = 1 / np.sqrt(np.maximum(np.diag(A), np.finfo(float).tiny))
+    return np.linalg.pinv(A * np.outer(d, d)) * np.outer(d, d)
 
 
 # X1 -------------------------------------------------------------------------------------
@@ -326,7 +338,7 @@ def adf(df: DataFrame, cols: Sequence[str], max_lag: int | None = None, keys=(),
                 n = XX[0, 0]
                 idx = list(range(best_p + 2))
                 coef, ssr, A = _ols_from_gram(XX, XY, YY, n, idx)
-                cov = ssr / (n - len(idx)) * np.linalg.pinv(A)
+                cov = ssr / (n - len(idx)) * _inverse(A)
                 stat = float(coef[1] / math.sqrt(cov[1, 1]))
                 out.append([*[r[c] for c in by], stat, adf_pvalue(stat), best_p, int(n)])
             if out:
@@ -422,20 +434,20 @@ def var_order(df: DataFrame, cols: Sequence[str], max_lag: int, order_by: str =
 
 
 # X2 -------------------------------------------------------------------------------------
-def make_stationary(df: DataFrame, cols: Sequence[str], alpha: float = 0.05, max_order: int = 3,
-                    order_by: str = "Date") -> tuple[DataFrame, int]:
+def make_stationary(df: DataFrame, cols: Sequence[str], alpha: float = 0.05, max_order: int = 12,
+                    order_by: str = "Date") -> tuple[DataFrame, int, float]:
     """Difference every column until all ADF p-values are ≤ alpha; returns
-    the differenced frame and the order.  Each round is one distributed
-    test job; the loop is bounded by ``max_order``."""
+    the differenced frame, the order and the largest p-value.  Each round is
+    one distributed test job.  A series that is not stationary after
+    ``max_order`` differences (a documented bound) raises an error."""
     from .lagged import diff
-    cur, order = df, 0
-    while order < max_order:
+    cur = df
+    for order in range(max_order + 1):
         res = adf(cur, cols, order_by=order_by).agg(F.max("p_value")).first()[0]
         if res is None or res <= alpha:
-            break
+            return cur, order, res
         cur = diff(cur, cols, 1, order_by=order_by)
-        order += 1
-    return cur, order
+    raise ValueError(f"not stationary after {max_order} differences: p = {res}")
 
 
 # X6 (LOESS form) -----------------------------------------------------------------------

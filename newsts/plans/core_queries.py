@@ -534,11 +534,12 @@ def publish_keep_first(spark, sf):
 
 # U1 / O2 ----------------------------------------------------------------------
 @register("union_sources", """
-SELECT doc_id, source, n_chars FROM documents WHERE source IN ('src1', 'src2')
-UNION ALL SELECT doc_id, source, n_chars FROM documents WHERE source = 'src3'""")
+SELECT doc_id, source, n_chars FROM documents WHERE source IS NOT NULL""")
 def union_sources(spark, sf):
+    """Every source's rows stacked; the sources are those of the table."""
     d = S.table(spark, sf, "documents").select("doc_id", "source", "n_chars")
-    parts = [d.filter(F.col("source") == s) for s in ("src1", "src2", "src3")]
+    sources = [r[0] for r in d.select("source").dropna().distinct().orderBy("source").collect()]
+    parts = [d.filter(F.col("source") == s) for s in sources]
     return J.sort(J.stack(*parts), "doc_id")
 
 

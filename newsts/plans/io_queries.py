@@ -45,9 +45,10 @@ def read_series(spark, sf):
 def csv_preamble(spark, sf):
     """S3: information lines above the header are skipped."""
     d = S.orders_daily(spark, sf).select(F.concat_ws(",", F.date_format("Date", "yyyy-MM-dd"), F.col("Price").cast("string")).alias("value"))
-    pre = spark.createDataFrame([("Source: order book averages",), ("Unit: currency per order",), ("Date,Price",)], "value string")
+    pre = spark.createDataFrame([(0, "Source: order book averages"), (1, "Unit: currency per order"), (2, "Date,Price")], "k int, value string")
     path = os.path.join(work_dir(spark, "preamble"), "txt")
-    pre.unionByName(d).write.mode("overwrite").text(path)
+    lines = pre.unionByName(d.withColumn("k", F.lit(3))).repartition(1).sortWithinPartitions("k", "value")
+    lines.select("value").write.mode("overwrite").text(path)
     df = SF.read_csv_after(spark, path, r"^Date,Price$", "Date date, Price double")
     return df.select("Date", F.round("Price", 6).alias("Price"))
 

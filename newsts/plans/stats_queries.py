@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import evaluate as V
@@ -64,9 +65,11 @@ def ts_folds(spark, sf):
     return time_folds_df(lengths, k=5, keys=["o_orderpriority"])
 
 
-@register("repeated_kfold")
+@register("repeated_kfold", f"""WITH {ODAILY}, n AS (SELECT count(*) AS n FROM od)
+SELECT CAST(r AS INTEGER) AS repeat, CAST(f AS INTEGER) AS fold, n // 3 + CASE WHEN f < n % 3 THEN 1 ELSE 0 END AS rows
+FROM n, range(10) t(r), range(3) u(f)""")
 def repeated_kfold(spark, sf):
-    """V4: fold sizes of 10 repeats × 3 folds (hash-assigned)."""
+    """V4: fold sizes of 10 repeats × 3 folds (equal sizes)."""
     d = number_rows(S.orders_daily(spark, sf))
     return repeated_folds(d, 3, 10, 42).groupBy("repeat", "fold").agg(F.count(F.lit(1)).alias("rows"))
 
@@ -108,14 +111,33 @@ def cv_summary(spark, sf):
     return _r(s, s.columns)
 
 
-@register("walk_forward", f"""WITH {ODAILY}
-SELECT "Date", round("Price", 6) AS y, round(lag("Price") OVER (ORDER BY "Date"), 6) AS yhat FROM od""")
+@register("walk_forward", f"""WITH {ODAILY}, d AS (SELECT "Date", "Price" AS y, lag("Price") OVER (ORDER BY "Date") AS x FROM od),
+p AS (SELECT *, regr_slope(y, x) OVER w AS b, regr_intercept(y, x) OVER w AS a, count(x) OVER w AS k
+      FROM d WINDOW w AS (ORDER BY "Date" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT "Date", round(CASE WHEN k >= 3 THEN a + b * x END, 2) AS yhat FROM p WHERE x IS NOT NULL""")
 def walk_forward(spark, sf):
-    d = V.walk_forward(S.orders_daily(spark, sf), "Price", lambda x: M.random_walk(x, "Price"))
-    return d.select("Date", F.round("Price", 6).alias("y"), F.round("yhat", 6).alias("yhat"))
+    """yesterday's price as the regressor, refitted for every day."""
+    d = S.orders_daily(spark, sf).withColumn("x", F.lag("Price").over(Window.orderBy("Date")))
+    d = V.walk_forward(d, ["x"], "Price")
+    return d.select("Date", F.round("yhat", 2).alias("yhat"))
+
+
+@register("cv_linear_gap", f"""WITH {ODAILY}, d AS (SELECT "Date", "Price" AS y, lag("Price") OVER (ORDER BY "Date") AS x FROM od),
+r AS (SELECT *, row_number() OVER (ORDER BY "Date") AS rn, count(*) OVER () AS n FROM d WHERE x IS NOT NULL),
+f AS (SELECT fold, (SELECT max(n) FROM r) AS n FROM range(5) t(fold)),
+g AS (SELECT fold, n - (5 - fold) * (n // 6) + 1 AS ts, n - (5 - fold) * (n // 6) + n // 6 AS te, n - (5 - fold) * (n // 6) - 5 AS tr FROM f),
+m AS (SELECT fold, ts, te, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM g JOIN r ON rn <= tr GROUP BY 1, 2, 3)
+SELECT fold, count(*) AS n, round(avg(abs(a + b * x - y)), 4) AS mae, round(sqrt(avg((a + b * x - y) ** 2)), 4) AS rmse
+FROM m JOIN r ON rn BETWEEN ts AND te GROUP BY fold""")
+def cv_linear_gap(spark, sf):
+    """V8 with a gap of 5 rows: no fold trains on the rows of its gap."""
+    d = S.orders_daily(spark, sf).withColumn("x", F.lag("Price").over(Window.orderBy("Date"))).dropna()
+    d = number_rows(d.withColumnRenamed("Price", "y"))
+    folds = time_folds_df(d.select("n").distinct(), k=5, gap=5)
+    per, _ = V.cv_linear(d, folds, ["x"], "y")
+    return per.select(F.col("fold").cast("long").alias("fold"), "n", F.round("mae", 4).alias("mae"), F.round("rmse", 4).alias("rmse"))
 
 
-# M1 / M2 (one regressor, SQL closed forms) -------------------------------------------------
 @register("linear_1d", """
 SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope,
        round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept FROM lineitem GROUP BY 1""")
@@ -286,7 +308,7 @@ def granger(spark, sf):
 @register("adf")
 def adf(spark, sf):
     return ST.adf(S.orders_daily(spark, sf, keys=["o_orderpriority"]).groupBy("Date")
-                  .pivot("o_orderpriority").agg(F.first("Price")).select("Date", "`1-URGENT`", "`2-HIGH`")
+                  .pivot("o_orderpriority", ["1-URGENT", "2-HIGH"]).agg(F.first("Price")).select("Date", "`1-URGENT`", "`2-HIGH`")
                   .withColumnsRenamed({"1-URGENT": "urgent", "2-HIGH": "high"}).dropna(), ["urgent", "high"])
 
 
@@ -296,14 +318,19 @@ def var_order(spark, sf):
     return ST.var_order(wide, ["click", "purchase"], 3)
 
 
-@register("make_stationary")
+@register("make_stationary", f"""WITH {ODAILY},
+w AS (SELECT "Date", sum(CAST(round("Price" * 100) AS BIGINT)) OVER (ORDER BY "Date") AS s FROM od),
+x AS (SELECT "Date", s - lag(s) OVER (ORDER BY "Date") AS d FROM w)
+SELECT "Date", CAST(d AS BIGINT) AS cents, 1 AS "order" FROM x WHERE d IS NOT NULL""")
 def make_stationary(spark, sf):
-    """Difference until every column's ADF p-value ≤ 0.05 (a bounded
-    driver loop of whole-series jobs); reports the order reached."""
+    """Difference until every column's ADF p-value ≤ 0.05; the running
+    sum of the daily prices needs one difference, which gives them back."""
     from ..operators.stats import make_stationary as ms
     d = S.orders_daily(spark, sf)
-    out, order = ms(d, ["Price"])
-    return out.agg(F.count(F.lit(1)).alias("rows")).withColumn("order", F.lit(order))
+    cents = F.round(F.col("Price") * 100).cast("long")
+    walk = d.select("Date", F.sum(cents).over(Window.orderBy("Date")).alias("Price"))
+    out, order, _ = ms(walk, ["Price"])
+    return out.select("Date", F.round("Price").cast("long").alias("cents"), F.lit(order).alias("order"))
 
 
 @register("arma_grid")

@@ -309,10 +309,10 @@ def json_fields(spark, sf):
 
 @register("listing_sorted", """
 SELECT CAST(ts AS DATE) AS "Date", event_type AS title, CAST(json_extract(props, '$.k') AS INTEGER) AS score, event_id
-FROM events ORDER BY score DESC, event_id LIMIT 25""")
+FROM events""")
 def listing_sorted(spark, sf):
     rows = L.listing_rows(S.events(spark, sf), "props", "event_type")
-    return rows.orderBy(F.col("score").desc(), F.col("event_id")).limit(25).select("Date", "title", "score", "event_id")
+    return rows.orderBy(F.col("score").desc(), F.col("event_id")).select("Date", "title", "score", "event_id")
 
 
 # S11 / S12 -----------------------------------------------------------------------------------

@@ -21,10 +21,7 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
-    # wide lag matrices (hundreds of IsNotNull constraints over aliases) make
-    # constraint inference explode combinatorially; the filters it would
-    # add are not needed for these plans
-    "spark.sql.constraintPropagation.enabled": "false",
+    "spark.sql.constraintPropagation.enabled": "false",  # see RUNTIME_CONF
     # broadcast only what the planner has measured to be small
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
 }
@@ -43,6 +40,8 @@ def get_spark(app: str = "newsts", cpus: int | None = None,
         b = b.master(f"local[{n}]")
     conf = dict(DEFAULT_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or n)
+    # the test tables hold each text table in one row group, read by one task
+    conf["spark.newsts.text.tasks"] = str(n)
     conf["spark.driver.memory"] = os.environ.get("SPARK_DRIVER_MEMORY", "16g")
     conf.update(extra or {})
     for k, v in conf.items():
@@ -72,13 +71,15 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(key)
 
 
+# inferring constraints over wide lag designs (ADF orders, supervised matrices)
+# takes minutes of planning and adds no filter that these plans need
 RUNTIME_CONF = {"spark.sql.session.timeZone": "UTC", "spark.sql.constraintPropagation.enabled": "false"}
 
 
 def prepare(spark: SparkSession) -> str:
     """Settings every query relies on, applied to any session (also one
-    created by a caller): UTC session time, no constraint explosion on wide
-    plans, the shared checkpoint folder, the package on the executors."""
+    created by a caller): UTC session time, no inferred constraints, the shared
+    checkpoint folder, the package on the executors."""
     for k, v in RUNTIME_CONF.items():
         spark.conf.set(k, v)
     return ensure_checkpoint_dir(spark)
@@ -90,6 +91,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not d:
         d = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
     if not d:
+        if not spark.conf.get("spark.master", "local").startswith("local[") and spark.conf.get("spark.master", "local") != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="newsts-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)

@@ -101,10 +101,13 @@ def load_params(spark: SparkSession, path: str) -> DataFrame:
 
 
 def ledger_append(row_df: DataFrame, path: str, description: str = "") -> None:
-    """K8: result ledger: add time + description, fixed column order, append."""
-    out = row_df.withColumn("time", F.current_timestamp()).withColumn("descriptions", F.lit(description))
-    first = ["time", "descriptions"]
-    out.select(*first, *[c for c in row_df.columns if c not in first]).write.mode("append").parquet(path)
+    """K8: result ledger: time, descriptions, h, mae, rmse, mape, appended; a
+    row without one of them gets a null, other columns are not kept."""
+    have = {"time": F.current_timestamp(), "descriptions": F.lit(description)}
+    kinds = {"h": "int", "mae": "double", "rmse": "double", "mape": "double"}
+    for c, kind in kinds.items():
+        have[c] = (F.col(c) if c in row_df.columns else F.lit(None)).cast(kind)
+    row_df.select(*[e.alias(c) for c, e in have.items()]).write.mode("append").parquet(path)
 
 
 def write_terms(df: DataFrame, path: str, cols: Sequence[str] = ("term",), sep: str = " ") -> None:

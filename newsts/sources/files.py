@@ -34,12 +34,15 @@ def read_series(spark: SparkSession, path: str, name: str, ratio: float = 1.0, v
 
 def read_csv_after(spark: SparkSession, path: str, header_regex: str, schema: str, sep: str = ",") -> DataFrame:
     """S3: a CSV whose header is preceded by information lines: keep the
-    lines after the header (lines matching neither the header nor a data
-    row pattern are the preamble) and parse them with ``from_csv``."""
-    lines = spark.read.text(path)
-    data = lines.filter(~F.col("value").rlike(header_regex)).filter(F.col("value").rlike(r"^\d{4}-\d{2}-\d{2}" + sep))
-    parsed = data.select(F.from_csv("value", schema, {"sep": sep}).alias("r")).select("r.*")
-    return parsed
+    lines of each file after its header line, whatever they look like, and
+    parse them with ``from_csv``; blank lines are dropped."""
+    whole = spark.read.text(path, wholetext=True)
+    lines = whole.select(F.split("value", r"\r?\n").alias("l"))
+    # the first line that is the header; a file without one has no rows
+    at = F.coalesce(F.array_position(F.transform("l", lambda x: x.rlike(header_regex)), True), F.lit(0))
+    after = F.when(at > 0, F.slice("l", (at + 1).cast("int"), F.size("l"))).otherwise(F.array().cast("array<string>"))
+    data = lines.select(F.explode(after).alias("value")).filter(F.trim("value") != "")
+    return data.select(F.from_csv("value", schema, {"sep": sep}).alias("r")).select("r.*")
 
 
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
@@ -63,7 +66,7 @@ def read_word_vectors(spark: SparkSession, path: str, dim: int | None = None) ->
     if dim:
         parts = parts.filter(F.size("p") == dim + 1)
     return parts.select(F.col("p")[0].alias("word"),
-                        F.transform(F.slice("p", 2, 1 << 20), lambda x: x.cast("float")).alias("vector"))
+                        F.transform(F.slice("p", F.lit(2), F.size("p")), lambda x: x.cast("float")).alias("vector"))
 
 
 def read_doc_terms(spark: SparkSession, path: str, vocab_path: str | None = None) -> tuple[DataFrame, DataFrame | None]:
@@ -72,7 +75,7 @@ def read_doc_terms(spark: SparkSession, path: str, vocab_path: str | None = None
     vocabulary file."""
     p = spark.read.text(path).select(F.filter(F.split(F.trim("value"), r"\s+"), lambda x: x != "").alias("p"))
     docs = p.select(F.col("p")[0].cast("long").alias("doc_id"),
-                    F.transform(F.slice("p", 2, 1 << 20), lambda x: x.cast("long")).alias("ids"))
+                    F.transform(F.slice("p", F.lit(2), F.size("p")), lambda x: x.cast("long")).alias("ids"))
     vocab = None
     if vocab_path:
         v = spark.read.text(vocab_path).select(F.split(F.trim("value"), " ").alias("p"))

@@ -24,27 +24,20 @@ NEWS_EPOCH = "2024-01-01"
 # text tables: per-row work (tokenising, regexes, stemming) is heavy, so the
 # scan must feed every core
 TEXT_TABLES = ("documents", "pages", "conversations", "benchmark")
-# fixed value: below this estimated size a text scan is spread round-robin
-SPREAD_BELOW_BYTES = 1 << 30
+# session setting: tasks over which a text table's rows are dealt (a round-robin
+# shuffle of the text); unset or 0: as the files are split.  For text that is
+# stored in fewer row groups than there are cores
+TEXT_TASKS = "spark.newsts.text.tasks"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread_small(df) if name in TEXT_TABLES else df
-
-
-def spread_small(df: DataFrame) -> DataFrame:
-    """A small text table stored as one file / row group is read by a
-    single task; spread it over the cores with a (small) round-robin
-    shuffle.  Large inputs already arrive in many splits and are left as
-    they are (no extra shuffle of the big table)."""
-    try:
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # noqa: BLE001 - statistics unavailable: leave as is
-        return df
-    if size >= SPREAD_BELOW_BYTES:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    return spread(df, int(spark.conf.get(TEXT_TASKS, "0"))) if name in TEXT_TABLES else df
+
+
+def spread(df: DataFrame, tasks: int) -> DataFrame:
+    """The rows dealt over ``tasks`` tasks; 0 leaves them as they are."""
+    return df.repartition(tasks) if tasks else df
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,6 +23,7 @@ import uuid
 from collections.abc import Sequence
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -81,7 +82,8 @@ def run_to_table(df: DataFrame, name: str, mode: str = "append") -> str:
 
 def stream_publish(df: DataFrame, target: str, key: str = "Date", name: str = "publish") -> str:
     """Every micro-batch appends only rows whose key the target does
-    not hold yet (K6's anti-join), so replays never duplicate a point."""
+    not hold yet (K6's anti-join), one row per key, so replays never
+    duplicate a point.  Only a missing target counts as empty."""
     spark = df.sparkSession
     d = work_dir(spark, name)
 
@@ -91,13 +93,16 @@ def stream_publish(df: DataFrame, target: str, key: str = "Date", name: str = "p
         if bounds["lo"] is None:
             batch.unpersist()
             return
+        new = batch.dropDuplicates([key])
         try:
+            there = batch.sparkSession.read.schema(batch.schema).parquet(target)
+        except AnalysisException as ex:
+            if ex.getCondition() != "PATH_NOT_FOUND":
+                raise
+        else:
             # only the batch's key range of the target is read (pushed filter)
-            have = (batch.sparkSession.read.parquet(target)
-                    .filter(F.col(key).between(F.lit(bounds["lo"]), F.lit(bounds["hi"]))).select(key).distinct())
-            new = batch.join(have, on=key, how="left_anti")
-        except Exception:  # noqa: BLE001 - the target does not exist yet
-            new = batch
+            have = there.filter(F.col(key).between(F.lit(bounds["lo"]), F.lit(bounds["hi"]))).select(key).distinct()
+            new = new.join(have, on=key, how="left_anti")
         new.write.mode("append").parquet(target)
         batch.unpersist()
 
