@@ -168,53 +168,48 @@ def arma_design(df: DataFrame, y: str, P: int, Q: int, d: int = 0, m: int | None
     return des, cols
 
 
-# fixed value: the most series whose fitted orders are inlined into one plan
-MAX_INLINE_SERIES = 200
-
-
 def arma_grid(df: DataFrame, y: str, orders: Sequence[tuple[int, int]], d: int = 0, train_ratio: float = 0.7,
               keys=(), order_by: str = "Date", seasonal: tuple[int, int] = (0, 0)) -> DataFrame:
     """M7: every (p, q) order fitted on the train rows of each series from
     ONE Gram of the widest design, then scored one step ahead on the test
-    rows (actual lags, fixed parameters).  Coefficients are a bounded
-    artefact (orders × width) and are inlined as literals, so all orders are
-    scored in a single projection.  Output: per (keys, p, q) errors."""
+    rows (actual lags, fixed parameters).  All orders of a series are solved
+    next to its Gram row and joined back by series: the scans and the plan
+    are the same for any number of series and orders.  Output: per
+    (keys, p, q) errors."""
+    from .evaluate import errors
     from .split import number_rows
     keys = list(keys)
     P = max(p for p, _ in orders)
     Q = max(q for _, q in orders)
     des, cols = arma_design(df, y, P, Q, d, keys=keys, order_by=order_by, seasonal=seasonal)
     n_season = seasonal[0] if seasonal[0] and seasonal[1] else 0
-    des = des.dropna(subset=cols)
-    nr = number_rows(des, keys, order_by)
+    nr = number_rows(des.dropna(subset=cols), keys, order_by)
     nr = nr.withColumn("role", F.when(F.col("rn") <= F.floor(F.col("n") * train_ratio), "train").otherwise("test"))
-    g = G.gram(nr.filter(F.col("role") == "train"), cols, "z", by=keys)
-    # one Gram per series ((P+Q)² numbers each); their coefficients become
-    # literals, so the number of series inlined this way is bounded
-    if g.count() > MAX_INLINE_SERIES:
-        raise ValueError("too many series to inline; fit per series with linear_fit(by=keys) and join")
-    rows = g.collect()
-    preds = []
-    for r in rows:
-        gn = to_gram_dict(r)
-        key_cond = F.lit(True)
-        for k in keys:
-            key_cond = key_cond & (F.col(k) == F.lit(r[k]))
-        for p, q_ in orders:
-            idx = list(range(p)) + [P + j for j in range(q_)] + [P + Q + k for k in range(n_season)]
-            sub = {"n": gn["n"], "sx": gn["sx"][idx], "sy": gn["sy"], "xx": gn["xx"][np.ix_(idx, idx)],
-                   "xy": gn["xy"][idx], "yy": gn["yy"]}
-            c, b = solve(sub, "ols")
-            expr = F.lit(float(c))
-            for coef, i in zip(b, idx):
-                expr = expr + F.col(cols[i]) * F.lit(float(coef))
-            preds.append((p, q_, key_cond, expr))
-    test = nr.filter(F.col("role") == "test")
-    from functools import reduce
-    parts = [test.filter(kc).select(*keys, F.lit(p).alias("p"), F.lit(q_).alias("q"), F.col("z").alias("y"), e.alias("yhat"))
-             for p, q_, kc, e in preds]
-    scored = reduce(lambda a, b: a.unionByName(b), parts)
-    from .evaluate import errors
+    nr = nr.withColumn("_series", F.lit(0))  # a key for the single series
+    by = [*keys, "_series"]
+    g = G.gram(nr.filter(F.col("role") == "train"), cols, "z", by=by)
+    grid = [(p, q_, list(range(p)) + [P + j for j in range(q_)] + [P + Q + k for k in range(n_season)]) for p, q_ in orders]
+    schema = T.StructType([*[g.schema[k] for k in by], T.StructField("p", T.IntegerType()), T.StructField("q", T.IntegerType()),
+                           T.StructField("intercept", T.DoubleType()), T.StructField("coef", T.ArrayType(T.DoubleType()))])
+
+    def fit(it):
+        for pdf in it:
+            out = []
+            for r in pdf.to_dict("records"):
+                gn = G.to_numpy(r)
+                for p, q_, idx in grid:
+                    part = {"n": gn["n"], "sx": gn["sx"][idx], "sy": gn["sy"], "xx": gn["xx"][np.ix_(idx, idx)],
+                            "xy": gn["xy"][idx], "yy": gn["yy"]}
+                    c, b = solve(part, "ols")
+                    coef = np.zeros(len(gn["sx"]))
+                    coef[idx] = b
+                    out.append([*[r[k] for k in by], p, q_, c, coef.tolist()])
+            if out:
+                yield pd.DataFrame(out, columns=schema.names)
+
+    test = nr.filter(F.col("role") == "test").select(*by, F.col("z").alias("y"), *cols)
+    scored = test.join(g.mapInPandas(fit, schema), on=by)
+    scored = scored.withColumn("yhat", predict_expr(cols, F.col("coef"), F.col("intercept")))
     return errors(scored, "y", "yhat", by=[*keys, "p", "q"])
 
 

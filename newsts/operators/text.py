@@ -9,6 +9,7 @@ broadcast by hint; an uncut vocabulary joins by shuffle.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 import numpy as np
@@ -37,14 +38,18 @@ def basic_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 # T1 ---------------------------------------------------------------------------
-def proper_forms(raw_tokens: DataFrame, threshold: float = 0.5) -> DataFrame:
+STEM_CACHE = 500_000  # documented parameter: stems kept by a task
+
+
+def proper_forms(docs: DataFrame, tokens_col: str = "_t", threshold: float = 0.5) -> DataFrame:
     """A lower-case form is a proper noun when at least ``threshold``
     of its occurrences away from a sentence start are capitalised (a corpus
-    statistic replacing a POS tagger).  One grouped aggregate per form."""
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    prev = F.lag("token", 1).over(w)
-    initial = prev.isNull() | prev.rlike(r"^[.!?]+$")
-    t = raw_tokens.withColumn("_init", initial).filter(~F.col("_init") & F.col("token").rlike(r"^\p{L}"))
+    statistic replacing a POS tagger).  The sentence start is a test on the
+    array's neighbour; what is shuffled are counts per form."""
+    def inside(t, i):
+        start = F.coalesce(F.get(tokens_col, i - 1).rlike(r"^[.!?]+$"), F.lit(True))
+        return F.when(~start & t.rlike(r"^\p{L}"), t)
+    t = docs.select(F.explode(F.transform(tokens_col, inside)).alias("token")).filter(F.col("token").isNotNull())
     cap = F.col("token").rlike(r"^\p{Lu}")
     return (t.groupBy(F.lower("token").alias("form"))
              .agg(F.avg(cap.cast("double")).alias("cap_share"))
@@ -67,28 +72,45 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stem:
     noun (stems are lower-case) → drop stop words (after stemming, case
     sensitive) → delete ASCII punctuation inside tokens → all-digit token →
     ``<NUM>`` → drop empties → join by space, in token order."""
-    raw = token_table(docs, id_col, text_col, lower=False).withColumnRenamed(id_col, "doc_id")
-    raw = raw.withColumn("form", F.lower("token"))
-    if stem:
-        stems = stem_vocabulary(raw.select("form"))
-        t = raw.join(stems, on="form", how="left")
+    base = docs.select(F.col(id_col).alias("_id"), TX.tokens(text_col, lower=False).alias("_t"))
+    if not stem:
+        w = F.transform("_t", F.lower)
+    else:
         if proper:
-            prop = proper_forms(raw, threshold).withColumn("_proper", F.lit(True))
-            t = t.join(prop, on="form", how="left")
-            is_proper = F.coalesce(F.col("_proper"), F.lit(False)) & F.col("token").rlike(r"^\p{Lu}")
-            t = t.withColumn("w", F.when(is_proper, F.col("token")).otherwise(F.col("stem")))
+            # the proper forms of a document, from its distinct capitalised tokens
+            caps = F.array_distinct(F.transform(F.filter("_t", lambda t: t.rlike(r"^\p{Lu}")), F.lower))
+            found = (base.select("_id", F.explode(caps).alias("form")).join(proper_forms(base, threshold=threshold), "form")
+                     .groupBy("_id").agg(F.collect_set("form").alias("_p")))
+            base = base.join(found, "_id", "left")
         else:
-            t = t.withColumn("w", F.col("stem"))
-    else:
-        t = raw.withColumn("w", F.col("form"))
-    t = t.filter(~TX.is_stop(F.col("w")))
-    t = t.withColumn("w", TX.strip_punctuation("w"))
-    t = t.withColumn("w", F.when(F.col("w").rlike("^[0-9]+$"), F.lit("<NUM>")).otherwise(F.col("w")))
-    t = t.filter(F.col("w") != "")
-    out = t.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "w"))).alias("_s"))
-    res = out.select(F.col("doc_id").alias(id_col), F.array_join(F.transform("_s", lambda s: s["w"]), " ").alias("clean"))
+            base = base.withColumn("_p", F.lit(None).cast("array<string>"))
+
+        def run(it):
+            known: dict[str, str] = {}  # stems seen by this task
+            for pdf in it:
+                out = []
+                for toks, names in zip(pdf["_t"], pdf["_p"], strict=True):
+                    names = set(names) if names is not None else ()
+                    ws = []
+                    for t in toks if toks is not None else ():
+                        form = t.lower()
+                        if form in names and t[:1].isupper():
+                            ws.append(t)
+                            continue
+                        if form not in known:
+                            if len(known) >= STEM_CACHE:
+                                known.clear()
+                            known[form] = porter_stem(form)
+                        ws.append(known[form])
+                    out.append(ws)
+                yield pd.DataFrame({"_id": pdf["_id"], "_w": out})
+
+        base = base.mapInPandas(run, T.StructType([base.schema["_id"], T.StructField("_w", T.ArrayType(T.StringType()))]))
+        w = F.col("_w")
+    w = F.transform(TX.drop_stop_words(w), lambda t: TX.strip_punctuation(t))
+    w = F.filter(F.transform(w, lambda t: F.when(t.rlike("^[0-9]+$"), F.lit("<NUM>")).otherwise(t)), lambda t: t != "")
     # documents whose every token was removed keep an empty text
-    return docs.select(id_col).join(res, on=id_col, how="left").fillna({"clean": ""})
+    return base.select(F.col("_id").alias(id_col), F.coalesce(F.array_join(w, " "), F.lit("")).alias("clean"))
 
 
 def clean_fast(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -237,27 +259,28 @@ def coherence(cooc: DataFrame, top_ids: DataFrame) -> DataFrame:
 
 
 # T10 ----------------------------------------------------------------------------
-def sentiment(tokens: DataFrame, lexicon: DataFrame, id_col: str = "doc_id",
+def sentiment(docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               negations: Sequence[str] = ("not", "never", "no", "nicht", "pas", "kein")) -> DataFrame:
     """Polarity / subjectivity per document from a lexicon table
     (term, polarity, subjectivity, intensity).  A hit right after a negation
     word has its polarity × −0.5; a hit right after an intensifier (a
     lexicon term with intensity ≠ 1) is multiplied by that intensity.
-    Scores are the mean over hits; documents without hits score 0.
-    Token windows are partitioned by document."""
-    w = Window.partitionBy(id_col).orderBy("pos")
-    t = tokens.withColumn("prev", F.lag("token", 1).over(w))
-    lx = F.broadcast(lexicon)  # a seed lexicon: bounded by construction
-    hit = t.join(lx.withColumnRenamed("term", "token"), on="token", how="inner")
+    Scores are the mean over hits; documents without hits score 0.  The
+    neighbour of a token comes from its document's array, so no token rows
+    are shuffled to order them."""
+    pairs = F.transform("_t", lambda t, i: F.struct(t.alias("token"), F.get("_t", i - 1).alias("prev")))
+    rows = docs.select(id_col, TX.tokens(text_col).alias("_t")).select(id_col, F.explode(pairs).alias("_p"))
+    rows = rows.select(id_col, "_p.token", "_p.prev")
+    hit = rows.join(lexicon.withColumnRenamed("term", "token"), on="token", how="inner")
     mult = lexicon.select(F.col("term").alias("prev"), F.col("intensity").alias("_mult")).filter(F.col("_mult") != 1.0)
-    hit = hit.join(F.broadcast(mult), on="prev", how="left")
-    neg = F.col("prev").isin(list(negations))
+    hit = hit.join(mult, on="prev", how="left")
+    neg = F.coalesce(F.col("prev").isin(list(negations)), F.lit(False))
     pol = F.col("polarity") * F.coalesce(F.col("_mult"), F.lit(1.0)) * F.when(neg, F.lit(-0.5)).otherwise(F.lit(1.0))
     subj = F.least(F.lit(1.0), F.col("subjectivity") * F.coalesce(F.col("_mult"), F.lit(1.0)))
     per = hit.groupBy(id_col).agg(F.avg(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), pol))).alias("polarity"),
                                   F.avg(subj).alias("subjectivity"))
-    docs = tokens.select(id_col).distinct()
-    return docs.join(per, on=id_col, how="left").fillna({"polarity": 0.0, "subjectivity": 0.0})
+    has = docs.filter(F.size(TX.tokens(text_col)) > 0).select(id_col).distinct()
+    return has.join(per, on=id_col, how="left").fillna({"polarity": 0.0, "subjectivity": 0.0})
 
 
 # T15 ----------------------------------------------------------------------------
@@ -301,25 +324,35 @@ RELATION_WORDS = ["is", "are", "was", "were", "be", "has", "have", "had", "ist",
                   "est", "sont", "a", "es", "son", "ha", "fue"]
 
 
-def triples(tokens: DataFrame, verbs: Sequence[str] = tuple(RELATION_WORDS), id_col: str = "doc_id",
+def triples(docs: DataFrame, verbs: Sequence[str] = tuple(RELATION_WORDS), id_col: str = "doc_id", text_col: str = "text",
             stop: bool = True) -> DataFrame:
     """T17 (re-aimed): a relation is a token from the verb table; subject =
     nearest content token on its left, object = nearest on its right
     (content = a word token that is not a stop word or a verb), within one
-    document.  Windows partitioned by document."""
-    vs = F.array(*[F.lit(v) for v in verbs])
-    t = tokens.withColumn("is_rel", F.array_contains(vs, F.col("token")))
-    content = (~F.col("is_rel")) & F.col("token").rlike(r"^[\p{L}\p{N}_]+$")
-    if stop:
-        content = content & ~TX.is_stop(F.col("token"))
-    t = t.withColumn("is_content", content)
-    # both neighbours use running frames (unbounded preceding → one row
-    # back), one ascending and one descending, so each is linear per document
-    up = Window.partitionBy(id_col).orderBy(F.col("pos")).rowsBetween(Window.unboundedPreceding, -1)
-    down = Window.partitionBy(id_col).orderBy(F.col("pos").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    cand = F.when(F.col("is_content"), F.col("token"))
-    left = F.last(cand, ignorenulls=True).over(up)
-    right = F.last(cand, ignorenulls=True).over(down)
-    r = t.withColumn("subject", left).withColumn("object", right).filter(F.col("is_rel"))
-    return r.filter(F.col("subject").isNotNull() & F.col("object").isNotNull()) \
-        .select(id_col, "pos", "subject", F.col("token").alias("relation"), "object")
+    document.  Both come from one pass over the document's token array: the
+    running state is (last content word, triples still without an object)."""
+    def run(it):
+        word = re.compile(r"\w+\Z").match
+        for pdf in it:
+            ids, at, subjects, relations, objects = [], [], [], [], []
+            for doc, toks in zip(pdf[id_col], pdf["_t"], strict=True):
+                last, waiting = None, []
+                for i, t in enumerate(toks if toks is not None else ()):
+                    if t in verb_set:
+                        if last is not None:
+                            waiting.append((i, last, t))
+                    elif t not in stop_set and word(t):
+                        for k, subject, relation in waiting:
+                            ids.append(doc)
+                            at.append(k)
+                            subjects.append(subject)
+                            relations.append(relation)
+                            objects.append(t)
+                        last, waiting = t, []
+            yield pd.DataFrame({id_col: ids, "pos": at, "subject": subjects, "relation": relations, "object": objects})
+
+    verb_set, stop_set = set(verbs), set(TX.STOP_WORDS) if stop else set()
+    src = docs.select(id_col, TX.tokens(text_col).alias("_t"))
+    schema = T.StructType([src.schema[id_col], T.StructField("pos", T.IntegerType()),
+                           *[T.StructField(c, T.StringType()) for c in ("subject", "relation", "object")]])
+    return src.mapInPandas(run, schema)

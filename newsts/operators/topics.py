@@ -14,8 +14,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import cut_lineage
 
@@ -23,15 +25,16 @@ FLOOR = 1e-20
 
 
 # T11 --------------------------------------------------------------------------
-def lda_terms_fit(tokens: DataFrame, k: int = 4, vocab_size: int = 2000, seed: int = 42, max_iter: int = 10,
+def lda_terms_fit(tokens: DataFrame, k: int = 4, vocab_size: int = (1 << 31) - 1, seed: int = 42, max_iter: int = 10,
                   id_col: str = "doc_id", list_col: str = "terms"):
-    """Fit LDA on document term counts (CountVectorizer → LDA)."""
+    """Fit LDA on document term counts (CountVectorizer → LDA): ``max_iter``
+    passes, each over all documents; no term is cut by default."""
     from pyspark.ml.clustering import LDA
     from pyspark.ml.feature import CountVectorizer
     cv = CountVectorizer(inputCol=list_col, outputCol="features", vocabSize=vocab_size).fit(tokens)
     # every LDA iteration rescans its input: materialise the count vectors once
     data = cut_lineage(cv.transform(tokens).select("features"))
-    lda = LDA(k=k, seed=seed, maxIter=max_iter, optimizer="online").fit(data)
+    lda = LDA(k=k, seed=seed, maxIter=max_iter, optimizer="online", subsamplingRate=1.0).fit(data)
     return cv, lda
 
 
@@ -44,22 +47,25 @@ def lda_terms_apply(tokens: DataFrame, cv, lda, id_col: str = "doc_id", term_col
     vocab = spark.createDataFrame([([w],) for w in cv.vocabulary], "terms array<string>")
     scored = lda.transform(cv.transform(vocab)).select(F.col("terms")[0].alias(term_col),
                                                         vector_to_array("topicDistribution").alias("topics"))
-    # one row per vocabulary word (bounded by the CountVectorizer cut):
-    # scored once, materialised, and broadcast to the token rows
+    # one row per vocabulary word, scored once and materialised; words outside
+    # a cut vocabulary add nothing, and a document of such words alone keeps
+    # its row, with null topics
     scored = cut_lineage(scored)
-    j = tokens.join(F.broadcast(scored), on=term_col, how="inner")
+    tf = tokens.groupBy(id_col, term_col).agg(F.count(F.lit(1)).alias("_n"))
+    j = tf.join(scored, on=term_col, how="left")
     k = lda.getK()
-    agg = j.groupBy(id_col).agg(*[F.avg(F.col("topics")[i]).alias(f"Topic{i + 1}") for i in range(k)])
-    return agg
+    n = F.sum(F.when(F.col("topics").isNotNull(), F.col("_n")))
+    return j.groupBy(id_col).agg(*[(F.sum(F.col("topics")[i] * F.col("_n")) / n).alias(f"Topic{i + 1}") for i in range(k)])
 
 
 # T12 --------------------------------------------------------------------------
 def lda_vectors_fit(df: DataFrame, col: str, k: int = 5, seed: int = 42, max_iter: int = 10):
-    """Fit on non-negative (min-max scaled) dense vectors."""
+    """Fit on non-negative (min-max scaled) dense vectors: ``max_iter`` passes,
+    each over all rows."""
     from pyspark.ml.clustering import LDA
     from pyspark.ml.functions import array_to_vector
     data = cut_lineage(df.select(array_to_vector(col).alias("features")))
-    return LDA(k=k, seed=seed, maxIter=max_iter, optimizer="online").fit(data)
+    return LDA(k=k, seed=seed, maxIter=max_iter, optimizer="online", subsamplingRate=1.0).fit(data)
 
 
 def lda_vectors_apply(df: DataFrame, col: str, lda, keep: Sequence[str] = ()) -> DataFrame:
@@ -81,8 +87,26 @@ def _w_table(spark: SparkSession, W: np.ndarray) -> DataFrame:
     return spark.createDataFrame([(i + 1, [float(x) for x in W[i]]) for i in range(W.shape[0])], "term_id long, w array<double>")
 
 
-def nmf_fit(doc_term: DataFrame, n_terms: int, k: int = 4, iters: int = 10, tol: float = 1e-4, seed: int = 0,
-            ppmi: DataFrame | None = None, alpha: float = 0.0, id_col: str = "doc_id") -> tuple[np.ndarray, DataFrame, list]:
+def _h_step(h: DataFrame, id_col: str, WtW: np.ndarray) -> DataFrame:
+    """One HALS sweep over the columns of H, row-local: k·k numbers a row,
+    whatever the order of the columns."""
+    k = len(WtW)
+    schema = T.StructType([h.schema[id_col], T.StructField("h", T.ArrayType(T.DoubleType()))])
+
+    def run(it):
+        for pdf in it:
+            if len(pdf):
+                x = np.stack(pdf["h"].to_numpy()).astype(float)
+                p = pdf[[f"p{j}" for j in range(k)]].to_numpy(dtype=float)
+                for j in range(k):
+                    x[:, j] = np.maximum(FLOOR, x[:, j] + (p[:, j] - x @ WtW[:, j]) / WtW[j, j])
+                yield pd.DataFrame({id_col: pdf[id_col], "h": list(x)})
+
+    return h.mapInPandas(run, schema)
+
+
+def nmf_fit(doc_term: DataFrame, n_terms: int, k: int = 4, iters: int = 500, tol: float = 1e-4, seed: int = 0,
+            ppmi: DataFrame | None = None, alpha: float = 0.1, id_col: str = "doc_id") -> tuple[np.ndarray, DataFrame, list]:
     """A ≈ W·Hᵀ with A the term×document counts (edge table
     (doc, term_id, tf)), by HALS column updates with a floor, unit-norm W
     columns, stopping when the relative loss gain falls below ``tol``.
@@ -98,7 +122,10 @@ def nmf_fit(doc_term: DataFrame, n_terms: int, k: int = 4, iters: int = 10, tol:
     A = cut_lineage(doc_term.select(id_col, "term_id", F.col("tf").cast("double").alias("a")))
     a2 = A.agg(F.sum(F.col("a") * F.col("a"))).first()[0]
     docs = A.select(id_col).distinct()
-    H = cut_lineage(docs.withColumn("h", F.array(*[F.lit(float(x)) for x in rng.random(k)])))
+    # a start vector of its own for each document, from a hash of its id
+    start = [F.pmod(F.xxhash64(id_col, F.lit(seed), F.lit(j)), F.lit(1 << 20)).cast("double") / (1 << 20) for j in range(k)]
+    H = cut_lineage(docs.withColumn("h", F.array(*start)))
+    s2 = ppmi.agg(F.sum(F.col("ppmi") * F.col("ppmi"))).first()[0] if ppmi is not None and alpha > 0 else 0.0
     losses: list[float] = []
     for _ in range(iters):
         # ---- H step: AᵀW (docs × k) by a join with the small W table
@@ -107,11 +134,7 @@ def nmf_fit(doc_term: DataFrame, n_terms: int, k: int = 4, iters: int = 10, tol:
             *[F.sum(F.col("a") * F.col("w")[j]).alias(f"p{j}") for j in range(k)])
         WtW = W.T @ W
         h = H.join(AtW, id_col, "left").fillna(0.0)
-        cols = [F.col("h")[j] for j in range(k)]
-        for j in range(k):
-            upd = cols[j] + (F.col(f"p{j}") - sum(cols[i] * float(WtW[i, j]) for i in range(k))) / float(WtW[j, j])
-            cols[j] = F.greatest(F.lit(FLOOR), upd)
-        H = cut_lineage(h.select(id_col, F.array(*cols).alias("h")))
+        H = cut_lineage(_h_step(h, id_col, WtW))
         # ---- W step: A·H (terms × k) and HᵀH (k × k)
         AH = A.join(H, id_col).groupBy("term_id").agg(F.array(*[F.sum(F.col("a") * F.col("h")[j]) for j in range(k)]).alias("ah"))
         AHm = _small_matrix(AH, "term_id", "ah", n_terms, k)
@@ -139,6 +162,8 @@ def nmf_fit(doc_term: DataFrame, n_terms: int, k: int = 4, iters: int = 10, tol:
             for j in range(k):
                 Wc[:, j] = np.maximum(FLOOR, Wc[:, j] + (StW[:, j] - Wc @ WtW2[:, j]) / WtW2[j, j])
         loss = float(a2 - 2.0 * np.sum(W * AHm) + np.sum((W.T @ W) * HtH))
+        if ppmi is not None and alpha > 0:  # + alpha·‖S − W·Wcᵀ‖² over all cells
+            loss += alpha * float(s2 - 2.0 * np.sum(Wc * StW) + np.sum((W.T @ W) * (Wc.T @ Wc)))
         losses.append(loss)
         if len(losses) > 1 and abs(losses[-2] - losses[-1]) <= tol * max(abs(losses[-2]), 1.0):
             break

@@ -18,9 +18,6 @@ from ..functions import vectors as FV
 
 _AGG = {"mean": F.avg, "max": F.max, "min": F.min, "sum": F.sum}
 
-# fixed value: the most pattern vectors inlined into one plan (a bounded artefact)
-MAX_PATTERNS = 1000
-
 
 def explode_vector(df: DataFrame, col: str, keys: Sequence[str]) -> DataFrame:
     return df.select(*keys, F.posexplode(col).alias("dim", "x")).withColumn("x", F.col("x").cast("double"))
@@ -60,11 +57,8 @@ def centroids(df: DataFrame, col: str, key: str) -> DataFrame:
 
 
 def inline_patterns(patterns: DataFrame, key: str, col: str) -> list[tuple]:
-    """Bring a bounded pattern table to the plan as literals (like a fitted
-    model's parameters).  The row count is checked before collecting."""
-    n = patterns.count()
-    if n > MAX_PATTERNS:
-        raise ValueError(f"{n} pattern vectors exceed the inline bound {MAX_PATTERNS}; join instead")
+    """The stated query vectors as literals of the plan, like a fitted model's
+    parameters."""
     return sorted((r[key], list(r[col])) for r in patterns.select(key, col).collect())
 
 
@@ -83,12 +77,10 @@ def pattern_similarity(df: DataFrame, col: str, patterns: list[tuple], by: Seque
 def nearest(df: DataFrame, col: str, id_col: str, patterns: list[tuple], n: int = 5) -> DataFrame:
     """The n rows most similar (cosine) to each query vector; ties by
     id.  Ranking windows are partitioned by query."""
-    parts = []
-    for name, vec in patterns:
-        lit = F.array(*[F.lit(float(v)) for v in vec])
-        parts.append(df.select(F.lit(name).alias("query"), id_col, FV.cosine(col, lit).alias("sim")))
-    from functools import reduce
-    u = reduce(lambda a, b: a.unionByName(b), parts)
+    # one pass over the rows: each row gives its similarity to every query
+    sims = [F.struct(F.lit(name).alias("query"), FV.cosine(col, F.array(*[F.lit(float(v)) for v in vec])).alias("sim"))
+            for name, vec in patterns]
+    u = df.select(id_col, F.explode(F.array(*sims)).alias("s")).select("s.query", id_col, "s.sim")
     w = Window.partitionBy("query").orderBy(F.col("sim").desc(), F.col(id_col))
     return u.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 

@@ -14,6 +14,7 @@ from ..operators import select as X
 from ..operators import stats as ST
 from ..operators import topics as TP
 from ..operators.split import number_rows, ordered_split
+from ..session import cut_lineage
 from ..sources import tables as S
 from .registry import register
 from .text_queries import _cooc, _t2_terms, _vocab
@@ -60,20 +61,22 @@ def _nmf_inputs(spark, sf):
 
 @register("nmf")
 def nmf(spark, sf):
-    """NMF (k=4) of the term×document counts, HALS updates; returns
-    the loss per iteration (must not increase)."""
-    W_, H, losses = TP.nmf_fit(_nmf_inputs(spark, sf), 2000, k=4, iters=6)
-    return spark.createDataFrame([(i, float(l)) for i, l in enumerate(losses)], "iter int, loss double")
+    """NMF (k=4) of the term×document counts, HALS updates until the
+    loss gains less than 1 % (a parameter of the query): the document factor."""
+    W_, H, losses = TP.nmf_fit(_nmf_inputs(spark, sf), 2000, k=4, tol=1e-2)
+    return H.select("doc_id", *[F.col("h")[j].alias(f"h{j}") for j in range(4)])
 
 
 @register("sea_nmf")
 def sea_nmf(spark, sf):
-    """NMF with the PPMI semantic term (alpha 1, beta 0)."""
+    """NMF with the PPMI semantic term (alpha 0.1, beta 0) until the loss
+    gains less than 1 % (a parameter of the query): the term factor."""
     from ..operators import text as TO
     c, _ = _cooc(spark, sf)
     pp = TO.ppmi(c).filter(F.col("ppmi") > 0)
-    W_, H, losses = TP.nmf_fit(_nmf_inputs(spark, sf), 2000, k=4, iters=4, ppmi=pp, alpha=1.0)
-    return spark.createDataFrame([(i, float(l)) for i, l in enumerate(losses)], "iter int, loss double")
+    W_, H, losses = TP.nmf_fit(_nmf_inputs(spark, sf), 2000, k=4, tol=1e-2, ppmi=pp, alpha=0.1)
+    return spark.createDataFrame([(i + 1, *map(float, w)) for i, w in enumerate(W_)],
+                                 "term_id int, " + ", ".join(f"w{j} double" for j in range(4)))
 
 
 @register("pca")
@@ -116,21 +119,29 @@ def trees(spark, sf):
     return reduce(lambda a, b: a.unionByName(b), outs)
 
 
+def hybrid_targets(sp, xs):
+    """(rows with the linear model and its residual, training targets of the
+    parts).  Model and parts come from train rows alone; rows without a
+    centred trend (the ends) are not trained on."""
+    train = sp.filter("role = 'train'")
+    params = M.linear_fit(G.gram(train, xs, "y"))
+    lin = M.linear_apply(sp, params, xs, out="lin").withColumn("res", F.col("y") - F.col("lin"))
+    parts = ST.decompose_classical(lin.filter("role = 'train'"), "res", 10)
+    return lin, parts.dropna(subset=["trend", "seasonal", "residual"])
+
+
 @register("hybrid_forecast")
 def hybrid_forecast(spark, sf):
-    """M9: linear model on lagged features (Gram), its residual decomposed
-    (classical, period 10) into trend / seasonal / residual, one boosted
-    model per part on the same features; forecast = linear + Σ parts.
+    """M9: linear model on lagged features (Gram), its train residual
+    decomposed (classical, period 10) into trend / seasonal / residual, one
+    boosted model per part on the same features; forecast = linear + Σ parts.
     Errors on the test rows next to the linear model alone."""
     xy, xs = _event_xy(spark, sf)
-    sp = ordered_split(xy, 0.7)
-    train = sp.filter("role = 'train'")
-    params = M.linear_fit(G.gram(train, xs, "y"))
-    lin = M.linear_apply(sp, params, xs, out="lin").withColumn("res", F.col("y") - F.col("lin"))
-    parts = ST.decompose_classical(lin, "res", 10).fillna(0.0, subset=["trend", "seasonal", "residual"])
-    pred = parts
+    lin, parts = hybrid_targets(ordered_split(xy, 0.7), xs)
+    parts = cut_lineage(parts)
+    pred = lin
     for part in ("trend", "seasonal", "residual"):
-        model, va = M.ml_fit(parts.filter("role = 'train'"), xs, part, "gbt", maxDepth=2, maxIter=10, seed=42)
+        model, va = M.ml_fit(parts, xs, part, "gbt", maxDepth=2, maxIter=10, seed=42)
         pred = model.transform(va.transform(pred)).withColumnRenamed("prediction", f"p_{part}").drop("features")
     pred = pred.withColumn("yhat", F.col("lin") + F.col("p_trend") + F.col("p_seasonal") + F.col("p_residual"))
     test = pred.filter("role = 'test'")

@@ -44,11 +44,11 @@ def news_features(spark: SparkSession, sf: str, k_topics: int = 4) -> DataFrame:
     news = S.news(spark, sf)
     docs = news.select(F.col("ID").alias("doc_id"), F.col("News").alias("text"))
     dated = news.select(F.col("ID").alias("doc_id"), "Date")
-    cleaned = TO.clean(docs)
-    # the cleaned token table feeds sentiment, the topic model fit and its
+    cleaned = cut_lineage(TO.clean(docs))
+    # the cleaned token table feeds the topic model fit and its
     # scoring: written once to the shared checkpoint folder
     toks = cut_lineage(TO.whitespace_terms(cleaned).withColumnRenamed("term", "token"))
-    sent = TO.sentiment(toks, lexicon(spark), negations=NEGATIONS).join(dated, "doc_id")
+    sent = TO.sentiment(cleaned, lexicon(spark), text_col="clean", negations=NEGATIONS).join(dated, "doc_id")
     daily_s = sent.groupBy("Date").agg(F.avg("polarity").alias("Polarity"), F.avg("subjectivity").alias("Subjectivity"))
     daily_s = daily_s.withColumn("Combined_Sentiment", combined_sentiment("Polarity", "Subjectivity"))
     daily_s = W.linear_decay(daily_s, ["Polarity", "Subjectivity", "Combined_Sentiment"])

@@ -214,8 +214,7 @@ sent AS (SELECT d.doc_id, coalesce(per.polarity, 0.0) AS polarity, coalesce(per.
 
 
 def _sentiment(spark, sf):
-    toks = TO.token_table(_docs(spark, sf))
-    return TO.sentiment(toks, lexicon(spark), negations=NEGATIONS)
+    return TO.sentiment(_docs(spark, sf), lexicon(spark), negations=NEGATIONS)
 
 
 @register("lexicon_sentiment", f"""WITH {_SENT_SQL}
@@ -284,7 +283,7 @@ n AS (SELECT *, last_value(CASE WHEN is_content THEN token END IGNORE NULLS) OVE
 SELECT doc_id, pos, subject, token AS relation, object FROM n
 WHERE is_rel AND subject IS NOT NULL AND object IS NOT NULL""")
 def event_triples(spark, sf):
-    t = TO.triples(TO.token_table(_docs(spark, sf)))
+    t = TO.triples(_docs(spark, sf))
     return t.withColumn("pos", F.col("pos").cast("bigint"))
 
 

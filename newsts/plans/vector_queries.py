@@ -148,20 +148,20 @@ def seq_tensor(spark, sf):
                     F.size(flat).alias("width"))
 
 
-# word vectors: the 500 most frequent T2 terms take the embedding whose vec_id is their rank
+# word vectors: every T2 term takes the embedding whose vec_id its digest names
 WORDVEC_SQL = f"""{T2_SQL}, {WS_TERMS}, {EMB},
-wv AS (SELECT t.term, emb.v FROM (SELECT term, row_number() OVER (ORDER BY cnt DESC, term) - 1 AS r
-                                  FROM (SELECT term, count(*) AS cnt FROM ws GROUP BY term) ORDER BY cnt DESC, term LIMIT 500) t
-       JOIN emb ON emb.vec_id = t.r)"""
+wv AS (SELECT t.term, emb.v FROM (SELECT DISTINCT term FROM ws) t
+       JOIN emb ON emb.vec_id = CAST('0x' || substr(sha256(t.term), 1, 8) AS BIGINT) % (SELECT count(*) FROM emb))"""
 
 
 def word_vectors(spark, sf):
-    terms = _t2_terms(spark, sf)
-    top = terms.groupBy("term").agg(F.count(F.lit(1)).alias("cnt")).orderBy(F.col("cnt").desc(), "term").limit(500)
-    from pyspark.sql import Window
-    ranked = top.withColumn("vec_id", (F.row_number().over(Window.orderBy(F.col("cnt").desc(), "term")) - 1).cast("long"))
+    """A vector for every term, by a key join: the first 32 bits of the term's
+    SHA-256 modulo the number of embeddings name its ``vec_id``."""
     e = S.table(spark, sf, "embeddings")
-    return ranked.join(e, on="vec_id").select("term", F.col("embedding").alias("vector"))
+    n = e.count()
+    terms = _t2_terms(spark, sf).select("term").distinct()
+    keyed = terms.withColumn("vec_id", F.conv(F.substring(F.sha2("term", 256), 1, 8), 16, 10).cast("long") % n)
+    return keyed.join(e, on="vec_id").select("term", F.col("embedding").alias("vector"))
 
 
 @register("sentence_vector", f"""WITH {WORDVEC_SQL},
@@ -182,20 +182,23 @@ def first_token_vector(spark, sf):
     forms = docs.select(F.lower(F.split("text", " ").getItem(0)).alias("form"))
     stems = TO.stem_vocabulary(forms)
     r = V.first_token_vector(docs, "text", word_vectors(spark, sf), "doc_id", stems)
-    return r.select("doc_id", "tok", F.size("vector").alias("dim"))
+    return _long(r.select("doc_id", F.transform("vector", lambda x: x.cast("double")).alias("vector")), ["doc_id"], "vector")
 
 
 @register("word2vec")
 def word2vec(spark, sf):
-    """Word2Vec (Spark ML) trained on the (subject, relation, object)
-    token lists of every extracted triple (min count 1); the learnt
-    vectors of the vocabulary.  Vector size 16, one pass (declared)."""
+    """Word2Vec (Spark ML, 30 passes, 16 dimensions, both parameters)
+    trained on the (subject, relation, object) lists of every extracted triple
+    (min count 1), and its vectors looked up for each triple's three words."""
     from pyspark.ml.feature import Word2Vec
     from pyspark.ml.functions import vector_to_array
-    docs = S.table(spark, sf, "documents")
-    tr = TO.triples(TO.token_table(docs))
+    from ..session import cut_lineage
+    tr = cut_lineage(TO.triples(S.table(spark, sf, "documents")))
     lists = tr.select(F.array("subject", "relation", "object").alias("tokens"))
-    parts = spark.sparkContext.defaultParallelism
-    model = Word2Vec(vectorSize=16, minCount=1, maxIter=1, seed=42, numPartitions=parts,
+    model = Word2Vec(vectorSize=16, minCount=1, maxIter=30, seed=42, numPartitions=spark.sparkContext.defaultParallelism,
                      inputCol="tokens", outputCol="v").fit(lists)
-    return model.getVectors().select("word", F.size(vector_to_array("vector")).alias("dim"))
+    vectors = model.getVectors().select("word", vector_to_array("vector").alias("v"))
+    out = tr
+    for role in ("subject", "relation", "object"):
+        out = out.join(vectors.select(F.col("word").alias(role), F.col("v").alias(f"{role}_vector")), role)
+    return out.select("doc_id", "pos", "subject", "relation", "object", "subject_vector", "relation_vector", "object_vector")
