@@ -16,6 +16,8 @@ from ..operators import topics as TP
 from ..operators.split import number_rows, ordered_split
 from ..session import cut_lineage
 from ..sources import tables as S
+from .core_queries import EWIDE
+from .ols_sql import fitted, ols_ctes
 from .registry import register
 from .text_queries import _cooc, _t2_terms, _vocab
 from .vector_queries import word_vectors
@@ -149,7 +151,19 @@ def hybrid_forecast(spark, sf):
         V.errors(test, "y", "lin").withColumn("model", F.lit("linear")))
 
 
-@register("horizon_forecast")
+# lagged event means x0..x4 and the label y, split 70 : 30 in time order
+_X = [f"x{i}" for i in range(5)]
+EVENT_XY = f"""{EWIDE}, xy AS (SELECT "Date", {', '.join(f'lag("{c}") OVER (ORDER BY "Date") AS x{i}' for i, c in enumerate(S.EVENT_TYPES))}, "purchase" AS y FROM ew),
+sp AS (SELECT *, row_number() OVER (ORDER BY "Date") AS rn, count(*) OVER () AS n FROM xy
+       WHERE {' AND '.join(f'x{i} IS NOT NULL' for i in range(5))} AND y IS NOT NULL),
+tr AS (SELECT * FROM sp WHERE rn <= floor(n * 0.7)), {ols_ctes("tr", _X, "y")},
+pr AS (SELECT sp.*, {fitted(_X)} AS yhat FROM sp, ols)"""
+
+
+@register("horizon_forecast", f"""WITH {EVENT_XY},
+h AS ({' UNION ALL '.join(f'SELECT CAST({h} AS INTEGER) AS h, rn, n, y, lag(yhat, {h - 1}) OVER (ORDER BY "Date") AS f FROM pr' for h in (1, 2, 3))})
+SELECT h, count(*) AS n, round(avg(abs(f - y)), 5) AS mae, round(sqrt(avg((f - y) ** 2)), 5) AS rmse
+FROM h WHERE rn > floor(n * 0.7) GROUP BY h""")
 def horizon_forecast(spark, sf):
     """One linear one-step model; the h-step forecast of a day is the
     prediction made h−1 days earlier (h = 1..3); errors per horizon."""
@@ -159,8 +173,9 @@ def horizon_forecast(spark, sf):
     pred = M.forecast_by_shift(M.linear_apply(sp, params, xs), "yhat", (1, 2, 3))
     test = pred.filter("role = 'test'")
     from functools import reduce
-    return reduce(lambda a, b: a.unionByName(b),
-                  [V.errors(test, "y", f"yhat_h{h}").withColumn("h", F.lit(h)) for h in (1, 2, 3)])
+    out = reduce(lambda a, b: a.unionByName(b),
+                 [V.errors(test, "y", f"yhat_h{h}").withColumn("h", F.lit(h)) for h in (1, 2, 3)])
+    return out.select("h", "n", F.round("mae", 5).alias("mae"), F.round("rmse", 5).alias("rmse"))
 
 
 @register("feature_count_search")
@@ -184,7 +199,8 @@ def feature_count_search(spark, sf):
     return best_config(reduce(lambda a, b: a.unionByName(b), outs), config=("config",))
 
 
-@register("score_saved")
+@register("score_saved", f"""WITH {EVENT_XY}
+SELECT "Date", round(y, 5) AS y, round(yhat, 5) AS yhat FROM pr WHERE rn > floor(n * 0.7)""")
 def score_saved(spark, sf):
     """Batch scoring with saved artefacts (scaler bounds + selected
     columns + coefficients written as tables, loaded, applied)."""
@@ -201,4 +217,4 @@ def score_saved(spark, sf):
     save_params(params, os.path.join(base, "model"))
     sc2, p2 = load_params(spark, os.path.join(base, "scaler")), load_params(spark, os.path.join(base, "model"))
     scored = M.linear_apply(minmax_apply(sp.filter(F.col("rn") > F.floor(F.col("n") * 0.7)), sc2, xs), p2, xs)
-    return scored.select("Date", "y", "yhat")
+    return scored.select("Date", F.round("y", 5).alias("y"), F.round("yhat", 5).alias("yhat"))

@@ -15,11 +15,18 @@ from ..operators.aggregate import summarize_folds
 from ..operators.split import number_rows, ordered_split, repeated_folds, time_folds_df, assign_folds
 from ..sources import tables as S
 from .core_queries import ODAILY, EWIDE
+from .ols_sql import fitted, ols_ctes
 from .registry import register
 
 LI_X = ["l_quantity", "l_discount", "l_tax"]
 
 
+def _coefficients(fit, by, xs, digits=3):
+    """Fitted rows with a rounded column for the intercept and each regressor."""
+    return fit.select(*by, F.round("intercept", digits).alias("intercept"),
+                      *[F.round(F.col("coef")[i], digits).alias(x) for i, x in enumerate(xs)])
+
+
 def _r(df, cols, d=6):
     return df.withColumns({c: F.round(c, d) for c in cols})
 
@@ -217,9 +224,26 @@ def acf(spark, sf):
     return a.select(F.col("lag").cast("int").alias("lag"), F.round("acf", 6).alias("acf"))
 
 
-@register("pacf")
+def _levinson(n):
+    """The Durbin-Levinson recursion over the autocorrelations r1..rn of one row."""
+    ctes = ["l1 AS (SELECT *, r1 AS f1_1 FROM r)"]
+    for k in range(2, n + 1):
+        num = f"r{k}" + "".join(f" - f{k - 1}_{j} * r{k - j}" for j in range(1, k))
+        den = "1" + "".join(f" - f{k - 1}_{j} * r{j}" for j in range(1, k))
+        ctes.append(f"p{k} AS (SELECT *, ({num}) / ({den}) AS f{k}_{k} FROM l{k - 1})")
+        rest = "".join(f", f{k - 1}_{j} - f{k}_{k} * f{k - 1}_{k - j} AS f{k}_{j}" for j in range(1, k))
+        ctes.append(f"l{k} AS (SELECT *{rest} FROM p{k})")
+    return ", ".join(ctes)
+
+
+@register("pacf", f"""WITH {ODAILY}, c AS (SELECT "Date", "Price" - avg("Price") OVER () AS c FROM od),
+p AS (SELECT {', '.join(f'c * lag(c, {k}) OVER (ORDER BY "Date") AS p{k}' for k in range(11))} FROM c),
+r AS (SELECT {', '.join(f'sum(p{k}) / sum(p0) AS r{k}' for k in range(1, 11))} FROM p), {_levinson(10)}
+SELECT CAST(0 AS INTEGER) AS lag, 1.0 AS pacf UNION ALL
+{' UNION ALL '.join(f'SELECT CAST({k} AS INTEGER), round(f{k}_{k}, 6) FROM l10' for k in range(1, 11))}""")
 def pacf(spark, sf):
-    return ST.pacf(ST.acf(S.orders_daily(spark, sf), "Price", 10))
+    p = ST.pacf(ST.acf(S.orders_daily(spark, sf), "Price", 10))
+    return p.select(F.col("lag").cast("int").alias("lag"), F.round("pacf", 6).alias("pacf"))
 
 
 # X6 (window form) ----------------------------------------------------------------------------
@@ -251,12 +275,13 @@ def _lineitem_split(spark, sf):
     return li, LI_X, "l_extendedprice"
 
 
-@register("linear_multi")
+@register("linear_multi", f"""WITH {ols_ctes("lineitem", ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", ["l_returnflag"])}
+SELECT l_returnflag, round(c, 3) AS intercept, round(b0, 3) AS l_quantity, round(b1, 3) AS l_discount, round(b2, 3) AS l_tax FROM ols""")
 def linear_multi(spark, sf):
     """M1 on every lineitem row: one Gram pass, one solve per return flag."""
     li, xs, y = _lineitem_split(spark, sf)
     g = G.gram(li, xs, y, by=["l_returnflag"])
-    return M.linear_fit(g, by=["l_returnflag"], kind="ols")
+    return _coefficients(M.linear_fit(g, by=["l_returnflag"], kind="ols"), ["l_returnflag"], xs)
 
 
 @register("lasso")
@@ -348,14 +373,15 @@ def best_arma(spark, sf):
     return best_config(g, config=("p", "q"))
 
 
-@register("refit")
+@register("refit", f"""WITH {ols_ctes("lineitem", LI_X, "l_extendedprice")}
+SELECT round(c, 3) AS intercept, round(b0, 3) AS l_quantity, round(b1, 3) AS l_discount, round(b2, 3) AS l_tax FROM ols""")
 def refit(spark, sf):
     """The Gram of the first 70 % of ship days plus the Gram of the
     rest equals the full Gram, so the refit equals a fit on all rows."""
     li = _lineitem_days(spark, sf)
     old = G.gram(li.filter(F.col("rn") <= F.col("n") * 0.7), LI_X, "l_extendedprice")
     new_rows = li.filter(F.col("rn") > F.col("n") * 0.7)
-    return M.linear_fit(M.refit(old, new_rows, LI_X, "l_extendedprice"))
+    return _coefficients(M.linear_fit(M.refit(old, new_rows, LI_X, "l_extendedprice")), [], LI_X)
 
 
 @register("cv_linear")
@@ -368,12 +394,19 @@ def cv_linear(spark, sf):
     return summ
 
 
-@register("holdout_r2")
+@register("holdout_r2", f"""WITH days AS (SELECT d, row_number() OVER (ORDER BY d) AS rn, count(*) OVER () AS n
+    FROM (SELECT DISTINCT CAST(l_shipdate AS DATE) AS d FROM lineitem)),
+li AS (SELECT l.*, rn <= floor(n * 2 / 3) AS train FROM lineitem l JOIN days ON CAST(l_shipdate AS DATE) = d),
+tr AS (SELECT * FROM li WHERE train), {ols_ctes("tr", LI_X, "l_extendedprice")},
+s AS (SELECT l_extendedprice AS y, {fitted(LI_X)} AS yhat FROM li, ols WHERE NOT train)
+SELECT count(*) AS n, round(avg(abs(yhat - y)), 3) AS mae, round(sqrt(avg((yhat - y) ** 2)), 3) AS rmse,
+       round(1 - sum((yhat - y) ** 2) / (var_pop(y) * count(*)), 6) AS r2 FROM s""")
 def holdout_r2(spark, sf):
     """One 2/3 hold-out (by ship day) fit and its R²."""
     li = _lineitem_days(spark, sf)
     li = li.withColumn("role", F.when(F.col("rn") <= F.floor(F.col("n") * 2 / 3), "train").otherwise("test"))
-    return V.holdout(li, LI_X, "l_extendedprice")
+    r = V.holdout(li, LI_X, "l_extendedprice")
+    return r.select("n", F.round("mae", 3).alias("mae"), F.round("rmse", 3).alias("rmse"), F.round("r2", 6).alias("r2"))
 
 
 # W14 ----------------------------------------------------------------------------------------
