@@ -15,6 +15,7 @@ from ..operators import align as J
 from ..operators import lagged as W
 from ..sources import tables as S
 from .flagship import flagship_frame
+from .ols_sql import fitted, ols_ctes
 from .registry import register
 
 
@@ -41,7 +42,23 @@ EWIDE = """ew AS (SELECT CAST(ts AS DATE) AS "Date",
 
 
 # flagship ---------------------------------------------------------------------
-register("flagship")(flagship_frame)
+_FX = [f"x{i}" for i in range(5)]
+_FLAGSHIP_COLS = ["click", "view", "signup", "error", "purchase"]
+FLAGSHIP_SQL = f"""WITH {EWIDE},
+dec AS (SELECT "Date", purchase AS y, {', '.join(
+    f'CASE WHEN row_number() OVER o <= 5 THEN "{c}" ELSE "{c}" + 0.8 * lag("{c}", 1) OVER o + 0.6 * lag("{c}", 2) OVER o'
+    f' + 0.4 * lag("{c}", 3) OVER o + 0.2 * lag("{c}", 4) OVER o END AS d{i}' for i, c in enumerate(_FLAGSHIP_COLS))}
+  FROM ew WINDOW o AS (ORDER BY "Date")),
+xy AS (SELECT "Date", y, {', '.join(f'lag(d{i}) OVER (ORDER BY "Date") AS x{i}' for i in range(5))} FROM dec),
+sp AS (SELECT *, row_number() OVER (ORDER BY "Date") AS rn, count(*) OVER () AS n, lag(y) OVER (ORDER BY "Date") AS f
+       FROM xy WHERE {' AND '.join(f'x{i} IS NOT NULL' for i in range(5))}),
+tr AS (SELECT * FROM sp WHERE rn <= floor(n * 0.7)), {ols_ctes("tr", _FX, "y")},
+b AS (SELECT 'linear' AS model, y, {fitted(_FX)} AS p FROM sp, ols WHERE rn > floor(n * 0.7)
+      UNION ALL SELECT 'random_walk', y, f FROM sp WHERE rn > floor(n * 0.7))
+SELECT model, count(*) AS n, round(avg(abs(p - y)), 6) AS mae, round(sqrt(avg((p - y) ** 2)), 6) AS rmse,
+       round(avg(abs(p - y) / abs(y)), 6) AS mape, round(1 - sum((p - y) ** 2) / (var_pop(y) * count(*)), 6) AS r2
+FROM b GROUP BY model"""
+register("flagship", FLAGSHIP_SQL)(flagship_frame)
 
 
 # A1-A3 ------------------------------------------------------------------------

@@ -384,14 +384,26 @@ def refit(spark, sf):
     return _coefficients(M.linear_fit(M.refit(old, new_rows, LI_X, "l_extendedprice")), [], LI_X)
 
 
-@register("cv_linear")
+_EX = [f"x{i}" for i in range(5)]
+# lagged event means x0..x4 and the label y, numbered in time order
+EVENT_ROWS = f"""{EWIDE}, xy AS (SELECT "Date", {', '.join(f'lag("{c}") OVER (ORDER BY "Date") AS x{i}' for i, c in enumerate(S.EVENT_TYPES))}, "purchase" AS y FROM ew),
+sp AS (SELECT *, row_number() OVER (ORDER BY "Date") AS rn, count(*) OVER () AS n FROM xy
+       WHERE {' AND '.join(f'x{i} IS NOT NULL' for i in range(5))} AND y IS NOT NULL)"""
+
+
+@register("cv_linear", f"""WITH {EVENT_ROWS},
+f AS (SELECT fold, n - (5 - fold) * (n // 6) AS tr, n // 6 AS ts FROM range(5) t(fold), (SELECT max(n) AS n FROM sp)),
+trf AS (SELECT fold, sp.* FROM f JOIN sp ON rn <= tr), {ols_ctes("trf", _EX, "y", ["fold"], alpha=1.0)},
+s AS (SELECT fold, y, {fitted(_EX)} AS p FROM f JOIN ols USING (fold) JOIN sp ON rn > tr AND rn <= tr + ts),
+e AS (SELECT fold, avg(abs(p - y)) AS mae, sqrt(avg((p - y) ** 2)) AS rmse, avg(abs(p - y) / abs(y)) AS mape FROM s GROUP BY fold)
+SELECT {', '.join(f'round(avg({m}), 5) AS {m}_mean, round(stddev_pop({m}), 5) AS {m}_std' for m in ("mae", "rmse", "mape"))} FROM e""")
 def cv_linear(spark, sf):
     """V8: ridge on lagged event features, 5 time folds from prefix Grams."""
     sup, xs, y = _events_lagged(spark, sf)
     d = number_rows(sup)
     folds = time_folds_df(d.select("n").distinct(), k=5)
     per, summ = V.cv_linear(d, folds, xs, y, kind="ridge", alpha=1.0)
-    return summ
+    return summ.select(*[F.round(c, 5).alias(c) for c in summ.columns])
 
 
 @register("holdout_r2", f"""WITH days AS (SELECT d, row_number() OVER (ORDER BY d) AS rn, count(*) OVER () AS n
