@@ -40,10 +40,6 @@ def tokens(c, lower: bool = True) -> Column:
     return F.regexp_extract_all(s, F.lit(TOKEN_PATTERN), 0)
 
 
-def stop_array() -> Column:
-    return F.array(*[F.lit(w) for w in STOP_WORDS])
-
-
 def is_stop(t: Column) -> Column:
     """Stop-word membership as an IN list (planned as a hash-set lookup)."""
     return t.isin(STOP_WORDS)

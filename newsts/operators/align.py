@@ -3,8 +3,7 @@
 Joins are key equi-joins; Catalyst picks broadcast hash join only when the
 measured side is below ``spark.sql.autoBroadcastJoinThreshold`` and a
 sort-merge (or shuffled hash) join otherwise, so no side is broadcast on a
-guess.  ``broadcast_if_small`` gives an explicit hint for sides whose size
-is bounded by construction (a daily date list, a vocabulary cut).
+guess.
 """
 
 from __future__ import annotations
@@ -88,13 +87,6 @@ def keep_series(df: DataFrame, names: Sequence[str], col: str = "field") -> Data
     return df.filter(F.col(col).isin(list(names)))
 
 
-# J --------------------------------------------------------------------------
-def broadcast_if_small(df: DataFrame) -> DataFrame:
-    """Broadcast hint for a side bounded by construction (a daily key
-    list, a vocabulary cut).  Callers use it only on such sides."""
-    return F.broadcast(df)
-
-
 def align_semi(left: DataFrame, right: DataFrame, on: Sequence[str] | str = "Date") -> DataFrame:
     """Rows of ``left`` whose key exists in ``right``."""
     return left.join(right.select(*([on] if isinstance(on, str) else on)).distinct(), on=on, how="left_semi")
@@ -148,12 +140,6 @@ def back_to_rows(rows: DataFrame, daily: DataFrame, on="Date") -> DataFrame:
     return rows.join(daily, on=on, how="left")
 
 
-def lookup_tokens(tokens: DataFrame, dictionary: DataFrame, token_col: str = "token",
-                  key: str = "term") -> DataFrame:
-    """Dictionary lookup token → value; unknown tokens dropped."""
-    return tokens.join(dictionary.withColumnRenamed(key, token_col), on=token_col, how="inner")
-
-
 def align_predictions(df: DataFrame, preds: DataFrame, offset: int, rn: str = "rn") -> DataFrame:
     """Prediction j belongs to row ``offset + j``; outer-aligned."""
     p = preds.withColumn(rn, F.col("j") + F.lit(offset)).drop("j")

@@ -230,8 +230,6 @@ ADF_TAU_MIN_C = -18.83
 ADF_TAU_STAR_C = -1.61
 ADF_SMALLP_C = [2.1659, 1.4412, 0.038269]
 ADF_LARGEP_C = [1.7339, 0.93202, -0.12745, -0.010368]
-# fixed values: asymptotic critical values (1%, 5%, 10%) with a constant
-ADF_CRIT_C = {"1%": -3.43, "5%": -2.86, "10%": -2.57}
 
 
 def adf_pvalue(stat: float) -> float:

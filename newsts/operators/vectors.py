@@ -19,10 +19,6 @@ from ..functions import vectors as FV
 _AGG = {"mean": F.avg, "max": F.max, "min": F.min, "sum": F.sum}
 
 
-def explode_vector(df: DataFrame, col: str, keys: Sequence[str]) -> DataFrame:
-    return df.select(*keys, F.posexplode(col).alias("dim", "x")).withColumn("x", F.col("x").cast("double"))
-
-
 def assemble(long: DataFrame, keys: Sequence[str], parts: Sequence[str]) -> DataFrame:
     """(keys, dim, part values) → one array per part, in dim order."""
     s = long.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("dim", *parts))).alias("_s"))

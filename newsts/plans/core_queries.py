@@ -563,17 +563,25 @@ def union_sources(spark, sf):
 # P1 / P7 / P8 / P9 ------------------------------------------------------------
 @register("project_select", f"""
 WITH {EWIDE}, s AS ({_sup_sql(['click', 'purchase'], 1, 1)})
-SELECT "Date", round("click(t-1)", 6) AS click_lag, round("purchase(t-1)", 6) AS purchase_lag,
-       round("purchase(t)", 6) AS label FROM s WHERE "click(t-1)" IS NOT NULL""")
+SELECT "Date", round("purchase(t-1)", 6) AS purchase_lag, round("purchase(t)", 6) AS label FROM s
+WHERE "click(t-1)" IS NOT NULL""")
 def project_select(spark, sf):
     """P9 numeric columns → W2 → P7 drop current-day columns but the label →
     P8 keep the masked columns → P1 rename."""
     wide = J.numeric_only(S.events_daily_wide(spark, sf).withColumn("note", F.lit("x")))
     sup = W.supervised(wide.select("Date", "click", "purchase"), ["click", "purchase"], 1, 1)
     cur = J.drop_current(sup, label="purchase(t)")
-    kept = J.keep_selected(cur, ["click(t-1)", "purchase(t-1)", "purchase(t)"], [True, True, True])
-    out = J.project(kept, {"Date": "Date", "click(t-1)": "click_lag", "purchase(t-1)": "purchase_lag", "purchase(t)": "label"})
-    return rounded(out, ["click_lag", "purchase_lag", "label"])
+    kept = J.keep_selected(cur, ["click(t-1)", "purchase(t-1)", "purchase(t)"], [False, True, True])
+    out = J.project(kept, {"Date": "Date", "purchase(t-1)": "purchase_lag", "purchase(t)": "label"})
+    return rounded(out, ["purchase_lag", "label"])
+
+
+@register("join_by_id", """
+SELECT d.doc_id, d.n_chars, l.quality FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE d.source <> 'src0'""")
+def join_by_id(spark, sf):
+    """Documents beside their labels by id; P2: without one source."""
+    docs = J.exclude_value(S.table(spark, sf, "documents").select("doc_id", "n_chars", "source"), "source", "src0")
+    return J.join_by_id(docs.drop("source"), S.table(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
 
 
 # J5 / J11 / U3 ------------------------------------------------------------------

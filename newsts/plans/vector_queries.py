@@ -136,16 +136,14 @@ def nearest_vectors(spark, sf):
 
 
 @register("seq_tensor", f"""WITH {EMB}, w AS (
-  SELECT label, vec_id, count(*) OVER p AS n,
-         sum(list_sum(v)) OVER p AS total FROM emb
-  WINDOW p AS (PARTITION BY label ORDER BY vec_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING))
-SELECT label, vec_id, round(total, 5) AS checksum, 192 AS width FROM w WHERE n = 3""")
+  SELECT label, vec_id, lag(v, 3) OVER p || lag(v, 2) OVER p || lag(v, 1) OVER p AS s, lag(v, 3) OVER p AS f FROM emb
+  WINDOW p AS (PARTITION BY label ORDER BY vec_id))
+SELECT label, vec_id, unnest(s) AS x, CAST(generate_subscripts(s, 1) - 1 AS INTEGER) AS pos FROM w WHERE f IS NOT NULL""")
 def seq_tensor(spark, sf):
+    """The three vectors before each row, in order, one row per number."""
     e = S.vectors(spark, sf)
     t = V.sequence_tensor(e, "embedding", 3, ["label"], "vec_id")
-    flat = F.flatten("seq")
-    return t.select("label", "vec_id", F.round(F.aggregate(flat, F.lit(0.0), lambda a, x: a + x.cast("double")), 5).alias("checksum"),
-                    F.size(flat).alias("width"))
+    return t.select("label", "vec_id", F.posexplode(F.flatten("seq")).alias("pos", "x")).withColumn("x", F.col("x").cast("double"))
 
 
 # word vectors: every T2 term takes the embedding whose vec_id its digest names
