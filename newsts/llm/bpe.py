@@ -78,6 +78,9 @@ class ByteBpe:
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.rank[vocab[a]][vocab[b]] = rank
             self.merged.append(vocab[a + b])
+        self.sizes = np.array([len(x) for x in self.strings], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.bytes = np.frombuffer(b"".join(self.strings), np.uint8)
         self.find = regex.compile(PIECES).findall
         self.pieces: dict[str, bytes] = {}
         self.chunks = ChunkMemo(self.encode_plain, added)
@@ -124,29 +127,26 @@ class ByteBpe:
             ids = self.pieces[piece] = self._ids(piece)
         return ids
 
-    def encode_plain(self, texts: list[str]) -> list[bytes]:
-        """Ids, as little-endian unsigned 32-bit, of texts without added tokens."""
-        out, words = [], self.chunks.later
-        for text in texts:
-            if text[:1] == " " and (word := text[1:].rstrip(MARKS)).isalpha():
-                # the common chunk, a word with marks after it, needs no pattern
-                if len(word) == len(text) - 1:
-                    ids = self._ids(text)
-                else:
-                    ids = words.get(word)
-                    if ids is None:
-                        ids = words[word] = self._ids(" " + word)
-                    ids += self._piece(text[len(word) + 1:])
-            else:
-                ids = b"".join(map(self._piece, self.find(text)))
-            out.append(ids)
-        return out
+    def encode_plain(self, text: str) -> bytes:
+        """Ids, as little-endian unsigned 32-bit, of a text without added tokens."""
+        if text[:1] == " " and (word := text[1:].rstrip(MARKS)).isalpha():
+            # the common chunk, a word with marks after it, needs no pattern
+            if len(word) == len(text) - 1:
+                return self._ids(text)
+            return self.chunks.later[word] + self._piece(text[len(word) + 1:])
+        return b"".join(map(self._piece, self.find(text)))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         return self.chunks.encode(texts)
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.strings.__getitem__, ids)).decode("utf-8", "replace")
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """Texts of the ids before each end: the vocabulary's byte strings one
+        after the other."""
+        n = self.sizes[ids]
+        past = np.cumsum(n)
+        data = self.bytes[np.arange(past[-1] if len(past) else 0) + np.repeat(self.starts[ids] - past + n, n)]
+        at = [0, *np.concatenate([[0], past])[ends].tolist()]
+        return [data[i:j].tobytes().decode("utf-8", "replace") for i, j in zip(at, at[1:], strict=False)]
 
 
 @lru_cache(maxsize=2)
@@ -183,8 +183,10 @@ def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(tokenizer)
-        for batch in bounded_batches(batches, "ids"):
-            texts = [model.decode(ids or ()) for ids in batch.column("ids").to_pylist()]
+        for batch in bounded_batches(batches, "ids", 1 << 20):
+            ids = batch.column("ids")
+            ends = np.cumsum(ids.value_lengths().fill_null(0).to_numpy())
+            texts = model.decode(ids.flatten().to_numpy(), ends)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(texts, pa.string())],
                                              names=["doc_id", "ids", "text"])
 

@@ -13,7 +13,7 @@ from itertools import islice
 
 import regex
 
-CHUNK_CACHE = 1_000_000  # documented parameter: chunks kept by a task, about 200 MB
+CHUNK_CACHE = 700_000  # documented parameter: chunks kept by a task, about 140 MB
 
 
 def shrink(memo: dict, most: int) -> None:
@@ -23,29 +23,39 @@ def shrink(memo: dict, most: int) -> None:
     memo.update(old)
 
 
+class _Whole(Exception):
+    """A chunk that is empty or has white space at an end: the blank beside it
+    is no place to cut at."""
+
+
+class _Memo(dict):
+    """Ids of chunks, encoded when first asked for."""
+
+    def __init__(self, encode: Callable[[str], bytes], prefix: str):
+        super().__init__()
+        self.encode, self.prefix = encode, prefix
+
+    def __missing__(self, chunk: str) -> bytes:
+        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
+            raise _Whole
+        if len(self) >= CHUNK_CACHE:
+            shrink(self, CHUNK_CACHE)
+        ids = self[chunk] = self.encode(self.prefix + chunk)
+        return ids
+
+
 class ChunkMemo:
-    """``encode_plain`` gives the value (bytes) of each of a list of texts
-    without added tokens; ``added`` holds the ids of the added tokens, which
-    stand for themselves wherever their strings appear."""
+    """``encode_plain`` gives the ids (bytes) of a text without added tokens;
+    ``added`` holds the ids of the added tokens, which stand for themselves
+    wherever their strings appear."""
 
-    def __init__(self, encode_plain: Callable[[list[str]], list[bytes]], added: dict[str, int]):
+    def __init__(self, encode_plain: Callable[[str], bytes], added: dict[str, int]):
         self.encode_plain = encode_plain
         self.added = {k: v.to_bytes(4, "little") for k, v in added.items()}
         longest_first = sorted(self.added, key=len, reverse=True)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") if added else None
-        self.first: dict[str, bytes] = {}  # a chunk that starts a text
-        self.later: dict[str, bytes] = {}  # a chunk after a blank
-
-    def _learn(self, memo: dict, prefix: str, chunks) -> bool:
-        """False if a chunk is empty or has white space at an end."""
-        new = [c for c in set(chunks) if c not in memo]
-        if any(not c or c[0].isspace() or c[-1].isspace() for c in new):
-            return False
-        if len(memo) + len(new) > CHUNK_CACHE:
-            shrink(memo, CHUNK_CACHE)
-            new = [c for c in set(chunks) if c not in memo]
-        memo.update(zip(new, self.encode_plain([prefix + c for c in new]), strict=True))
-        return True
+        self.first = _Memo(encode_plain, "")  # a chunk that starts a text
+        self.later = _Memo(encode_plain, " ")  # a chunk after a blank
 
     def _plain(self, text: str) -> bytes:
         if not text:
@@ -53,10 +63,8 @@ class ChunkMemo:
         head, *rest = text.split(" ")
         try:
             return self.first[head] + b"".join(map(self.later.__getitem__, rest))
-        except KeyError:
-            if self._learn(self.first, "", (head,)) and self._learn(self.later, " ", rest):
-                return self.first[head] + b"".join(map(self.later.__getitem__, rest))
-            return self.encode_plain([text])[0]
+        except _Whole:
+            return self.encode_plain(text)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit; none for a null text."""
