@@ -8,12 +8,13 @@ Jaccard similarity.  Shingles whose next arrival comes after the latest
 register of the document is filled stop early.
 
 Documents with equal word sequences are one representative before anything
-else.  Bands of registers are the bucket keys.  In each bucket every member is
-compared with the bucket's leader, so a bucket gives as many pairs as it has
-members; buckets that still hold several classes are compared with further
-leaders, round after round, until each of their members has been a leader.
-Pairs are verified on their whole texts, and the verified links give the
-classes as connected components, computed by Spark joins.
+else.  Bands of registers are the bucket keys.  Each bucket has up to LEADERS
+leaders, chosen by a hash so that other buckets choose others, and every member
+is compared with them: buckets of up to LEADERS + 1 members in full, larger ones
+by LEADERS pairs a member and never pair by pair.  Pairs whose registers agree
+far too little are left out, the others are verified on their whole texts, and
+the verified links give the classes as connected components, computed by Spark
+joins.
 """
 
 from __future__ import annotations
@@ -33,6 +34,10 @@ WIDTH, SIMILARITY = 5, 0.8
 # documented parameters: at similarity 0.8 a pair shares a band with
 # probability 1 - (1 - 0.8^5)^20 = 0.9996, and more above it
 BANDS, ROWS = 20, 5
+# pairs that agree in fewer than this share of the registers are not verified:
+# five standard deviations below 0.8 for 100 registers (a chance of 3e-7)
+LEAST_AGREEMENT = 0.6
+LEADERS = 4  # of a bucket
 MEMBERS = 512  # members of a leader verified by one group; larger groups are salted
 
 
@@ -70,21 +75,33 @@ def band_keys(first: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """rid, doc_id, words (digest of the word sequence; null without words),
-    keys (one per band)."""
+    keys (one per band), registers (32 bits of each)."""
+
+    def lists(x: np.ndarray, kind) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.view(kind).ravel()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in bounded_batches(batches, "text"):
             words = [hashes(x) for x in batch.column("text").to_pylist()]
             doc, value, weight = weighted(words, WIDTH)
-            keys = band_keys(prob_min_hash(doc, value, weight, len(words), bands * rows), bands, rows)
+            first = prob_min_hash(doc, value, weight, len(words), bands * rows)
             digest = [xxhash.xxh3_128_digest(w) if w else None for w in words]
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1) * bands, pa.int32()),
-                                             pa.array(keys.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id"), pa.array(digest, pa.binary()), lists],
-                                             names=["rid", "doc_id", "words", "keys"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("rid"), batch.column("doc_id"), pa.array(digest, pa.binary()),
+                 lists(band_keys(first, bands, rows), np.int64), lists(first.astype(np.uint32), np.int32)],
+                names=["rid", "doc_id", "words", "keys", "registers"])
+
+    return docs.select("rid", "doc_id", "text").mapInArrow(
+        run, "rid long, doc_id long, words binary, keys array<long>, registers array<int>")
+
 
-    return docs.select("rid", "doc_id", "text").mapInArrow(run, "rid long, doc_id long, words binary, keys array<long>")
+def likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs (a, b) that agree in enough registers."""
+    a = reps.select(F.col("rep").alias("a"), F.col("registers").alias("ra"))
+    b = reps.select(F.col("rep").alias("b"), F.col("registers").alias("rb"))
+    agree = F.size(F.filter(F.zip_with("ra", "rb", lambda x, y: x == y), lambda same: same))
+    return pairs.join(a, "a").join(b, "b").filter(agree >= LEAST_AGREEMENT * F.size("ra")).select("a", "b")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -98,7 +115,7 @@ def verify(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) ->
     salts = F.floor(F.col("n") / MEMBERS).cast("int") + 1
     members = (pairs.join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), salts).cast("int").alias("salt"), F.col("b").alias("rid")))
     leaders = sizes.select("a", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.col("a").alias("rid"))
-    texts = (docs.select("rid", "text").join(members.unionByName(leaders), "rid")
+    texts = (docs.select("rid", "text").hint("merge").join(members.unionByName(leaders), "rid")
              .select("a", "salt", "rid", "text", (F.col("a") != F.col("rid")).alias("member")))
     groups = texts.repartition("a", "salt").sortWithinPartitions("a", "salt", "member")
 
@@ -125,52 +142,43 @@ def verify(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) ->
 
 def components(links: DataFrame) -> DataFrame:
     """node, label: the smallest node of each connected component, for every
-    node of a link (a, b).  Labels take the smallest label around them and
-    then the label of their label, until nothing changes."""
-    both = store(links.select(F.col("a").alias("x"), F.col("b").alias("y"))
-                 .union(links.select("b", "a")).distinct(), "edges")
-    labels = store(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.first("x")).alias("label")), "labels")
-    while True:
-        around = (both.join(labels.withColumnRenamed("node", "y"), "y")
-                  .groupBy(F.col("x").alias("node")).agg(F.min("label").alias("near")))
-        met = labels.join(around, "node").select("node", "label", F.least("label", "near").alias("next"))
-        jump = labels.select(F.col("node").alias("next"), F.col("label").alias("far"))
-        moved = store(met.join(jump, "next", "left")
-                      .select("node", F.least("next", F.coalesce("far", "next")).alias("new"), "label"), "labels")
-        labels = moved.select("node", F.col("new").alias("label"))
-        if moved.filter("new <> label").isEmpty():
-            return labels
+    node of a link (a, b).  In each step every node takes its smallest
+    neighbour as its parent, if that is smaller, and then its parent's parent;
+    labels follow, and the links shrink to links between different parents,
+    until none is left."""
+    edges = store(links.select(F.col("a").alias("x"), F.col("b").alias("y"))
+                  .union(links.select("b", "a")).filter("x <> y").distinct(), "edges")
+    labels = edges.select(F.col("x").alias("node")).distinct().withColumn("label", F.col("node"))
+    while not edges.isEmpty():
+        hooked = edges.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("parent"))
+        above = hooked.select(F.col("x").alias("parent"), F.col("parent").alias("above"))
+        parents = store(hooked.join(above, "parent").select("x", F.col("above").alias("parent")), "parents")
+        labels = store(labels.join(parents.withColumnRenamed("x", "label"), "label", "left")
+                       .select("node", F.coalesce("parent", "label").alias("label")), "labels")
+        left = edges.join(parents.withColumnRenamed("parent", "px"), "x").select("px", "y")
+        other = parents.select(F.col("x").alias("y"), F.col("parent").alias("py"))
+        edges = store(left.distinct().join(other, "y").filter("px <> py")
+                      .select(F.col("px").alias("x"), F.col("py").alias("y")).distinct(), "edges")
+    return labels
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """rid, doc_id, label: ``label`` is the rid of the class."""
     table = store(sketches(docs, bands, rows), "sketches")
     reps = store(table.filter("words IS NOT NULL").groupBy("words")
-                 .agg(F.min("rid").alias("rep"), F.first("keys").alias("keys")), "reps")
+                 .agg(F.min("rid").alias("rep"), F.first("keys").alias("keys"), F.first("registers").alias("registers")), "reps")
     members = reps.select("rep", F.explode("keys").alias("key"))
-    shared = members.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    shared = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     members = store(members.join(shared, "key"), "members")
-    pairs = members.filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    links = store(verify(pairs, docs, similarity), "links")
+    # texts meet ids by a merge join at every size, as the ids have no bound
+    texts = store(docs.select("rid", "text").hint("merge").join(members.select(F.col("rep").alias("rid")).distinct(), "rid"), "texts")
+    chosen = Window.partitionBy("key").orderBy(F.xxhash64("rep", "key"), "rep")
+    lead = (members.withColumn("k", F.row_number().over(chosen)).filter(F.col("k") <= LEADERS)
+            .select("key", F.col("rep").alias("lead")))
+    pairs = (members.join(lead, "key").filter("lead <> rep")
+             .select(F.least("lead", "rep").alias("a"), F.greatest("lead", "rep").alias("b")).distinct())
+    links = store(verify(store(likely(pairs, reps), "pairs"), texts, similarity), "links")
     labels = components(links)
-    while True:
-        # buckets that still hold several classes; a member that has led its bucket has met all others
-        members = members.filter("rep <> leader").drop("leader")
-        named = (members.join(labels, F.col("rep") == F.col("node"), "left")
-                 .select("key", "rep", F.coalesce("label", "rep").alias("label")))
-        mixed = (named.groupBy("key").agg(F.min("rep").alias("leader"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-                 .filter("lo <> hi").select("key", "leader"))
-        members = store(named.join(mixed, "key"), "mixed")
-        if members.isEmpty():
-            break
-        lead = members.filter("rep = leader").select("key", F.col("label").alias("own"))
-        pairs = (members.join(lead, "key").filter("rep <> leader AND label <> own")
-                 .select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct())
-        more = store(verify(pairs, docs, similarity), "links")
-        members = members.drop("label")
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            labels = components(links)
     classes = reps.select("words", "rep").join(labels, F.col("rep") == F.col("node"), "left")
     classes = classes.select("words", F.coalesce("label", "rep").alias("label"))
     return (table.select("rid", "doc_id", "words").join(classes, "words", "left")

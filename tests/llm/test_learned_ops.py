@@ -84,6 +84,30 @@ def test_near_dedup_empty(empty):
     assert near_dedup(empty).count() == 0
 
 
+@pytest.mark.parametrize("seed", [0, 1])
+def test_components(spark, seed):
+    """Chains, stars, rings and random links against a plain union-find."""
+    from newsts.llm.near_dedup import components
+    rng = random.Random(seed)
+    links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(300 + i, 300 + (i + 1) % 7) for i in range(7)]
+    links += [(500 + rng.randrange(60), 500 + rng.randrange(60)) for _ in range(40)]
+    names = {n: rng.randrange(10**9) for x in links for n in x}
+    links = [(names[a], names[b]) for a, b in links if a != b]
+    parent = {n: n for x in links for n in x}
+
+    def root(n):
+        while parent[n] != n:
+            n = parent[n]
+        return n
+
+    for a, b in links:
+        x, y = root(a), root(b)
+        parent[max(x, y)] = min(x, y)
+    got = components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert {r["node"]: r["label"] for r in got} == {n: root(n) for n in parent} and len(got) == len(parent)
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_prob_min_hash_estimates_similarity():
     rng = random.Random(5)
     base = [words(rng, 1) + str(i % 60) for i in range(120)]
