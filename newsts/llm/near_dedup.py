@@ -8,13 +8,15 @@ Jaccard similarity.  Shingles whose next arrival comes after the latest
 register of the document is filled stop early.
 
 Documents with equal word sequences are one representative before anything
-else.  Bands of registers are the bucket keys.  Each bucket has up to LEADERS
-leaders, chosen by a hash so that other buckets choose others, and every member
-is compared with them: buckets of up to LEADERS + 1 members in full, larger ones
-by LEADERS pairs a member and never pair by pair.  Pairs whose registers agree
-far too little are left out, the others are verified on their whole texts, and
-the verified links give the classes as connected components, computed by Spark
-joins.
+else.  Bands of registers are the bucket keys.  The members of a bucket are
+compared in rounds with its leaders: those that share their buckets with most
+others come first, so the original of many copies leads wherever it is.
+Buckets whose other members are still of several classes go on with more
+leaders, which meet the members of other classes, until the members that have
+not led are of one class.  So two documents with a common bucket end in one
+class or have been compared.  Pairs whose registers agree far too little are
+left out, the others are verified on their whole texts, and the verified links
+give the classes as connected components, computed by Spark joins.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ BANDS, ROWS = 20, 5
 # pairs that agree in fewer than this share of the registers are not verified:
 # five standard deviations below 0.8 for 100 registers (a chance of 3e-7)
 LEAST_AGREEMENT = 0.6
-LEADERS = 4  # of a bucket
+LEADERS, MORE = 4, 4  # leaders of a bucket in the first round; each further round has MORE times as many
 MEMBERS = 512  # members of a leader verified by one group; larger groups are salted
 
 
@@ -162,23 +164,44 @@ def components(links: DataFrame) -> DataFrame:
     return labels
 
 
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels (node, label) with the classes of every link made one."""
+    a, b = (labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in ("a", "b"))
+    between = links.join(a, "a").join(b, "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    parts = components(between).select(F.col("node").alias("label"), F.col("label").alias("least"))
+    return store(labels.join(parts, "label", "left").select("node", F.coalesce("least", "label").alias("label")), "labels")
+
+
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """rid, doc_id, label: ``label`` is the rid of the class."""
     table = store(sketches(docs, bands, rows), "sketches")
     reps = store(table.filter("words IS NOT NULL").groupBy("words")
                  .agg(F.min("rid").alias("rep"), F.first("keys").alias("keys"), F.first("registers").alias("registers")), "reps")
     members = reps.select("rep", F.explode("keys").alias("key"))
-    shared = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    members = store(members.join(shared, "key"), "members")
+    shared = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    # meets: members of all buckets of a document; at most one row for each band
+    members = store(members.join(shared, "key").groupBy("rep").agg(F.sum("n").alias("meets"), F.collect_list("key").alias("keys"))
+                    .select("rep", "meets", F.explode("keys").alias("key")), "members")
     # texts meet ids by a merge join at every size, as the ids have no bound
-    texts = store(docs.select("rid", "text").hint("merge").join(members.select(F.col("rep").alias("rid")).distinct(), "rid"), "texts")
-    chosen = Window.partitionBy("key").orderBy(F.xxhash64("rep", "key"), "rep")
-    lead = (members.withColumn("k", F.row_number().over(chosen)).filter(F.col("k") <= LEADERS)
-            .select("key", F.col("rep").alias("lead")))
-    pairs = (members.join(lead, "key").filter("lead <> rep")
-             .select(F.least("lead", "rep").alias("a"), F.greatest("lead", "rep").alias("b")).distinct())
-    links = store(verify(store(likely(pairs, reps), "pairs"), texts, similarity), "links")
-    labels = components(links)
+    labels = members.select(F.col("rep").alias("node")).distinct().withColumn("label", F.col("node"))
+    texts = store(docs.select("rid", "text").hint("merge").join(labels.select(F.col("node").alias("rid")), "rid"), "texts")
+    waiting, leaders = members.withColumn("label", F.col("rep")), LEADERS
+    while True:
+        chosen = Window.partitionBy("key").orderBy(F.desc("meets"), "rep")
+        lead = (waiting.withColumn("k", F.row_number().over(chosen)).filter(F.col("k") <= leaders)
+                .select("key", F.col("rep").alias("lead"), F.col("label").alias("own")))
+        lead = lead if leaders == LEADERS else store(lead, "lead")
+        pairs = (waiting.join(lead, "key").filter("lead <> rep AND label <> own")
+                 .select(F.least("lead", "rep").alias("a"), F.greatest("lead", "rep").alias("b")).distinct())
+        links = store(verify(store(likely(pairs, reps), "pairs"), texts, similarity), "links")
+        labels = joined(labels, links)
+        rest = waiting.drop("label").join(lead.select("key", F.col("lead").alias("rep")), ["key", "rep"], "left_anti")
+        named = rest.join(labels.withColumnRenamed("node", "rep"), "rep")
+        mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
+        waiting = store(named.join(mixed, "key"), "waiting")
+        if waiting.isEmpty():
+            break
+        leaders *= MORE
     classes = reps.select("words", "rep").join(labels, F.col("rep") == F.col("node"), "left")
     classes = classes.select("words", F.coalesce("label", "rep").alias("label"))
     return (table.select("rid", "doc_id", "words").join(classes, "words", "left")

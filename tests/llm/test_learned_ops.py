@@ -80,6 +80,49 @@ def test_near_dedup_mixed_buckets(spark):
     assert max(len(g) for g in want) == 6
 
 
+def test_near_dedup_hub(spark):
+    """Some hundred edited copies of one original that are alike only through
+    it, and copies of copies that only one of these joins."""
+    rng = random.Random(11)
+
+    def edited(text):
+        w = text.split()
+        for at in range(6):
+            w[at * 50 + rng.randrange(40) + 5] = words(rng, 1, 4) + str(rng.randrange(10**9))
+        return " ".join(w)
+
+    rows = [(1000, words(rng, 300))]
+    rows += [(i, edited(rows[0][1])) for i in range(300)]
+    rows += [(2000 + i, edited(rows[1 + 9 * i][1])) for i in range(30)]
+
+    def grams(text):
+        w = text.split()
+        return {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
+
+    sets, parent = [grams(t) for _, t in rows], list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    alike = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+                parent[root(i)] = root(j)
+                alike += 1
+    assert alike < 400  # of 54,615 pairs
+    want = defaultdict(set)
+    for i, r in enumerate(rows):
+        want[root(i)].add(r[0])
+    found = defaultdict(set)
+    for r in near_dedup(frame(spark, rows)).collect():
+        found[r["class_id"]].add(r["doc_id"])
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, want.values()))
+    assert max(map(len, want.values())) > 300
+
+
 def test_near_dedup_empty(empty):
     assert near_dedup(empty).count() == 0
 
