@@ -279,6 +279,23 @@ def test_html_template_and_slots(spark):
     assert by_id[21] == "" and by_id[22] == "" and by_id[None] == "unclosed two" and by_id[23] == "in"
 
 
+def test_html_copies_and_shared_passages(spark):
+    """A host of copies only, a host half of which are copies, and a passage
+    that every article of a small host holds keep their main text."""
+    def page(body, article="article"):
+        return f"<html><body><div><p>Open all day</p></div><{article}><p>Notes on this work</p><p>{body}</p></{article}></body></html>"
+    rows = [(i, f"https://copies.org/{i}", page("Same body")) for i in range(5)]
+    rows += [(10 + i, f"https://half.org/{i}", page("Same <em>body</em>", "div")) for i in range(5)]
+    rows += [(20 + i, f"https://half.org/b{i}", page(f"Body {i}", "div")) for i in range(4)]
+    rows += [(30 + i, f"https://small.org/{i}", page(f"Body {i}")) for i in range(4)]
+    got = {r["page_id"]: r["text"] for r in extract_main_text(pages(spark, rows)).collect()}
+    assert [got[i] for i in range(5)] == ["Notes on this work Same body"] * 5
+    # without an article what all distinct pages share is template; a copy's own body is not
+    assert [got[10 + i] for i in range(5)] == ["Same body"] * 5
+    assert [got[20 + i] for i in range(4)] == [f"Body {i}" for i in range(4)]
+    assert [got[30 + i] for i in range(4)] == [f"Notes on this work Body {i}" for i in range(4)]
+
+
 def test_html_empty(spark):
     assert extract_main_text(pages(spark, [])).count() == 0
 
