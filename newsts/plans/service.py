@@ -7,8 +7,9 @@ News features per day (all distributed, documents never gathered):
   geo        T15 regex index → A2 daily sum → W12 decay
 aligned with J5, joined to the price table (events daily wide, ``purchase``
 as the label contract), lagged (W3), screened by RFE-Lasso on scaled
-columns (from the Gram, X7), fitted (M1), residual decomposed (X6) and
-modelled per part (M9).  Fitted artefacts are small tables (K7).
+columns (from the Gram, X7) and fitted (M1) with its residual.  The residual
+is not decomposed (X6) nor modelled per part (M9).  ``service_train`` saves the
+fitted artefacts as small tables (K7); ``service_forecast`` trains anew.
 """
 
 from __future__ import annotations
