@@ -63,20 +63,20 @@ def _nmf_inputs(spark, sf):
 
 @register("nmf")
 def nmf(spark, sf):
-    """NMF (k=4) of the term×document counts, HALS updates until the
-    loss gains less than 1 % (a parameter of the query): the document factor."""
-    W_, H, losses = TP.nmf_fit(_nmf_inputs(spark, sf), 2000, k=4, tol=1e-2)
+    """NMF (k=4) of the term×document counts, HALS updates with the
+    operator's own stop rule: the document factor."""
+    W_, H, losses = TP.nmf_fit(_nmf_inputs(spark, sf), 2000, k=4)
     return H.select("doc_id", *[F.col("h")[j].alias(f"h{j}") for j in range(4)])
 
 
 @register("sea_nmf")
 def sea_nmf(spark, sf):
-    """NMF with the PPMI semantic term (alpha 0.1, beta 0) until the loss
-    gains less than 1 % (a parameter of the query): the term factor."""
+    """NMF with the PPMI semantic term (alpha 0.1, beta 0) with the
+    operator's own stop rule: the term factor."""
     from ..operators import text as TO
     c, _ = _cooc(spark, sf)
     pp = TO.ppmi(c).filter(F.col("ppmi") > 0)
-    W_, H, losses = TP.nmf_fit(_nmf_inputs(spark, sf), 2000, k=4, tol=1e-2, ppmi=pp, alpha=0.1)
+    W_, H, losses = TP.nmf_fit(_nmf_inputs(spark, sf), 2000, k=4, ppmi=pp, alpha=0.1)
     return spark.createDataFrame([(i + 1, *map(float, w)) for i, w in enumerate(W_)],
                                  "term_id int, " + ", ".join(f"w{j} double" for j in range(4)))
 

@@ -138,3 +138,18 @@ def test_entry_without_the_optional_package(monkeypatch):
         m.setitem(sys.modules, "corpus_pipeline", None)
         names = set(E.queries())
     assert "flagship" in names and not any(n.startswith("op10_") for n in names)
+
+
+@pytest.mark.parametrize("name", ["nmf", "sea_nmf"])
+def test_nmf_queries_use_the_stop_rule_of_the_operator(spark, monkeypatch, name):
+    from newsts.plans import model_queries as Q
+    given = {}
+
+    def stop(*args, **options):
+        given.update(options)
+        raise StopIteration
+    monkeypatch.setattr(Q.TP, "nmf_fit", stop)
+    monkeypatch.setattr(Q, "_nmf_inputs", lambda spark, sf: None)
+    with pytest.raises(StopIteration):
+        getattr(Q, name)(spark, SF001)
+    assert given["k"] == 4 and not {"tol", "iters"} & set(given)
