@@ -14,10 +14,12 @@ from .exact_dedup import exact_dedup
 from .html_text import extract_main_text
 from .near_dedup import near_dedup
 from .quality_rules import STOP_WORDS, quality_rules
+from .reversed_search import reversed_search
 from .site_quality import site_quality
 from .suffix_dedup import suffix_dedup
 from .token_counts import token_counts
 from .toxicity import toxicity
+from .url_filter import url_filter
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
@@ -127,6 +129,62 @@ FROM d
 WINDOW w AS (PARTITION BY norm ORDER BY n_chars DESC, doc_id)
 """
 
+def op11_reversed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reversed_search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+OP11_SQL = r"""
+WITH words AS (
+  SELECT r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                       '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM (SELECT row_number() OVER () AS r, doc_id, text FROM documents)),
+d AS (SELECT r, doc_id, w, len(w) AS n FROM words WHERE len(w) > 0),
+c AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM d),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) GROUP BY r, term),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+q AS (
+  SELECT i, term, count(*) AS times
+  FROM (SELECT row_number() OVER () AS i, unnest(regexp_extract_all(
+          translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+          '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY i, term),
+names AS (SELECT row_number() OVER () AS i, item_id FROM benchmark),
+s AS (
+  SELECT q.i, d.r, d.doc_id,
+         CAST(sum(times * CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT)
+                  * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM q JOIN tf USING (term) JOIN df USING (term) JOIN d ON tf.r = d.r CROSS JOIN c GROUP BY q.i, d.r, d.doc_id),
+t AS (SELECT i, doc_id, score, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM t JOIN names USING (i) WHERE rank <= 10
+"""
+
+# fixed values of the contract: host, path, action
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
+             ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
+    found = url_filter(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules)
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
+_RULES = ", ".join(f"('{h}', '{p}', '{a}')" for h, p, a in URL_RULES)
+OP12_SQL = rf"""
+WITH rules(h, p, action) AS (VALUES {_RULES}),
+u AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
+parts AS (
+  SELECT row_number() OVER () AS r, page_id,
+         coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path
+  FROM u),
+best AS (
+  SELECT r, arg_max(struct_pack(rule := h || p, action := action), length(h) * 100000 + length(p)) AS w
+  FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY r)
+SELECT page_id, host, path, w.rule AS rule, coalesce(w.action, 'allow') AS verdict
+FROM parts LEFT JOIN best USING (r)
+"""
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_toxicity": (op1_toxicity, None),
     "op2_near_dedup": (op2_near_dedup, None),
@@ -138,4 +196,6 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_suffix_dedup": (op8_suffix_dedup, None),
     "op9_packing": (op9_packing, None),
     "op10_exact_dedup": (op10_exact_dedup, OP10_SQL),
+    "op11_reversed_search": (op11_reversed_search, OP11_SQL),
+    "op12_url_filter": (op12_url_filter, OP12_SQL),
 }
