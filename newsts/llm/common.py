@@ -73,3 +73,28 @@ def bounded_batches(batches, column: str, most: int = BATCH_BYTES):
                 k *= 2
             yield batch.slice(start, k)
             start += k
+
+
+HOT_SHARE, HOT_LEAST = 1000, 1000  # documented parameters of spread_join
+
+
+def spread_join(rows: DataFrame, groups: DataFrame, key: str, salt_by: str) -> DataFrame:
+    """``rows`` left-joined to ``groups``, which has one row per key at most.
+
+    A key with more than 1/HOT_SHARE of all rows, and HOT_LEAST at least, is
+    hot; there are at most HOT_SHARE of them, so their list is broadcast.  The
+    rows of a hot key are dealt over salts by ``salt_by``, each of which has its
+    own copy of the group's row, so no task gets more rows of one key than
+    that share.  Both tables should be stored ones.
+    """
+    most = max(HOT_LEAST, rows.count() // HOT_SHARE)
+    hot = (rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__n")).filter(F.col("__n") > most)
+           .select(key, F.ceil(F.col("__n") / most).cast("int").alias("__salts")))
+    hot = F.broadcast(store(hot, "hot"))
+    salt = F.when(F.col("__salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(salt_by), F.col("__salts")).cast("int"))
+    # null keys meet no group: they are dealt by a salt of their own
+    salt = F.when(F.col(key).isNull(), F.xxhash64(salt_by).cast("int")).otherwise(salt)
+    salts = F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))
+    dealt = rows.join(hot, key, "left").withColumn("__salt", salt).drop("__salts")
+    copies = groups.join(hot, key, "left").withColumn("__salt", salts).drop("__salts")
+    return dealt.join(copies, [key, "__salt"], "left").drop("__salt")

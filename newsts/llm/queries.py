@@ -17,11 +17,12 @@ from .quality_rules import STOP_WORDS, quality_rules
 from .reversed_search import reversed_search
 from .site_quality import site_quality
 from .suffix_dedup import suffix_dedup
+from .token_alignment import align_tokens
 from .token_counts import token_counts
 from .toxicity import toxicity
 from .url_filter import url_filter
 
-BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
+BYTE_BPE, WORD_BPE, PIECE_BPE = "byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,6 +186,10 @@ SELECT page_id, host, path, w.rule AS rule, coalesce(w.action, 'allow') AS verdi
 FROM parts LEFT JOIN best USING (r)
 """
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokens(documents(spark, sf_dir), BYTE_BPE, PIECE_BPE)
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_toxicity": (op1_toxicity, None),
     "op2_near_dedup": (op2_near_dedup, None),
@@ -198,4 +203,5 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op10_exact_dedup": (op10_exact_dedup, OP10_SQL),
     "op11_reversed_search": (op11_reversed_search, OP11_SQL),
     "op12_url_filter": (op12_url_filter, OP12_SQL),
+    "op13_token_alignment": (op13_token_alignment, None),
 }
