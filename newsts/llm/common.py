@@ -89,12 +89,12 @@ def spread_join(rows: DataFrame, groups: DataFrame, key: str, salt_by: str) -> D
     """
     most = max(HOT_LEAST, rows.count() // HOT_SHARE)
     hot = (rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__n")).filter(F.col("__n") > most)
-           .select(key, F.ceil(F.col("__n") / most).cast("int").alias("__salts")))
+           .select(key, F.ceil(F.col("__n") / most).cast("long").alias("__salts")))
     hot = F.broadcast(store(hot, "hot"))
-    salt = F.when(F.col("__salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(salt_by), F.col("__salts")).cast("int"))
+    number = F.xxhash64(salt_by)
     # null keys meet no group: they are dealt by a salt of their own
-    salt = F.when(F.col(key).isNull(), F.xxhash64(salt_by).cast("int")).otherwise(salt)
-    salts = F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))
+    salt = F.when(F.col(key).isNull(), number).otherwise(F.pmod(number, F.coalesce("__salts", F.lit(1))))
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("__salts", F.lit(1)) - 1))
     dealt = rows.join(hot, key, "left").withColumn("__salt", salt).drop("__salts")
     copies = groups.join(hot, key, "left").withColumn("__salt", salts).drop("__salts")
     return dealt.join(copies, [key, "__salt"], "left").drop("__salt")
