@@ -24,6 +24,19 @@ def columns(df: DataFrame, **wanted: tuple[str, str]) -> DataFrame:
     return df.select(*[F.col(f"`{src}`").cast(kind).alias(name) for name, (src, kind) in wanted.items()])
 
 
+def numbered(df: DataFrame, row_col: str | None = None, **wanted: tuple[str, str]) -> DataFrame:
+    """:func:`columns` with ``rid``, a number of each row's own.
+
+    Numbers made anew by every scan may differ, as the splits of a scan follow
+    the cores of the moment; so they are made once and stored.  A caller who
+    has stored numbers names their column.
+    """
+    if row_col is not None:
+        return columns(df, rid=(row_col, "long"), **wanted)
+    made = columns(df, **wanted).withColumn("rid", F.monotonically_increasing_id())
+    return store(made.select("rid", *wanted), "numbered")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

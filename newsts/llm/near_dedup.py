@@ -9,19 +9,32 @@ register of the document is filled stop early.
 
 Documents with equal word sequences are one representative before anything
 else.  Bands of registers are the bucket keys.  The members of a bucket are
-compared in rounds with its leaders: those that share their buckets with most
-others come first, so the original of many copies leads wherever it is.
-Buckets whose other members are still of several classes go on with more
-leaders, which meet the members of other classes, until the members that have
-not led are of one class.  So two documents with a common bucket end in one
-class or have been compared.  Pairs whose registers agree far too little are
-left out, the others are verified on their whole texts, and the verified links
-give the classes as connected components, computed by Spark joins.
+compared with a few leaders: those that share their buckets with most others,
+so the original of many copies leads wherever it is.  The members of buckets
+that are still of several classes then meet by their rare shingles.
+
+With p and q the weights of two documents divided by their sums, and the
+shingles in one order from rare to common, let a and b be the masses before
+the first common shingle.  These have no partner, and so the similarity is at
+most (1 - a)(1 - b) / (1 - ab).  A pair of the wanted similarity therefore has
+a common shingle where this bound is kept, which both documents have within
+their first 1 - similarity of mass, and one of them even earlier.  The members
+are joined on these shingles under this bound, so no link is lost, and members
+that can never join, such as different texts around one passage, form no pair.
+Copies that were changed in different places differ in common shingles too: a
+bit for each cell of the shingles' numbers tells shingles that the other text
+lacks for certain, which gives a and b anew for the same bound.
+
+Pairs whose registers agree far too little are left out, the others are
+verified on their whole texts, and the verified links give the classes as
+connected components, computed by Spark joins.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, columns, store
+from .common import bounded_batches, numbered, store
 from .shingles import WordHashes, mix, probability_jaccard, weighted
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -39,8 +52,14 @@ BANDS, ROWS = 20, 5
 # pairs that agree in fewer than this share of the registers are not verified:
 # five standard deviations below 0.8 for 100 registers (a chance of 3e-7)
 LEAST_AGREEMENT = 0.6
-LEADERS, MORE = 4, 4  # leaders of a bucket in the first round; each further round has MORE times as many
+LEADERS = 4  # leaders of a bucket
 MEMBERS = 512  # members of a leader verified by one group; larger groups are salted
+# documented parameter: counters of the sketch that orders shingles from rare
+# to common, 8 bytes each.  Any order gives the same links; the sketch makes
+# the common ones late
+COUNTERS = 1 << 18
+LONGS = 16  # documented parameter: 64-bit words of the cells of a text; more cells tell more of longer texts apart
+MEETING = 4096  # rows of one shingle joined by one group; larger groups are salted
 
 
 def prob_min_hash(doc: np.ndarray, value: np.ndarray, weight: np.ndarray, n_docs: int, registers: int) -> np.ndarray:
@@ -143,16 +162,26 @@ def verify(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) ->
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, label: the smallest node of each connected component, for every
-    node of a link (a, b).  In each step every node takes its smallest
-    neighbour as its parent, if that is smaller, and then its parent's parent;
+    """node, label: one node of each connected component stands for it, for
+    every node of a link (a, b).
+
+    The nodes of a round are ordered by a hash salted with the round, so long
+    chains of rising numbers are as short as any.  Every node takes its lowest
+    neighbour as its parent, if that is lower, and then its parent's parent;
     labels follow, and the links shrink to links between different parents,
-    until none is left."""
+    until none is left.  The rounds grow with the logarithm of the nodes.
+    """
     edges = store(links.select(F.col("a").alias("x"), F.col("b").alias("y"))
                   .union(links.select("b", "a")).filter("x <> y").distinct(), "edges")
     labels = edges.select(F.col("x").alias("node")).distinct().withColumn("label", F.col("node"))
+    turn = 0
     while not edges.isEmpty():
-        hooked = edges.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("parent"))
+        turn += 1
+
+        def place(c: str, turn: int = turn):
+            return F.struct(F.xxhash64(c, F.lit(turn)).alias("h"), F.col(c).alias("id"))
+
+        hooked = edges.groupBy("x").agg(F.min(place("y")).alias("low")).select("x", F.least("low", place("x"))["id"].alias("parent"))
         above = hooked.select(F.col("x").alias("parent"), F.col("parent").alias("above"))
         parents = store(hooked.join(above, "parent").select("x", F.col("above").alias("parent")), "parents")
         labels = store(labels.join(parents.withColumnRenamed("x", "label"), "label", "left")
@@ -172,8 +201,98 @@ def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     return store(labels.join(parts, "label", "left").select("node", F.coalesce("least", "label").alias("label")), "labels")
 
 
+def common_first(texts: DataFrame) -> np.ndarray:
+    """Counts of the shingles of all texts by ``shingle % COUNTERS``: a table
+    of fixed size, summed by Spark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, total = WordHashes(), np.zeros(COUNTERS, np.int64)
+        for batch in bounded_batches(batches, "text"):
+            _, value, _ = weighted([hashes(x) for x in batch.column("text").to_pylist()], WIDTH)
+            total += np.bincount((value % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        cell = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(total[cell])], names=["cell", "n"])
+
+    counted = texts.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    out = np.zeros(COUNTERS, np.int64)
+    found = counted.toArrow()
+    out[found.column("cell").to_numpy()] = found.column("n").to_numpy()
+    return out
+
+
+def prefixes(texts: DataFrame, similarity: float) -> DataFrame:
+    """rep, label, shingle, before: the first shingles of each text from rare
+    to common, up to 1 - similarity of its mass, with the mass before each;
+    and of each text its ``cells`` (bits) and ``least``, the mass of its
+    lightest shingle."""
+    counts = texts.sparkSession.sparkContext.broadcast(common_first(texts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in bounded_batches(batches, "text"):
+            doc, value, weight = weighted([hashes(x) for x in batch.column("text").to_pylist()], WIDTH)
+            order = np.lexsort((value, counts.value[(value % np.uint64(COUNTERS)).astype(np.int64)], doc))
+            doc, value, weight = doc[order], value[order], weight[order]
+            mass = np.bincount(doc, weight, batch.num_rows)
+            upto = np.cumsum(weight) - weight
+            first = np.searchsorted(doc, np.arange(batch.num_rows))
+            before = (upto - upto[np.minimum(first, max(0, len(upto) - 1))][doc]) / mass[doc] if len(doc) else upto
+            lightest = np.full(batch.num_rows, np.inf)
+            np.minimum.at(lightest, doc, weight)
+            cells = np.zeros((batch.num_rows, 64 * LONGS), bool)
+            cells[doc, (value >> np.uint64(32)).astype(np.int64) % (64 * LONGS)] = True
+            cells = np.packbits(cells, axis=1, bitorder="little").view("<i8")
+            kept = before <= 1 - similarity + 1e-9
+            of = pa.array(doc[kept], pa.int64())
+            many = pa.array(np.arange(int(kept.sum()) + 1) * LONGS, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("rid").take(of), batch.column("label").take(of), pa.array(value[kept].view(np.int64)), pa.array(before[kept]),
+                 pa.ListArray.from_arrays(many, pa.array(cells[doc[kept]].ravel())), pa.array((lightest / mass)[doc[kept]])],
+                names=["rep", "label", "shingle", "before", "cells", "least"])
+
+    return texts.select("rid", "label", "text").mapInArrow(
+        run, "rep long, label long, shingle long, before double, cells array<long>, least double")
+
+
+def meeting(first: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of different labels whose similarity the bound allows.
+
+    Of the rows of a shingle those of the most frequent label meet the others
+    only, never each other; at least one of a pair has the shingle within
+    ``short`` of its mass.
+    """
+    short = (1 - similarity) / (1 + similarity) + 1e-9
+    parts = first.groupBy("shingle", "label").agg(F.count("*").alias("n"), F.min("before").alias("least"))
+    groups = (parts.groupBy("shingle").agg(F.count("*").alias("labels"), F.sum("n").alias("rows"), F.min("least").alias("least"),
+                                           F.max_by("label", F.struct("n", "label")).alias("major"))
+              .filter((F.col("labels") > 1) & (F.col("least") <= short))
+              .select("shingle", "major", (F.floor(F.col("rows") / MEETING) + 1).alias("salts")))
+    rows = store(first.join(groups, "shingle").withColumn("early", F.col("before") <= short), "meeting")
+    # an early row meets all, a late one early ones
+    left = (rows.filter("label <> major").select("shingle", F.col("early").alias("any"), F.col("rep").alias("x"), F.col("label").alias("lx"),
+                                                 F.col("before").alias("bx"), F.col("cells").alias("cx"), F.col("least").alias("wx"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt")))
+    turns = F.when(F.col("early"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))
+    right = rows.select("shingle", F.explode(turns).alias("any"), F.col("rep").alias("y"), F.col("label").alias("ly"), F.col("before").alias("by"),
+                        F.col("cells").alias("cy"), F.col("least").alias("wy"),
+                        F.pmod(F.xxhash64("rep"), F.col("salts")).alias("salt"))
+
+    def can(a, b):
+        return (1 - a) * (1 - b) >= (similarity - 1e-9) * (1 - a * b)
+
+    def lacking(a, b):  # cells of a that b has not
+        return reduce(add, [F.bit_count(a[i].bitwiseAND(F.bitwise_not(b[i]))) for i in range(LONGS)])
+
+    x, y = F.col("cx"), F.col("cy")
+    possible = ((F.col("lx") != F.col("ly")) & can(F.col("bx"), F.col("by"))
+                & can(lacking(x, y) * F.col("wx"), lacking(y, x) * F.col("wy")))
+    on = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("shingle", "any", "salt")]
+    return (left.alias("l").join(right.alias("r"), [*on, possible])
+            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+
+
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """rid, doc_id, label: ``label`` is the rid of the class."""
+    """rid, doc_id, label: ``label`` is the rid of one row of the class.
+    ``docs`` (rid, doc_id, text) should be a stored table."""
     table = store(sketches(docs, bands, rows), "sketches")
     reps = store(table.filter("words IS NOT NULL").groupBy("words")
                  .agg(F.min("rid").alias("rep"), F.first("keys").alias("keys"), F.first("registers").alias("registers")), "reps")
@@ -185,23 +304,21 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
     # texts meet ids by a merge join at every size, as the ids have no bound
     labels = members.select(F.col("rep").alias("node")).distinct().withColumn("label", F.col("node"))
     texts = store(docs.select("rid", "text").hint("merge").join(labels.select(F.col("node").alias("rid")), "rid"), "texts")
-    waiting, leaders = members.withColumn("label", F.col("rep")), LEADERS
-    while True:
-        chosen = Window.partitionBy("key").orderBy(F.desc("meets"), "rep")
-        lead = (waiting.withColumn("k", F.row_number().over(chosen)).filter(F.col("k") <= leaders)
-                .select("key", F.col("rep").alias("lead"), F.col("label").alias("own")))
-        lead = lead if leaders == LEADERS else store(lead, "lead")
-        pairs = (waiting.join(lead, "key").filter("lead <> rep AND label <> own")
-                 .select(F.least("lead", "rep").alias("a"), F.greatest("lead", "rep").alias("b")).distinct())
-        links = store(verify(store(likely(pairs, reps), "pairs"), texts, similarity), "links")
-        labels = joined(labels, links)
-        rest = waiting.drop("label").join(lead.select("key", F.col("lead").alias("rep")), ["key", "rep"], "left_anti")
-        named = rest.join(labels.withColumnRenamed("node", "rep"), "rep")
-        mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
-        waiting = store(named.join(mixed, "key"), "waiting")
-        if waiting.isEmpty():
-            break
-        leaders *= MORE
+    chosen = Window.partitionBy("key").orderBy(F.desc("meets"), "rep")
+    lead = members.withColumn("k", F.row_number().over(chosen)).filter(F.col("k") <= LEADERS).select("key", F.col("rep").alias("lead"))
+    pairs = (members.join(lead, "key").filter("lead <> rep")
+             .select(F.least("lead", "rep").alias("a"), F.greatest("lead", "rep").alias("b")).distinct())
+    links = store(verify(store(likely(pairs, reps), "pairs"), texts, similarity), "links")
+    labels = joined(labels, links)
+    # members of buckets that still hold several classes
+    named = members.join(labels.withColumnRenamed("node", "rep"), "rep")
+    mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).filter("lo <> hi AND n > 2")
+    waiting = store(named.join(mixed.select("key"), "key", "left_semi").select("rep", "label").distinct(), "waiting")
+    if not waiting.isEmpty():
+        apart = store(texts.hint("merge").join(waiting.select(F.col("rep").alias("rid"), "label"), "rid"), "apart")
+        first = store(prefixes(apart, similarity), "prefixes")
+        pairs = store(likely(meeting(first, similarity), reps), "pairs")
+        labels = joined(labels, store(verify(pairs, texts, similarity), "links"))
     classes = reps.select("words", "rep").join(labels, F.col("rep") == F.col("node"), "left")
     classes = classes.select("words", F.coalesce("label", "rep").alias("label"))
     return (table.select("rid", "doc_id", "words").join(classes, "words", "left")
@@ -209,15 +326,14 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY,
-               bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+               bands: int = BANDS, rows: int = ROWS, row_col: str | None = None) -> DataFrame:
     """rid, doc_id, class_id, class_size, kept: one row per input row.
 
     ``class_id`` is the smallest doc_id of the class, whose row ``kept``
     marks; with equal or null ids the first row stays.  A text without words
     (or null) is alone in its class.  Repeated rows are one class.
     """
-    narrow = (columns(docs, doc_id=(id_col, "long"), text=(text_col, "string"))
-              .withColumn("rid", F.monotonically_increasing_id()))
+    narrow = numbered(docs, row_col, doc_id=(id_col, "long"), text=(text_col, "string"))
     named = store(near_classes(narrow, similarity, bands, rows), "classes")
     best = F.max(F.struct((-F.col("doc_id")).alias("d"), (-F.col("rid")).alias("r"))).alias("best")
     classes = (named.groupBy("label").agg(best, F.count("*").alias("class_size"))
