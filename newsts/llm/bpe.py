@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import ChunkMemo, shrink
+from .chunks import BoundedMemo, ChunkMemo
 from .common import bounded_batches, columns, tokenizer_path
 
 # fixed value: the pattern of the byte-level pre-tokeniser, with white space
@@ -33,7 +33,8 @@ from .common import bounded_batches, columns, tokenizer_path
 PIECES = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
           r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 MARKS = ".,;:!?%$#*&|"  # marks, neither letters nor digits, that often follow a word
-PIECE_CACHE = 100_000  # documented parameter: pieces kept by a task
+PIECE_BYTES = 24 << 20  # documented parameter: bytes of pieces kept by a task
+LONG_PIECE = 1 << 16  # bytes from which a piece's links are kept in arrays of 4 bytes each
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -82,7 +83,7 @@ class ByteBpe:
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.bytes = np.frombuffer(b"".join(self.strings), np.uint8)
         self.find = regex.compile(PIECES).findall
-        self.pieces: dict[str, bytes] = {}
+        self.pieces = BoundedMemo(PIECE_BYTES)
         self.chunks = ChunkMemo(self.encode_plain, added)
 
     def merge(self, ids: list[int]) -> list[int]:
@@ -96,7 +97,8 @@ class ByteBpe:
         if not queue:
             return ids
         heapify(queue)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        after, before = range(1, n + 1), range(-1, n - 1)
+        after, before = (list(after), list(before)) if n < LONG_PIECE else (array("i", after), array("i", before))
         while queue:
             entry = heappop(queue)
             i = entry & here
@@ -116,15 +118,14 @@ class ByteBpe:
                 heappush(queue, r << bits | h)
         return [i for i in ids if i >= 0]
 
-    def _ids(self, piece: str) -> bytes:
+    def encode_piece(self, piece: str) -> bytes:
         return array("I", self.merge([self.byte_ids[b] for b in piece.encode()])).tobytes()
 
     def _piece(self, piece: str) -> bytes:
         ids = self.pieces.get(piece)
         if ids is None:
-            if len(self.pieces) >= PIECE_CACHE:
-                shrink(self.pieces, PIECE_CACHE)
-            ids = self.pieces[piece] = self._ids(piece)
+            ids = self.encode_piece(piece)
+            self.pieces.remember(piece, ids)
         return ids
 
     def encode_plain(self, text: str) -> bytes:
@@ -132,7 +133,7 @@ class ByteBpe:
         if text[:1] == " " and (word := text[1:].rstrip(MARKS)).isalpha():
             # the common chunk, a word with marks after it, needs no pattern
             if len(word) == len(text) - 1:
-                return self._ids(text)
+                return self.encode_piece(text)
             return self.chunks.later[word] + self._piece(text[len(word) + 1:])
         return b"".join(map(self._piece, self.find(text)))
 

@@ -9,18 +9,42 @@ with a blank beside other white space, or at an end, is encoded as a whole.
 from __future__ import annotations
 
 from collections.abc import Callable
-from itertools import islice
+from sys import getsizeof
 
 import regex
 
-CHUNK_CACHE = 700_000  # documented parameter: chunks kept by a task, about 140 MB
+# documented parameters: bytes held by a task's memo, with the places of its
+# entries, and the longest key that is remembered.  In text without blanks a
+# chunk may be a paragraph, which is encoded whenever it comes
+MEMO_BYTES, LONGEST, ENTRY_BYTES = 128 << 20, 64, 120
 
 
-def shrink(memo: dict, most: int) -> None:
-    """Keep the older half of a full memo: what came early comes often."""
-    old = list(islice(memo.items(), most // 2))
-    memo.clear()
-    memo.update(old)
+class BoundedMemo(dict):
+    """Results of short strings, of at most ``most`` bytes in all."""
+
+    def __init__(self, most: int = MEMO_BYTES):
+        super().__init__()
+        self.most, self.held = most, 0
+
+    def remember(self, key: str, value) -> None:
+        if len(key) > LONGEST:
+            return
+        size = getsizeof(key) + getsizeof(value) + ENTRY_BYTES
+        if self.held + size > self.most:
+            self.halve()
+        self[key] = value
+        self.held += size
+
+    def halve(self) -> None:
+        """Keep the older half: what came early comes often."""
+        old, self.held = list(self.items()), 0
+        self.clear()
+        for key, value in old:
+            size = getsizeof(key) + getsizeof(value) + ENTRY_BYTES
+            if self.held + size > self.most // 2:
+                break
+            self[key] = value
+            self.held += size
 
 
 class _Whole(Exception):
@@ -28,19 +52,18 @@ class _Whole(Exception):
     is no place to cut at."""
 
 
-class _Memo(dict):
+class _Memo(BoundedMemo):
     """Ids of chunks, encoded when first asked for."""
 
-    def __init__(self, encode: Callable[[str], bytes], prefix: str):
-        super().__init__()
+    def __init__(self, encode: Callable[[str], bytes], prefix: str, most: int):
+        super().__init__(most)
         self.encode, self.prefix = encode, prefix
 
     def __missing__(self, chunk: str) -> bytes:
         if not chunk or chunk[0].isspace() or chunk[-1].isspace():
             raise _Whole
-        if len(self) >= CHUNK_CACHE:
-            shrink(self, CHUNK_CACHE)
-        ids = self[chunk] = self.encode(self.prefix + chunk)
+        ids = self.encode(self.prefix + chunk)
+        self.remember(chunk, ids)
         return ids
 
 
@@ -49,13 +72,13 @@ class ChunkMemo:
     ``added`` holds the ids of the added tokens, which stand for themselves
     wherever their strings appear."""
 
-    def __init__(self, encode_plain: Callable[[str], bytes], added: dict[str, int]):
+    def __init__(self, encode_plain: Callable[[str], bytes], added: dict[str, int], most: int = MEMO_BYTES):
         self.encode_plain = encode_plain
         self.added = {k: v.to_bytes(4, "little") for k, v in added.items()}
         longest_first = sorted(self.added, key=len, reverse=True)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") if added else None
-        self.first = _Memo(encode_plain, "")  # a chunk that starts a text
-        self.later = _Memo(encode_plain, " ")  # a chunk after a blank
+        self.first = _Memo(encode_plain, "", most // 8)  # a chunk that starts a text
+        self.later = _Memo(encode_plain, " ", most)  # a chunk after a blank
 
     def _plain(self, text: str) -> bytes:
         if not text:

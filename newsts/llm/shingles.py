@@ -7,7 +7,7 @@ import re
 import numpy as np
 import xxhash
 
-from .chunks import CHUNK_CACHE, shrink
+from .chunks import BoundedMemo
 
 _WORDS = re.compile(r"\w+").findall
 
@@ -24,20 +24,19 @@ class WordHashes:
     lower case), 8 bytes a word; blank-separated chunks are remembered."""
 
     def __init__(self):
-        self.known: dict[str, bytes] = {}
+        self.known = BoundedMemo()
 
     def __call__(self, text: str | None) -> bytes:
         chunks = (text or "").split()
         try:
             return b"".join(map(self.known.__getitem__, chunks))
         except KeyError:
-            new = {c for c in chunks if c not in self.known}
-            if len(self.known) + len(new) > CHUNK_CACHE:
-                shrink(self.known, CHUNK_CACHE)
-                new = {c for c in chunks if c not in self.known}
-            for c in new:
-                self.known[c] = b"".join(xxhash.xxh64_digest(w) for w in _WORDS(c.lower()))
-            return b"".join(map(self.known.__getitem__, chunks))
+            found = {c: self.known.get(c) for c in chunks}
+            for c, known in found.items():
+                if known is None:
+                    found[c] = b"".join(xxhash.xxh64_digest(w) for w in _WORDS(c.lower()))
+                    self.known.remember(c, found[c])
+            return b"".join(map(found.__getitem__, chunks))
 
 
 def shingle_rows(words: list[bytes], width: int = 5) -> tuple[np.ndarray, np.ndarray]:

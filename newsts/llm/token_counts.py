@@ -18,15 +18,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunks import CHUNK_CACHE, shrink
-from .common import bounded_batches, columns, store, tokenizer_path
+from .chunks import BoundedMemo
+from .common import bounded_batches, columns, spread_join, store, tokenizer_path
 
 CACHE_SCHEMA = "tokenizer binary, digest binary, n_tokens long"
-# documented parameter: with at most so many missing digests (about 4 MB) they
-# are broadcast and only missing texts move; otherwise the texts are reduced
-# to distinct ones in each map task and moved once
-BROADCAST_MISSES = 100_000
-
 
 def drops_white_space(path: str) -> bool:
     """Whether a file's normaliser turns white-space runs into one blank and
@@ -57,7 +52,7 @@ class Counter:
             model.no_padding()
             self._count = lambda texts: [len(x.ids) for x in model.encode_batch(texts, add_special_tokens=False)]
         self.by_chunk = drops_white_space(path)
-        self.known: dict[str, int] = {}
+        self.known = BoundedMemo()
 
     def count(self, texts: list[str]) -> list[int]:
         if not self.by_chunk:
@@ -68,12 +63,12 @@ class Counter:
             try:
                 out.append(sum(map(self.known.__getitem__, chunks)))
             except KeyError:
-                new = [c for c in set(chunks) if c not in self.known]
-                if len(self.known) + len(new) > CHUNK_CACHE:
-                    shrink(self.known, CHUNK_CACHE)
-                    new = [c for c in set(chunks) if c not in self.known]
-                self.known.update(zip(new, self._count(new), strict=True))
-                out.append(sum(map(self.known.__getitem__, chunks)))
+                found = {c: self.known.get(c) for c in chunks}
+                new = [c for c, n in found.items() if n is None]
+                for c, n in zip(new, self._count(new), strict=True):
+                    found[c] = n
+                    self.known.remember(c, n)
+                out.append(sum(map(found.__getitem__, chunks)))
         return out
 
 
@@ -122,7 +117,9 @@ def token_counts(docs: DataFrame, tokenizer: str, cache_path: str, limit: int =
                            _normalised(text, tokenizer).alias("content"))
              .withColumn("digest", F.unhex(F.sha2("content", 256))))
     before = stored_counts(open_cache(spark, cache_path), version)
-    misses = store(keyed.select("digest").distinct().join(before.select("digest"), "digest", "left_anti"), "misses")
+    # the digests of the rows, read by each of the joins below
+    rows = store(keyed.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "n_bytes", "digest"), "rows")
+    misses = store(rows.select("digest").distinct().join(before.select("digest"), "digest", "left_anti"), "misses")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(tokenizer)
@@ -130,17 +127,14 @@ def token_counts(docs: DataFrame, tokenizer: str, cache_path: str, limit: int =
             n = counter.count(batch.column("content").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(n, pa.int64())], names=["digest", "n_tokens"])
 
-    texts = keyed.select("digest", "content")
-    if misses.count() <= BROADCAST_MISSES:
-        texts = texts.join(F.broadcast(misses), "digest", "left_semi").groupBy("digest").agg(F.first("content").alias("content"))
-    else:
-        texts = texts.groupBy("digest").agg(F.first("content").alias("content")).join(misses, "digest", "left_semi")
+    # copies are reduced in each map task; the rest moves once
+    texts = keyed.groupBy("digest").agg(F.first("content").alias("content")).join(misses, "digest", "left_semi")
     (texts.mapInArrow(run, "digest binary, n_tokens long")
      .select(F.lit(version).alias("tokenizer"), "digest", "n_tokens")
      .write.mode("append").parquet(cache_path))
     after = stored_counts(spark.read.schema(CACHE_SCHEMA).parquet(cache_path), version)
     new = misses.withColumn("new", F.lit(True))
-    counts = after.join(new, "digest", "left")
-    return (keyed.drop("content").join(counts, "digest")
+    counts = store(after.join(rows.select("digest").distinct(), "digest", "left_semi").join(new, "digest", "left"), "counts")
+    return (spread_join(rows, counts, "digest", "rid")
             .select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"),
                     F.col("new").isNull().alias("cached")))

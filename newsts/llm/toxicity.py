@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import CHUNK_CACHE, shrink
+from .chunks import BoundedMemo
 from .common import bounded_batches, columns, store
 
 # fixed values: seed words of the weakly labelled categories
@@ -168,21 +168,20 @@ class _Scorer:
 
     def __init__(self, chain: Chain):
         self.chain, self.at = chain, {f: i for i, f in enumerate(chain.features)}
-        self.known: dict[str, bytes] = {}
+        self.known = BoundedMemo()
 
     def _found(self, text: str | None) -> bytes:
         chunks, known = (text or "").split(), self.known
         try:
             return b"".join(map(known.__getitem__, chunks))
         except KeyError:
-            new = {c for c in chunks if c not in known}
-            if len(known) + len(new) > CHUNK_CACHE:
-                shrink(known, CHUNK_CACHE)
-                new = {c for c in chunks if c not in known}
-            for c in new:
-                found = [self.at[f] for w in _WORDS(c.lower()) for f in word_features(w) if f in self.at]
-                known[c] = np.array(found, "<u2").tobytes()
-            return b"".join(map(known.__getitem__, chunks))
+            found = {c: known.get(c) for c in chunks}
+            for c, before in found.items():
+                if before is None:
+                    at = [self.at[f] for w in _WORDS(c.lower()) for f in word_features(w) if f in self.at]
+                    found[c] = np.array(at, "<u2").tobytes()
+                    known.remember(c, found[c])
+            return b"".join(map(found.__getitem__, chunks))
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:
         if not self.chain.models:
