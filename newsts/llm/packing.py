@@ -23,6 +23,7 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +31,9 @@ from .bpe import PIECES, ByteBpe
 from .common import bounded_batches, columns, store, tokenizer_path
 
 WINDOW = 1024
+# the compiled pattern engine steps back through white space character by
+# character on a stack of its own; longer runs are cut out before it
+LONG_BLANK = 1000
 
 
 class OpenWindows:
@@ -105,7 +109,7 @@ def best_fit_decreasing(counts: dict[int, int], window: int = WINDOW) -> np.ndar
     return np.array(rows, dtype=np.int64).reshape(-1, 5)
 
 
-class _Ids:
+class CompiledBpe:
     """Ids of whole texts by a compiled byte-level BPE, from the vocabulary of
     a ``tokenizers`` file whose ids follow the order of its merges."""
 
@@ -118,19 +122,33 @@ class _Ids:
         ranks = {s: i for i, s in enumerate(model.strings) if i in made}
         self.plain = tiktoken.Encoding("plain", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.added, self.cut = model.chunks.added, model.chunks.cut
+        self.piece, self.strings = model.encode_piece, model.strings
+        self.blanks = regex.compile(r"\p{White_Space}{%d,}" % LONG_BLANK)
+
+    def plain_ids(self, text: str) -> bytes:
+        """Ids of a text without added tokens.  The pattern takes a run of
+        white space as one piece, but for its last character where more text
+        follows."""
+        out, at = [], 0
+        for run in self.blanks.finditer(text):
+            past = run.end() - (run.end() < len(text))
+            out += [array("I", self.plain(text[at:run.start()])).tobytes(), self.piece(text[run.start():past])]
+            at = past
+        out.append(array("I", self.plain(text[at:])).tobytes())
+        return b"".join(out)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit; none for a null text."""
         out = []
         for text in texts:
             parts = self.cut.split(text) if self.cut and text else [text or ""]
-            out.append(b"".join(self.added[x] if k % 2 else array("I", self.plain(x)).tobytes() for k, x in enumerate(parts)))
+            out.append(b"".join(self.added[x] if k % 2 else self.plain_ids(x) for k, x in enumerate(parts)))
         return out
 
 
 @lru_cache(maxsize=2)
-def _ids(name: str) -> _Ids:
-    return _Ids(tokenizer_path(name))
+def _ids(name: str) -> CompiledBpe:
+    return CompiledBpe(tokenizer_path(name))
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = 0,
