@@ -22,33 +22,53 @@ from newsts.llm.toxicity import reject_toxic
 ROW = "__row"
 
 
-def _with(docs: DataFrame, decided: DataFrame, how: str) -> DataFrame:
-    """Rows of ``docs`` joined to the decisions on them (rid, ...)."""
-    numbered = docs.withColumn(ROW, F.monotonically_increasing_id())
-    return numbered.join(decided.withColumnRenamed("rid", ROW), ROW, how).drop(ROW)
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number for each row, stored: an operator and the join
+    that applies its decisions read the same numbers."""
+    return store(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
+def _without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    return rows.join(store(dropped.select(F.col("rid").alias(ROW)), "dropped"), ROW, "left_anti").drop(ROW)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows that the classifier chain does not reject.  It is fitted on
+    the labelled rows of the whole ``documents``; without labels nothing is
+    rejected.  Null and empty texts stay; repeated rows share their fate."""
     return reject_toxic(docs, documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _with(docs, store(exact_dedup(docs).filter("NOT kept").select("rid"), "dropped"), "left_anti")
+    """One row of each group of texts that are equal without white space: the
+    longest, then the smallest doc_id, null ids last.  Null counts as empty, so
+    one row of all null and blank texts stays."""
+    rows = _numbered(docs)
+    return _without(rows, exact_dedup(rows, row_col=ROW).filter("NOT kept"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _with(docs, store(near_dedup(docs).filter("NOT kept").select("rid"), "dropped"), "left_anti")
+    """One row of each class of near duplicates: the smallest doc_id, null ids
+    last.  Texts without words, null ones too, have no duplicates and stay."""
+    rows = _numbered(docs)
+    return _without(rows, near_dedup(rows, row_col=ROW).filter("NOT kept"))
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without repeated passages; ``n_chars`` follows the text."""
-    kept = suffix_dedup(docs, as_text=True).select("rid", F.col("kept").alias("__kept"))
-    joined = _with(docs.drop("text"), kept, "inner")
+    """All rows, with texts without repeated passages; ``n_chars`` follows the
+    text.  A null text becomes an empty one; the first of repeated rows keeps
+    its text."""
+    rows = _numbered(docs)
+    kept = suffix_dedup(rows, as_text=True, row_col=ROW).select(F.col("rid").alias(ROW), F.col("kept").alias("__kept"))
+    joined = rows.drop("text").join(kept, ROW)
     new = {"text": F.col("__kept"), "n_chars": F.length("__kept").cast("long")}
     return joined.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows of ``op9_packing`` over ``docs``: the pieces of every document
+    and their places.  A null or empty text is one piece of its end id alone;
+    rows with the same doc_id, or none, are documents of their own."""
     pieces = packing.cut_pieces(docs, BYTE_BPE)
     pieces = store(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces")
     return packing.assign(pieces).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

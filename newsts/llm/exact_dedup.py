@@ -13,7 +13,7 @@ where distinct blocks share a fingerprint, the sorted blocks are matched with
 the sorted names by rank, so no collision can join different texts.  Names
 are stored before they are used, so a lost executor cannot renumber them.
 A hot block or pair is one row on the name side of a join whose other side
-adaptive execution may split.
+adaptive execution may split; the rows of a large group are dealt over salts.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import columns, store, strip_white_space
+from .common import numbered, spread_join, store, strip_white_space
 
 BLOCK_CHARS = 4096  # documented parameter: code points in a block
 
@@ -67,11 +67,10 @@ def document_names(docs: DataFrame, block_chars: int = BLOCK_CHARS,
     """(documents, identities): ``documents`` has one row per input row with
     rid, doc_id, n_chars, text_sha256; ``identities`` has rid, level, name.
 
-    ``docs`` has doc_id and text.  ``rid`` numbers the input rows; it only
-    separates rows whose doc_id repeats.
+    ``docs`` has rid, doc_id and text.  ``rid`` only separates rows whose
+    doc_id repeats.
     """
-    base = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id",
-                       F.coalesce("text", F.lit("")).alias("text"))
+    base = docs.select("rid", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     base = base.select("rid", "doc_id", F.length("text").cast("long").alias("n_chars"),
                        strip_white_space(F.col("text")).alias("norm"))
     cut = base.withColumn("blocks", _blocks(F.col("norm"), block_chars))
@@ -101,7 +100,7 @@ def document_names(docs: DataFrame, block_chars: int = BLOCK_CHARS,
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                block_chars: int = BLOCK_CHARS, fingerprint=F.xxhash64) -> DataFrame:
+                block_chars: int = BLOCK_CHARS, fingerprint=F.xxhash64, row_col: str | None = None) -> DataFrame:
     """rid, doc_id, keep_id, group_size, kept, text_sha256: one row per input row.
 
     Of equal texts the row with the most code points in the original text
@@ -110,13 +109,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     are members of their group like any other; exactly one row of a group has
     ``kept``.  An empty table gives an empty result.
     """
-    narrow = columns(docs, doc_id=(id_col, "long"), text=(text_col, "string"))
+    narrow = numbered(docs, row_col, doc_id=(id_col, "long"), text=(text_col, "string"))
     table, identities = document_names(narrow, block_chars, fingerprint)
-    rows = table.join(identities, "rid")
+    rows = store(table.join(identities, "rid").withColumn("identity", F.struct("level", "name")), "identities")
     best = F.max(F.struct("n_chars", (-F.col("doc_id")).alias("d"), (-F.col("rid")).alias("r"))).alias("best")
-    groups = (rows.groupBy("level", "name").agg(best, F.count("*").alias("group_size"))
-              .select("level", "name", "group_size", (-F.col("best.d")).alias("keep_id"),
-                      (-F.col("best.r")).alias("keep_rid")))
-    return (rows.join(groups, ["level", "name"])
+    groups = (rows.groupBy("identity").agg(best, F.count("*").alias("group_size"))
+              .select("identity", "group_size", (-F.col("best.d")).alias("keep_id"), (-F.col("best.r")).alias("keep_rid")))
+    return (spread_join(rows.drop("level", "name"), store(groups, "groups"), "identity", "rid")
             .select("rid", "doc_id", "keep_id", "group_size",
                     (F.col("rid") == F.col("keep_rid")).alias("kept"), "text_sha256"))

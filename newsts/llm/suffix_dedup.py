@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import suffixes as S
-from .common import bounded_batches, columns, store
+from .common import bounded_batches, numbered, store
 
 # documented parameters
 CHUNK = 1 << 18  # bytes hashed at once
@@ -241,7 +241,8 @@ def _union(lo: list[int], hi: list[int]) -> list[tuple[int, int]]:
     return out
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False,
+                 row_col: str | None = None) -> DataFrame:
     """rid, doc_id, n_bytes, n_removed, spans (start, end; half open, in bytes),
     kept (the remaining bytes): one row per input row.
 
@@ -251,8 +252,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Rows with the same doc_id come in their order, null ids last; of repeated
     rows the first keeps its text.
     """
-    narrow = (columns(docs, doc_id=(id_col, "long"), text=(text_col, "string"))
-              .withColumn("rid", F.monotonically_increasing_id()))
+    narrow = numbered(docs, row_col, doc_id=(id_col, "long"), text=(text_col, "string"))
     found = store(repeated_anchors(narrow), "anchors")
     spans = store(repeated_spans(narrow, found), "spans")
     lists = spans.groupBy("rid").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
