@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, numbered, store
+from .common import bounded_batches, numbered, spread_join, store
 from .shingles import WordHashes, mix, probability_jaccard, weighted
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -117,12 +117,21 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame
         run, "rid long, doc_id long, words binary, keys array<long>, registers array<int>")
 
 
+def one_way(pairs: DataFrame) -> DataFrame:
+    """Each unordered pair (a, b) once; a stays first where it ever is."""
+    lo, hi = F.least("a", "b"), F.greatest("a", "b")
+    each = pairs.groupBy(lo.alias("lo"), hi.alias("hi")).agg(F.max(F.col("a") < F.col("b")).alias("up"))
+    return each.select(F.when(F.col("up"), F.col("lo")).otherwise(F.col("hi")).alias("a"),
+                       F.when(F.col("up"), F.col("hi")).otherwise(F.col("lo")).alias("b"))
+
+
 def likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs (a, b) that agree in enough registers."""
+    """The pairs (a, b), a stored table, that agree in enough registers."""
     a = reps.select(F.col("rep").alias("a"), F.col("registers").alias("ra"))
     b = reps.select(F.col("rep").alias("b"), F.col("registers").alias("rb"))
     agree = F.size(F.filter(F.zip_with("ra", "rb", lambda x, y: x == y), lambda same: same))
-    return pairs.join(a, "a").join(b, "b").filter(agree >= LEAST_AGREEMENT * F.size("ra")).select("a", "b")
+    # the one of many copies stands first in many pairs
+    return spread_join(pairs, a, "a", "b").join(b, "b").filter(agree >= LEAST_AGREEMENT * F.size("ra")).select("a", "b")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -173,7 +182,7 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = store(links.select(F.col("a").alias("x"), F.col("b").alias("y"))
                   .union(links.select("b", "a")).filter("x <> y").distinct(), "edges")
-    labels = edges.select(F.col("x").alias("node")).distinct().withColumn("label", F.col("node"))
+    labels = store(edges.select(F.col("x").alias("node")).distinct().withColumn("label", F.col("node")), "labels")
     turn = 0
     while not edges.isEmpty():
         turn += 1
@@ -184,7 +193,7 @@ def components(links: DataFrame) -> DataFrame:
         hooked = edges.groupBy("x").agg(F.min(place("y")).alias("low")).select("x", F.least("low", place("x"))["id"].alias("parent"))
         above = hooked.select(F.col("x").alias("parent"), F.col("parent").alias("above"))
         parents = store(hooked.join(above, "parent").select("x", F.col("above").alias("parent")), "parents")
-        labels = store(labels.join(parents.withColumnRenamed("x", "label"), "label", "left")
+        labels = store(spread_join(labels, parents.withColumnRenamed("x", "label"), "label", "node")
                        .select("node", F.coalesce("parent", "label").alias("label")), "labels")
         left = edges.join(parents.withColumnRenamed("parent", "px"), "x").select("px", "y")
         other = parents.select(F.col("x").alias("y"), F.col("parent").alias("py"))
@@ -194,11 +203,11 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """The labels (node, label) with the classes of every link made one."""
+    """The labels (node, label; a stored table) with the classes of every link made one."""
     a, b = (labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in ("a", "b"))
     between = links.join(a, "a").join(b, "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
     parts = components(between).select(F.col("node").alias("label"), F.col("label").alias("least"))
-    return store(labels.join(parts, "label", "left").select("node", F.coalesce("least", "label").alias("label")), "labels")
+    return store(spread_join(labels, store(parts, "parts"), "label", "node").select("node", F.coalesce("least", "label").alias("label")), "labels")
 
 
 def common_first(texts: DataFrame) -> np.ndarray:
@@ -287,7 +296,7 @@ def meeting(first: DataFrame, similarity: float) -> DataFrame:
                 & can(lacking(x, y) * F.col("wx"), lacking(y, x) * F.col("wy")))
     on = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("shingle", "any", "salt")]
     return (left.alias("l").join(right.alias("r"), [*on, possible])
-            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+            .select(F.col("x").alias("a"), F.col("y").alias("b")))
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -302,13 +311,12 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
     members = store(members.join(shared, "key").groupBy("rep").agg(F.sum("n").alias("meets"), F.collect_list("key").alias("keys"))
                     .select("rep", "meets", F.explode("keys").alias("key")), "members")
     # texts meet ids by a merge join at every size, as the ids have no bound
-    labels = members.select(F.col("rep").alias("node")).distinct().withColumn("label", F.col("node"))
+    labels = store(members.select(F.col("rep").alias("node")).distinct().withColumn("label", F.col("node")), "labels")
     texts = store(docs.select("rid", "text").hint("merge").join(labels.select(F.col("node").alias("rid")), "rid"), "texts")
     chosen = Window.partitionBy("key").orderBy(F.desc("meets"), "rep")
     lead = members.withColumn("k", F.row_number().over(chosen)).filter(F.col("k") <= LEADERS).select("key", F.col("rep").alias("lead"))
-    pairs = (members.join(lead, "key").filter("lead <> rep")
-             .select(F.least("lead", "rep").alias("a"), F.greatest("lead", "rep").alias("b")).distinct())
-    links = store(verify(store(likely(pairs, reps), "pairs"), texts, similarity), "links")
+    pairs = store(one_way(members.join(lead, "key").filter("lead <> rep").select(F.col("lead").alias("a"), F.col("rep").alias("b"))), "pairs")
+    links = store(verify(store(likely(pairs, reps), "likely"), texts, similarity), "links")
     labels = joined(labels, links)
     # members of buckets that still hold several classes
     named = members.join(labels.withColumnRenamed("node", "rep"), "rep")
@@ -317,8 +325,8 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
     if not waiting.isEmpty():
         apart = store(texts.hint("merge").join(waiting.select(F.col("rep").alias("rid"), "label"), "rid"), "apart")
         first = store(prefixes(apart, similarity), "prefixes")
-        pairs = store(likely(meeting(first, similarity), reps), "pairs")
-        labels = joined(labels, store(verify(pairs, texts, similarity), "links"))
+        pairs = store(one_way(meeting(first, similarity)), "pairs")
+        labels = joined(labels, store(verify(store(likely(pairs, reps), "likely"), texts, similarity), "links"))
     classes = reps.select("words", "rep").join(labels, F.col("rep") == F.col("node"), "left")
     classes = classes.select("words", F.coalesce("label", "rep").alias("label"))
     return (table.select("rid", "doc_id", "words").join(classes, "words", "left")
@@ -338,5 +346,5 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     best = F.max(F.struct((-F.col("doc_id")).alias("d"), (-F.col("rid")).alias("r"))).alias("best")
     classes = (named.groupBy("label").agg(best, F.count("*").alias("class_size"))
                .select("label", "class_size", (-F.col("best.d")).alias("class_id"), (-F.col("best.r")).alias("keep")))
-    return (named.join(classes, "label")
+    return (spread_join(named, store(classes, "sizes"), "label", "rid")
             .select("rid", "doc_id", "class_id", "class_size", (F.col("rid") == F.col("keep")).alias("kept")))
