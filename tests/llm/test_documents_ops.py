@@ -198,11 +198,13 @@ def test_token_counts(spark, df, corpus, library):
         (i, len(library[BYTE].encode(x or "", add_special_tokens=False).ids)) for i, x in corpus)
 
 
-def test_token_counts_many_misses(spark, df, monkeypatch):
-    from newsts.llm import token_counts as T
+def test_token_counts_hot_texts(spark, df, monkeypatch):
+    """Rows of texts with many copies, dealt over salts, get the same counts."""
+    from newsts.llm import common
     want = bag(token_counts(df, WORD, work_folder(spark, "test-cache")).select("doc_id", "n_tokens").collect())
-    monkeypatch.setattr(T, "BROADCAST_MISSES", 0)
-    assert bag(token_counts(df, WORD, work_folder(spark, "test-cache")).select("doc_id", "n_tokens").collect()) == want
+    monkeypatch.setattr(common, "HOT_LEAST", 1)
+    got = token_counts(df, WORD, work_folder(spark, "test-cache"))
+    assert bag(got.select("doc_id", "n_tokens").collect()) == want
 
 
 def test_token_counts_empty(spark, empty):
@@ -284,6 +286,83 @@ def test_pack_empty(empty):
     assert packing.pack(empty, BYTE).count() == 0
 
 
+@pytest.mark.parametrize("blank", [" ", "\n", "\t", "\r\n ", "\u3000"])
+def test_packing_long_white_space(library, blank):
+    """Runs that the compiled pattern engine cannot step back through."""
+    model = packing._ids(BYTE)
+    for n, around in [(5_000_000, "{}"), (1_000_000, "a {}b{}"), (3_000, "{}x{}<|endoftext|>{}."), (999, "{}a"), (1_000, "{} a"), (1_001, "\n{}\t1")]:
+        text = around.replace("{}", blank * (n // len(blank)))
+        assert np.frombuffer(model.encode([text])[0], "<u4").tolist() == library[BYTE].encode(text, add_special_tokens=False).ids
+
+
 def test_crc_of_ids(df):
     pieces = packing.cut_pieces(df, BYTE, 64).withColumn("crc", F.crc32("ids")).collect()
     assert all(r["crc"] == zlib.crc32(bytes(r["ids"])) for r in pieces)
+
+
+# ---- memos
+
+def test_memos_are_bounded_in_bytes():
+    """Paragraphs without blanks are not remembered, and what is remembered
+    stays within its bytes."""
+    from sys import getsizeof
+
+    from newsts.llm.chunks import LONGEST, BoundedMemo
+    from newsts.llm.shingles import WordHashes
+    model = bpe.ByteBpe(tokenizer_path(BYTE))
+    plain = [f"{i:05d}" + "\u6f22\u5b57" * 500 for i in range(300)]
+    before = bpe.ByteBpe(tokenizer_path(BYTE)).encode(plain[:3])
+    assert model.encode(plain)[:3] == before
+    assert len(model.chunks.later) == len(model.chunks.first) == 0 and all(len(k) <= LONGEST for k in model.pieces)
+    hashes = WordHashes()
+    assert hashes(plain[0]) and not hashes.known
+    memo = BoundedMemo(20_000)
+    for i in range(5_000):
+        memo.remember(f"word{i}", b"x" * (i % 50))
+        held = sum(getsizeof(k) + getsizeof(v) for k, v in memo.items())
+        assert held <= memo.held <= 20_000
+    assert memo and "word4999" in memo
+
+
+# ---- rows are numbered once
+
+def test_numbers_do_not_follow_the_splits(spark, tmp_path, corpus):
+    """The splits of a scan follow the cores of the moment: a table that is
+    planned anew for every job gives the same rows."""
+    import corpus_pipeline
+    from newsts.llm import common
+    from newsts.llm.near_dedup import near_dedup
+
+    from .conftest import frame
+    rows = [(1000 * k + (i or 0), t) for k in range(3) for i, t in corpus]
+    frame(spark, rows).repartition(6).write.parquet(str(tmp_path / "t"))
+    docs, kept = spark.read.parquet(str(tmp_path / "t")), common.store
+
+    def show():
+        found = [corpus_pipeline.exact_dedup_stage, corpus_pipeline.near_dedup_stage, corpus_pipeline.suffix_dedup_stage]
+        return [bag((r["doc_id"], r["text"]) for r in stage(spark, docs, "").collect()) for stage in found] + [
+            bag((r["doc_id"], bytes(r["kept"])) for r in suffix_dedup(docs).collect()),
+            bag((r["doc_id"], r["class_id"], r["kept"]) for r in near_dedup(docs).collect())]
+
+    want, turn = show(), [0]
+
+    def shaken(df, what):
+        turn[0] += 1
+        for name, value in (("leafNodeDefaultParallelism", (4, 64)[turn[0] % 2]), ("files.maxPartitionBytes", (1 << 14, 1 << 27)[turn[0] % 2])):
+            spark.conf.set(f"spark.sql.{name}", str(value))
+        return kept(df, what)
+
+    import newsts.llm.exact_dedup as e
+    import newsts.llm.near_dedup as n
+    import newsts.llm.suffix_dedup as s
+    places = [common, corpus_pipeline, e, n, s]
+    try:
+        for m in places:
+            m.store = shaken
+        got = show()
+    finally:
+        for m in places:
+            m.store = kept
+        spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert turn[0] > 20 and got == want

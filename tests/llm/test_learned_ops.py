@@ -15,7 +15,7 @@ from newsts.llm.near_dedup import near_dedup, prob_min_hash
 from newsts.llm.shingles import WordHashes, probability_jaccard, weighted
 from newsts.llm.site_quality import site_quality
 
-from .conftest import SF001, frame, words
+from .conftest import SF001, SF01, frame, words
 
 
 def slow_similarity(x, y):
@@ -147,10 +147,39 @@ def test_components(spark, seed):
         x, y = root(a), root(b)
         parent[max(x, y)] = min(x, y)
     got = components(spark.createDataFrame(links, "a long, b long")).collect()
-    assert {r["node"]: r["label"] for r in got} == {n: root(n) for n in parent} and len(got) == len(parent)
+    assert len(got) == len(parent)
+    pairs = {(r["label"], root(r["node"])) for r in got}
+    assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs}) == len({root(n) for n in parent})
+    assert all(root(a) == b for a, b in pairs)
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_a_long_chain(spark, monkeypatch):
+    """Rising numbers along a chain need no more rounds than any others."""
+    from newsts.llm import near_dedup as n
+    rounds, kept = [], n.store
+    monkeypatch.setattr(n, "store", lambda df, what: rounds.append(what) or kept(df, what))
+    got = n.components(spark.range(9_999).selectExpr("id AS a", "id + 1 AS b"))
+    assert got.count() == 10_000 and got.select("label").distinct().count() == 1
+    assert rounds.count("parents") <= 20
+
+
+def test_near_dedup_finds_all_links(spark):
+    """Recall against all pairs that share a shingle, on a given table."""
+    docs = spark.read.parquet(f"{SF01}/documents.parquet")
+    found = {r["doc_id"]: r["class_id"] for r in near_dedup(docs).collect()}
+    h, sets, holders = WordHashes(), {}, defaultdict(set)
+    for r in docs.collect():
+        _, value, weight = weighted([h(r["text"])])
+        order = np.argsort(value)
+        sets[r["doc_id"]] = value[order], weight[order]
+        for v in set(value.tolist()):
+            holders[v].add(r["doc_id"])
+    pairs = {(a, b) for ids in holders.values() for a in ids for b in ids if a < b}
+    links = [(a, b) for a, b in pairs if probability_jaccard(sets[a], sets[b]) >= 0.8]
+    assert len(links) > 90 and all(found[a] == found[b] for a, b in links)
+
+
 def test_prob_min_hash_estimates_similarity():
     rng = random.Random(5)
     base = [words(rng, 1) + str(i % 60) for i in range(120)]
@@ -296,6 +325,80 @@ def test_html_copies_and_shared_passages(spark):
     assert [got[30 + i] for i in range(4)] == [f"Notes on this work Body {i}" for i in range(4)]
 
 
+def test_html_without_telling_names(spark):
+    """Hosts without article elements and without names that tell: the right
+    text is known, the rest is menus, teasers and notes of three layouts."""
+    rng = random.Random(9)
+    layouts = [
+        lambda h, b, x: f"<div class=a1><ul><li><a href=/>Home</a><li><a href=/x>{x}</a></ul></div><div class=b7><h1>{h}</h1>{b}</div>"
+                        f"<div class=c3><p>Today: {x}</p><p>All rights</p></div>",
+        lambda h, b, x: f"<table><tr><td class=l><a href=/1>One</a><br><a href=/2>{x}</a></td><td class=m><h2>{h}</h2>{b}</td></tr></table><p class=z>{x}</p>",
+        lambda h, b, x: f"<section class=q><section class=r><div class=s>{x} 12 degrees</div><div class=t><h1>{h}</h1><div class=u>{b}</div></div></section>"
+                        f"<div class=v><a href=/9>{words(rng, 9)}</a></div></section>"]
+    rows, want = [], {}
+    for h, layout in enumerate(layouts):
+        for i in range(7):
+            head, paras = words(rng, 4), [words(rng, 20 + rng.randrange(60)) for _ in range(2 + rng.randrange(4))]
+            page = f"<html><head><title>{head}</title></head><body><div class=top>Our paper since 1900</div>"
+            page += layout(head, "".join(f"<p>{p}</p>" for p in paras), words(rng, 2)) + "<div class=end>Made here</div></body></html>"
+            rows.append((10 * h + i, f"https://h{h}.org/{i}", page))
+            want[10 * h + i] = " ".join([head, *paras])
+    got = {r["page_id"]: r["text"] for r in extract_main_text(pages(spark, rows)).collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize("hosts", [1, 5])  # one host of all, or hosts of one page without a template
+def test_html_names_alone_drop_nothing(spark, hosts):
+    body = "<h1>Head {0}</h1><p>The text of article {0} goes on</p><p>and <math><mi>x{0}</mi></math> <svg><text>s{0}</text></svg> on</p>"
+    shells = ['<article class="post overflow-hidden">{}</article>', '<article aria-hidden="false">{}</article>',
+              '<article class="search-result">{}</article>', '<main id="related-work">{}</main>',
+              '<div class="has-sidebar"><article>{}</article></div>', '<div class="ad-free layout"><main>{}</main></div>',
+              '<form class="page">{}</form>', '<div class="widget"><div class="share">{}</div></div>']
+    rows = [(10 * k + i, f"https://n{k if hosts == 1 else 10 * k + i}.org/{i}", "<html><body><nav><a href=/>Home</a></nav>"
+             + shell.format(body.format(i)) + f"<div class=ad>Buy {i}</div><footer>End {i}</footer></body></html>")
+            for k, shell in enumerate(shells) for i in range(4)]
+    got = {r["page_id"]: r["text"] for r in extract_main_text(pages(spark, rows)).collect()}
+    assert got == {10 * k + i: f"Head {i} The text of article {i} goes on and x{i} s{i} on" for k in range(len(shells)) for i in range(4)}
+
+
+def test_html_parts_inside_an_article_go(spark):
+    page = ("<article class=post><header><h1>Head</h1></header><p>One</p><div class='share-buttons'>Share it</div><aside>Aside</aside>"
+            "<form>Mail<input></form><p hidden>no</p><p>Two<noscript>n</noscript></p><section id=comments><article>I agree</article></section></article>")
+    assert extract_main_text(pages(spark, [(1, "https://x.org/1", page)])).first()["text"] == "Head One Two"
+
+
+def test_html_order_makes_a_class_valid(spark):
+    """Tokens with one occurrence vector in changing order are no template."""
+    from newsts.llm.html_text import candidates, distinct_pages, occurrence_vectors, parsed, templates
+    def page(i):
+        a, b = ("<p class=x>A text</p>", "<p class=y>B text</p>")
+        return f"<html><body><div class=k>{a + b if i % 2 else b + a}</div><div class=n><h1>Fixed</h1>{i}</div></body></html>"
+    from pyspark.sql import functions as F
+    from newsts.llm.common import store
+    rows = pages(spark, [(i, "https://o.org", page(i)) for i in range(6)]).drop("rid").withColumn("rid", F.col("page_id")).withColumn("host", F.lit("o"))
+    read = store(parsed(rows), "parsed")
+    listed = store(candidates(occurrence_vectors(distinct_pages(read))), "candidates")
+    assert len(listed.first()["classes"]) == 11  # 8 tags, 3 texts, one vector with the page itself
+    assert templates(read, listed).count() == 0
+    same = rows.withColumn("html", F.regexp_replace("html", "<p class=y>B text</p><p class=x>A text</p>", "<p class=x>A text</p><p class=y>B text</p>"))
+    read = store(parsed(same), "parsed")
+    listed = store(candidates(occurrence_vectors(distinct_pages(read))), "candidates")
+    assert [(c["parent"], len(c["texts"])) for c in templates(read, listed).first()["template"]] == [(None, 3)]
+
+
+def test_html_deep_pages():
+    """Time and memory in proportion to the page, whatever is left open."""
+    import time
+
+    from newsts.llm.html_text import Slots, parse
+    for tag in ("div", "b", "x-y"):
+        start = time.process_time()
+        found = parse(f"<{tag}>" * 100_000 + "deep" + "</i></p></b>" * 50_000 + "<p>end")
+        page = Slots(*found, None, set())
+        assert page.text(page.search(page.doubted()), set()).startswith("deep")
+        assert time.process_time() - start < 20
+
+
 def test_html_empty(spark):
     assert extract_main_text(pages(spark, [])).count() == 0
 
