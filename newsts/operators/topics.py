@@ -1,7 +1,8 @@
 """Topic models.
 
-T11/T12 use Spark ML's distributed LDA.  T13/T14 (NMF, semantics-assisted
-NMF) run as alternating, column-wise (HALS) updates where the documents
+T11 fits topics on the edges (document, term, count) with documents and terms
+as tables: no vocabulary is collected.  T12 uses Spark ML's distributed LDA on
+vectors of fixed length.  T13/T14 (NMF, semantics-assisted NMF) run as alternating, column-wise (HALS) updates where the documents
 stay distributed: the document factor H is a DataFrame (one k-vector per
 document, updated row-locally), and only the term factor W — terms × k
 for a top-n vocabulary, so bounded — travels to the executors as a small
@@ -11,10 +12,11 @@ checkpoint folder to cut lineage.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,37 +27,141 @@ FLOOR = 1e-20
 
 
 # T11 --------------------------------------------------------------------------
-def lda_terms_fit(tokens: DataFrame, k: int = 4, vocab_size: int = (1 << 31) - 1, seed: int = 42, max_iter: int = 10,
-                  id_col: str = "doc_id", list_col: str = "terms"):
-    """Fit LDA on document term counts (CountVectorizer → LDA): ``max_iter``
-    passes, each over all documents; no term is cut by default."""
-    from pyspark.ml.clustering import LDA
-    from pyspark.ml.feature import CountVectorizer
-    cv = CountVectorizer(inputCol=list_col, outputCol="features", vocabSize=vocab_size).fit(tokens)
-    # every LDA iteration rescans its input: materialise the count vectors once
-    data = cut_lineage(cv.transform(tokens).select("features"))
-    lda = LDA(k=k, seed=seed, maxIter=max_iter, optimizer="online", subsamplingRate=1.0).fit(data)
-    return cv, lda
+# documented parameters: pseudo-counts of a topic in a document and of a term
+# in a topic, steps of the shares of one document, cells summed before they leave a task
+TOPIC_PRIOR, TERM_PRIOR, INNER, CELLS = 0.25, 0.01, 30, 200_000
+
+
+def term_edges(tokens: DataFrame, id_col: str = "doc_id", term_col: str = "term") -> tuple[DataFrame, DataFrame]:
+    """(edges, terms), both stored: edges (doc, term_id, n) with the count of
+    each term of a document, terms (term_id, term) with a number for each."""
+    counted = cut_lineage(tokens.groupBy(F.col(id_col).alias("doc"), F.col(term_col).alias("term")).agg(F.count(F.lit(1)).cast("double").alias("n")))
+    terms = cut_lineage(counted.select("term").distinct().withColumn("term_id", F.monotonically_increasing_id()))
+    return cut_lineage(counted.join(terms, "term").select("doc", "term_id", "n")), terms
+
+
+def shares(n: np.ndarray, phi: np.ndarray, starts: np.ndarray, prior: float = TOPIC_PRIOR, steps: int = INNER) -> np.ndarray:
+    """Topic shares of documents, by expectation-maximisation from equal
+    shares: document i has the edges from ``starts[i]`` on, with counts ``n`` and the
+    topic weights ``phi`` of their terms."""
+    k = phi.shape[1]
+    of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(n))))
+    theta = np.full((len(starts), k), 1.0 / k)
+    for _ in range(steps):
+        r = theta[of] * phi
+        r *= (n / np.maximum(r.sum(axis=1), 1e-300))[:, None]
+        theta = np.add.reduceat(r, starts, axis=0) + prior if len(n) else theta
+        theta /= theta.sum(axis=1, keepdims=True)
+    return theta
+
+
+def _expect(edges: DataFrame, phi: DataFrame, k: int) -> DataFrame:
+    """term_id, s0.. (expected counts of the term in each topic); the row of
+    term -1 holds the log likelihood and the log prior of the shares.
+
+    The weights of the terms go to the edges and these to their documents, a
+    document's in one task; sums by term leave a task already reduced."""
+    s = [f"s{j}" for j in range(k)]
+    at = edges.join(phi, "term_id").select("doc", "term_id", "n", *[F.col("phi")[j].alias(f"p{j}") for j in range(k)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[tuple[np.ndarray, np.ndarray]] = []
+        total, held, rest = 0.0, 0, None
+
+        def learn(doc, term, n, p):
+            nonlocal total, held
+            starts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+            theta = shares(n, p, starts)
+            r = np.repeat(theta, np.diff(np.append(starts, len(n))), axis=0) * p
+            mass = np.maximum(r.sum(axis=1), 1e-300)
+            total += float(n @ np.log(mass)) + TOPIC_PRIOR * float(np.log(theta).sum())
+            kept.append(_by_term(term, r * (n / mass)[:, None]))
+            held += len(kept[-1][0])
+
+        def out() -> pa.RecordBatch:
+            ids, sums = _by_term(np.concatenate([x for x, _ in kept]), np.concatenate([x for _, x in kept]))
+            return pa.RecordBatch.from_arrays([pa.array(ids), *[pa.array(sums[:, j]) for j in range(k)]], names=["term_id", *s])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = [np.asarray(batch.column("doc").to_pylist(), dtype=object), batch.column("term_id").to_numpy(), batch.column("n").to_numpy(),
+                   np.stack([batch.column(f"p{j}").to_numpy() for j in range(k)], axis=1)]
+            if rest is not None:
+                new = [np.concatenate([a, b]) for a, b in zip(rest, new, strict=True)]
+            # the last document may go on in the next batch
+            cut = int(np.flatnonzero(new[0] != new[0][-1])[-1]) + 1 if (new[0] != new[0][-1]).any() else 0
+            rest = [a[cut:] for a in new]
+            if cut:
+                learn(*[a[:cut] for a in new])
+            if held > CELLS:
+                yield out()
+                kept, held = [], 0
+        if rest is not None:
+            learn(*rest)
+        if kept:
+            yield out()
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), *[pa.array([total if j == 0 else 0.0]) for j in range(k)]], names=["term_id", *s])
 
+    part = (at.repartition("doc").sortWithinPartitions("doc")
+            .mapInArrow(run, "term_id long, " + ", ".join(f"{c} double" for c in s)))
+    return part.groupBy("term_id").agg(*[F.sum(c).alias(c) for c in s])
 
-def lda_terms_apply(tokens: DataFrame, cv, lda, id_col: str = "doc_id", term_col: str = "term") -> DataFrame:
-    """T11 apply: each vocabulary word is scored once as a one-word document;
-    a document's topics are the mean over its words (same result as scoring
+
+def _by_term(term: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    ids, at = np.unique(term, return_inverse=True)
+    sums = np.zeros((len(ids), r.shape[1]))
+    np.add.at(sums, at, r)
+    return ids, sums
+
+
+def lda_terms_fit(edges: DataFrame, terms: DataFrame, k: int = 4, seed: int = 42, max_iter: int = 10) -> tuple[DataFrame, list[float]]:
+    """T11 fit: (terms with their weights ``phi`` in each topic, log posterior
+    of each pass), over the stored tables of :func:`term_edges`.
+
+    Expectation-maximisation for the most probable topics with Dirichlet
+    pseudo-counts (declared instead of variational Bayes), ``max_iter`` passes
+    over all edges.  The vocabulary is a table like the documents: expected
+    counts are grouped sums by term, and only the k totals reach the driver.
+    """
+    # start: weights of their own for each term, from a hash of the term
+    noise = [1.0 + F.pmod(F.xxhash64("term", F.lit(seed), F.lit(j)), F.lit(1 << 20)) / float(1 << 20) for j in range(k)]
+    weights = terms.select("term_id", *[n.alias(f"s{j}") for j, n in enumerate(noise)])
+    n_terms, losses = terms.count(), []
+    phi = _normalised(weights, n_terms, k, 0.0)
+    for _ in range(max_iter):
+        found = cut_lineage(_expect(edges, phi.select("term_id", "phi"), k))
+        losses.append((found.filter("term_id = -1").agg(F.sum("s0")).first()[0] or 0.0) + _log_prior(phi, k))
+        phi = _normalised(found.filter("term_id >= 0"), n_terms, k, TERM_PRIOR)
+    return phi.join(terms, "term_id").select("term_id", "term", "phi"), losses
+
+
+def _normalised(sums: DataFrame, n_terms: int, k: int, prior: float) -> DataFrame:
+    total = sums.agg(*[F.sum(f"s{j}") for j in range(k)]).first()
+    share = [(F.col(f"s{j}") + prior) / ((total[j] or 0.0) + prior * n_terms) for j in range(k)]
+    return cut_lineage(sums.select("term_id", F.array(*share).alias("phi")))
+
+
+def _log_prior(phi: DataFrame, k: int) -> float:
+    logs = F.aggregate(F.transform("phi", lambda x: F.log(x)), F.lit(0.0), lambda s, x: s + x)
+    return TERM_PRIOR * (phi.agg(F.sum(logs)).first()[0] or 0.0)
+
+
+def lda_terms_apply(edges: DataFrame, phi: DataFrame, k: int = 4, id_col: str = "doc_id") -> DataFrame:
+    """T11 apply: each term is scored once as a one-word document; a
+    document's topics are the mean over its words (same result as scoring
     every word occurrence, with V instead of D·L transforms)."""
-    from pyspark.ml.functions import vector_to_array
-    spark = tokens.sparkSession
-    vocab = spark.createDataFrame([([w],) for w in cv.vocabulary], "terms array<string>")
-    scored = lda.transform(cv.transform(vocab)).select(F.col("terms")[0].alias(term_col),
-                                                        vector_to_array("topicDistribution").alias("topics"))
-    # one row per vocabulary word, scored once and materialised; words outside
-    # a cut vocabulary add nothing, and a document of such words alone keeps
-    # its row, with null topics
-    scored = cut_lineage(scored)
-    tf = tokens.groupBy(id_col, term_col).agg(F.count(F.lit(1)).alias("_n"))
-    j = tf.join(scored, on=term_col, how="left")
-    k = lda.getK()
-    n = F.sum(F.when(F.col("topics").isNotNull(), F.col("_n")))
-    return j.groupBy(id_col).agg(*[(F.sum(F.col("topics")[i] * F.col("_n")) / n).alias(f"Topic{i + 1}") for i in range(k)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = np.array(batch.column("phi").to_pylist(), float).reshape(-1, k)
+            t = shares(np.ones(len(p)), p, np.arange(len(p)))
+            yield pa.RecordBatch.from_arrays([batch.column("term_id"), *[pa.array(t[:, j]) for j in range(k)]],
+                                             names=["term_id", *[f"t{j}" for j in range(k)]])
+
+    scored = phi.select("term_id", "phi").mapInArrow(run, "term_id long, " + ", ".join(f"t{j} double" for j in range(k)))
+    means = [(F.sum(F.col(f"t{j}") * F.col("n")) / F.sum("n")).alias(f"Topic{j + 1}") for j in range(k)]
+    return edges.join(cut_lineage(scored), "term_id").groupBy(F.col("doc").alias(id_col)).agg(*means)
 
 
 # T12 --------------------------------------------------------------------------

@@ -27,13 +27,9 @@ from .vector_queries import word_vectors
 def lda_counts(spark, sf):
     """LDA (k=4) over document term counts; a document's topics are the
     mean of its words' topic vectors."""
-    from ..session import cut_lineage
-    # the token table feeds the vocabulary fit, the model fit and the
-    # scoring: materialised once in the shared checkpoint folder
-    terms = cut_lineage(_t2_terms(spark, sf))
-    lists = terms.groupBy("doc_id").agg(F.collect_list("term").alias("terms"))
-    cv, lda = TP.lda_terms_fit(lists, k=4)
-    return TP.lda_terms_apply(terms, cv, lda)
+    edges, terms = TP.term_edges(_t2_terms(spark, sf))
+    phi, _ = TP.lda_terms_fit(edges, terms, k=4)
+    return TP.lda_terms_apply(edges, phi, k=4)
 
 
 @register("lda_vectors")

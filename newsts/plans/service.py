@@ -53,9 +53,9 @@ def news_features(spark: SparkSession, sf: str, k_topics: int = 4) -> DataFrame:
     daily_s = sent.groupBy("Date").agg(F.avg("polarity").alias("Polarity"), F.avg("subjectivity").alias("Subjectivity"))
     daily_s = daily_s.withColumn("Combined_Sentiment", combined_sentiment("Polarity", "Subjectivity"))
     daily_s = W.linear_decay(daily_s, ["Polarity", "Subjectivity", "Combined_Sentiment"])
-    lists = toks.groupBy("doc_id").agg(F.collect_list("token").alias("terms"))
-    cv, lda = TP.lda_terms_fit(lists, k=k_topics, max_iter=5)
-    topics = TP.lda_terms_apply(toks.withColumnRenamed("token", "term"), cv, lda).join(dated, "doc_id")
+    edges, terms = TP.term_edges(toks, term_col="token")
+    phi, _ = TP.lda_terms_fit(edges, terms, k=k_topics)
+    topics = TP.lda_terms_apply(edges, phi, k=k_topics).join(dated, "doc_id")
     tcols = [f"Topic{i + 1}" for i in range(k_topics)]
     daily_t = W.linear_decay(topics.groupBy("Date").agg(*[F.avg(c).alias(c) for c in tcols]), tcols)
     geo = TO.geo_regex(news, "News").groupBy("Date").agg(F.sum("GeoIdx").cast("double").alias("GeoIdx"))
