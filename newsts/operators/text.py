@@ -10,7 +10,7 @@ broadcast by hint; an uncut vocabulary joins by shuffle.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -185,49 +185,82 @@ def doc_term(terms: DataFrame, vocab: DataFrame, id_col: str = "doc_id") -> Data
 
 
 # T7 / T8 / T9 -------------------------------------------------------------------
-def cooccurrence(dt: DataFrame, n_terms: int, id_col: str = "doc_id", chunk: int = 512,
-                 docs_whole_in_tasks: bool = False) -> DataFrame:
+TILE, TILES = 2048, 16  # documented parameters: terms across a tile of 32 MB, tiles held by a task
+
+
+class Tiles:
+    """Sums of tf·tf' by term and term, in tiles made when first needed."""
+
+    def __init__(self):
+        self.held: dict[tuple[int, int], np.ndarray] = {}
+
+    def add(self, doc: np.ndarray, term: np.ndarray, tf: np.ndarray) -> Iterator[pd.DataFrame]:
+        """Add the rows of whole documents (terms from 0); tiles that have no
+        room any more leave as rows."""
+        for lo in range(0, len(np.unique(doc)), 512):
+            docs, of = np.unique(doc, return_inverse=True)
+            here = (of >= lo) & (of < lo + 512)
+            blocks = {}
+            for b in np.unique(term[here] // TILE).tolist():
+                at = here & (term // TILE == b)
+                blocks[b] = np.zeros((min(512, len(docs) - lo), TILE))
+                np.add.at(blocks[b], (of[at] - lo, term[at] % TILE), tf[at])
+            for i, x in blocks.items():
+                for j, y in blocks.items():
+                    if (i, j) not in self.held:
+                        if len(self.held) >= TILES:
+                            yield from self.spill()
+                        self.held[i, j] = np.zeros((TILE, TILE))
+                    self.held[i, j] += x.T @ y
+
+    def spill(self) -> Iterator[pd.DataFrame]:
+        for (i, j), tile in self.held.items():
+            rows = np.flatnonzero(tile.any(axis=1))
+            yield pd.DataFrame({"i": rows + i * TILE + 1, "block": np.full(len(rows), j), "row": list(tile[rows])})
+        self.held = {}
+
+
+def cooccurrence(dt: DataFrame, n_terms: int, id_col: str = "doc_id", docs_whole_in_tasks: bool = False) -> DataFrame:
     """n_ij = Σ_doc tf_i·tf_j over ordered pairs, self pairs included.
 
-    Each task folds its documents into one partial term×term matrix with
-    numpy (documents in chunks of ``chunk``) and emits it as dense row
-    blocks (term i, array of n_terms sums): at most n_terms rows per task
-    cross the shuffle, whatever the number or length of the documents, and
-    no per-document pair rows are ever produced.  Rows of the same term are
-    then summed element-wise (``Summarizer``, a mergeable aggregate) and
-    only non-zero cells are kept."""
+    A task adds each Arrow batch to tiles of the term×term matrix and carries
+    the last document over the edge of the batch, so it holds a batch, one
+    document and a bounded number of tiles, whatever the number or length of
+    the documents.  The rows of the tiles are summed by term with
+    ``Summarizer``, a mergeable aggregate; only non-zero cells are kept."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
-    V = int(n_terms)
-
-    def partial(it):
-        acc = np.zeros((V, V))
-        buf = [pdf for pdf in it if len(pdf)]
-        if not buf:
-            return
-        df = pd.concat(buf)
-        docs, inv = np.unique(df[id_col].to_numpy(), return_inverse=True)
-        tid = df["term_id"].to_numpy() - 1
-        tf = df["tf"].to_numpy()
-        for s in range(0, len(docs), chunk):
-            sel = (inv >= s) & (inv < s + chunk)
-            D = np.zeros((min(chunk, len(docs) - s), V))
-            np.add.at(D, (inv[sel] - s, tid[sel]), tf[sel])
-            acc += D.T @ D
-        rows = np.nonzero(acc.any(axis=1))[0]
-        yield pd.DataFrame({"i": (rows + 1).astype("int64"), "row": [acc[r] for r in rows]})
-
-    # each document's rows must sit in one task: hash on the document id,
-    # unless they come straight from exploding one row per document (a
-    # scan → explode → broadcast-join chain never splits a document), in
-    # which case no shuffle is needed before the partial matrices
-    src = dt.select(id_col, "term_id", F.col("tf").cast("double").alias("tf"))
+
+    def partial(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tiles, rest = Tiles(), None
+        for pdf in it:
+            if not len(pdf):
+                continue
+            pdf = pdf if rest is None else pd.concat([rest, pdf])
+            last = pdf[id_col].iloc[-1]
+            more = (pdf[id_col] == last).to_numpy() if last is not None else pdf[id_col].isna().to_numpy()
+            cut = int(np.flatnonzero(~more)[-1]) + 1 if (~more).any() else 0
+            rest, whole = pdf.iloc[cut:], pdf.iloc[:cut]
+            yield from fold(tiles, whole)
+        if rest is not None:
+            yield from fold(tiles, rest)
+        yield from tiles.spill()
+
+    def fold(tiles: Tiles, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        if len(rows):
+            doc = pd.factorize(rows[id_col], use_na_sentinel=False)[0]
+            yield from tiles.add(doc, rows["term_id"].to_numpy() - 1, rows["tf"].to_numpy())
+
+    # each document's rows must sit together in one task: dealt and sorted by
+    # the document, unless they come straight from exploding one row per
+    # document (a scan → explode → broadcast-join chain never splits one)
+    src = dt.select(id_col, "term_id", F.col("tf").cast("double").alias("tf")).filter(F.col("term_id").between(1, int(n_terms)))
     if not docs_whole_in_tasks:
-        src = src.repartition(id_col)
-    parts = src.mapInPandas(partial, "i long, row array<double>")
-    summed = parts.groupBy("i").agg(Summarizer.sum(array_to_vector("row")).alias("v"))
-    cells = summed.select("i", F.posexplode(vector_to_array("v")).alias("j0", "n_ij"))
-    return cells.filter(F.col("n_ij") != 0).select("i", (F.col("j0") + 1).cast("long").alias("j"), "n_ij")
+        src = src.repartition(id_col).sortWithinPartitions(id_col)
+    parts = src.mapInPandas(partial, "i long, block long, row array<double>")
+    summed = parts.groupBy("i", "block").agg(Summarizer.sum(array_to_vector("row")).alias("v"))
+    cells = summed.select("i", "block", F.posexplode(vector_to_array("v")).alias("j0", "n_ij"))
+    return cells.filter(F.col("n_ij") != 0).select("i", (F.col("block") * TILE + F.col("j0") + 1).cast("long").alias("j"), "n_ij")
 
 
 def ppmi(cooc: DataFrame) -> DataFrame:

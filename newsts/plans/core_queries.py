@@ -553,11 +553,11 @@ def publish_keep_first(spark, sf):
 @register("union_sources", """
 SELECT doc_id, source, n_chars FROM documents WHERE source IS NOT NULL""")
 def union_sources(spark, sf):
-    """Every source's rows stacked; the sources are those of the table."""
-    d = S.table(spark, sf, "documents").select("doc_id", "source", "n_chars")
-    sources = [r[0] for r in d.select("source").dropna().distinct().orderBy("source").collect()]
-    parts = [d.filter(F.col("source") == s) for s in sources]
-    return J.sort(J.stack(*parts), "doc_id")
+    """Every source's rows stacked, by name.  The sources of one table
+    are one scan; the other language collections are stacked to the first."""
+    d = S.table(spark, sf, "documents").select("doc_id", "source", "n_chars", "lang").filter("source IS NOT NULL")
+    english = F.coalesce(F.col("lang") == "en", F.lit(False))
+    return J.stack(d.filter(english), d.filter(~english)).drop("lang")
 
 
 # P1 / P7 / P8 / P9 ------------------------------------------------------------

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut_lineage
 
 def read_table(spark: SparkSession, path: str, schema: str | T.StructType, date_col: str = "Date",
                fmt: str = "yyyy-MM-dd") -> DataFrame:
@@ -33,15 +34,21 @@ def read_series(spark: SparkSession, path: str, name: str, ratio: float = 1.0, v
 
 
 def read_csv_after(spark: SparkSession, path: str, header_regex: str, schema: str, sep: str = ",") -> DataFrame:
-    """S3: a CSV whose header is preceded by information lines: keep the
-    lines of each file after its header line, whatever they look like, and
-    parse them with ``from_csv``; blank lines are dropped."""
-    whole = spark.read.text(path, wholetext=True)
-    lines = whole.select(F.split("value", r"\r?\n").alias("l"))
-    # the first line that is the header; a file without one has no rows
-    at = F.coalesce(F.array_position(F.transform("l", lambda x: x.rlike(header_regex)), True), F.lit(0))
-    after = F.when(at > 0, F.slice("l", (at + 1).cast("int"), F.size("l"))).otherwise(F.array().cast("array<string>"))
-    data = lines.select(F.explode(after).alias("value")).filter(F.trim("value") != "")
+    """S3: CSVs whose header is preceded by information lines: the lines of
+    each file after its first header line, whatever they look like, parsed
+    with ``from_csv``; blank lines are dropped, a file without a header has no
+    rows.
+
+    Files are read as Spark splits them.  A line's place is its file, the
+    start of its split and its number there; the least place of a header line
+    of each file is a grouped minimum.  The lines are stored first, since
+    another scan may be split otherwise.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
+                                         F.monotonically_increasing_id().alias("line"))
+    lines = cut_lineage(lines.withColumn("value", F.regexp_replace("value", r"\r$", "")))
+    head = lines.filter(F.col("value").rlike(header_regex)).groupBy("file").agg(F.min(F.struct("split", "line")).alias("head"))
+    data = lines.join(head, "file").filter((F.struct("split", "line") > F.col("head")) & (F.trim("value") != ""))
     return data.select(F.from_csv("value", schema, {"sep": sep}).alias("r")).select("r.*")
 
 

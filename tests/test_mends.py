@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from newsts.operators import evaluate as V
 from newsts.operators import gram as G
 from newsts.operators import models as M
+from newsts.operators import text as TO
 from newsts.operators import topics as TP
 from newsts.operators.split import number_rows, ordered_split, repeated_folds, time_folds_df
 from newsts.sources import tables as S
@@ -153,3 +154,48 @@ def test_nmf_queries_use_the_stop_rule_of_the_operator(spark, monkeypatch, name)
     with pytest.raises(StopIteration):
         getattr(Q, name)(spark, SF001)
     assert given["k"] == 4 and not {"tol", "iters"} & set(given)
+
+
+def test_cooccurrence_holds_a_batch(spark, monkeypatch):
+    """Cells over batch edges, several tiles and spills equal a dense product;
+    a task holds a bounded number of tiles."""
+    rng = np.random.default_rng(6)
+    a = rng.poisson(0.6, size=(70, 40))
+    rows = [(f"d{d}", t + 1, float(a[d, t])) for d in range(70) for t in range(40) if a[d, t]]
+    df = spark.createDataFrame(rows + [("d0", 41, 5.0)], "doc_id string, term_id long, tf double").repartition(3)
+    monkeypatch.setattr(TO, "TILE", 16)
+    monkeypatch.setattr(TO, "TILES", 2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")
+    try:
+        got = {(r["i"], r["j"]): r["n_ij"] for r in TO.cooccurrence(df, 40).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = (a.T @ a).astype(float)
+    assert got == {(i + 1, j + 1): want[i, j] for i in range(40) for j in range(40) if want[i, j]}
+    tiles, most = TO.Tiles(), 0
+    for k in range(6):
+        list(tiles.add(np.zeros(3, int), np.array([0, 16 * k, 5]), np.ones(3)))
+        most = max(most, len(tiles.held))
+    assert 0 < most <= 2 + 1
+
+
+def test_preamble_of_files_in_splits(spark, tmp_path):
+    """A file is read in several tasks; only lines after its own header stay."""
+    from newsts.sources.files import read_csv_after
+    (tmp_path / "t").mkdir()
+    for k in range(3):
+        lines = [f"note {i} Date,Price" for i in range(200 * k + 5)] + ["Date,Price"] + [f"2024-01-{1 + i % 28:02d},{k}.{i}" for i in range(400)]
+        (tmp_path / "t" / f"{k}.csv").write_text("\r\n".join([*lines, "", "Date,Price", "2024-02-02,9.5"]))
+    (tmp_path / "t" / "none.csv").write_text("2024-01-01,1.0\n")
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "10")
+    try:
+        assert spark.read.text(str(tmp_path / "t")).rdd.getNumPartitions() > 10
+        got = [tuple(r) for r in read_csv_after(spark, str(tmp_path / "t"), r"^Date,Price$", "Date date, Price double").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    # a second header line is a line like any other
+    assert sorted(str(p) for d, p in got if d) == sorted([str(float(f"{k}.{i}")) for k in range(3) for i in range(400)] + ["9.5"] * 3)
+    assert sum(d is None for d, _ in got) == 3
