@@ -185,17 +185,13 @@ def first_token_vector(spark, sf):
 
 @register("word2vec")
 def word2vec(spark, sf):
-    """Word2Vec (Spark ML, 30 passes, 16 dimensions, both parameters)
-    trained on the (subject, relation, object) lists of every extracted triple
-    (min count 1), and its vectors looked up for each triple's three words."""
-    from pyspark.ml.feature import Word2Vec
-    from pyspark.ml.functions import vector_to_array
+    """Skip-gram vectors (16 dimensions, ten steps for every pair, both
+    parameters) trained on the (subject, relation, object) lists of every
+    extracted triple (min count 1), looked up for each triple's three words."""
+    from ..operators.embed import word2vec as train
     from ..session import cut_lineage
     tr = cut_lineage(TO.triples(S.table(spark, sf, "documents")))
-    lists = tr.select(F.array("subject", "relation", "object").alias("tokens"))
-    model = Word2Vec(vectorSize=16, minCount=1, maxIter=30, seed=42, numPartitions=spark.sparkContext.defaultParallelism,
-                     inputCol="tokens", outputCol="v").fit(lists)
-    vectors = model.getVectors().select("word", vector_to_array("vector").alias("v"))
+    vectors = train(tr.select(F.array("subject", "relation", "object").alias("tokens")), size=16)
     out = tr
     for role in ("subject", "relation", "object"):
         out = out.join(vectors.select(F.col("word").alias(role), F.col("v").alias(f"{role}_vector")), role)
