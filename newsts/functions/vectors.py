@@ -40,8 +40,11 @@ def cosine(a, b) -> Column:
 
 
 def unit(a) -> Column:
-    n = norm(a)
-    return F.when(n > 0, F.transform(_c(a), lambda x: x.cast("double") / n))
+    """The vector divided by its norm, which is bound once and not computed
+    anew for each element; null for a zero vector."""
+    def divided(n):
+        return F.when(n > 0, F.transform(_c(a), lambda x: x.cast("double") / n))
+    return F.transform(F.array(norm(a)), divided)[0]
 
 
 def vec_mean_scalar(a) -> Column:

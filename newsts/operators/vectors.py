@@ -9,12 +9,16 @@ Per document, token vectors are pre-aggregated by term frequency first.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import vectors as FV
+from ..session import cut_lineage
 
 _AGG = {"mean": F.avg, "max": F.max, "min": F.min, "sum": F.sum}
 
@@ -81,15 +85,83 @@ def nearest(df: DataFrame, col: str, id_col: str, patterns: list[tuple], n: int
     return u.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
+# documented parameters: words whose vectors a task holds, about, and cells a
+# task is given at least
+BLOCK_WORDS, SUMS = 50_000, 50_000
+
+
 def sentence_vectors(tokens: DataFrame, word_vectors: DataFrame, id_col: str = "doc_id", token_col: str = "token",
                      term_col: str = "term", vec_col: str = "vector") -> DataFrame:
     """Mean of the unit word vectors of a document's known tokens
-    (unknown tokens dropped).  Token counts are pre-aggregated per
-    (document, term); the document mean is a tf-weighted vector mean."""
-    tf = tokens.groupBy(id_col, token_col).agg(F.count(F.lit(1)).cast("double").alias("tf"))
-    wv = word_vectors.select(F.col(term_col).alias(token_col), FV.unit(vec_col).alias("u")).filter(F.col("u").isNotNull())
-    j = tf.join(wv, on=token_col, how="inner")
-    return daily_vectors(j, "u", ("mean",), by=[id_col], out="sentence_vector", weight="tf")
+    (unknown tokens dropped; a document of such tokens alone has no row).
+
+    The words are dealt into blocks and the documents into groups; a task
+    holds the vectors of one block, streams the counted tokens of one group
+    that are in it, and sends one partial sum for each document.  So no
+    vector moves with a token, and a word of all documents is spread over
+    the groups."""
+    words = cut_lineage(word_vectors.select(F.col(term_col).alias("w"), FV.unit(vec_col).alias("u")).filter(F.col("u").isNotNull()))
+    partitions = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    blocks = max(4, -(-words.count() // BLOCK_WORDS))
+    groups = max(1, -(-2 * partitions // blocks))
+    of_word = F.pmod(F.xxhash64("w"), F.lit(blocks))
+    counted = (tokens.groupBy(F.col(id_col).alias("_id"), F.col(token_col).alias("w")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+               .filter("w IS NOT NULL"))
+    held = words.select(F.explode(F.sequence(of_word * groups, of_word * groups + (groups - 1))).alias("cell"), "w",
+                        F.col("u").cast("array<double>").alias("u"))
+    asked = counted.select((of_word * groups + F.pmod(F.xxhash64("_id"), F.lit(groups))).alias("cell"), "w", "_id", "n")
+    rows = held.unionByName(asked, allowMissingColumns=True)
+    id_type = tokens.schema[id_col].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, at, parts, vectors = None, {}, [], np.zeros((0, 0))
+        ids, which, counts = [], [], []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if not ids:
+                return
+            number: dict = {}
+            of = np.array([number.setdefault(i, len(number)) for i in ids])
+            order = np.argsort(of, kind="stable")
+            starts = np.flatnonzero(np.concatenate([[True], of[order][1:] != of[order][:-1]]))
+            n = np.array(counts)[order]
+            total = np.add.reduceat(vectors[np.array(which)[order]] * n[:, None], starts, axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(list(number), arrow_id), pa.array(np.add.reduceat(n, starts)), pa.array(list(total), pa.list_(pa.float64()))],
+                                             names=["_id", "n", "total"])
+            for x in (ids, which, counts):
+                x.clear()
+
+        for batch in batches:
+            arrow_id = batch.schema.field("_id").type
+            columns = (batch.column(c) for c in ("cell", "w", "u", "_id", "n"))
+            cells, ws, us, own, ns = (c.to_pylist() if k != 2 else c for k, c in enumerate(columns))
+            for i, cell in enumerate(cells):
+                if cell != current:
+                    yield from out()
+                    current, at, parts, vectors = cell, {}, [], np.zeros((0, 0))
+                if ns[i] is None:
+                    at[ws[i]] = len(parts)
+                    parts.append(us[i].values.to_numpy())
+                    continue
+                if len(vectors) != len(parts):
+                    vectors = np.stack(parts)
+                k = at.get(ws[i])
+                if k is not None:
+                    ids.append(own[i])
+                    which.append(k)
+                    counts.append(ns[i])
+                    if len(ids) >= SUMS:
+                        yield from out()
+        yield from out()
+
+    schema = T.StructType([T.StructField("_id", id_type), T.StructField("n", T.DoubleType()), T.StructField("total", T.ArrayType(T.DoubleType()))])
+    part = (rows.select("cell", "w", "u", "_id", "n").repartition("cell").sortWithinPartitions("cell", F.col("n").isNotNull(), "_id")
+            .mapInArrow(run, schema))
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+    # at most one sum for each block and task: few rows a document
+    whole = part.groupBy("_id").agg(F.sum("n").alias("n"), vector_to_array(Summarizer.sum(array_to_vector("total"))).alias("total"))
+    return whole.select(F.col("_id").alias(id_col), F.transform("total", lambda x: x / F.col("n")).alias("sentence_vector"))
 
 
 def first_token_vector(df: DataFrame, col: str, word_vectors: DataFrame, id_col: str, stems: DataFrame | None = None,
