@@ -36,20 +36,25 @@ def scale_gram(g: dict, lo: np.ndarray, hi: np.ndarray) -> dict:
     return {"n": n, "sx": sx, "sy": g["sy"], "xx": xx, "xy": xy, "yy": g["yy"]}
 
 
-def rfe_order(g: dict, n_keep: int = 1, kind: str = "lasso", alpha: float = 1.0) -> list[int]:
+def rfe_order(g: dict, n_keep: int = 1, kind: str = "lasso", alpha: float = 1.0, **search) -> list[int]:
     """Elimination order: repeatedly fit on the remaining columns and drop
     the one with the smallest |coef| (ties: lowest column index first).
-    Returns sklearn-style ranks (1 = kept)."""
+    Returns ranks (1 = kept).  A column with a zero coefficient leaves a fit
+    with an L1 penalty as it is, so the next ones go without another fit;
+    other fits begin from the last one.  ``search``: max_iter and tol."""
     p = len(g["sx"])
     remaining = list(range(p))
     ranks = [1] * p
-    r = p - n_keep + 1
+    r, b, fitted = p - n_keep + 1, None, False
     while len(remaining) > n_keep:
-        _, b = solve(_sub(g, remaining), kind, alpha)
+        if not fitted:
+            _, b = solve(_sub(g, remaining), kind, alpha, start=b if kind == "lasso" else None, **search)
         j = int(np.argmin(np.abs(b)))  # first minimum = lowest index on ties
+        fitted = kind == "lasso" and b[j] == 0.0
         ranks[remaining[j]] = r
         r -= 1
         remaining.pop(j)
+        b = np.delete(b, j)
     return ranks
 
 

@@ -1,19 +1,23 @@
 """End-to-end service flows (§3.1 train, §3.2 forecast and publish) and the
 experiment runner (V13), composed from the operators.
 
-News features per day (all distributed, documents never gathered):
+News features per day (all distributed, documents never gathered), 28 columns:
   sentiment  T1 clean → T10 lexicon → A1 daily mean → F18 → W12 decay
-  topics     T11 LDA over counts → A1 daily mean → W12 decay
-  geo        T15 regex index → A2 daily sum → W12 decay
-aligned with J5, joined to the price table (events daily wide, ``purchase``
-as the label contract), lagged (W3), screened by RFE-Lasso on scaled
-columns (from the Gram, X7) and fitted (M1) with its residual.  The residual
-is not decomposed (X6) nor modelled per part (M9).  ``service_train`` saves the
-fitted artefacts as small tables (K7); ``service_forecast`` trains anew.
+  topics     T19 document vectors → F11 by dimension → T12 topics → A1 daily mean → W12 decay
+  geo        T16 cosine of document vectors with six pattern phrases → A3 daily max → W12 decay
+aligned with J5 and joined to four daily price columns: 32 columns, 25 lags and
+three calendar columns (W3) make 803 features.  They are scaled and screened by
+RFE with Lasso from one Gram (X7), the kept ones fit a linear model (M1) of the
+label; its residual is decomposed (X6) and each part has a boosted model on the
+scaled features (M9).  ``service_train`` writes all of it as one version of
+artefacts (K7); ``service_forecast`` opens the newest complete version and fits
+nothing.  The decomposition is the centred one, so rows within half a period of
+an end train no part; boosted trees stand in for the network.
 """
 
 from __future__ import annotations
 
+import hashlib
 import os
 from collections.abc import Callable
 
@@ -21,120 +25,203 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scale import combined_sentiment
+from ..functions import text as TX
+from ..functions.scale import combined_sentiment, minmax_apply, minmax_fit, minmax_invert
 from ..operators import evaluate as V
 from ..operators import gram as G
 from ..operators import lagged as W
 from ..operators import models as M
 from ..operators import select as X
+from ..operators import stats as ST
 from ..operators import text as TO
 from ..operators import topics as TP
+from ..operators import vectors as VE
 from ..operators.align import columns_outer
-from ..session import cut_lineage
+from ..session import cut_lineage, ensure_checkpoint_dir
+from ..sinks import artefacts as A
 from ..sinks import writers as K
 from ..sources import tables as S
 from ..streaming.stream import work_dir
 from .registry import register
+from .vector_queries import word_vectors
 
-# fixed values: the price contracts (label last) standing in for CLC4..CLC1
-CONTRACTS = {"click": "CLC4", "view": "CLC3", "signup": "CLC2", "purchase": "CLC1"}
+# parameters of the service: lags, days of news, kept features, topics, period
+# of the residual, Lasso penalty as a share of the label's standard deviation
+PAST, DAYS, SELECTED, TOPICS, PERIOD, PENALTY = 25, 200, 10, 5, 10, 0.05
+CONTRACTS = ["CLC4", "CLC3", "CLC2", "CLC1"]  # the label last
+PARTS = ["trend", "seasonal", "residual"]
+CALENDAR = ["month", "day", "day_in_week"]
 
+# fixed values: the six pattern phrases of the geopolitical similarity, as published
+GEO_PHRASES = {
+    "Geopolitical_Threats": "Geopolitical risk concern tension uncertainty United States tensions military war geopolitical coup guerrilla "
+                            "warfare Latin America Central America South America Europe Africa Middle East Far East Asia",
+    "Nuclear_Threats": "nuclear war atomic war nuclear conflict atomic conflict nuclear missile fear threat risk peril menace",
+    "War_Threats": "war risk risk of war fear of war war fear military threat war threat threat of war military action military operation "
+                   "military fce risk threat",
+    "Terrorist_Threats": "terrorist threat threat of terrorism terrorism menace menace of terrorism terrorist risk terr risk risk of "
+                         "terrorism terr threat",
+    "War_Acts": "beginning of the war outbreak of the war onset of the war escalation of the war start of the war war military air strike "
+                "war battle heavy casualties",
+    "Terrorist_Acts": "terrorist act terrorist acts",
+}
+
+
+def _last_day(spark: SparkSession, sf: str):
+    return S.table(spark, sf, "orders").select(F.max(F.to_date("o_orderdate"))).scalar()
+
+
+def service_news(spark: SparkSession, sf: str) -> DataFrame:
+    """documents as news of the last ``DAYS`` days of prices: doc_id, Date, text."""
+    d = S.table(spark, sf, "documents")
+    return d.select("doc_id", F.date_sub(_last_day(spark, sf), F.pmod("doc_id", F.lit(DAYS)).cast("int")).alias("Date"), "text")
+
+
+def price_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Four daily price columns: least, greatest and median price, and the mean
+    as the label."""
+    o = S.table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("Date"), F.col("o_totalprice").cast("double").alias("p"))
+    return (o.filter(F.col("Date") > F.date_sub(_last_day(spark, sf), DAYS)).groupBy("Date")
+            .agg(F.min("p").alias("CLC4"), F.max("p").alias("CLC3"), F.median("p").alias("CLC2"), F.avg("p").alias("CLC1")))
+
+
+def news_features(spark: SparkSession, sf: str, fitted: A.Opened | None = None) -> tuple[DataFrame, dict]:
+    """(daily features, what was fitted for them: scaler and topic model of the
+    document vectors).  With ``fitted`` both come from there."""
+    from pyspark.ml.clustering import LocalLDAModel
 
-def news_features(spark: SparkSession, sf: str, k_topics: int = 4) -> DataFrame:
     from .text_queries import NEGATIONS, lexicon
-    news = S.news(spark, sf)
-    docs = news.select(F.col("ID").alias("doc_id"), F.col("News").alias("text"))
-    dated = news.select(F.col("ID").alias("doc_id"), "Date")
-    cleaned = cut_lineage(TO.clean(docs))
-    # the cleaned token table feeds the topic model fit and its
-    # scoring: written once to the shared checkpoint folder
-    toks = cut_lineage(TO.whitespace_terms(cleaned).withColumnRenamed("term", "token"))
+    news = service_news(spark, sf)
+    dated = news.select("doc_id", "Date")
+    # read by three branches: written once to the shared checkpoint folder
+    cleaned = cut_lineage(TO.clean(news.select("doc_id", "text")))
     sent = TO.sentiment(cleaned, lexicon(spark), text_col="clean", negations=NEGATIONS).join(dated, "doc_id")
     daily_s = sent.groupBy("Date").agg(F.avg("polarity").alias("Polarity"), F.avg("subjectivity").alias("Subjectivity"))
     daily_s = daily_s.withColumn("Combined_Sentiment", combined_sentiment("Polarity", "Subjectivity"))
     daily_s = W.linear_decay(daily_s, ["Polarity", "Subjectivity", "Combined_Sentiment"])
-    edges, terms = TP.term_edges(toks, term_col="token")
-    phi, _ = TP.lda_terms_fit(edges, terms, k=k_topics)
-    topics = TP.lda_terms_apply(edges, phi, k=k_topics).join(dated, "doc_id")
-    tcols = [f"Topic{i + 1}" for i in range(k_topics)]
+
+    phrases = spark.createDataFrame(list(GEO_PHRASES.items()), "name string, phrase string")
+    said = phrases.select("name", F.explode(TX.tokens("phrase")).alias("token"))
+    tokens = cut_lineage(TO.whitespace_terms(cleaned).select("doc_id", F.col("term").alias("token")))
+    terms = tokens.select(F.col("token").alias("term")).union(said.select("token"))
+    words = cut_lineage(word_vectors(spark, sf, terms))
+    docs = cut_lineage(VE.sentence_vectors(tokens, words).join(dated, "doc_id"))
+
+    size = len(words.first()["vector"]) if not words.isEmpty() else 0
+    dims = [f"d{i}" for i in range(size)]
+    wide = docs.select("doc_id", "Date", *[F.col("sentence_vector")[i].alias(d) for i, d in enumerate(dims)])
+    scaler = minmax_fit(wide, dims) if fitted is None else fitted.table("emb_scaler")
+    # values of later documents may lie outside the fitted range: the topic model takes none below 0
+    scaled = cut_lineage(minmax_apply(wide, scaler, dims).select("doc_id", "Date", F.array(*[F.greatest(F.lit(0.0), d) for d in dims]).alias("v")))
+    lda = TP.lda_vectors_fit(scaled, "v", k=TOPICS) if fitted is None else fitted.model("lda", LocalLDAModel)
+    topics = TP.lda_vectors_apply(scaled, "v", lda, keep=["Date"])
+    tcols = [f"Topic{i + 1}" for i in range(TOPICS)]
     daily_t = W.linear_decay(topics.groupBy("Date").agg(*[F.avg(c).alias(c) for c in tcols]), tcols)
-    geo = TO.geo_regex(news, "News").groupBy("Date").agg(F.sum("GeoIdx").cast("double").alias("GeoIdx"))
-    daily_g = W.linear_decay(geo, ["GeoIdx"])
-    # the daily table (one row per day) is read by several later jobs:
-    # materialise it once in the shared checkpoint folder
-    return cut_lineage(columns_outer([daily_s, daily_t, daily_g]))
 
+    patterns = VE.inline_patterns(VE.sentence_vectors(said, words, id_col="name"), "name", "sentence_vector")  # six vectors
+    daily_g = VE.pattern_similarity(docs, "sentence_vector", patterns, prefix="")
+    daily_g = W.linear_decay(daily_g, [n for n, _ in patterns])
+    # one row per day, read by several later jobs
+    return cut_lineage(columns_outer([daily_s, daily_t, daily_g])), {"emb_scaler": scaler, "lda": lda}
 
-def price_features(spark: SparkSession, sf: str) -> DataFrame:
-    wide = S.events_daily_wide(spark, sf)
-    return wide.select("Date", *[F.col(c).alias(n) for c, n in CONTRACTS.items()]).dropna()
-
-
-def train(spark: SparkSession, sf: str, past: int = 3, n_select: int = 10, alpha: float = 0.01,
-          feats: DataFrame | None = None) -> dict:
-    feats = feats if feats is not None else news_features(spark, sf)
-    prices = price_features(spark, sf)
-    m = W.build_matrix(feats, prices, past=past, label="CLC1")
-    xcols = [c for c in m.columns if c not in ("Date", "CLC1(t)")]
-    m = m.withColumn("y", W.q("CLC1(t)"))
-    xs = [f"x{i}" for i in range(len(xcols))]
-    mm = cut_lineage(m.select("Date", *[W.q(c).cast("double").alias(x) for c, x in zip(xcols, xs)], "y"))
-    g_row = G.gram(mm, xs, "y").first()
-    g = G.to_numpy(g_row.asDict())
-    bounds = mm.agg(*[F.min(x).alias(f"{x}_lo") for x in xs], *[F.max(x).alias(f"{x}_hi") for x in xs]).first()
-    lo = np.array([bounds[f"{x}_lo"] for x in xs], dtype=float)
-    hi = np.array([bounds[f"{x}_hi"] for x in xs], dtype=float)
-    ranks = X.rfe_order(X.scale_gram(g, lo, hi), min(n_select, len(xs)), "lasso", alpha)
-    chosen = [x for x, r in zip(xs, ranks) if r == 1]
-    params = M.linear_fit(G.gram(mm, chosen, "y"), kind="ols")
-    fitted = M.linear_apply(mm, params, chosen, out="lin").withColumn("res", F.col("y") - F.col("lin"))
-    return {"matrix": mm, "names": dict(zip(xs, xcols)), "chosen": chosen, "params": params, "fitted": fitted}
+
+def lag_rows(feats: DataFrame, prices: DataFrame, past: int, train: bool) -> tuple[DataFrame, list[str]]:
+    """(Date, x0.. [, y]; names of x0..): W3 for training, W4 for forecasting,
+    where today takes the slot of t-1.  Built from one array a row, so that the
+    plan does not grow with the 803 columns."""
+    xy = feats.join(prices, "Date").dropna("any")
+    cols = [c for c in xy.columns if c not in ("Date", *CONTRACTS)] + CONTRACTS
+    rows = W.supervised(xy, cols, past if train else past - 1, 1, as_array=True)
+    wide = past * len(cols)
+    made = rows.select("Date", *[t.cast("double").alias(c) for t, c in zip(W.time_features("Date"), CALENDAR, strict=True)], "features")
+    xs = [F.col(c) for c in CALENDAR] + [F.col("features")[i] for i in range(wide)]
+    label = [F.element_at("features", -1).alias("y")] if train else []
+    names = CALENDAR + W.supervised_names(cols, past, 1)[:wide]
+    return made.select("Date", *[x.alias(f"x{i}") for i, x in enumerate(xs)], *label), names
+
+
+def train(spark: SparkSession, sf: str, base: str, past: int = PAST, n_select: int = SELECTED) -> dict:
+    """§3.1: fit everything and write it as one version below ``base``."""
+    feats, fitted = news_features(spark, sf)
+    m, names = lag_rows(feats, price_features(spark, sf), past, train=True)
+    m, xs = cut_lineage(m), [f"x{i}" for i in range(len(names))]
+    row = G.gram(m, xs, "y").first()
+    if row is None or row["n"] < n_select + 2:
+        raise ValueError("too few days with all features to train on")
+    g = G.to_numpy(row.asDict())
+    bounds = m.agg(*[F.min(x).alias(f"{x}_lo") for x in xs], *[F.max(x).alias(f"{x}_hi") for x in xs]).first()
+    lo, hi = (np.array([bounds[f"{x}_{e}"] for x in xs], float) for e in ("lo", "hi"))
+    penalty = PENALTY * float(np.sqrt(max(g["yy"] / g["n"] - (g["sy"] / g["n"]) ** 2, 0.0)))
+    ranks = X.rfe_order(X.scale_gram(g, lo, hi), min(n_select, len(xs)), "lasso", penalty, max_iter=1000, tol=1e-6)
+    chosen = [x for x, r in zip(xs, ranks, strict=True) if r == 1]
+    m = m.select("Date", *chosen, "y")
+    linear = M.linear_fit(G.gram(m, chosen, "y"))
+    fit = cut_lineage(M.linear_apply(m, linear, chosen, out="lin").withColumn("res", F.col("y") - F.col("lin")))
+    feature_scaler = minmax_fit(fit, chosen)
+    parts = ST.decompose_classical(fit, "res", PERIOD).dropna(subset=PARTS)
+    label_scaler = minmax_fit(parts, PARTS)
+    scaled = cut_lineage(minmax_apply(minmax_apply(parts, feature_scaler, chosen), label_scaler, PARTS))
+    version = A.Version(spark, base)
+    version.table("selector", spark.createDataFrame([(x, names[int(x[1:])], past) for x in chosen], "x string, feature string, past int"))
+    for name, table in (("linear", linear), ("feature_scaler", feature_scaler), ("label_scaler", label_scaler), ("emb_scaler", fitted["emb_scaler"])):
+        version.table(name, table)
+    version.model("lda", fitted["lda"])
+    for part in PARTS:
+        model, _ = M.ml_fit(scaled, chosen, part, "gbt", maxDepth=2, maxIter=10, seed=42)
+        version.model(f"part_{part}", model)
+    return {"path": version.complete(), "fit": fit, "chosen": chosen, "names": {x: names[int(x[1:])] for x in chosen}, "linear": linear}
+
+
+def predict(spark: SparkSession, sf: str, base: str) -> DataFrame:
+    """§3.2: Date (of the day after), lin, yhat from the newest complete
+    version below ``base``; nothing is fitted."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressionModel
+    saved = A.Opened(spark, base)
+    picked = [(r["x"], r["past"]) for r in saved.table("selector").collect()]  # the kept features
+    chosen = sorted((x for x, _ in picked), key=lambda x: int(x[1:]))
+    feats, _ = news_features(spark, sf, saved)
+    rows, _ = lag_rows(feats, price_features(spark, sf), picked[0][1], train=False)
+    rows = M.linear_apply(rows.select("Date", *chosen), saved.table("linear"), chosen, out="lin")
+    scaled = minmax_apply(rows, saved.table("feature_scaler"), chosen)
+    scaled = VectorAssembler(inputCols=chosen, outputCol="features", handleInvalid="skip").transform(scaled)
+    for part in PARTS:
+        model = saved.model(f"part_{part}", GBTRegressionModel).setPredictionCol(part)
+        scaled = model.transform(scaled)
+    back = minmax_invert(scaled, saved.table("label_scaler"), PARTS)
+    total = F.col("lin") + sum((F.col(p) for p in PARTS[1:]), F.col(PARTS[0]))
+    return back.select(F.date_add("Date", 1).alias("Date"), "lin", total.alias("yhat"))
+
+
+def _base(spark: SparkSession, sf: str) -> str:
+    """The artefacts of this application for one set of tables."""
+    name = f"service-{spark.sparkContext.applicationId}-{hashlib.sha256(sf.encode()).hexdigest()[:12]}"
+    return os.path.join(ensure_checkpoint_dir(spark), name)
 
 
 @register("service_train")
 def service_train(spark, sf):
-    """§3.1: news + price features → lag matrix → RFE-Lasso (scaled) →
-    linear fit on the selected raw columns; artefacts saved (K7); returns
-    the selected columns with their coefficients and in-sample errors."""
-    t = train(spark, sf)
-    base = work_dir(spark, "service")
-    K.save_params(t["params"], os.path.join(base, "model"))
-    sel = spark.createDataFrame([(x, t["names"][x]) for x in t["chosen"]], "x string, feature string")
-    K.save_params(sel, os.path.join(base, "selector"))
-    row = t["params"].first()
-    coefs = spark.createDataFrame([(t["names"][x], float(b)) for x, b in zip(t["chosen"], row["coef"])],
-                                  "feature string, coef double")
-    err = V.errors(t["fitted"], "y", "lin").first()
+    """§3.1: news and price features → 25 lags → RFE-Lasso (scaled) → linear
+    fit and one model per part of its residual, saved as a version; returns
+    the selected features with their coefficients and the in-sample errors."""
+    t = train(spark, sf, _base(spark, sf))
+    row = t["linear"].first()
+    coefs = spark.createDataFrame([(t["names"][x], float(b)) for x, b in zip(t["chosen"], row["coef"], strict=True)], "feature string, coef double")
+    err = V.errors(t["fit"], "y", "lin").first()
     return coefs.withColumn("intercept", F.lit(float(row["intercept"]))).withColumn("in_sample_mae", F.lit(float(err["mae"])))
 
 
 @register("service_forecast")
 def service_forecast(spark, sf):
-    """§3.2: forecast matrix (W4: today in the slot of t−1) → the trained
-    selection and coefficients → next-day dates (F6) → publish frame
-    (K6: last 20, weekend roll, anti-join against already published days)."""
-    feats = news_features(spark, sf)
-    t = train(spark, sf, feats=feats)
-    prices = price_features(spark, sf)
-    fm = W.forecast_matrix(feats, prices, past=3)
-    # the forecast matrix names today's values c(t) where the train matrix
-    # has c(t-1): shift every name by one lag to find the trained columns
-    def shifted(name: str) -> str:
-        import re
-        mm = re.match(r"^(.*)\(t(?:-(\d+))?\)$", name)
-        if not mm:
-            return name
-        k = int(mm.group(2) or 0) + 1
-        return f"{mm.group(1)}(t-{k})"
-    inv = {v: k for k, v in t["names"].items()}
-    cols = {}
-    for c in fm.columns:
-        s = shifted(c) if c not in ("Date", "month", "day", "day_in_week") else c
-        if s in inv:
-            cols[inv[s]] = W.q(c).cast("double")
-    X_ = fm.select("Date", *[v.alias(k) for k, v in cols.items()])
-    pred = M.linear_apply(X_, t["params"], t["chosen"])
-    fc = pred.select(F.date_add("Date", 1).alias("Date"), "yhat")
+    """§3.2: forecast from the newest complete version of this application's
+    artefacts (one is trained if there is none), published without the days
+    already there (K6: last 20, weekend roll, anti-join)."""
+    base = _base(spark, sf)
+    try:
+        A.Opened(spark, base)
+    except FileNotFoundError:
+        train(spark, sf, base)
+    fc = cut_lineage(predict(spark, sf, base).select("Date", "yhat"))
     published = fc.filter(F.col("Date") <= F.date_sub(fc.select(F.max("Date")).scalar(), 5)).select("Date")
     return K.publish_frame(fc, published, value_col="yhat", last_n=20)
 
@@ -158,7 +245,7 @@ def run_experiment(news_fn: Callable[[], DataFrame], prices: DataFrame, fit: Cal
 @register("experiment")
 def experiment(spark, sf):
     """V13 on the service features: lagged news features vs next-day label."""
-    feats = news_features(spark, sf)
+    feats, _ = news_features(spark, sf)
     prices = price_features(spark, sf).select("Date", F.col("CLC1").alias("y"))
     cols = [c for c in feats.columns if c != "Date"]
 

@@ -152,12 +152,13 @@ wv AS (SELECT t.term, emb.v FROM (SELECT DISTINCT term FROM ws) t
        JOIN emb ON emb.vec_id = CAST('0x' || substr(sha256(t.term), 1, 8) AS BIGINT) % (SELECT count(*) FROM emb))"""
 
 
-def word_vectors(spark, sf):
-    """A vector for every term, by a key join: the first 32 bits of the term's
-    SHA-256 modulo the number of embeddings name its ``vec_id``."""
+def word_vectors(spark, sf, terms=None):
+    """A vector for every term (by default those of the corpus), by a key join:
+    the first 32 bits of the term's SHA-256 modulo the number of embeddings
+    name its ``vec_id``."""
     e = S.table(spark, sf, "embeddings")
     n = e.count()
-    terms = _t2_terms(spark, sf).select("term").distinct()
+    terms = (_t2_terms(spark, sf) if terms is None else terms).select("term").distinct()
     keyed = terms.withColumn("vec_id", F.conv(F.substring(F.sha2("term", 256), 1, 8), 16, 10).cast("long") % n)
     return keyed.join(e, on="vec_id").select("term", F.col("embedding").alias("vector"))
 
