@@ -2,8 +2,8 @@
 copies, then near copies, then repeated passages; the rest is packed.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows of ``docs``.  All
-but the last return the columns of ``docs``.  Rows are told apart by a number
-of their own, so repeated, equal or null ids do no harm.
+but the last return the columns of ``docs``.  Rows are told apart by their
+place in the files of ``docs``, so repeated, equal or null ids do no harm.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsts.llm import packing
-from newsts.llm.common import documents, store
+from newsts.llm.common import documents, placed, store
 from newsts.llm.exact_dedup import exact_dedup
 from newsts.llm.near_dedup import near_dedup
 from newsts.llm.queries import BYTE_BPE
@@ -22,12 +22,6 @@ from newsts.llm.toxicity import reject_toxic
 ROW = "__row"
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with a number for each row, stored: an operator and the join
-    that applies its decisions read the same numbers."""
-    return store(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
-
-
 def _without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
     return rows.join(store(dropped.select(F.col("rid").alias(ROW)), "dropped"), ROW, "left_anti").drop(ROW)
 
@@ -43,14 +37,14 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """One row of each group of texts that are equal without white space: the
     longest, then the smallest doc_id, null ids last.  Null counts as empty, so
     one row of all null and blank texts stays."""
-    rows = _numbered(docs)
+    rows = placed(docs, ROW)
     return _without(rows, exact_dedup(rows, row_col=ROW).filter("NOT kept"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class of near duplicates: the smallest doc_id, null ids
     last.  Texts without words, null ones too, have no duplicates and stay."""
-    rows = _numbered(docs)
+    rows = placed(docs, ROW)
     return _without(rows, near_dedup(rows, row_col=ROW).filter("NOT kept"))
 
 
@@ -58,7 +52,7 @@ def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """All rows, with texts without repeated passages; ``n_chars`` follows the
     text.  A null text becomes an empty one; the first of repeated rows keeps
     its text."""
-    rows = _numbered(docs)
+    rows = placed(docs, ROW)
     kept = suffix_dedup(rows, as_text=True, row_col=ROW).select(F.col("rid").alias(ROW), F.col("kept").alias("__kept"))
     joined = rows.drop("text").join(kept, ROW)
     new = {"text": F.col("__kept"), "n_chars": F.length("__kept").cast("long")}

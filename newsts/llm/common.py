@@ -8,7 +8,10 @@ a Parquet table in the shared folder named by ``spark.checkpoint.dir``.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,12 +27,31 @@ def columns(df: DataFrame, **wanted: tuple[str, str]) -> DataFrame:
     return df.select(*[F.col(f"`{src}`").cast(kind).alias(name) for name, (src, kind) in wanted.items()])
 
 
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables stored inside the block are deleted at its end, but for those
+    stored by the function it gives.  What leaves the block may read no other."""
+    first, kept = len(_stored), []
+
+    def keep(df: DataFrame, what: str) -> DataFrame:
+        table = store(df, what)
+        kept.append(_stored[-1])
+        return table
+
+    yield keep
+    for path in _stored[first:]:
+        if path not in kept:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    _stored[first:] = kept
+
+
 def numbered(df: DataFrame, row_col: str | None = None, **wanted: tuple[str, str]) -> DataFrame:
     """:func:`columns` with ``rid``, a number of each row's own.
 
     Numbers made anew by every scan may differ, as the splits of a scan follow
     the cores of the moment; so they are made once and stored.  A caller who
-    has stored numbers names their column.
+    has numbers that stay (see :func:`placed`) names their column.
     """
     if row_col is not None:
         return columns(df, rid=(row_col, "long"), **wanted)
@@ -37,6 +59,21 @@ def numbered(df: DataFrame, row_col: str | None = None, **wanted: tuple[str, str
     return store(made.select("rid", *wanted), "numbered")
 
 
+def placed(docs: DataFrame, name: str) -> DataFrame:
+    """``docs``, a table as read from files, with a number for each row that
+    follows from its file and its place there, however a scan is split.  A table that
+    is not read from files is stored with numbers."""
+    try:
+        files = docs.select(F.col("_metadata.file_path").alias("__file")).distinct()
+    except AnalysisException:
+        return store(docs.withColumn(name, F.monotonically_increasing_id()), "rows")
+    # one row for each file, as the scan itself lists them on the driver
+    starts = [(r["__file"], k << 40) for k, r in enumerate(sorted(files.collect()))]
+    numbers = docs.sparkSession.createDataFrame(starts, "__file string, __start long")
+    at = docs.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at"))
+    return at.join(F.broadcast(numbers), "__file").withColumn(name, F.col("__start") + F.col("__at")).drop("__file", "__start", "__at")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -46,11 +83,15 @@ def work_folder(spark: SparkSession, what: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{what}-{uuid.uuid4().hex}"
 
 
+_stored: list[str] = []  # folders of this driver's stored tables, in order
+
+
 def store(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: a cut of lineage
     that survives lost executors and keeps columns prunable."""
     path = work_folder(df.sparkSession, what)
     df.write.parquet(path)
+    _stored.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -101,13 +142,16 @@ def spread_join(rows: DataFrame, groups: DataFrame, key: str, salt_by: str) -> D
     that share.  Both tables should be stored ones.
     """
     most = max(HOT_LEAST, rows.count() // HOT_SHARE)
-    hot = (rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__n")).filter(F.col("__n") > most)
-           .select(key, F.ceil(F.col("__n") / most).cast("long").alias("__salts")))
-    hot = F.broadcast(store(hot, "hot"))
+    hot = store(rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__n")).filter(F.col("__n") > most)
+                .select(key, F.ceil(F.col("__n") / most).cast("long").alias("__salts")), "hot")
+    if hot.isEmpty():
+        dealt, copies = rows.withColumn("__salts", F.lit(1).cast("long")), groups.withColumn("__salt", F.lit(0).cast("long"))
+    else:
+        dealt = rows.join(F.broadcast(hot), key, "left")
+        salts = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("__salts", F.lit(1)) - 1))
+        # stored, so that its size is known to the planner
+        copies = store(groups.join(F.broadcast(hot), key, "left").withColumn("__salt", salts).drop("__salts"), "copies")
     number = F.xxhash64(salt_by)
     # null keys meet no group: they are dealt by a salt of their own
     salt = F.when(F.col(key).isNull(), number).otherwise(F.pmod(number, F.coalesce("__salts", F.lit(1))))
-    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("__salts", F.lit(1)) - 1))
-    dealt = rows.join(hot, key, "left").withColumn("__salt", salt).drop("__salts")
-    copies = groups.join(hot, key, "left").withColumn("__salt", salts).drop("__salts")
-    return dealt.join(copies, [key, "__salt"], "left").drop("__salt")
+    return dealt.withColumn("__salt", salt).drop("__salts").join(copies, [key, "__salt"], "left").drop("__salt")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, packing
-from .common import documents, store, work_folder
+from .common import documents, placed, store, work_folder
 from .exact_dedup import exact_dedup
 from .html_text import extract_main_text
 from .near_dedup import near_dedup
@@ -23,6 +23,7 @@ from .toxicity import toxicity
 from .url_filter import url_filter
 
 BYTE_BPE, WORD_BPE, PIECE_BPE = "byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"
+ROW = "__row"
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +36,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup(documents(spark, sf_dir)).select("doc_id", "class_id", "class_size", "kept")
+    return near_dedup(placed(documents(spark, sf_dir), ROW), row_col=ROW).select("doc_id", "class_id", "class_size", "kept")
 
 
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +102,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup(documents(spark, sf_dir)).select(
+    return suffix_dedup(placed(documents(spark, sf_dir), ROW), row_col=ROW).select(
         "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"))
 
@@ -113,7 +114,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return exact_dedup(placed(documents(spark, sf_dir), ROW), row_col=ROW).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 OP10_SQL = r"""
