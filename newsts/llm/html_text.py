@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, columns, spread_join, store
+from .common import bounded_batches, columns, passing, spread_join, store
 from .shingles import mix
 
 # documented parameters: pages that a valid class occurs on, at least; weight
@@ -179,20 +179,22 @@ def _lists(values: list[list], kind: pa.DataType) -> pa.Array:
 
 def parsed(pages: DataFrame) -> DataFrame:
     """rid, page_id, url, host, copy (digest of the page) and the tokens,
-    parents, kinds and texts of each page."""
-    names = ["rid", "page_id", "url", "host", "copy", "tokens", "parents", "kinds", "texts"]
+    parents, kinds, sizes (characters but white space) and texts of each page."""
+    names = ["rid", "page_id", "url", "host", "copy", "tokens", "parents", "kinds", "sizes", "texts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded_batches(batches, "html", 2 << 20):
             found = [parse(p) for p in batch.column("html").to_pylist()]
             clean = [[t.encode("utf-8", "replace").decode() for t in f[3]] for f in found]
             lists = [_lists([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int16()))]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names[:5]], *lists, _lists(clean, pa.string())], names=names)
+            sizes = [[len("".join(x.split())) for x in t] for t in clean]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names[:5]], *lists, _lists(sizes, pa.int32()), _lists(clean, pa.string())],
+                                             names=names)
 
     return (pages.withColumn("copy", F.unhex(F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256)))
             .select("rid", "page_id", "url", "host", "copy", "html")
             .mapInArrow(run, "rid long, page_id long, url string, host string, copy binary, tokens array<long>, "
-                             "parents array<int>, kinds array<short>, texts array<string>"))
+                             "parents array<int>, kinds array<short>, sizes array<int>, texts array<string>"))
 
 
 def occurrence_vectors(pages: DataFrame) -> DataFrame:
@@ -285,8 +287,8 @@ def templates(pages: DataFrame, listed: DataFrame) -> DataFrame:
 class Slots:
     """The slots of one page: elements, the text below each, and the search."""
 
-    def __init__(self, tokens: list[int], parents: list[int], kinds: list[int], texts: list[str], tags: set | None, template: set):
-        self.tokens, self.parents, self.kinds, self.texts = tokens, parents, kinds, texts
+    def __init__(self, tokens: list[int], parents: list[int], kinds: list[int], sizes: list[int], tags: set | None, template: set):
+        self.tokens, self.parents, self.kinds = tokens, parents, kinds
         once: dict[int, int] = {}
         for token, kind in zip(tokens, kinds, strict=True):
             if kind & CONTAINER:
@@ -295,8 +297,7 @@ class Slots:
         self.enter = [bool(k & CONTAINER) and once[t] == 1 and (tags is None or t in tags) or bool(k & SEMANTIC)
                       for t, k in zip(tokens, kinds, strict=True)]
         self.varying = [bool(k & TEXT) and t not in template for t, k in zip(tokens, kinds, strict=True)]
-        self.mass = [len("".join(x.split())) * (LINK_WEIGHT if k & LINK else 1.0) if v else 0.0
-                     for x, k, v in zip(texts, kinds, self.varying, strict=True)]
+        self.mass = [n * (LINK_WEIGHT if k & LINK else 1.0) if v else 0.0 for n, k, v in zip(sizes, kinds, self.varying, strict=True)]
         self.total = sum(self.mass)
 
     def outside(self, trusted: set[int]) -> list[bool]:
@@ -368,7 +369,7 @@ class Slots:
                 at = up
         return at
 
-    def text(self, at: int, trusted: set[int]) -> str:
+    def text(self, texts: list[str], at: int, trusted: set[int]) -> str:
         """The blocks of the slot, joined by one space.  A block goes with the
         template if all of its texts are in it."""
         out = self.outside(trusted)
@@ -385,7 +386,7 @@ class Slots:
                     blocks.append("".join(part) if own else "")
                     part, own = [], False
                 if under[e] and not out[e]:
-                    part.append(self.texts[e])
+                    part.append(texts[e])
                     own = own or self.varying[e] or semantic[e]
         blocks.append("".join(part) if own else "")
         return " ".join(b for b in (" ".join(x.split()) for x in blocks) if b)
@@ -401,7 +402,7 @@ def _host_sets(batch: pa.RecordBatch, known: dict) -> Iterator[tuple]:
         yield host, *known[host]
 
 
-_EVENTS = ("tokens", "parents", "kinds", "texts")
+_EVENTS = ("tokens", "parents", "kinds", "sizes")
 
 
 def votes(pages: DataFrame) -> DataFrame:
@@ -410,7 +411,7 @@ def votes(pages: DataFrame) -> DataFrame:
     a template."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded_batches(batches, "texts", 2 << 20):
+        for batch in bounded_batches(batches, "tokens", 2 << 20):
             total: dict[tuple, float] = {}
             known: dict = {}
             sets = _host_sets(batch, known)
@@ -423,9 +424,9 @@ def votes(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[pa.array([k[i] for k in total], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))],
                                               pa.array(list(total.values()), pa.float64())], names=["host", "kind", "token", "mass"])
 
-    each = (pages.filter("template IS NOT NULL").select("host", "template", *_EVENTS)
-            .mapInArrow(run, "host string, kind string, token long, mass double")
-            .groupBy("host", "kind", "token").agg(F.sum("mass").alias("mass")))
+    each = store(pages.filter("template IS NOT NULL").select("host", "template", *_EVENTS)
+                 .mapInArrow(run, "host string, kind string, token long, mass double")
+                 .groupBy("host", "kind", "token").agg(F.sum("mass").alias("mass")), "votes")
     size = each.filter("kind = 'all'").select("host", F.col("mass").alias("all"))
     main = F.max(F.when(F.col("kind") == "main", F.struct("mass", "token")))["token"]
     # at most two paths of nested elements hold more than half: few in all
@@ -445,10 +446,11 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
               .withColumn("rid", F.monotonically_increasing_id())
               .withColumn("host", F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))))
     read = store(parsed(narrow), "parsed")  # numbers and tokens are made once
-    listed = store(candidates(store(occurrence_vectors(distinct_pages(read)), "vectors")), "candidates")
-    found = store(templates(read, listed), "templates")
-    with_template = spread_join(read, found, "host", "rid")
-    agreed = store(found.join(votes(with_template), "host", "left"), "agreed")
+    with passing(pages.sparkSession) as keep:
+        listed = store(candidates(store(occurrence_vectors(distinct_pages(read)), "vectors")), "candidates")
+        found = store(templates(read, listed), "templates")
+        with_template = spread_join(read.select("rid", "host", *_EVENTS), found, "host", "rid")
+        agreed = keep(found.join(votes(with_template), "host", "left"), "agreed")
     joined = spread_join(read, agreed, "host", "rid")
     names = ["rid", "page_id", "url", "host", "text"]
 
@@ -456,15 +458,15 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
         for batch in bounded_batches(batches, "texts", 2 << 20):
             out, known = [], {}
             rows = zip(_host_sets(batch, known), batch.column("main").to_pylist(), batch.column("trusted").to_pylist(),
-                       *(batch.column(c).to_pylist() for c in _EVENTS), strict=True)
-            for (_, tags, texts), main, trusted, *events in rows:
-                page = Slots(*events, tags, texts)
+                       batch.column("texts").to_pylist(), *(batch.column(c).to_pylist() for c in _EVENTS), strict=True)
+            for (_, tags, constant), main, trusted, texts, *events in rows:
+                page = Slots(*events, tags, constant)
                 trusted = page.doubted() if tags is None else set(trusted or ())
                 at = next((e for e, t in enumerate(page.tokens) if t == main and not page.kinds[e] & TEXT), None) if main is not None else None
                 if at is None or page.outside(trusted)[at]:
                     at = page.search(trusted)
-                out.append(page.text(at, trusted))
+                out.append(page.text(texts, at, trusted))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names[:4]], pa.array(out, pa.string())], names=names)
 
-    return joined.select(*names[:4], "template", "main", "trusted", *_EVENTS).mapInArrow(
+    return joined.select(*names[:4], "template", "main", "trusted", "texts", *_EVENTS).mapInArrow(
         run, "rid long, page_id long, url string, host string, text string")

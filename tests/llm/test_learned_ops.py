@@ -393,9 +393,9 @@ def test_html_deep_pages():
     from newsts.llm.html_text import Slots, parse
     for tag in ("div", "b", "x-y"):
         start = time.process_time()
-        found = parse(f"<{tag}>" * 100_000 + "deep" + "</i></p></b>" * 50_000 + "<p>end")
-        page = Slots(*found, None, set())
-        assert page.text(page.search(page.doubted()), set()).startswith("deep")
+        *found, texts = parse(f"<{tag}>" * 100_000 + "deep" + "</i></p></b>" * 50_000 + "<p>end")
+        page = Slots(*found, [len(t) for t in texts], None, set())
+        assert page.text(texts, page.search(page.doubted()), set()).startswith("deep")
         assert time.process_time() - start < 20
 
 
