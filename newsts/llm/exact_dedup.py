@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import numbered, spread_join, store, strip_white_space
+from .common import numbered, passing, spread_join, store, strip_white_space
 
 BLOCK_CHARS = 4096  # documented parameter: code points in a block
 
@@ -109,9 +109,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     are members of their group like any other; exactly one row of a group has
     ``kept``.  An empty table gives an empty result.
     """
-    narrow = numbered(docs, row_col, doc_id=(id_col, "long"), text=(text_col, "string"))
-    table, identities = document_names(narrow, block_chars, fingerprint)
-    rows = store(table.join(identities, "rid").withColumn("identity", F.struct("level", "name")), "identities")
+    with passing(docs.sparkSession) as keep:
+        narrow = numbered(docs, row_col, doc_id=(id_col, "long"), text=(text_col, "string"))
+        table, identities = document_names(narrow, block_chars, fingerprint)
+        rows = keep(table.join(identities, "rid").withColumn("identity", F.struct("level", "name")), "identities")
     best = F.max(F.struct("n_chars", (-F.col("doc_id")).alias("d"), (-F.col("rid")).alias("r"))).alias("best")
     groups = (rows.groupBy("identity").agg(best, F.count("*").alias("group_size"))
               .select("identity", "group_size", (-F.col("best.d")).alias("keep_id"), (-F.col("best.r")).alias("keep_rid")))

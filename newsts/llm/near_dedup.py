@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, numbered, spread_join, store
+from .common import bounded_batches, numbered, passing, spread_join, store
 from .shingles import WordHashes, mix, probability_jaccard, weighted
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -202,12 +202,16 @@ def components(links: DataFrame) -> DataFrame:
     return labels
 
 
-def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """The labels (node, label; a stored table) with the classes of every link made one."""
-    a, b = (labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in ("a", "b"))
-    between = links.join(a, "a").join(b, "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
-    parts = components(between).select(F.col("node").alias("label"), F.col("label").alias("least"))
-    return store(spread_join(labels, store(parts, "parts"), "label", "node").select("node", F.coalesce("least", "label").alias("label")), "labels")
+def joined(labels: DataFrame, pairs: DataFrame, reps: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The labels (node, label; a stored table) with the classes of every pair
+    (a, b) that is verified made one."""
+    with passing(labels.sparkSession) as keep:
+        links = verify(store(likely(store(one_way(pairs), "pairs"), reps), "likely"), texts, similarity)
+        a, b = (labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in ("a", "b"))
+        between = links.join(a, "a").join(b, "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+        parts = components(between).select(F.col("node").alias("label"), F.col("label").alias("least"))
+        labelled = spread_join(labels, store(parts, "parts"), "label", "node")
+        return keep(labelled.select("node", F.coalesce("least", "label").alias("label")), "labels")
 
 
 def common_first(texts: DataFrame) -> np.ndarray:
@@ -315,18 +319,17 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
     texts = store(docs.select("rid", "text").hint("merge").join(labels.select(F.col("node").alias("rid")), "rid"), "texts")
     chosen = Window.partitionBy("key").orderBy(F.desc("meets"), "rep")
     lead = members.withColumn("k", F.row_number().over(chosen)).filter(F.col("k") <= LEADERS).select("key", F.col("rep").alias("lead"))
-    pairs = store(one_way(members.join(lead, "key").filter("lead <> rep").select(F.col("lead").alias("a"), F.col("rep").alias("b"))), "pairs")
-    links = store(verify(store(likely(pairs, reps), "likely"), texts, similarity), "links")
-    labels = joined(labels, links)
+    pairs = members.join(lead, "key").filter("lead <> rep").select(F.col("lead").alias("a"), F.col("rep").alias("b"))
+    labels = joined(labels, pairs, reps, texts, similarity)
     # members of buckets that still hold several classes
     named = members.join(labels.withColumnRenamed("node", "rep"), "rep")
     mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).filter("lo <> hi AND n > 2")
     waiting = store(named.join(mixed.select("key"), "key", "left_semi").select("rep", "label").distinct(), "waiting")
     if not waiting.isEmpty():
-        apart = store(texts.hint("merge").join(waiting.select(F.col("rep").alias("rid"), "label"), "rid"), "apart")
-        first = store(prefixes(apart, similarity), "prefixes")
-        pairs = store(one_way(meeting(first, similarity)), "pairs")
-        labels = joined(labels, store(verify(store(likely(pairs, reps), "likely"), texts, similarity), "links"))
+        with passing(docs.sparkSession) as keep:
+            apart = store(texts.hint("merge").join(waiting.select(F.col("rep").alias("rid"), "label"), "rid"), "apart")
+            met = keep(meeting(store(prefixes(apart, similarity), "prefixes"), similarity), "met")
+        labels = joined(labels, met, reps, texts, similarity)
     classes = reps.select("words", "rep").join(labels, F.col("rep") == F.col("node"), "left")
     classes = classes.select("words", F.coalesce("label", "rep").alias("label"))
     return (table.select("rid", "doc_id", "words").join(classes, "words", "left")
@@ -341,8 +344,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marks; with equal or null ids the first row stays.  A text without words
     (or null) is alone in its class.  Repeated rows are one class.
     """
-    narrow = numbered(docs, row_col, doc_id=(id_col, "long"), text=(text_col, "string"))
-    named = store(near_classes(narrow, similarity, bands, rows), "classes")
+    with passing(docs.sparkSession) as keep:
+        narrow = numbered(docs, row_col, doc_id=(id_col, "long"), text=(text_col, "string"))
+        named = keep(near_classes(narrow, similarity, bands, rows), "classes")
     best = F.max(F.struct((-F.col("doc_id")).alias("d"), (-F.col("rid")).alias("r"))).alias("best")
     classes = (named.groupBy("label").agg(best, F.count("*").alias("class_size"))
                .select("label", "class_size", (-F.col("best.d")).alias("class_id"), (-F.col("best.r")).alias("keep")))

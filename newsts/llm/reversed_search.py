@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, columns, store
+from .common import bounded_batches, columns, passing, store
 
 TOP = 10
 ITEM_BYTES = 16 << 20  # documented parameter: bytes of item texts in one broadcast index
@@ -195,15 +195,16 @@ def reversed_search(docs: DataFrame, items: DataFrame, top: int = TOP, id_col: s
         if not built.vocabulary:
             continue
         index = spark.sparkContext.broadcast(built)
-        counts = store(term_counts(narrow, index), "term-counts")
-        n_docs, n_terms = counts.agg(F.count("*"), F.sum("n")).first()
-        if not n_docs:
-            continue
-        weight = np.full(len(built.vocabulary), 0, np.int64)
-        # one row for each term of the broadcast index
-        for t, df in counts.select(F.explode("term").alias("term")).groupBy("term").agg(F.count("*")).collect():
-            weight[t] = math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df + 1)))
-        heaps = store(scored(counts, index, spark.sparkContext.broadcast(weight), n_docs, n_terms, len(rows), top), "heaps")
+        with passing(spark) as keep:
+            counts = store(term_counts(narrow, index), "term-counts")
+            n_docs, n_terms = counts.agg(F.count("*"), F.sum("n")).first()
+            if not n_docs:
+                continue
+            weight = np.full(len(built.vocabulary), 0, np.int64)
+            # one row for each term of the broadcast index
+            for t, df in counts.select(F.explode("term").alias("term")).groupBy("term").agg(F.count("*")).collect():
+                weight[t] = math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df + 1)))
+            heaps = keep(scored(counts, index, spark.sparkContext.broadcast(weight), n_docs, n_terms, len(rows), top), "heaps")
         names = spark.createDataFrame([(i, built.item_ids[i]) for i in range(len(rows))], "item long, item_id long")
         found = found.union(merged(heaps, top).join(names, "item").select("item_id", "rank", "doc_id", "score"))
     return found

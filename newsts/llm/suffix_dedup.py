@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import suffixes as S
-from .common import bounded_batches, numbered, store
+from .common import bounded_batches, numbered, passing, store
 
 # documented parameters
 CHUNK = 1 << 18  # bytes hashed at once
@@ -253,8 +253,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows the first keeps its text.
     """
     narrow = numbered(docs, row_col, doc_id=(id_col, "long"), text=(text_col, "string"))
-    found = store(repeated_anchors(narrow), "anchors")
-    spans = store(repeated_spans(narrow, found), "spans")
+    with passing(docs.sparkSession) as keep:
+        spans = keep(repeated_spans(narrow, store(repeated_anchors(narrow), "anchors")), "spans")
     lists = spans.groupBy("rid").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

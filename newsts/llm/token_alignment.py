@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, columns, spread_join, store, tokenizer_path
+from .common import bounded_batches, columns, passing, spread_join, store, tokenizer_path
 from .packing import CompiledBpe
 
 BLOCK_BYTES = 4 << 20  # documented parameter: bytes of text in a block, or one text
@@ -231,8 +231,8 @@ def align_tokens(docs: DataFrame, a: str, b: str, with_groups: bool = False, id_
     rows = store(narrow.select(F.monotonically_increasing_id().alias("rid"), "doc_id", digest), "rows")
     texts = narrow.filter("text <> ''").groupBy("text").agg(F.count("*").alias("n")).select("text", "n", digest)
     blocks = aligned_blocks(texts, a, b).withColumn("groups_sha256", F.sha2("groups", 256))
-    blocks = store(blocks if with_groups else blocks.drop("groups"), "aligned")
-    found = store(scored_texts(blocks), "measures")
+    with passing(docs.sparkSession) as keep:
+        found = keep(scored_texts(store(blocks if with_groups else blocks.drop("groups"), "aligned")), "measures")
     said = ["groups_sha256", *(["groups"] if with_groups else [])]
     return (spread_join(rows, found, "digest", "rid")
             .select("doc_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in MEASURES],
