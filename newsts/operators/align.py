@@ -92,11 +92,6 @@ def align_semi(left: DataFrame, right: DataFrame, on: Sequence[str] | str = "Dat
     return left.join(right.select(*([on] if isinstance(on, str) else on)).distinct(), on=on, how="left_semi")
 
 
-def align_both(left: DataFrame, right: DataFrame, on="Date") -> tuple[DataFrame, DataFrame]:
-    """J1 applied twice / J7: both sides reduced to their common keys."""
-    return align_semi(left, right, on), align_semi(right, left, on)
-
-
 def align_anti(left: DataFrame, right: DataFrame, on="Date") -> DataFrame:
     """Rows of ``left`` whose key is absent from ``right``."""
     return left.join(right.select(*([on] if isinstance(on, str) else on)).distinct(), on=on, how="left_anti")

@@ -294,9 +294,11 @@ def _level_grams(d: DataFrame, xs: Sequence[str], y: str, by: Sequence[str]) ->
     return g.groupBy(*by).agg(F.collect_list(F.struct("v", "n", "sx", "sy", "xx", "xy", "yy")).alias("levels"))
 
 
-def adf(df: DataFrame, cols: Sequence[str], max_lag: int | None = None, keys=(), order_by: str = "Date") -> DataFrame:
+def adf(df: DataFrame, cols: Sequence[str], max_lag: int | None = None, keys=(), order_by: str = "Date",
+        fixed: bool = False) -> DataFrame:
     """Augmented Dickey-Fuller test (constant; lag order by AIC on the
-    common sample, then the chosen order refitted on its own full sample):
+    common sample, or ``max_lag`` itself if ``fixed``, then the chosen order
+    refitted on its own full sample):
     Δy_t = c + β·y_{t−1} + Σ_i γ_i·Δy_{t−i}; statistic = t(β); p-value
     from the MacKinnon surface.  A single Gram pass (per column and
     validity level) answers every lag order."""
@@ -325,7 +327,7 @@ def adf(df: DataFrame, cols: Sequence[str], max_lag: int | None = None, keys=(),
                 XX, XY, YY = _level_sums(r["levels"], L)
                 n = XX[0, 0]
                 best, best_p = None, 0
-                for p in range(L + 1):
+                for p in [L] if fixed else range(L + 1):
                     idx = list(range(0, p + 2))
                     _, ssr, _ = _ols_from_gram(XX, XY, YY, n, idx)
                     llf = -n / 2.0 * (math.log(2 * math.pi) + math.log(ssr / n) + 1.0)

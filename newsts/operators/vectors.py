@@ -46,6 +46,17 @@ def daily_vectors(df: DataFrame, col: str, parts: Sequence[str] = ("mean",), by:
     return agg.select(*by, F.concat(*[vector_to_array(F.col(f"_s.{p}")) for p in parts]).alias(out))
 
 
+def role_events(df: DataFrame, roles: Sequence[str], by: Sequence[str] = ("Date",), out: str = "vec") -> DataFrame:
+    """T23 by role: max‖mean‖min (A5) of each role's vector column, the roles
+    one after the other; one grouped aggregate for all of them."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+    parts = ("max", "mean", "min")
+    summ = Summarizer.metrics(*parts)
+    agg = df.groupBy(*by).agg(*[summ.summary(array_to_vector(F.col(r))).alias(f"_{r}") for r in roles])
+    return agg.select(*by, F.concat(*[vector_to_array(F.col(f"_{r}.{p}")) for r in roles for p in parts]).alias(out))
+
+
 def daily_scalar_mean(df: DataFrame, col: str, by: Sequence[str] = ("Date",), out: str = "mean_of_mean") -> DataFrame:
     """Mean of each vector, then the group mean."""
     return df.groupBy(*by).agg(F.avg(FV.vec_mean_scalar(col)).alias(out))

@@ -29,5 +29,5 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> dict[str, tuple[Builder, str | None]]:
     # importing the modules fills the registry
-    from . import arma_queries, core_queries, text_queries, vector_queries, stats_queries, stream_queries, io_queries, model_queries, service  # noqa: F401
+    from . import arma_queries, core_queries, text_queries, vector_queries, stats_queries, stream_queries, io_queries, model_queries, service, form_queries  # noqa: F401
     return REGISTRY
