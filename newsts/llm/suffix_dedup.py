@@ -16,10 +16,16 @@ in a smaller doc_id, or earlier in the same document.
    common prefix again.  Equal neighbours (full common prefix) repeat as a
    whole; of different neighbours that share the gram, the windows around the
    anchor are compared one by one.
-4. The spans of each document are joined to its text and cut out.
-
-Everything that moves is bounded by the text; batches, runs and buckets are
-bounded by the task's share of it.
+4. A gram of very many anchors is *hot*: at the edges of a passage that
+   millions of documents share, its contexts are nearly all different.  They
+   are not sorted in one task: each batch sends, of every window around its
+   hot anchors, the earliest occurrence, and Spark groups these by the
+   window's bytes.
+5. The spans of each document are joined to its text and cut out.
+
+Everything that moves is bounded by the text.  The number of buckets follows
+the number of anchors, so a bucket holds a bounded share besides the contexts
+of one gram, of which there are fewer than a hot gram's.
 """
 
 from __future__ import annotations
@@ -32,16 +38,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import suffixes as S
-from .common import bounded_batches, numbered, passing, store
+from .common import bounded_batches, numbered, passing, spread_join, store
 
 # documented parameters
 CHUNK = 1 << 18  # bytes hashed at once
 LAST = (1 << 63) - 1  # stands for a null doc_id, which comes last
+BUCKET = 200_000  # anchors in a bucket, about
+HOT, HOT_GRAMS = 100_000, 1_000_000  # anchors of a hot gram; hot grams broadcast, at most (8 bytes each)
 
 
-def _buckets(df: DataFrame) -> int:
+def _buckets(df: DataFrame, anchors: int) -> int:
     """More buckets than partitions, so that none is large."""
-    return 4 * max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    return max(4 * max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))), -(-anchors // BUCKET))
 
 
 def _chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
@@ -83,8 +91,10 @@ def _join(rows: list[dict], name: str, kind: str) -> np.ndarray:
 
 
 def repeated_anchors(docs: DataFrame) -> DataFrame:
-    """rid, pos: anchors whose gram occurs at two or more of them."""
-    buckets = _buckets(docs)
+    """rid, pos: anchors whose gram occurs at two or more of them; rows with a
+    ``gram`` instead name one of more than ``HOT`` anchors, ``pos`` how many."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets, hot_from = _buckets(docs, size // 35), HOT
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded_batches(batches, "text"):
@@ -108,8 +118,9 @@ def repeated_anchors(docs: DataFrame) -> DataFrame:
             # known to repeat: they pass the exchange in buckets of their own
             known = ~alone
             yield _anchor_rows(-1 - (rid[known] % buckets), rid[known], pos[known], np.zeros(0, np.uint64), known=True)
-            # one of each gram; rid -1 where the batch has already decided its anchors
-            rid = np.where(alone, rid, -1)[new]
+            # one of each gram; -1 - their number where the batch has already decided its anchors
+            times = np.diff(np.append(np.flatnonzero(new), len(gram)))
+            rid = np.where(alone[new], rid[new], -1 - times)
             yield _anchor_rows((gram[new] % np.uint64(buckets)).astype(np.int64), rid, pos[new], gram[new], known=False)
 
     def _anchor_rows(bucket, rid, pos, gram, known) -> pa.RecordBatch:
@@ -129,13 +140,21 @@ def repeated_anchors(docs: DataFrame) -> DataFrame:
                 gram, rid, pos = gram[order], rid[order], pos[order]
                 same = gram[1:] == gram[:-1]
                 again = np.append(same, False) | np.concatenate([[False], same]) if len(gram) else np.zeros(0, bool)
+                starts = np.flatnonzero(np.concatenate([[True], ~same])) if len(gram) else np.zeros(0, np.int64)
+                total = np.add.reduceat(np.where(rid < 0, -1 - rid, 1), starts) if len(gram) else starts
+                many = total > hot_from
+                yield _found(np.full(many.sum(), -1), np.minimum(total[many], (1 << 31) - 1), gram[starts[many]].view(np.int64))
                 again &= rid >= 0
                 rid, pos = rid[again], pos[again]
-            yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(pos, pa.int32())], names=["rid", "pos"])
+            yield _found(rid, pos)
+
+    def _found(rid, pos, gram=None) -> pa.RecordBatch:
+        gram = pa.nulls(len(rid), pa.int64()) if gram is None else pa.array(gram, pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(pos, pa.int32()), gram], names=["rid", "pos", "gram"])
 
     sent = docs.select("rid", "text").mapInArrow(mark, "bucket int, rid binary, pos binary, gram binary")
     return (sent.repartition("bucket").sortWithinPartitions("bucket")
-            .mapInArrow(decide, "rid long, pos int"))
+            .mapInArrow(decide, "rid long, pos int, gram long"))
 
 
 def _first_of_equal(run: np.ndarray, doc: np.ndarray, rid: np.ndarray, pos: np.ndarray):
@@ -153,9 +172,26 @@ def _whole(rows: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pos - before, pos + np.minimum(after, S.LENGTH)
 
 
-def repeated_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
+def hot_grams(found: DataFrame) -> np.ndarray:
+    """The hot grams, sorted; the most frequent ``HOT_GRAMS`` of them, which a
+    passage in a third of all texts is among."""
+    rows = found.filter("gram IS NOT NULL").orderBy(F.desc("pos"), "gram").limit(HOT_GRAMS).select("gram").toArrow()
+    return np.sort(rows.column("gram").to_numpy().astype(np.int64).view(np.uint64))
+
+
+def hot_spans(sent: DataFrame) -> DataFrame:
+    """rid, lo, hi of the windows (window, doc, rid, start) that also start
+    earlier: all but the earliest of each."""
+    place = F.struct("doc", "rid", "start")
+    least = store(sent.groupBy("window").agg(F.min(place).alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n"), "earliest")
+    later = spread_join(sent, least, "window", "rid").filter(F.col("least").isNotNull() & (place > F.col("least")))
+    return later.select("rid", F.col("start").alias("lo"), (F.col("start") + S.LENGTH).alias("hi"))
+
+
+def repeated_spans(docs: DataFrame, anchors: DataFrame) -> DataFrame:
     """rid, lo, hi: spans of bytes that repeat earlier ones; they may overlap."""
-    buckets = _buckets(docs)
+    found = anchors.filter("gram IS NULL")
+    buckets, hot = _buckets(docs, found.count()), docs.sparkSession.sparkContext.broadcast(hot_grams(anchors))
     lists = found.groupBy("rid").agg(F.collect_list("pos").alias("pos"))  # at most one for each byte of a text
     texts = docs.join(lists, "rid").select("rid", F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "text", "pos")
 
@@ -170,9 +206,32 @@ def repeated_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
             rows, rid, doc, pos = rows[order], rid[order], doc[order], pos[order]
             lo, hi = _whole(rows[~first], pos[~first])
             yield _run_rows(-1 - (rid[~first] % buckets), rid[~first], lo, hi, None)
-            rows = rows[first]
+            rows, rid, doc, pos = rows[first], rid[first], doc[first], pos[first]
             gram = S.gram_ids(rows.reshape(-1), np.arange(len(rows)) * S.WIDTH)
-            yield _run_rows((gram % np.uint64(buckets)).astype(np.int64), rid[first], doc[first], pos[first], rows)
+            apart = np.isin(gram, hot.value)
+            yield from _window_rows(rows[apart], rid[apart], doc[apart], pos[apart])
+            own = ~apart
+            yield _run_rows((gram[own] % np.uint64(buckets)).astype(np.int64), rid[own], doc[own], pos[own], rows[own])
+
+    def _window_rows(rows, rid, doc, pos) -> Iterator[pa.RecordBatch]:
+        """Of each window around the anchors the earliest occurrence; the
+        others repeat it."""
+        if not len(rows):
+            return
+        before, after = S.reaches(rows)
+        line = np.concatenate([rows[:, :S.LENGTH - 1:-1], rows[:, :S.LENGTH]], axis=1)
+        for o in range(S.REACH + 1):
+            some = np.flatnonzero((before >= o) & (after >= S.LENGTH - o))
+            order = some[np.lexsort((pos[some], rid[some], doc[some]))]
+            text = [t.tobytes() for t in line[order, S.REACH - o:S.WIDTH - o]]
+            seen: set[bytes] = set()
+            first = np.array([t not in seen and not seen.add(t) for t in text], bool)
+            again = order[~first]
+            if len(again):
+                yield _run_rows(-1 - (rid[again] % buckets), rid[again], pos[again] - o, pos[again] - o + S.LENGTH, None)
+            at = order[first]
+            yield _rows_of(window=pa.array([t for t, f in zip(text, first, strict=True) if f], pa.binary()), doc=pa.array(doc[at], pa.int64()),
+                           at=pa.array(rid[at], pa.int64()), start=pa.array(pos[at] - o, pa.int64()))
 
     def _run_rows(bucket, rid, x, y, rows) -> pa.RecordBatch:
         order = np.argsort(bucket, kind="stable")
@@ -183,9 +242,15 @@ def repeated_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
             cuts = np.append(np.searchsorted(bucket[order], b), len(order))
             coded = [S.front_code(rows[order[i:j]]) for i, j in zip(cuts, cuts[1:], strict=False)]
             lcp, rest = [c[0] for c in coded], [c[1] for c in coded]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(b.astype(np.int32), pa.int32()), *[pa.array(p, pa.binary()) for p in (rids, xs, ys, lcp, rest)]],
-            names=["bucket", "rid", "x", "y", "lcp", "rest"])
+        return _rows_of(bucket=pa.array(b.astype(np.int32), pa.int32()),
+                        **{n: pa.array(p, pa.binary()) for n, p in zip(("rid", "x", "y", "lcp", "rest"), (rids, xs, ys, lcp, rest), strict=True)})
+
+    kinds = {"bucket": pa.int32(), **dict.fromkeys(("rid", "x", "y", "lcp", "rest", "window"), pa.binary()),
+             **dict.fromkeys(("doc", "at", "start"), pa.int64())}
+
+    def _rows_of(**given) -> pa.RecordBatch:
+        n = len(next(iter(given.values())))
+        return pa.RecordBatch.from_arrays([given[c] if c in given else pa.nulls(n, k) for c, k in kinds.items()], names=list(kinds))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, runs in _by_bucket(batches):
@@ -226,9 +291,16 @@ def repeated_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64())],
                                           names=["rid", "lo", "hi"])
 
-    sent = texts.mapInArrow(sort, "bucket int, rid binary, x binary, y binary, lcp binary, rest binary")
-    return (sent.repartition("bucket").sortWithinPartitions("bucket")
-            .mapInArrow(merge, "rid long, lo long, hi long"))
+    sent = texts.mapInArrow(sort, "bucket int, rid binary, x binary, y binary, lcp binary, rest binary, window binary, doc long, at long, start long")
+    hot_found = len(hot.value) > 0
+    if hot_found:  # read twice then
+        sent = store(sent, "contexts")
+    spans = (sent.filter("window IS NULL").select("bucket", "rid", "x", "y", "lcp", "rest").repartition("bucket").sortWithinPartitions("bucket")
+             .mapInArrow(merge, "rid long, lo long, hi long"))
+    if hot_found:
+        windows = sent.filter("window IS NOT NULL").select("window", "doc", F.col("at").alias("rid"), "start")
+        spans = spans.unionByName(hot_spans(windows))
+    return spans
 
 
 def _union(lo: list[int], hi: list[int]) -> list[tuple[int, int]]:

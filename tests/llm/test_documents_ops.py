@@ -366,3 +366,27 @@ def test_numbers_do_not_follow_the_splits(spark, tmp_path, corpus):
         spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert turn[0] > 20 and got == want
+
+
+# ---- 8, hot grams
+
+def test_suffix_dedup_of_hot_grams(spark, corpus, monkeypatch):
+    """Windows of frequent grams, grouped by their bytes, give the same cuts,
+    whatever counts as frequent."""
+    import random
+
+    from newsts.llm import suffix_dedup as s
+
+    from .conftest import frame, words
+    rng = random.Random(8)
+    passage = words(rng, 60)
+    rows = [(i, words(rng, 8) + " " + passage + " " + words(rng, 8)) for i in range(120)] + [(1000 + (i or 0), t) for i, t in corpus if t and len(t) < 5000]
+    table = frame(spark, rows).repartition(5)
+    want = bag((i, n, len(cuts), kept) for i, n, cuts, kept in brute_spans(rows))
+    calls, kept = [], s.hot_spans
+    monkeypatch.setattr(s, "hot_spans", lambda sent: calls.append(1) or kept(sent))
+    for hot in (1, 20, 10**6):
+        monkeypatch.setattr(s, "HOT", hot)
+        got = s.suffix_dedup(table).collect()
+        assert bag((r["doc_id"], r["n_bytes"], len(r["spans"]), bytes(r["kept"])) for r in got) == want
+    assert len(calls) == 2
