@@ -1,9 +1,8 @@
 """Scaling and row arithmetic.
 
 ``minmax_fit`` returns a one-row parameter DataFrame (it can be saved with
-K7); ``minmax_apply``/``minmax_invert`` read it through scalar subqueries,
-so fitting stays lazy and the parameters are never re-fitted on the rows
-being transformed.
+K7); ``minmax_apply``/``minmax_invert`` read that row once, which runs the
+fit, and inline the bounds, so nothing is fitted on the rows being transformed.
 """
 
 from __future__ import annotations

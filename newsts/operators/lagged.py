@@ -222,8 +222,8 @@ def exp_decay(df: DataFrame, cols: Sequence[str], scale: float = 7.0, keys=(), o
     e^{±o/scale} stay finite; each block passes on a carry.  A carry further
     than ``ceil(745·scale/block)`` blocks back is multiplied by a weight
     that is exactly 0.0 in double precision, so the carry window below is
-    exact, and each window partition is one block or one small block
-    table, never the whole series."""
+    exact.  The row number is one window over each series; the sums' windows
+    are one block or one small table of blocks."""
     on = [*keys]
     rn_df = with_row_number(df, keys, order_by, "_rn").withColumn("_b", F.floor((F.col("_rn") - 1) / block)) \
         .withColumn("_o", ((F.col("_rn") - 1) % block).cast("double"))

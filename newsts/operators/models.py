@@ -94,8 +94,7 @@ def predict_expr(x_cols: Sequence[str], coef: Column, intercept: Column) -> Colu
 def linear_apply(df: DataFrame, params: DataFrame, x_cols: Sequence[str], by: Sequence[str] = (),
                  out: str = "yhat") -> DataFrame:
     """Score rows with fitted coefficients.  Grouped params join on their
-    keys (one row per group); a single model is read through scalar
-    subqueries."""
+    keys (one row per group); a single model's are read once and inlined."""
     if by:
         return df.join(params, on=list(by), how="inner") \
             .withColumn(out, predict_expr(x_cols, F.col("coef"), F.col("intercept"))).drop("coef", "intercept")

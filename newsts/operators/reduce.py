@@ -85,12 +85,16 @@ def factor_rows(df: DataFrame, cols: Sequence[str], k: int, steps: int = 200) ->
 
 
 def nonnegative_weights(x: np.ndarray, h: np.ndarray, sweeps: int = 200) -> np.ndarray:
-    """Rows w >= 0 that make w·h nearest to the rows of x, by coordinate sweeps."""
-    a, b = x @ h.T, h @ h.T
+    """Rows w >= 0 that make w·h nearest to the rows of x."""
+    return nonnegative_solve(x @ h.T, h @ h.T, sweeps)
+
+
+def nonnegative_solve(a: np.ndarray, b: np.ndarray, sweeps: int = 200) -> np.ndarray:
+    """Rows w >= 0 that minimise w·b·w' - 2·a·w', by coordinate sweeps."""
     w = np.maximum(a / np.maximum(b.sum(axis=0), 1e-300), 0.0)
     for _ in range(sweeps):
         change = 0.0
-        for j in range(len(h)):
+        for j in range(len(b)):
             new = np.maximum(0.0, w[:, j] + (a[:, j] - w @ b[:, j]) / max(b[j, j], 1e-300))
             change = max(change, float(np.abs(new - w[:, j]).max(initial=0.0)))
             w[:, j] = new

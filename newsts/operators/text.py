@@ -292,6 +292,9 @@ def coherence(cooc: DataFrame, top_ids: DataFrame) -> DataFrame:
 
 
 # T10 ----------------------------------------------------------------------------
+LEXICON_TERMS = 10_000  # documented parameter: terms of a lexicon that is looked up inside the row
+
+
 def sentiment(docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               negations: Sequence[str] = ("not", "never", "no", "nicht", "pas", "kein")) -> DataFrame:
     """Polarity / subjectivity per document from a lexicon table
@@ -301,19 +304,22 @@ def sentiment(docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", text_
     Scores are the mean over hits; documents without hits score 0.  The
     neighbour of a token comes from its document's array, so no token rows
     are shuffled to order them."""
+    arrays = docs.select(id_col, TX.tokens(text_col).alias("_t")).filter(F.size("_t") > 0)
     pairs = F.transform("_t", lambda t, i: F.struct(t.alias("token"), F.get("_t", i - 1).alias("prev")))
-    rows = docs.select(id_col, TX.tokens(text_col).alias("_t")).select(id_col, F.explode(pairs).alias("_p"))
-    rows = rows.select(id_col, "_p.token", "_p.prev")
-    hit = rows.join(lexicon.withColumnRenamed("term", "token"), on="token", how="inner")
+    listed = [r[0] for r in lexicon.select("term").limit(LEXICON_TERMS + 1).collect()]
+    if len(listed) <= LEXICON_TERMS:
+        # a small lexicon is looked up inside the row; only hits leave it
+        pairs = F.filter(pairs, lambda p: p["token"].isin(listed))
+    rows = arrays.select(id_col, F.explode_outer(pairs).alias("_p")).select(id_col, "_p.token", "_p.prev")
+    hit = rows.join(lexicon.withColumnRenamed("term", "token"), on="token", how="left")
     mult = lexicon.select(F.col("term").alias("prev"), F.col("intensity").alias("_mult")).filter(F.col("_mult") != 1.0)
     hit = hit.join(mult, on="prev", how="left")
     neg = F.coalesce(F.col("prev").isin(list(negations)), F.lit(False))
     pol = F.col("polarity") * F.coalesce(F.col("_mult"), F.lit(1.0)) * F.when(neg, F.lit(-0.5)).otherwise(F.lit(1.0))
     subj = F.least(F.lit(1.0), F.col("subjectivity") * F.coalesce(F.col("_mult"), F.lit(1.0)))
-    per = hit.groupBy(id_col).agg(F.avg(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), pol))).alias("polarity"),
-                                  F.avg(subj).alias("subjectivity"))
-    has = docs.filter(F.size(TX.tokens(text_col)) > 0).select(id_col).distinct()
-    return has.join(per, on=id_col, how="left").fillna({"polarity": 0.0, "subjectivity": 0.0})
+    found = F.col("polarity").isNotNull()
+    mean = {"polarity": F.greatest(F.lit(-1.0), F.least(F.lit(1.0), pol)), "subjectivity": subj}
+    return hit.groupBy(id_col).agg(*[F.coalesce(F.avg(F.when(found, e)), F.lit(0.0)).alias(n) for n, e in mean.items()])
 
 
 # T15 ----------------------------------------------------------------------------

@@ -2,12 +2,10 @@
 
 T11 fits topics on the edges (document, term, count) with documents and terms
 as tables: no vocabulary is collected.  T12 uses Spark ML's distributed LDA on
-vectors of fixed length.  T13/T14 (NMF, semantics-assisted NMF) run as alternating, column-wise (HALS) updates where the documents
-stay distributed: the document factor H is a DataFrame (one k-vector per
-document, updated row-locally), and only the term factor W — terms × k
-for a top-n vocabulary, so bounded — travels to the executors as a small
-broadcast table.  Every iteration's H is checkpointed into the shared
-checkpoint folder to cut lineage.
+vectors of fixed length.  T13/T14 (NMF, semantics-assisted NMF) run as alternating, column-wise updates where the documents stay
+distributed: the factors of a document are solved where it is, and only the
+term factor W — terms × k for a top-n vocabulary, so bounded — travels to
+the executors.
 """
 
 from __future__ import annotations
@@ -22,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage
+from .reduce import nonnegative_solve as nonnegative_weights
 
 FLOOR = 1e-20
 
@@ -193,58 +192,66 @@ def _w_table(spark: SparkSession, W: np.ndarray) -> DataFrame:
     return spark.createDataFrame([(i + 1, [float(x) for x in W[i]]) for i in range(W.shape[0])], "term_id long, w array<double>")
 
 
-def _h_step(h: DataFrame, id_col: str, WtW: np.ndarray) -> DataFrame:
-    """One HALS sweep over the columns of H, row-local: k·k numbers a row,
-    whatever the order of the columns."""
-    k = len(WtW)
-    schema = T.StructType([h.schema[id_col], T.StructField("h", T.ArrayType(T.DoubleType()))])
+def _factor_pass(rows: DataFrame, W: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(A·H, HᵀH) for the document factors that fit W best: each document's
+    factor is found and used where the document is, sums leave the task."""
+    n, k = W.shape
+    given = rows.sparkSession.sparkContext.broadcast(W)
 
-    def run(it):
-        for pdf in it:
-            if len(pdf):
-                x = np.stack(pdf["h"].to_numpy()).astype(float)
-                p = pdf[[f"p{j}" for j in range(k)]].to_numpy(dtype=float)
-                for j in range(k):
-                    x[:, j] = np.maximum(FLOOR, x[:, j] + (p[:, j] - x @ WtW[:, j]) / WtW[j, j])
-                yield pd.DataFrame({id_col: pdf[id_col], "h": list(x)})
-
-    return h.mapInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, total = given.value, np.zeros((n + k, k))
+        for batch in batches:
+            h, doc, term, a = _factors(batch, w)
+            np.add.at(total, term, h[doc] * a[:, None])
+            total[n:] += h.T @ h
+        some = np.flatnonzero(total.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some), *[pa.array(total[some, j]) for j in range(k)]], names=["row", *[f"s{j}" for j in range(k)]])
+
+    part = rows.select("terms").mapInArrow(run, "row long, " + ", ".join(f"s{j} double" for j in range(k)))
+    found = part.groupBy("row").agg(*[F.sum(f"s{j}").alias(f"s{j}") for j in range(k)]).toArrow()  # terms + k rows
+    out = np.zeros((n + k, k))
+    out[found.column("row").to_numpy()] = np.stack([found.column(f"s{j}").to_numpy() for j in range(k)], axis=1)
+    given.unpersist()
+    return out[:n], out[n:]
+
+
+def _factors(batch: pa.RecordBatch, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(factors of the documents; document, term and count of each edge)."""
+    lists = batch.column("terms")
+    flat = lists.flatten()
+    term, a = flat.field("term_id").to_numpy() - 1, flat.field("a").to_numpy()
+    doc = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+    fit = np.zeros((batch.num_rows, w.shape[1]))
+    np.add.at(fit, doc, w[term] * a[:, None])
+    return np.maximum(FLOOR, nonnegative_weights(fit, w.T @ w)), doc, term, a
 
 
 def nmf_fit(doc_term: DataFrame, n_terms: int, k: int = 4, iters: int = 500, tol: float = 1e-4, seed: int = 0,
             ppmi: DataFrame | None = None, alpha: float = 0.1, id_col: str = "doc_id") -> tuple[np.ndarray, DataFrame, list]:
     """A ≈ W·Hᵀ with A the term×document counts (edge table
-    (doc, term_id, tf)), by HALS column updates with a floor, unit-norm W
+    (doc, term_id, tf)), by column updates with a floor, unit-norm W
     columns, stopping when the relative loss gain falls below ``tol``.
     With ``ppmi`` (edges (i, j, ppmi)) and ``alpha`` > 0 the W step also
     fits S ≈ W·Wcᵀ (semantics-assisted NMF; the sparsity term is used
-    with β = 0 as in the published run).  Returns (W, H, losses)."""
+    with β = 0 as in the published run).  A pass reads the documents once: their factors are solved
+    from W where they are, and only sums of terms x k numbers are grouped.
+    Returns (W, H, losses), H being the factors of the last loss."""
     spark = doc_term.sparkSession
     rng = np.random.default_rng(seed)
     W = rng.random((n_terms, k))
     W /= np.linalg.norm(W, axis=0, keepdims=True)
     Wc = rng.random((n_terms, k)) if ppmi is not None else None
-    # A is read twice per iteration: materialise it once (shared folder)
-    A = cut_lineage(doc_term.select(id_col, "term_id", F.col("tf").cast("double").alias("a")))
-    a2 = A.agg(F.sum(F.col("a") * F.col("a"))).first()[0]
-    docs = A.select(id_col).distinct()
-    # a start vector of its own for each document, from a hash of its id
-    start = [F.pmod(F.xxhash64(id_col, F.lit(seed), F.lit(j)), F.lit(1 << 20)).cast("double") / (1 << 20) for j in range(k)]
-    H = cut_lineage(docs.withColumn("h", F.array(*start)))
+    # one row for each document, with its own terms: made once, read in every pass
+    edge = F.struct("term_id", F.col("tf").cast("double").alias("a"))
+    A = cut_lineage(doc_term.groupBy(id_col).agg(F.collect_list(edge).alias("terms")))
+    square = F.aggregate("terms", F.lit(0.0), lambda s, x: s + x["a"] * x["a"])
+    a2 = A.agg(F.sum(square)).first()[0] or 0.0
     s2 = ppmi.agg(F.sum(F.col("ppmi") * F.col("ppmi"))).first()[0] if ppmi is not None and alpha > 0 else 0.0
     losses: list[float] = []
+    before = W.copy()
     for _ in range(iters):
-        # ---- H step: AᵀW (docs × k) by a join with the small W table
-        Wt = F.broadcast(_w_table(spark, W))
-        AtW = A.join(Wt, "term_id").groupBy(id_col).agg(
-            *[F.sum(F.col("a") * F.col("w")[j]).alias(f"p{j}") for j in range(k)])
-        WtW = W.T @ W
-        h = H.join(AtW, id_col, "left").fillna(0.0)
-        H = cut_lineage(_h_step(h, id_col, WtW))
-        # ---- W step: A·H (terms × k) and HᵀH (k × k)
-        AH = A.join(H, id_col).groupBy("term_id").agg(F.array(*[F.sum(F.col("a") * F.col("h")[j]) for j in range(k)]).alias("ah"))
-        AHm = _small_matrix(AH, "term_id", "ah", n_terms, k)
-        HtH = np.array(H.agg(*[F.sum(F.col("h")[i] * F.col("h")[j]) for i in range(k) for j in range(k)]).first()).reshape(k, k)
+        before = W.copy()
+        AHm, HtH = _factor_pass(A, W)
         if ppmi is not None and alpha > 0:
             SWc = _small_matrix(ppmi.join(F.broadcast(_w_table(spark, Wc).withColumnRenamed("term_id", "j")), "j")
                                 .groupBy(F.col("i").alias("term_id"))
@@ -273,4 +280,11 @@ def nmf_fit(doc_term: DataFrame, n_terms: int, k: int = 4, iters: int = 500, tol
         losses.append(loss)
         if len(losses) > 1 and abs(losses[-2] - losses[-1]) <= tol * max(abs(losses[-2]), 1.0):
             break
-    return W, H, losses
+
+    def factors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = _factors(batch, before)[0]
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(list(h), pa.list_(pa.float64()))], names=[id_col, "h"])
+
+    schema = T.StructType([A.schema[id_col], T.StructField("h", T.ArrayType(T.DoubleType()))])
+    return W, A.mapInArrow(factors, schema), losses

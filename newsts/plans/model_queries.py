@@ -178,21 +178,22 @@ def horizon_forecast(spark, sf):
 def feature_count_search(spark, sf):
     """RFE elimination order on the train Gram gives every subset size
     at once; each size is scored on the test rows; O8 picks the best."""
+    from ..operators.align import best_config
     xy, xs = _event_xy(spark, sf)
-    sp = ordered_split(xy, 0.7)
-    train = sp.filter("role = 'train'")
-    g = G.gram(train, xs, "y")
-    ranks = X.rfe(g, xs, 1, kind="ols").collect()
-    order = [r["feature"] for r in sorted(ranks, key=lambda r: r["rank"])]
-    outs = []
+    sp = cut_lineage(ordered_split(xy, 0.7))
+    g = G.to_numpy(G.gram(sp.filter("role = 'train'"), xs, "y").first().asDict())
+    ranks = X.rfe_order(g, 1, "ols")
+    order = sorted(range(len(xs)), key=lambda i: ranks[i])
+    # every size is a part of the one Gram, and all are scored in one scan
+    sizes = []
     for n in range(1, len(xs) + 1):
-        cols = order[:n]
-        p = M.linear_fit(G.gram(train, cols, "y"))
-        pred = M.linear_apply(sp.filter("role = 'test'"), p, cols)
-        outs.append(V.errors(pred, "y", "yhat").withColumn("config", F.lit(n)))
-    from functools import reduce
-    from ..operators.align import best_config
-    return best_config(reduce(lambda a, b: a.unionByName(b), outs), config=("config",))
+        c, b = M.solve(X._sub(g, order[:n]), "ols")
+        yhat = F.lit(float(c))
+        for i, v in zip(order[:n], b, strict=True):
+            yhat = yhat + F.col(xs[i]) * F.lit(float(v))
+        sizes.append(F.struct(F.lit(n).alias("config"), yhat.alias("yhat")))
+    scored = sp.filter("role = 'test'").select("y", F.explode(F.array(*sizes)).alias("s")).select("y", "s.config", "s.yhat")
+    return best_config(V.errors(scored, "y", "yhat", by=["config"]), config=("config",))
 
 
 @register("score_saved", f"""WITH {EVENT_XY}

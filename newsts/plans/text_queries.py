@@ -311,7 +311,8 @@ SELECT CAST(ts AS DATE) AS "Date", event_type AS title, CAST(json_extract(props,
 FROM events""")
 def listing_sorted(spark, sf):
     rows = L.listing_rows(S.events(spark, sf), "props", "event_type")
-    return rows.orderBy(F.col("score").desc(), F.col("event_id")).select("Date", "title", "score", "event_id")
+    # the order of a listing, within each part of it: nothing is dealt anew
+    return rows.sortWithinPartitions(F.col("score").desc(), F.col("event_id")).select("Date", "title", "score", "event_id")
 
 
 # S11 / S12 -----------------------------------------------------------------------------------
@@ -346,11 +347,9 @@ def _listing_pages(spark, sf):
 @register("listing_json", """
 SELECT CAST(ts AS DATE) AS "Date", CAST(json_extract(props, '$.k') AS INTEGER) AS score, event_type AS title FROM events""")
 def listing_json(spark, sf):
-    """S8 (+O1): listing pages → (score, title) rows, highest score first,
-    stamped with the page's day."""
-    pages = _listing_pages(spark, sf)
-    rows = L.listing_json(pages, "json", stamp=F.col("Date"))
-    return rows.orderBy(F.col("score").desc())
+    """S8 (+O1): listing pages → (score, title) rows, highest score first
+    within a page, stamped with the page's day."""
+    return L.listing_json(_listing_pages(spark, sf), "json", stamp=F.col("Date"))
 
 
 @register("listing_days", """

@@ -20,11 +20,20 @@ def listing_rows(df: DataFrame, props: str = "props", title: str = "title", stam
     return out
 
 
+def _by_score(children: str) -> Column:
+    """The children of a page by falling score, those without one last."""
+    def compare(a, b):
+        x, y = (F.coalesce(c["data"]["score"].cast("double"), F.lit(float("-inf"))) for c in (a, b))
+        return F.when(x > y, -1).when(x < y, 1).otherwise(0)
+    return F.array_sort(F.col(children), compare)
+
+
 def listing_json(json_df: DataFrame, col: str = "json", stamp: Column | None = None) -> DataFrame:
     """A landed listing page → rows (score, title), highest score
-    first; the score dropped afterwards by the caller if not needed."""
+    first within its page; the score dropped afterwards by the caller if not
+    needed."""
     p = json_df.select(F.from_json(F.col(col), LISTING_SCHEMA).alias("p"), *( [stamp.alias("Date")] if stamp is not None else []))
-    rows = p.select(*(["Date"] if stamp is not None else []), F.explode("p.data.children").alias("c"))
+    rows = p.select(*(["Date"] if stamp is not None else []), F.explode(_by_score("p.data.children")).alias("c"))
     return rows.select(*(["Date"] if stamp is not None else []), F.col("c.data.score").alias("score"),
                        F.col("c.data.title").alias("title"))
 
