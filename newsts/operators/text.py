@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from ..functions import text as TX
 from ..functions.porter import stem as porter_stem
+from ..session import cut_lineage
 
 
 # token tables -----------------------------------------------------------------
@@ -41,8 +42,11 @@ def basic_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 STEM_CACHE = 500_000  # documented parameter: stems kept by a task
 
 
-def proper_forms(docs: DataFrame, tokens_col: str = "_t", threshold: float = 0.5) -> DataFrame:
-    """A lower-case form is a proper noun when at least ``threshold``
+HOT_FORMS = 1000  # documented parameter: proper forms looked up inside the row, at most
+
+
+def proper_forms(docs: DataFrame, tokens_col: str = "_t", threshold: float = 0.5, counts: bool = False) -> DataFrame:
+    """Form (and ``n``, how often it occurs there).  A lower-case form is a proper noun when at least ``threshold``
     of its occurrences away from a sentence start are capitalised (a corpus
     statistic replacing a POS tagger).  The sentence start is a test on the
     array's neighbour; what is shuffled are counts per form."""
@@ -52,8 +56,8 @@ def proper_forms(docs: DataFrame, tokens_col: str = "_t", threshold: float = 0.5
     t = docs.select(F.explode(F.transform(tokens_col, inside)).alias("token")).filter(F.col("token").isNotNull())
     cap = F.col("token").rlike(r"^\p{Lu}")
     return (t.groupBy(F.lower("token").alias("form"))
-             .agg(F.avg(cap.cast("double")).alias("cap_share"))
-             .filter(F.col("cap_share") >= threshold).select("form"))
+             .agg(F.avg(cap.cast("double")).alias("cap_share"), F.count(F.lit(1)).alias("n"))
+             .filter(F.col("cap_share") >= threshold).select("form", *(["n"] if counts else [])))
 
 
 def stem_vocabulary(forms: DataFrame, col: str = "form") -> DataFrame:
@@ -77,11 +81,19 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stem:
         w = F.transform("_t", F.lower)
     else:
         if proper:
-            # the proper forms of a document, from its distinct capitalised tokens
+            # the proper forms of a document, from its distinct capitalised tokens.
+            # A form with more than 1/HOT_FORMS of all occurrences would be one
+            # hot key: these few are looked up inside the row
+            forms = cut_lineage(proper_forms(base, threshold=threshold, counts=True))
+            total = forms.agg(F.sum("n")).first()[0] or 0
+            hot = [r["form"] for r in forms.filter(F.col("n") > total / HOT_FORMS).select("form").collect()]
             caps = F.array_distinct(F.transform(F.filter("_t", lambda t: t.rlike(r"^\p{Lu}")), F.lower))
-            found = (base.select("_id", F.explode(caps).alias("form")).join(proper_forms(base, threshold=threshold), "form")
-                     .groupBy("_id").agg(F.collect_set("form").alias("_p")))
-            base = base.join(found, "_id", "left")
+            is_hot = (lambda f: f.isin(hot)) if hot else (lambda f: F.lit(False))
+            rest = F.filter(caps, lambda f: ~is_hot(f))
+            found = (base.select("_id", F.explode(rest).alias("form")).join(forms.select("form"), "form")
+                     .groupBy("_id").agg(F.collect_set("form").alias("_own")))
+            base = base.withColumn("_hot", F.filter(caps, is_hot)).join(found, "_id", "left")
+            base = base.select("_id", "_t", F.concat("_hot", F.coalesce("_own", F.array().cast("array<string>"))).alias("_p"))
         else:
             base = base.withColumn("_p", F.lit(None).cast("array<string>"))
 

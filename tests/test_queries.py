@@ -21,7 +21,9 @@ SAMPLE = ["daily_mean", "tagged_points_pivot", "points_unpivot", "recent_window"
           "coherence", "lexicon_sentiment", "combined_sentiment", "geo_regex_sql", "event_triples", "page_items",
           "vector_maxmeanmin", "pattern_similarity", "nearest_vectors", "sentence_vector", "metrics", "random_walk",
           "cv_summary", "linear_1d", "series_stats", "binned_mi", "acf", "decompose_window", "rolling_ar",
-          "stream_daily", "stream_decay", "csv_preamble", "series_json", "insert_new"]
+          "stream_daily", "stream_decay", "csv_preamble", "series_json", "insert_new", "arma_forecast", "order_grid", "ts_cv",
+          "elastic_net", "glm_families", "adf_fixed", "granger_f", "rfe_ols", "select_by_coef_ols", "pca_rows", "best_order",
+          "phrase_similarity", "first_token_plain", "role_events", "union_sources", "listing_json"]
 
 
 def _norm(v):
