@@ -453,31 +453,31 @@ def make_stationary(df: DataFrame, cols: Sequence[str], alpha: float = 0.05, max
 # X6 (LOESS form) -----------------------------------------------------------------------
 def _loess(x: np.ndarray, y: np.ndarray, xq: np.ndarray, span: int, w_rob: np.ndarray | None = None) -> np.ndarray:
     """Local linear fit with tricube weights over the ``span`` nearest
-    points (widened beyond the data when span > n), evaluated at ``xq``."""
+    points (widened beyond the data when span > n), evaluated at ``xq``.
+    ``x`` are the numbers 0, 1, ...: the nearest points are a window that
+    slides with the query, so nothing is sorted."""
     n = len(x)
-    out = np.empty(len(xq))
     q = min(span, n)
-    for k, x0 in enumerate(xq):
-        d = np.abs(x - x0)
-        idx = np.argsort(d, kind="stable")[:q]
-        h = d[idx].max()
-        if span > n:
-            h = h + (span - n) / 2.0
-        h = max(h, 1e-12)
-        w = (1 - (d[idx] / h) ** 3) ** 3
-        w = np.clip(w, 0, None)
+    out = np.empty(len(xq))
+    first = np.clip(np.round(xq).astype(int) - (q - 1) // 2, 0, n - q)
+    inside = np.arange(q)
+    for lo in range(0, len(xq), 4096):
+        x0 = xq[lo:lo + 4096, None]
+        at = first[lo:lo + 4096, None] + inside
+        xs, ys = x[at], y[at]
+        d = np.abs(xs - x0)
+        h = np.maximum(d.max(axis=1, keepdims=True) + ((span - n) / 2.0 if span > n else 0.0), 1e-12)
+        w = np.clip((1 - (d / h) ** 3) ** 3, 0, None)
         if w_rob is not None:
-            w = w * w_rob[idx]
-        xs, ys = x[idx], y[idx]
-        sw = w.sum()
-        if sw <= 0:
-            out[k] = ys.mean()
-            continue
-        xm = (w * xs).sum() / sw
-        ym = (w * ys).sum() / sw
-        sxx = (w * (xs - xm) ** 2).sum()
-        b = (w * (xs - xm) * (ys - ym)).sum() / sxx if sxx > 1e-12 * max(1.0, xm * xm) else 0.0
-        out[k] = ym + b * (x0 - xm)
+            w = w * w_rob[at]
+        sw = w.sum(axis=1)
+        safe = np.where(sw > 0, sw, 1.0)
+        xm, ym = (w * xs).sum(axis=1) / safe, (w * ys).sum(axis=1) / safe
+        dx = xs - xm[:, None]
+        sxx = (w * dx ** 2).sum(axis=1)
+        flat = sxx <= 1e-12 * np.maximum(1.0, xm * xm)
+        b = np.where(flat, 0.0, (w * dx * (ys - ym[:, None])).sum(axis=1) / np.where(flat, 1.0, sxx))
+        out[lo:lo + 4096] = np.where(sw > 0, ym + b * (x0[:, 0] - xm), ys.mean(axis=1))
     return out
 
 

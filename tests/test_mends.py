@@ -199,3 +199,20 @@ def test_preamble_of_files_in_splits(spark, tmp_path):
     # a second header line is a line like any other
     assert sorted(str(p) for d, p in got if d) == sorted([str(float(f"{k}.{i}")) for k in range(3) for i in range(400)] + ["9.5"] * 3)
     assert sum(d is None for d, _ in got) == 3
+
+
+def test_loess_window_slides(spark):
+    """Against the definition: the nearest points by sorted distance."""
+    from newsts.operators.stats import _loess
+    rng = np.random.default_rng(8)
+    for n, span in ((5, 7), (40, 7), (90, 21)):
+        x, y, w = np.arange(n, dtype=float), rng.normal(size=n), rng.random(n)
+        xq = np.arange(-1, n + 1, dtype=float)
+        got = _loess(x, y, xq, span, w)
+        for at, value in zip(xq, got):
+            near = np.argsort(np.abs(x - at), kind="stable")[:min(span, n)]
+            h = np.abs(x[near] - at).max() + max(0, span - n) / 2
+            k = np.clip((1 - (np.abs(x[near] - at) / h) ** 3) ** 3, 0, None) * w[near]
+            design = np.stack([np.ones(len(near)), x[near] - at], axis=1)
+            want = np.linalg.lstsq(design * np.sqrt(k)[:, None], y[near] * np.sqrt(k), rcond=None)[0][0]
+            assert value == pytest.approx(want, abs=1e-8)
