@@ -151,9 +151,10 @@ def frequency_vocab(texts: DataFrame, id_col: str = "doc_id", text_col: str = "c
 
 def id_sequences(terms: DataFrame, vocab: DataFrame, id_col: str = "doc_id", id_name: str = "term_id") -> DataFrame:
     """T3/T5 apply: (doc, pos, term) → ordered list of term ids per
-    document, unknown terms dropped.  The vocabulary is a top-n cut
-    (bounded) and broadcast; the ordered list is one document's own terms."""
-    j = terms.join(F.broadcast(vocab.select("term", F.col(id_name).alias("_id"))), on="term", how="inner")
+    document, unknown terms dropped.  The planner broadcasts a vocabulary that
+    it knows to be small, as a top-n cut; the ordered list is one document's
+    own terms."""
+    j = terms.join(vocab.select("term", F.col(id_name).alias("_id")), on="term", how="inner")
     s = j.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("pos", "_id"))).alias("_s"))
     return s.select(id_col, F.transform("_s", lambda x: x["_id"]).alias("ids"))
 
@@ -191,8 +192,9 @@ def vocab_top(terms: DataFrame, min_count: int = 3, n: int = 2000) -> DataFrame:
 
 
 def doc_term(terms: DataFrame, vocab: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, term_id, tf) over the cut vocabulary (broadcast)."""
-    j = terms.join(F.broadcast(vocab.select("term", "term_id")), on="term", how="inner")
+    """(doc_id, term_id, tf) over the vocabulary, which the planner
+    broadcasts where it knows it to be small, as a top-n cut."""
+    j = terms.join(vocab.select("term", "term_id"), on="term", how="inner")
     return j.groupBy(id_col, "term_id").agg(F.count(F.lit(1)).alias("tf"))
 
 

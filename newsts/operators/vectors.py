@@ -67,10 +67,17 @@ def centroids(df: DataFrame, col: str, key: str) -> DataFrame:
     return daily_vectors(df, col, ("mean",), by=(key,), out="centroid")
 
 
+PATTERNS = 1000  # documented parameter: stated query vectors of one call
+
+
 def inline_patterns(patterns: DataFrame, key: str, col: str) -> list[tuple]:
     """The stated query vectors as literals of the plan, like a fitted model's
-    parameters."""
-    return sorted((r[key], list(r[col])) for r in patterns.select(key, col).collect())
+    parameters; more than ``PATTERNS`` of them are an error, to be asked in
+    several calls."""
+    rows = patterns.select(key, col).limit(PATTERNS + 1).collect()
+    if len(rows) > PATTERNS:
+        raise ValueError(f"more than {PATTERNS} query vectors")
+    return sorted((r[key], list(r[col])) for r in rows)
 
 
 def pattern_similarity(df: DataFrame, col: str, patterns: list[tuple], by: Sequence[str] = ("Date",),
