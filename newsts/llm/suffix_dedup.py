@@ -16,7 +16,7 @@ in a smaller doc_id, or earlier in the same document.
    common prefix again.  Equal neighbours (full common prefix) repeat as a
    whole; of different neighbours that share the gram, the windows around the
    anchor are compared one by one.
-4. A gram of very many anchors is *hot*: at the edges of a passage that
+4. A gram of very many contexts is *hot*: at the edges of a passage that
    millions of documents share, its contexts are nearly all different.  They
    are not sorted in one task: each batch sends, of every window around its
    hot anchors, the earliest occurrence, and Spark groups these by the
@@ -44,7 +44,7 @@ from .common import bounded_batches, numbered, passing, spread_join, store
 CHUNK = 1 << 18  # bytes hashed at once
 LAST = (1 << 63) - 1  # stands for a null doc_id, which comes last
 BUCKET = 200_000  # anchors in a bucket, about
-HOT, HOT_GRAMS = 100_000, 1_000_000  # anchors of a hot gram; hot grams broadcast, at most (8 bytes each)
+HOT, HOT_GRAMS = 100_000, 1_000_000  # contexts of a hot gram; hot grams broadcast, at most (8 bytes each)
 
 
 def _buckets(df: DataFrame, anchors: int) -> int:
@@ -92,34 +92,38 @@ def _join(rows: list[dict], name: str, kind: str) -> np.ndarray:
 
 def repeated_anchors(docs: DataFrame) -> DataFrame:
     """rid, pos: anchors whose gram occurs at two or more of them; rows with a
-    ``gram`` instead name one of more than ``HOT`` anchors, ``pos`` how many."""
+    ``gram`` instead name one of more than ``HOT`` contexts, as the batches
+    count different ones, ``pos`` how many."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets, hot_from = _buckets(docs, size // 35), HOT
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded_batches(batches, "text"):
             texts, rids = _bytes(batch), batch.column("rid").to_numpy()
-            grams, of, at = [], [], []
+            grams, around, of, at = [], [], [], []
             for lo, hi in _chunks(texts):
                 data = np.frombuffer(b"".join(texts[lo:hi]), np.uint8)
                 ends = np.cumsum([len(x) for x in texts[lo:hi]])
                 starts = np.concatenate([[0], ends[:-1]])
-                found = S.anchors(data, starts, ends)
+                found, context = S.anchors(data, starts, ends)
+                around.append(context)
                 doc = np.searchsorted(ends, found, "right")
                 grams.append(S.gram_ids(data, found))
                 of.append(rids[lo + doc])
                 at.append(found - starts[doc])
             gram, rid, pos = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (grams, of, at))
-            gram = gram.astype(np.uint64)
-            order = np.argsort(gram, kind="stable")
-            gram, rid, pos = gram[order], rid[order], pos[order].astype(np.int32)
+            gram, context = gram.astype(np.uint64), np.concatenate(around) if around else np.zeros(0, np.uint64)
+            order = np.lexsort((context, gram))
+            gram, context, rid, pos = gram[order], context[order], rid[order], pos[order].astype(np.int32)
             new = np.concatenate([[True], gram[1:] != gram[:-1]]) if len(gram) else np.zeros(0, bool)
             alone = new & np.append(new[1:], True) if len(gram) else new
             # known to repeat: they pass the exchange in buckets of their own
             known = ~alone
             yield _anchor_rows(-1 - (rid[known] % buckets), rid[known], pos[known], np.zeros(0, np.uint64), known=True)
-            # one of each gram; -1 - their number where the batch has already decided its anchors
-            times = np.diff(np.append(np.flatnonzero(new), len(gram)))
+            # one of each gram; -1 - the contexts where the batch has already decided its anchors
+            other = new.copy()
+            other[1:] |= context[1:] != context[:-1]
+            times = np.add.reduceat(other, np.flatnonzero(new), dtype=np.int64) if len(gram) else np.zeros(0, np.int64)
             rid = np.where(alone[new], rid[new], -1 - times)
             yield _anchor_rows((gram[new] % np.uint64(buckets)).astype(np.int64), rid, pos[new], gram[new], known=False)
 

@@ -34,12 +34,12 @@ def _slide(x: np.ndarray, width: int, best) -> np.ndarray:
     return best(x[: len(x) - (width - done)], x[width - done:]) if width > done else x
 
 
-def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Sorted positions of the anchors in ``data`` (bytes), whose documents
-    lie at [starts, ends)."""
+def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted positions of the anchors in ``data``, bytes, whose documents
+    lie at [starts, ends); a hash of the context of each)."""
     n = len(data)
     if n < LENGTH:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     h, base = _TABLE[data], 0x01000193
     for _ in range(GRAM.bit_length() - 1):
         step = (n - len(h)) + 1
@@ -55,7 +55,13 @@ def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     low = np.where(np.cumsum(valid[: len(low)]) > 0, low, np.uint32(0))
     edge = np.zeros(REACH, np.uint32)
     high = _slide(np.concatenate([edge, low, edge]), REACH + 1, np.maximum)
-    return np.flatnonzero(h == high)
+    found = np.flatnonzero(h == high)
+    doc = np.searchsorted(ends, found, "right")
+    context = np.zeros(len(found), np.uint64)
+    for by in (-REACH, -REACH + GRAM, -GRAM, GRAM, LENGTH - GRAM):
+        at = np.clip(found + by, starts[doc], ends[doc] - GRAM)
+        context = mix(context * np.uint64(0x9E3779B97F4A7C15) + h[at].astype(np.uint64))
+    return found, context
 
 
 def gram_ids(data: np.ndarray, at: np.ndarray) -> np.ndarray:
