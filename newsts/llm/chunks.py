@@ -16,7 +16,7 @@ import regex
 # documented parameters: bytes held by a task's memo, with the places of its
 # entries, and the longest key that is remembered.  In text without blanks a
 # chunk may be a paragraph, which is encoded whenever it comes
-MEMO_BYTES, LONGEST, ENTRY_BYTES = 128 << 20, 64, 120
+MEMO_BYTES, LONGEST, ENTRY_BYTES = 96 << 20, 64, 120
 
 
 class BoundedMemo(dict):

@@ -53,6 +53,7 @@ BANDS, ROWS = 20, 5
 # five standard deviations below 0.8 for 100 registers (a chance of 3e-7)
 LEAST_AGREEMENT = 0.6
 LEADERS = 4  # leaders of a bucket
+STEP_BYTES = 3 << 20  # documented parameter: bytes of text sketched or verified at once, or one text
 MEMBERS = 512  # members of a leader verified by one group; larger groups are salted
 # documented parameter: counters of the sketch that orders shingles from rare
 # to common, 8 bytes each.  Any order gives the same links; the sketch makes
@@ -103,7 +104,7 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in bounded_batches(batches, "text"):
+        for batch in bounded_batches(batches, "text", STEP_BYTES):
             words = [hashes(x) for x in batch.column("text").to_pylist()]
             doc, value, weight = weighted(words, WIDTH)
             first = prob_min_hash(doc, value, weight, len(words), bands * rows)
@@ -151,7 +152,7 @@ def verify(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, leader, own = WordHashes(), None, None
-        for batch in bounded_batches(batches, "text"):
+        for batch in bounded_batches(batches, "text", STEP_BYTES):
             _, a, rid, text = (batch.column(c).to_pylist() for c in ("salt", "a", "rid", "text"))
             doc, value, weight = weighted([hashes(x) for x in text], WIDTH)
             order = np.lexsort((value, doc))

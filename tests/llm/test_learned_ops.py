@@ -443,3 +443,21 @@ def test_pipeline_awkward_rows(spark, df):
 def test_queries_registered(n):
     from newsts.llm.queries import QUERIES
     assert sum(q.startswith(f"op{n}_") for q in QUERIES) == 1
+
+
+def test_every_stage_takes_awkward_and_empty_tables(spark, df, empty, tmp_path):
+    """Nulls, repeated ids and rows, clashing columns; no rows at all."""
+    import corpus_pipeline as P
+    from pyspark.sql import functions as F
+    spark.createDataFrame([(0, 0), (None, 1), (1, None)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    none = P.store(empty, "t")
+    for name, stage in P.STAGES:
+        got = stage(spark, none, str(tmp_path))
+        assert got.count() == 0 and (name == "packing" or got.columns == empty.columns)
+    table = P.store(df, "t")
+    assert P.toxicity_stage(spark, table, str(tmp_path)).count() == df.count()
+    pieces = P.packing_stage(spark, table, str(tmp_path))
+    assert pieces.filter("start = 0").count() == df.count()
+    full = pieces.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"))
+    assert full.filter("n <> end OR n > 1024").count() == 0
