@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -132,44 +133,46 @@ def sentence_vectors(tokens: DataFrame, word_vectors: DataFrame, id_col: str = "
     id_type = tokens.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, at, parts, vectors = None, {}, [], np.zeros((0, 0))
-        ids, which, counts = [], [], []
+        current, words, parts, index, vectors = None, [], [], None, None
+        asked: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # documents, places of words, counts
+        held, kind = 0, None
 
         def out() -> Iterator[pa.RecordBatch]:
-            if not ids:
-                return
-            number: dict = {}
-            of = np.array([number.setdefault(i, len(number)) for i in ids])
-            order = np.argsort(of, kind="stable")
-            starts = np.flatnonzero(np.concatenate([[True], of[order][1:] != of[order][:-1]]))
-            n = np.array(counts)[order]
-            total = np.add.reduceat(vectors[np.array(which)[order]] * n[:, None], starts, axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(list(number), arrow_id), pa.array(np.add.reduceat(n, starts)), pa.array(list(total), pa.list_(pa.float64()))],
-                                             names=["_id", "n", "total"])
-            for x in (ids, which, counts):
-                x.clear()
+            nonlocal held
+            if held:
+                ids, which, n = (np.concatenate(x) for x in zip(*asked, strict=True))
+                of, own = pd.factorize(ids)
+                order = np.argsort(of, kind="stable")
+                starts = np.flatnonzero(np.concatenate([[True], of[order][1:] != of[order][:-1]]))
+                total = np.add.reduceat(vectors[which[order]] * n[order][:, None], starts, axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(list(own), kind), pa.array(np.add.reduceat(n[order], starts)), pa.array(list(total), pa.list_(pa.float64()))],
+                                                 names=["_id", "n", "total"])
+            asked.clear()
+            held = 0
 
         for batch in batches:
-            arrow_id = batch.schema.field("_id").type
-            columns = (batch.column(c) for c in ("cell", "w", "u", "_id", "n"))
-            cells, ws, us, own, ns = (c.to_pylist() if k != 2 else c for k, c in enumerate(columns))
-            for i, cell in enumerate(cells):
-                if cell != current:
+            kind = batch.schema.field("_id").type
+            cells, is_word = batch.column("cell").to_numpy(), batch.column("n").is_null().to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((cells[1:] != cells[:-1]) | (is_word[1:] != is_word[:-1])) + 1
+            for i, j in zip([0, *cuts], [*cuts, batch.num_rows], strict=True) if batch.num_rows else ():
+                part = batch.slice(i, j - i)
+                if cells[i] != current:
                     yield from out()
-                    current, at, parts, vectors = cell, {}, [], np.zeros((0, 0))
-                if ns[i] is None:
-                    at[ws[i]] = len(parts)
-                    parts.append(us[i].values.to_numpy())
+                    current, words, parts, index, vectors = cells[i], [], [], None, None
+                if is_word[i]:
+                    u = part.column("u")
+                    words += part.column("w").to_pylist()
+                    parts.append(u.flatten().to_numpy().reshape(len(u), -1))
                     continue
-                if len(vectors) != len(parts):
-                    vectors = np.stack(parts)
-                k = at.get(ws[i])
-                if k is not None:
-                    ids.append(own[i])
-                    which.append(k)
-                    counts.append(ns[i])
-                    if len(ids) >= SUMS:
-                        yield from out()
+                if index is None:
+                    index, vectors = pd.Index(words, dtype=object), np.concatenate(parts) if parts else np.zeros((0, 1))
+                at = index.get_indexer(part.column("w").to_numpy(zero_copy_only=False))
+                known = at >= 0
+                if known.any():
+                    asked.append((np.array(part.column("_id").to_pylist(), object)[known], at[known], part.column("n").to_numpy()[known]))
+                    held += int(known.sum())
+                if held >= SUMS:
+                    yield from out()
         yield from out()
 
     schema = T.StructType([T.StructField("_id", id_type), T.StructField("n", T.DoubleType()), T.StructField("total", T.ArrayType(T.DoubleType()))])
