@@ -127,12 +127,13 @@ def one_way(pairs: DataFrame) -> DataFrame:
 
 
 def likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs (a, b), a stored table, that agree in enough registers."""
+    """The pairs (a, b) that agree in enough registers."""
     a = reps.select(F.col("rep").alias("a"), F.col("registers").alias("ra"))
     b = reps.select(F.col("rep").alias("b"), F.col("registers").alias("rb"))
     agree = F.size(F.filter(F.zip_with("ra", "rb", lambda x, y: x == y), lambda same: same))
-    # the one of many copies stands first in many pairs
-    return spread_join(pairs, a, "a", "b").join(b, "b").filter(agree >= LEAST_AGREEMENT * F.size("ra")).select("a", "b")
+    # the original of many copies stands first in many pairs, of two numbers
+    # each: adaptive execution splits them where they are many
+    return pairs.join(a, "a").join(b, "b").filter(agree >= LEAST_AGREEMENT * F.size("ra")).select("a", "b")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -178,15 +179,15 @@ def components(links: DataFrame) -> DataFrame:
     The nodes of a round are ordered by a hash salted with the round, so long
     chains of rising numbers are as short as any.  Every node takes its lowest
     neighbour as its parent, if that is lower, and then its parent's parent;
-    labels follow, and the links shrink to links between different parents,
-    until none is left.  The rounds grow with the logarithm of the nodes.
+    the links shrink to links between different parents, until none is left.
+    The rounds grow with the logarithm of the nodes, and the tables of parents
+    shrink from round to round; in the end they are followed from the first on.
     """
     edges = store(links.select(F.col("a").alias("x"), F.col("b").alias("y"))
                   .union(links.select("b", "a")).filter("x <> y").distinct(), "edges")
-    labels = store(edges.select(F.col("x").alias("node")).distinct().withColumn("label", F.col("node")), "labels")
-    turn = 0
+    rounds: list[DataFrame] = []
     while not edges.isEmpty():
-        turn += 1
+        turn = len(rounds) + 1
 
         def place(c: str, turn: int = turn):
             return F.struct(F.xxhash64(c, F.lit(turn)).alias("h"), F.col(c).alias("id"))
@@ -194,12 +195,17 @@ def components(links: DataFrame) -> DataFrame:
         hooked = edges.groupBy("x").agg(F.min(place("y")).alias("low")).select("x", F.least("low", place("x"))["id"].alias("parent"))
         above = hooked.select(F.col("x").alias("parent"), F.col("parent").alias("above"))
         parents = store(hooked.join(above, "parent").select("x", F.col("above").alias("parent")), "parents")
-        labels = store(spread_join(labels, parents.withColumnRenamed("x", "label"), "label", "node")
-                       .select("node", F.coalesce("parent", "label").alias("label")), "labels")
+        rounds.append(parents)
         left = edges.join(parents.withColumnRenamed("parent", "px"), "x").select("px", "y")
         other = parents.select(F.col("x").alias("y"), F.col("parent").alias("py"))
         edges = store(left.distinct().join(other, "y").filter("px <> py")
                       .select(F.col("px").alias("x"), F.col("py").alias("y")).distinct(), "edges")
+    if not rounds:
+        return edges.select(F.col("x").alias("node"), F.col("y").alias("label"))
+    labels = rounds.pop().select(F.col("x").alias("node"), F.col("parent").alias("label"))
+    while rounds:
+        later = labels.select(F.col("node").alias("parent"), F.col("label"))
+        labels = rounds.pop().join(later, "parent", "left").select(F.col("x").alias("node"), F.coalesce("label", "parent").alias("label"))
     return labels
 
 
@@ -207,12 +213,11 @@ def joined(labels: DataFrame, pairs: DataFrame, reps: DataFrame, texts: DataFram
     """The labels (node, label; a stored table) with the classes of every pair
     (a, b) that is verified made one."""
     with passing(labels.sparkSession) as keep:
-        links = verify(store(likely(store(one_way(pairs), "pairs"), reps), "likely"), texts, similarity)
+        links = verify(store(likely(one_way(pairs), reps), "likely"), texts, similarity)
         a, b = (labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in ("a", "b"))
         between = links.join(a, "a").join(b, "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
         parts = components(between).select(F.col("node").alias("label"), F.col("label").alias("least"))
-        labelled = spread_join(labels, store(parts, "parts"), "label", "node")
-        return keep(labelled.select("node", F.coalesce("least", "label").alias("label")), "labels")
+        return keep(labels.join(parts, "label", "left").select("node", F.coalesce("least", "label").alias("label")), "labels")
 
 
 def common_first(texts: DataFrame) -> np.ndarray:
