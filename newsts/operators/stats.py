@@ -158,7 +158,8 @@ def binned_mi(df: DataFrame, cols: Sequence[str], y: str, bins: int = 10) -> Dat
     long = df.select(q(y).alias("_y"), *cols).unpivot(["_y"], list(cols), "col", "x")
     mm = long.groupBy("col").agg(F.min("x").alias("_xl"), F.max("x").alias("_xh"), F.min("_y").alias("_yl"),
                                  F.max("_y").alias("_yh"))
-    long = long.join(mm, on="col")
+    # one row for each column: a shuffle by column would send all rows to as many tasks
+    long = long.join(F.broadcast(mm), on="col")
 
     def binof(v, lo, hi):
         wd = (F.col(hi) - F.col(lo)) / bins
