@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut_lineage
 from .lagged import q
+from .reduce import block_rows, stored_blocks
 
 
 @dataclass
@@ -40,10 +40,12 @@ class Stump:
 
 def weights(members: Sequence[Stump], x: np.ndarray, y: np.ndarray, rate: float) -> np.ndarray:
     """Row weights after the members, not divided by their sum."""
-    log = np.zeros(len(y))
+    log, columns = np.zeros(len(y)), np.asfortranarray(x)
     for m in members:
-        loss = np.abs(m.predict(x) - y) / m.worst if m.worst else np.zeros(len(y))
-        log += rate * (1.0 - loss) * np.log(max(m.beta, 1e-300))
+        power = rate * np.log(max(m.beta, 1e-300))
+        log += power
+        if m.worst:
+            log -= np.abs(m.predict(columns) - y) * (power / m.worst)
     return np.exp(log)
 
 
@@ -76,27 +78,34 @@ def weighted_median(values: np.ndarray, mass: np.ndarray) -> np.ndarray:
 def adaboost_fit(df: DataFrame, x_cols: Sequence[str], y: str, rounds: int = 30, rate: float = 0.01, bins: int = 64) -> list[Stump]:
     """The members, at most ``rounds``; fewer where one has a mean loss of a
     half or none at all.  Rows with a null are left out; no rows, no members."""
-    rows = cut_lineage(df.select(*[q(c).cast("double").alias(f"x{i}") for i, c in enumerate(x_cols)], q(y).cast("double").alias("y")).dropna())
+    rows = df.select(*[q(c).cast("double").alias(f"x{i}") for i, c in enumerate(x_cols)], q(y).cast("double").alias("y")).dropna()
     p = len(x_cols)
     if rows.isEmpty():
         return []
     ends = rows.agg(*[F.array_sort(F.array_distinct(F.percentile_approx(f"x{i}", [k / bins for k in range(1, bins + 1)], 100_000))) for i in range(p)]).first()
     points = [np.array(e, float) for e in ends]
     width = max(map(len, points))
+    blocks = stored_blocks(rows)
+
+    def split_block(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        block = block_rows(batch, p + 1)
+        return block[:, :p], block[:, p]
 
     def histogram(members: list[Stump]) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros((p, width, 3))
             for batch in batches:
-                x, target = np.stack([batch.column(i).to_numpy() for i in range(p)], axis=1), batch.column(p).to_numpy()
+                x, target = split_block(batch)
                 w = weights(members, x, target, rate)
-                each = np.stack([w, w * target, w * target * target], axis=1)
+                wy = w * target
                 for f in range(p):
-                    np.add.at(total[f], np.minimum(np.searchsorted(points[f], x[:, f]), len(points[f]) - 1), each)
+                    at = np.minimum(np.searchsorted(points[f], x[:, f]), len(points[f]) - 1)
+                    for k, each in enumerate((w, wy, wy * target)):
+                        total[f, :, k] += np.bincount(at, each, width)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["cell", "s"])
 
         out = np.zeros(p * width * 3)
-        for cell, s in rows.mapInArrow(run, "cell long, s double").groupBy("cell").agg(F.sum("s")).collect():  # features x bins x 3
+        for cell, s in blocks.mapInArrow(run, "cell long, s double").groupBy("cell").agg(F.sum("s")).collect():  # features x bins x 3
             out[cell] = s
         return out.reshape(p, width, 3)
 
@@ -104,12 +113,12 @@ def adaboost_fit(df: DataFrame, x_cols: Sequence[str], y: str, rounds: int = 30,
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             worst, mass, loss = 0.0, 0.0, 0.0
             for batch in batches:
-                x, target = np.stack([batch.column(i).to_numpy() for i in range(p)], axis=1), batch.column(p).to_numpy()
+                x, target = split_block(batch)
                 w, e = weights(members, x, target, rate), np.abs(new.predict(x) - target)
                 worst, mass, loss = max(worst, float(e.max(initial=0.0))), mass + float(w.sum()), loss + float(w @ e)
             yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (worst, mass, loss)], names=["worst", "mass", "loss"])
 
-        r = rows.mapInArrow(run, "worst double, mass double, loss double").agg(F.max("worst"), F.sum("mass"), F.sum("loss")).first()
+        r = blocks.mapInArrow(run, "worst double, mass double, loss double").agg(F.max("worst"), F.sum("mass"), F.sum("loss")).first()
         return r[0], r[1], r[2]
 
     members: list[Stump] = []

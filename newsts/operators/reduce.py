@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from . import gram as G
 from .lagged import q
 
@@ -84,13 +85,62 @@ def factor_rows(df: DataFrame, cols: Sequence[str], k: int, steps: int = 200) ->
     return linear_rows(df, cols, mean, weights, "factor"), load, noise
 
 
+BLOCK_ROWS = 128  # documented parameter: rows of a stored block
+
+
+def stored_blocks(rows: DataFrame) -> DataFrame:
+    """The rows of double columns without nulls, stored as blocks of a few rows
+    each, so that a fit of many passes reads them as whole arrays."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.stack([c.to_numpy() for c in batch.columns], axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array([x[i:i + BLOCK_ROWS].tobytes() for i in range(0, len(x), BLOCK_ROWS)], pa.binary())], names=["block"])
+
+    return cut_lineage(rows.mapInArrow(run, "block binary"))
+
+
+def block_rows(batch: pa.RecordBatch, width: int) -> np.ndarray:
+    """The rows of a batch of :func:`stored_blocks`."""
+    return np.frombuffer(b"".join(batch.column(0).to_pylist())).reshape(-1, width)
+
+
 def nonnegative_weights(x: np.ndarray, h: np.ndarray, sweeps: int = 200) -> np.ndarray:
     """Rows w >= 0 that make w·h nearest to the rows of x."""
     return nonnegative_solve(x @ h.T, h @ h.T, sweeps)
 
 
+EXACT = 4  # documented parameter: weights of a row up to which all supports are tried
+
+
 def nonnegative_solve(a: np.ndarray, b: np.ndarray, sweeps: int = 200) -> np.ndarray:
-    """Rows w >= 0 that minimise w·b·w' - 2·a·w', by coordinate sweeps."""
+    """Rows w >= 0 that minimise w·b·w' - 2·a·w': of the supports of a few
+    weights the one that meets the optimum's conditions; by coordinate sweeps
+    for the rows without one."""
+    k = len(b)
+    w, left = np.zeros(a.shape), np.arange(len(a))
+    if k <= EXACT and np.isfinite(b).all():
+        scale = np.maximum(np.abs(a).max(axis=1, initial=0.0), 1e-300) * 1e-12
+        for support in sorted(range(1 << k), key=lambda s: -s.bit_count()):
+            on = [j for j in range(k) if support >> j & 1]
+            part = b[np.ix_(on, on)]
+            if not len(left) or (on and np.linalg.cond(part) > 1e12):
+                continue
+            mine = a[left]
+            found = np.zeros(mine.shape)
+            if on:
+                found[:, on] = mine[:, on] @ np.linalg.inv(part)
+            good = (found >= 0.0).all(axis=1)
+            off = [j for j in range(k) if j not in on]
+            if off:
+                good &= (mine[:, off] - found @ b[:, off] <= scale[left][:, None]).all(axis=1)
+            w[left[good]] = found[good]
+            left = left[~good]
+    if len(left):
+        w[left] = _nonnegative_sweeps(a[left], b, sweeps)
+    return w
+
+
+def _nonnegative_sweeps(a: np.ndarray, b: np.ndarray, sweeps: int) -> np.ndarray:
     w = np.maximum(a / np.maximum(b.sum(axis=0), 1e-300), 0.0)
     for _ in range(sweeps):
         change = 0.0
@@ -120,17 +170,18 @@ def nmf_rows(df: DataFrame, cols: Sequence[str], k: int, iters: int = 50, tol: f
     high = rows.agg(*[F.max(c) for c in rows.columns]).first()
     h = np.random.default_rng(seed).random((k, p)) * np.array([v or 1.0 for v in high]) + 1e-9
     names = [f"s{i}" for i in range(k * (p + k) + 1)]
+    blocks = stored_blocks(rows)
 
     def sums(h: np.ndarray) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(k * (p + k) + 1)
             for batch in batches:
-                x = np.stack([c.to_numpy() for c in batch.columns], axis=1)
+                x = block_rows(batch, p)
                 w = nonnegative_weights(x, h)
                 total += np.concatenate([(w.T @ x).ravel(), (w.T @ w).ravel(), [float((x * x).sum())]])
             yield pa.RecordBatch.from_arrays([pa.array([v]) for v in total], names=names)
 
-        part = rows.mapInArrow(run, ", ".join(f"{n} double" for n in names))
+        part = blocks.mapInArrow(run, ", ".join(f"{n} double" for n in names))
         return np.array([v or 0.0 for v in part.agg(*[F.sum(n) for n in names]).first()])
 
     losses: list[float] = []
