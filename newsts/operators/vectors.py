@@ -9,7 +9,7 @@ Per document, token vectors are pre-aggregated by term frequency first.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -104,85 +104,133 @@ def nearest(df: DataFrame, col: str, id_col: str, patterns: list[tuple], n: int
     return u.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
-# documented parameters: words whose vectors a task holds, about, and cells a
-# task is given at least
-BLOCK_WORDS, SUMS = 50_000, 50_000
+# documented parameters: frequent words whose vectors are given to every task, at most
+HOT_WORDS = 200_000
 
 
-def sentence_vectors(tokens: DataFrame, word_vectors: DataFrame, id_col: str = "doc_id", token_col: str = "token",
-                     term_col: str = "term", vec_col: str = "vector") -> DataFrame:
+def _frequent(counts: DataFrame) -> tuple[DataFrame, int]:
+    """(words, their least count): the most frequent ones, at most
+    ``HOT_WORDS``, cut between counts so that no ranking of all words is made."""
+    level = F.floor(F.log2("n") * 8)
+    cut, held = None, 0
+    for r in sorted(counts.groupBy(level.alias("level")).agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("words")).collect(), reverse=True):
+        held += r["words"]
+        if held > HOT_WORDS:
+            break
+        cut = r["n"]
+    return counts.filter(F.lit(False) if cut is None else F.col("n") >= cut), held
+
+
+def sentence_vectors(tokens: DataFrame, word_vectors: DataFrame | Callable[[DataFrame], DataFrame], id_col: str = "doc_id",
+                     token_col: str = "token", term_col: str = "term", vec_col: str = "vector") -> DataFrame:
     """Mean of the unit word vectors of a document's known tokens
     (unknown tokens dropped; a document of such tokens alone has no row).
-
-    The words are dealt into blocks and the documents into groups; a task
-    holds the vectors of one block, streams the counted tokens of one group
-    that are in it, and sends one partial sum for each document.  So no
-    vector moves with a token, and a word of all documents is spread over
-    the groups."""
-    words = cut_lineage(word_vectors.select(F.col(term_col).alias("w"), FV.unit(vec_col).alias("u")).filter(F.col("u").isNotNull()))
-    partitions = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    blocks = max(4, -(-words.count() // BLOCK_WORDS))
-    groups = max(1, -(-2 * partitions // blocks))
-    of_word = F.pmod(F.xxhash64("w"), F.lit(blocks))
-    counted = (tokens.groupBy(F.col(id_col).alias("_id"), F.col(token_col).alias("w")).agg(F.count(F.lit(1)).cast("double").alias("n"))
-               .filter("w IS NOT NULL"))
-    held = words.select(F.explode(F.sequence(of_word * groups, of_word * groups + (groups - 1))).alias("cell"), "w",
-                        F.col("u").cast("array<double>").alias("u"))
-    asked = counted.select((of_word * groups + F.pmod(F.xxhash64("_id"), F.lit(groups))).alias("cell"), "w", "_id", "n")
-    rows = held.unionByName(asked, allowMissingColumns=True)
-    id_type = tokens.schema[id_col].dataType
+    ``word_vectors`` is a table of words or a function that joins the vectors
+    to rows with a word.
+
+    Tokens of the frequent words, a bounded number, are summed where the
+    document is: a batch of tokens leaves one sum for each document.  Only the
+    counted tokens of all other words meet their vectors in a join, a few for
+    each word; these and the sums are added by document."""
+    counts = cut_lineage(tokens.select(F.col(token_col).alias("w")).filter("w IS NOT NULL").groupBy("w").agg(F.count(F.lit(1)).alias("n")))
+
+    def looked_up(rows: DataFrame) -> DataFrame:
+        named = rows.withColumnRenamed("w", term_col)
+        found = word_vectors(named) if callable(word_vectors) else named.join(word_vectors.select(term_col, vec_col), term_col)
+        found = found.withColumnRenamed(term_col, "w").withColumn("norm", FV.norm(vec_col))
+        return found.filter("norm > 0").withColumnRenamed(vec_col, "v")
+
+    spark, schema = tokens.sparkSession, tokens.schema
+    hot = looked_up(_frequent(counts)[0].select("w")).select("w", "v", "norm").toArrow()  # bounded
+    words, at = _index(hot.column("w"))
+    flat, size = hot.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False), 0
+    if len(at):
+        size = len(flat) // len(at)
+    # a word that has several vectors counts once for each
+    order = np.argsort(at, kind="stable")
+    starts = np.searchsorted(at[order], np.arange(len(words)))
+    vectors = flat.reshape(len(at), size)[order]
+    many, norm = np.diff(np.append(starts, len(at))).astype(float), hot.column("norm").to_numpy()[order]
+    if len(at) > len(words):
+        vectors, norm = np.add.reduceat(vectors / norm[:, None], starts, axis=0), np.ones(len(words))
+    given = spark.sparkContext.broadcast((words, vectors, norm, many))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, words, parts, index, vectors = None, [], [], None, None
-        asked: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # documents, places of words, counts
-        held, kind = 0, None
-
-        def out() -> Iterator[pa.RecordBatch]:
-            nonlocal held
-            if held:
-                ids, which, n = (np.concatenate(x) for x in zip(*asked, strict=True))
-                of, own = pd.factorize(ids)
-                order = np.argsort(of, kind="stable")
-                starts = np.flatnonzero(np.concatenate([[True], of[order][1:] != of[order][:-1]]))
-                total = np.add.reduceat(vectors[which[order]] * n[order][:, None], starts, axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(list(own), kind), pa.array(np.add.reduceat(n[order], starts)), pa.array(list(total), pa.list_(pa.float64()))],
-                                                 names=["_id", "n", "total"])
-            asked.clear()
-            held = 0
-
+        words, vectors, norm, many = given.value
+        index = pd.Index(words)
         for batch in batches:
-            kind = batch.schema.field("_id").type
-            cells, is_word = batch.column("cell").to_numpy(), batch.column("n").is_null().to_numpy(zero_copy_only=False)
-            cuts = np.flatnonzero((cells[1:] != cells[:-1]) | (is_word[1:] != is_word[:-1])) + 1
-            for i, j in zip([0, *cuts], [*cuts, batch.num_rows], strict=True) if batch.num_rows else ():
-                part = batch.slice(i, j - i)
-                if cells[i] != current:
-                    yield from out()
-                    current, words, parts, index, vectors = cells[i], [], [], None, None
-                if is_word[i]:
-                    u = part.column("u")
-                    words += part.column("w").to_pylist()
-                    parts.append(u.flatten().to_numpy().reshape(len(u), -1))
-                    continue
-                if index is None:
-                    index, vectors = pd.Index(words, dtype=object), np.concatenate(parts) if parts else np.zeros((0, 1))
-                at = index.get_indexer(part.column("w").to_numpy(zero_copy_only=False))
-                known = at >= 0
-                if known.any():
-                    asked.append((np.array(part.column("_id").to_pylist(), object)[known], at[known], part.column("n").to_numpy()[known]))
-                    held += int(known.sum())
-                if held >= SUMS:
-                    yield from out()
-        yield from out()
-
-    schema = T.StructType([T.StructField("_id", id_type), T.StructField("n", T.DoubleType()), T.StructField("total", T.ArrayType(T.DoubleType()))])
-    part = (rows.select("cell", "w", "u", "_id", "n").repartition("cell").sortWithinPartitions("cell", F.col("n").isNotNull(), "_id")
-            .mapInArrow(run, schema))
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.stat import Summarizer
-    # at most one sum for each block and task: few rows a document
-    whole = part.groupBy("_id").agg(F.sum("n").alias("n"), vector_to_array(Summarizer.sum(array_to_vector("total"))).alias("total"))
-    return whole.select(F.col("_id").alias(id_col), F.transform("total", lambda x: x / F.col("n")).alias("sentence_vector"))
+            if not batch.num_rows:
+                continue
+            ids = batch.column("_id").dictionary_encode("encode")
+            said = batch.column("w").dictionary_encode()
+            place = index.get_indexer(said.dictionary.to_numpy(zero_copy_only=False)) if len(index) else np.full(len(said.dictionary), -1)
+            width = len(said.dictionary)
+            cells, n = np.unique(ids.indices.to_numpy().astype(np.int64) * width + said.indices.to_numpy(), return_counts=True)
+            doc, word = cells // width, cells % width
+            n, place = n.astype(float), place[word]
+            known = place >= 0
+            if known.any():
+                d, k = doc[known], place[known]
+                starts = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
+                total = np.add.reduceat(vectors[k] * (n[known] / norm[k])[:, None], starts, axis=0)
+                yield pa.RecordBatch.from_arrays([ids.dictionary.take(pa.array(d[starts])), pa.nulls(len(starts), pa.string()),
+                                                  pa.array(np.add.reduceat(n[known] * many[k], starts)), _lists(total)], names=["_id", "w", "n", "total"])
+            if not known.all():
+                d, k = doc[~known], word[~known]
+                yield pa.RecordBatch.from_arrays([ids.dictionary.take(pa.array(d)), said.dictionary.take(pa.array(k)).cast(pa.string()),
+                                                  pa.array(n[~known]), pa.nulls(len(d), pa.list_(pa.float64()))], names=["_id", "w", "n", "total"])
+
+    fields = [T.StructField("_id", schema[id_col].dataType), T.StructField("w", T.StringType()), T.StructField("n", T.DoubleType()),
+              T.StructField("total", T.ArrayType(T.DoubleType()))]
+    read = cut_lineage(tokens.select(F.col(id_col).alias("_id"), F.col(token_col).alias("w")).filter("w IS NOT NULL").mapInArrow(run, T.StructType(fields)))
+    given.unpersist()
+    rest = looked_up(read.filter("w IS NOT NULL").select("w", "_id", "n"))
+    rows = read.filter("w IS NULL").select("_id", "n", "total").unionByName(rest.select("_id", "n", "v", "norm"), allowMissingColumns=True)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple | None = None  # the last document may go on in the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            summed, plain = batch.column("total"), batch.column("v")
+            is_sum = summed.is_valid().to_numpy(zero_copy_only=False)
+            sums, vectors = summed.drop_null().flatten().to_numpy(), plain.drop_null().flatten().to_numpy()
+            width = (len(sums) + len(vectors)) // len(is_sum)
+            x, n = np.empty((len(is_sum), width)), batch.column("n").to_numpy()
+            x[is_sum] = sums.reshape(-1, width)
+            if not is_sum.all():
+                x[~is_sum] = vectors.reshape(-1, width) * (n[~is_sum] / batch.column("norm").drop_null().to_numpy())[:, None]
+            ids = batch.column("_id")
+            code = ids.dictionary_encode("encode").indices.to_numpy()
+            starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+            own, total, mass = ids.take(pa.array(starts)).to_pylist(), np.add.reduceat(x, starts, axis=0), np.add.reduceat(n, starts)
+            if last is not None and last[0] == own[0]:
+                total[0] += last[1]
+                mass[0] += last[2]
+            elif last is not None:
+                yield _means([last[0]], last[1][None], np.array([last[2]]), ids.type, id_col)
+            last = own[-1], total[-1].copy(), mass[-1]
+            if len(own) > 1:
+                yield _means(own[:-1], total[:-1], mass[:-1], ids.type, id_col)
+        if last is not None:
+            yield _means([last[0]], last[1][None], np.array([last[2]]), None, id_col)
+
+    out = T.StructType([T.StructField(id_col, schema[id_col].dataType), T.StructField("sentence_vector", T.ArrayType(T.DoubleType()))])
+    return rows.repartition("_id").sortWithinPartitions("_id").mapInArrow(add, out)
+
+
+def _index(words: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(different words, place of each row's word among them)."""
+    at, own = pd.factorize(words.to_numpy())
+    return np.asarray(own, object), at
+
+
+def _lists(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+
+
+def _means(ids: list, total: np.ndarray, n: np.ndarray, kind: pa.DataType | None, name: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ids, kind), _lists(total / n[:, None])], names=[name, "sentence_vector"])
 
 
 def first_token_vector(df: DataFrame, col: str, word_vectors: DataFrame, id_col: str, stems: DataFrame | None = None,

@@ -23,7 +23,7 @@ from .ols_sql import fitted, ols_ctes
 from .registry import REGISTRY, register
 from .service import GEO_PHRASES
 from .text_queries import T2_SQL, WS_TERMS, _t2_terms
-from .vector_queries import EMB, TRIPLES, WORDVEC_SQL, _long, _triples, word_vectors
+from .vector_queries import EMB, TRIPLES, WORDVEC_SQL, _long, _triples, with_vectors, word_vectors
 
 LI_X = ["l_quantity", "l_discount", "l_tax"]
 
@@ -205,7 +205,10 @@ def phrase_similarity(spark, sf):
     the six pattern phrases, daily maximum."""
     tokens = _t2_terms(spark, sf).select("doc_id", F.col("term").alias("token"))
     said = spark.createDataFrame(list(GEO_PHRASES.items()), "name string, phrase string").select("name", F.explode(F.split(F.lower("phrase"), " ")).alias("token"))
-    words = word_vectors(spark, sf, tokens.select(F.col("token").alias("term")).union(said.select("token")))
+
+    def words(rows):
+        return with_vectors(spark, sf, rows)
+
     patterns = VE.inline_patterns(VE.sentence_vectors(said, words, id_col="name"), "name", "sentence_vector")  # six vectors
     dated = S.news(spark, sf).select(F.col("ID").alias("doc_id"), "Date")
     docs = VE.sentence_vectors(tokens, words).join(dated, "doc_id")

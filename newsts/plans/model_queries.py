@@ -20,7 +20,7 @@ from .core_queries import EWIDE
 from .ols_sql import fitted, ols_ctes
 from .registry import register
 from .text_queries import _cooc, _t2_terms, _vocab
-from .vector_queries import word_vectors
+from .vector_queries import with_vectors
 
 
 @register("lda_counts")
@@ -38,11 +38,10 @@ def lda_vectors(spark, sf):
     LDA k=5 fitted once → topic shares per document → daily mean."""
     from ..operators.vectors import sentence_vectors
     toks = _t2_terms(spark, sf).withColumnRenamed("term", "token")
-    sv = sentence_vectors(toks, word_vectors(spark, sf))
+    sv = cut_lineage(sentence_vectors(toks, lambda rows: with_vectors(spark, sf, rows)))  # read by the scaler and the scaled rows
     dims = [f"d{i}" for i in range(64)]
     wide = sv.select("doc_id", *[F.col("sentence_vector")[i].alias(d) for i, d in enumerate(dims)])
     params = minmax_fit(wide, dims)
-    from ..session import cut_lineage
     scaled = cut_lineage(minmax_apply(wide, params, dims).select("doc_id", F.array(*dims).alias("v")))
     lda = TP.lda_vectors_fit(scaled, "v", k=5)
     topics = TP.lda_vectors_apply(scaled, "v", lda, keep=["doc_id"])

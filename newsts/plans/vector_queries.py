@@ -152,15 +152,20 @@ wv AS (SELECT t.term, emb.v FROM (SELECT DISTINCT term FROM ws) t
        JOIN emb ON emb.vec_id = CAST('0x' || substr(sha256(t.term), 1, 8) AS BIGINT) % (SELECT count(*) FROM emb))"""
 
 
-def word_vectors(spark, sf, terms=None):
-    """A vector for every term (by default those of the corpus), by a key join:
-    the first 32 bits of the term's SHA-256 modulo the number of embeddings
-    name its ``vec_id``."""
+def with_vectors(spark, sf, rows):
+    """Rows with a ``term``, joined with its ``vector`` by key: the first 32
+    bits of the term's SHA-256 modulo the number of embeddings name its
+    ``vec_id``."""
     e = S.table(spark, sf, "embeddings")
     n = e.count()
+    keyed = rows.withColumn("vec_id", F.conv(F.substring(F.sha2("term", 256), 1, 8), 16, 10).cast("long") % n)
+    return keyed.join(e.select("vec_id", F.col("embedding").alias("vector")), on="vec_id").drop("vec_id")
+
+
+def word_vectors(spark, sf, terms=None):
+    """A vector for every term (by default those of the corpus)."""
     terms = (_t2_terms(spark, sf) if terms is None else terms).select("term").distinct()
-    keyed = terms.withColumn("vec_id", F.conv(F.substring(F.sha2("term", 256), 1, 8), 16, 10).cast("long") % n)
-    return keyed.join(e, on="vec_id").select("term", F.col("embedding").alias("vector"))
+    return with_vectors(spark, sf, terms).select("term", "vector")
 
 
 @register("sentence_vector", f"""WITH {WORDVEC_SQL},
@@ -170,7 +175,7 @@ x AS (SELECT doc_id, tf, unnest(u) AS x, generate_subscripts(u, 1) - 1 AS dim FR
 SELECT doc_id, dim, round(sum(x * tf) / sum(tf), 6) AS value FROM x GROUP BY 1, 2""")
 def sentence_vector(spark, sf):
     toks = _t2_terms(spark, sf).withColumnRenamed("term", "token")
-    sv = V.sentence_vectors(toks, word_vectors(spark, sf))
+    sv = V.sentence_vectors(toks, lambda rows: with_vectors(spark, sf, rows))
     return _long(sv, ["doc_id"], "sentence_vector")
 
 
