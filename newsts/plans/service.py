@@ -43,7 +43,7 @@ from ..sinks import writers as K
 from ..sources import tables as S
 from ..streaming.stream import work_dir
 from .registry import register
-from .vector_queries import word_vectors
+from .vector_queries import with_vectors
 
 # parameters of the service: lags, days of news, kept features, topics, period
 # of the residual, Lasso penalty as a share of the label's standard deviation
@@ -102,12 +102,16 @@ def news_features(spark: SparkSession, sf: str, fitted: A.Opened | None = None)
 
     phrases = spark.createDataFrame(list(GEO_PHRASES.items()), "name string, phrase string")
     said = phrases.select("name", F.explode(TX.tokens("phrase")).alias("token"))
-    tokens = cut_lineage(TO.whitespace_terms(cleaned).select("doc_id", F.col("term").alias("token")))
-    terms = tokens.select(F.col("token").alias("term")).union(said.select("token"))
-    words = cut_lineage(word_vectors(spark, sf, terms))
+    # split anew where they are read: stored tokens would be several times the text
+    tokens = TO.whitespace_terms(cleaned).select("doc_id", F.col("term").alias("token"))
+
+    def words(rows: DataFrame) -> DataFrame:
+        return with_vectors(spark, sf, rows)
+
     docs = cut_lineage(VE.sentence_vectors(tokens, words).join(dated, "doc_id"))
 
-    size = len(words.first()["vector"]) if not words.isEmpty() else 0
+    first = docs.first()
+    size = len(first["sentence_vector"]) if first is not None else 0
     dims = [f"d{i}" for i in range(size)]
     wide = docs.select("doc_id", "Date", *[F.col("sentence_vector")[i].alias(d) for i, d in enumerate(dims)])
     scaler = minmax_fit(wide, dims) if fitted is None else fitted.table("emb_scaler")
