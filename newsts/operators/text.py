@@ -199,7 +199,9 @@ def doc_term(terms: DataFrame, vocab: DataFrame, id_col: str = "doc_id") -> Data
 
 
 # T7 / T8 / T9 -------------------------------------------------------------------
-TILE, TILES = 2048, 16  # documented parameters: terms across a tile of 32 MB, tiles held by a task
+# documented parameters: terms across a tile of 32 MB, tiles held by a task,
+# documents multiplied at once, rows held until there are as many documents
+TILE, TILES, DOCS, ROWS = 2048, 16, 512, 500_000
 
 
 class Tiles:
@@ -211,14 +213,14 @@ class Tiles:
     def add(self, doc: np.ndarray, term: np.ndarray, tf: np.ndarray) -> Iterator[pd.DataFrame]:
         """Add the rows of whole documents (terms from 0); tiles that have no
         room any more leave as rows."""
-        for lo in range(0, len(np.unique(doc)), 512):
-            docs, of = np.unique(doc, return_inverse=True)
-            here = (of >= lo) & (of < lo + 512)
-            blocks = {}
-            for b in np.unique(term[here] // TILE).tolist():
-                at = here & (term // TILE == b)
-                blocks[b] = np.zeros((min(512, len(docs) - lo), TILE))
-                np.add.at(blocks[b], (of[at] - lo, term[at] % TILE), tf[at])
+        docs, of = np.unique(doc, return_inverse=True)
+        order = np.argsort(of, kind="stable")
+        of, term, tf = of[order], term[order], tf[order]
+        for lo in range(0, len(docs), DOCS):
+            n = min(DOCS, len(docs) - lo)
+            here = slice(*np.searchsorted(of, [lo, lo + n]))
+            at, tile, count = (of[here] - lo) * TILE + term[here] % TILE, term[here] // TILE, tf[here]
+            blocks = {b: np.bincount(at[tile == b], count[tile == b], n * TILE).reshape(n, TILE) for b in np.unique(tile).tolist()}
             for i, x in blocks.items():
                 for j, y in blocks.items():
                     if (i, j) not in self.held:
@@ -237,8 +239,8 @@ class Tiles:
 def cooccurrence(dt: DataFrame, n_terms: int, id_col: str = "doc_id", docs_whole_in_tasks: bool = False) -> DataFrame:
     """n_ij = Σ_doc tf_i·tf_j over ordered pairs, self pairs included.
 
-    A task adds each Arrow batch to tiles of the term×term matrix and carries
-    the last document over the edge of the batch, so it holds a batch, one
+    A task adds some hundred documents at a time to tiles of the term×term
+    matrix and carries the last one over, so it holds a bounded number of rows, one
     document and a bounded number of tiles, whatever the number or length of
     the documents.  The rows of the tiles are summed by term with
     ``Summarizer``, a mergeable aggregate; only non-zero cells are kept."""
@@ -246,18 +248,25 @@ def cooccurrence(dt: DataFrame, n_terms: int, id_col: str = "doc_id", docs_whole
     from pyspark.ml.stat import Summarizer
 
     def partial(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tiles, rest = Tiles(), None
+        tiles, held, rows, docs = Tiles(), [], 0, 0
+        rest = None
         for pdf in it:
             if not len(pdf):
                 continue
-            pdf = pdf if rest is None else pd.concat([rest, pdf])
+            # adding to a tile costs as much for a few documents as for many
+            held.append(pdf)
+            rows, docs = rows + len(pdf), docs + pdf[id_col].nunique(dropna=False)
+            if docs <= DOCS and rows < ROWS:
+                continue
+            pdf = pd.concat(held if rest is None else [rest, *held])
+            held, rows, docs = [], 0, 0
             last = pdf[id_col].iloc[-1]
             more = (pdf[id_col] == last).to_numpy() if last is not None else pdf[id_col].isna().to_numpy()
             cut = int(np.flatnonzero(~more)[-1]) + 1 if (~more).any() else 0
             rest, whole = pdf.iloc[cut:], pdf.iloc[:cut]
             yield from fold(tiles, whole)
-        if rest is not None:
-            yield from fold(tiles, rest)
+        if rest is not None or held:
+            yield from fold(tiles, pd.concat(held if rest is None else [rest, *held]))
         yield from tiles.spill()
 
     def fold(tiles: Tiles, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
