@@ -15,7 +15,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,6 +62,8 @@ def _expect(edges: DataFrame, phi: DataFrame, k: int) -> DataFrame:
     document's in one task; sums by term leave a task already reduced."""
     s = [f"s{j}" for j in range(k)]
     at = edges.join(phi, "term_id").select("doc", "term_id", "n", *[F.col("phi")[j].alias(f"p{j}") for j in range(k)])
+    # whole numbers without nulls need no Python object for each edge
+    plain = isinstance(edges.schema["doc"].dataType, T.LongType) and edges.filter("doc IS NULL").isEmpty()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[tuple[np.ndarray, np.ndarray]] = []
@@ -84,7 +86,7 @@ def _expect(edges: DataFrame, phi: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = [np.asarray(batch.column("doc").to_pylist(), dtype=object), batch.column("term_id").to_numpy(), batch.column("n").to_numpy(),
+            new = [batch.column("doc").to_numpy(zero_copy_only=False) if plain else np.asarray(batch.column("doc").to_pylist(), dtype=object), batch.column("term_id").to_numpy(), batch.column("n").to_numpy(),
                    np.stack([batch.column(f"p{j}").to_numpy() for j in range(k)], axis=1)]
             if rest is not None:
                 new = [np.concatenate([a, b]) for a, b in zip(rest, new, strict=True)]
@@ -109,9 +111,7 @@ def _expect(edges: DataFrame, phi: DataFrame, k: int) -> DataFrame:
 
 def _by_term(term: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ids, at = np.unique(term, return_inverse=True)
-    sums = np.zeros((len(ids), r.shape[1]))
-    np.add.at(sums, at, r)
-    return ids, sums
+    return ids, np.stack([np.bincount(at, r[:, j], len(ids)) for j in range(r.shape[1])], axis=1)
 
 
 def lda_terms_fit(edges: DataFrame, terms: DataFrame, k: int = 4, seed: int = 42, max_iter: int = 10) -> tuple[DataFrame, list[float]]:
@@ -181,15 +181,28 @@ def lda_vectors_apply(df: DataFrame, col: str, lda, keep: Sequence[str] = ()) ->
 
 
 # T13 / T14 --------------------------------------------------------------------
-def _small_matrix(df: DataFrame, key: str, col: str, n: int, k: int) -> np.ndarray:
-    m = np.zeros((n, k))
-    for r in df.select(key, col).collect():
-        m[int(r[key]) - 1] = r[col]
-    return m
+def _side_product(S: DataFrame, M: np.ndarray, transposed: bool) -> np.ndarray:
+    """S·M or Sᵀ·M for rows (i, cells of (j, ppmi)); terms x k numbers come back."""
+    n, k = M.shape
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((n, k))
+        for batch in batches:
+            lists = batch.column("cells")
+            flat = lists.flatten()
+            i = np.repeat(batch.column("i").to_numpy() - 1, lists.value_lengths().to_numpy())
+            j, x = flat.field("j").to_numpy() - 1, flat.field("ppmi").to_numpy()
+            to, of = (j, i) if transposed else (i, j)
+            for c in range(k):
+                total[:, c] += np.bincount(to, M[of, c] * x, n)
+        some = np.flatnonzero(total.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some), *[pa.array(total[some, j]) for j in range(k)]], names=["row", *[f"s{j}" for j in range(k)]])
 
-def _w_table(spark: SparkSession, W: np.ndarray) -> DataFrame:
-    return spark.createDataFrame([(i + 1, [float(x) for x in W[i]]) for i in range(W.shape[0])], "term_id long, w array<double>")
+    part = S.mapInArrow(run, "row long, " + ", ".join(f"s{j} double" for j in range(k)))
+    found = part.groupBy("row").agg(*[F.sum(f"s{j}").alias(f"s{j}") for j in range(k)]).toArrow()
+    out = np.zeros((n, k))
+    out[found.column("row").to_numpy()] = np.stack([found.column(f"s{j}").to_numpy() for j in range(k)], axis=1)
+    return out
 
 
 def _factor_pass(rows: DataFrame, W: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -202,7 +215,8 @@ def _factor_pass(rows: DataFrame, W: np.ndarray) -> tuple[np.ndarray, np.ndarray
         w, total = given.value, np.zeros((n + k, k))
         for batch in batches:
             h, doc, term, a = _factors(batch, w)
-            np.add.at(total, term, h[doc] * a[:, None])
+            for j in range(k):
+                total[:n, j] += np.bincount(term, h[doc, j] * a, n)
             total[n:] += h.T @ h
         some = np.flatnonzero(total.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(some), *[pa.array(total[some, j]) for j in range(k)]], names=["row", *[f"s{j}" for j in range(k)]])
@@ -221,8 +235,7 @@ def _factors(batch: pa.RecordBatch, w: np.ndarray) -> tuple[np.ndarray, np.ndarr
     flat = lists.flatten()
     term, a = flat.field("term_id").to_numpy() - 1, flat.field("a").to_numpy()
     doc = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
-    fit = np.zeros((batch.num_rows, w.shape[1]))
-    np.add.at(fit, doc, w[term] * a[:, None])
+    fit = np.stack([np.bincount(doc, w[term, j] * a, batch.num_rows) for j in range(w.shape[1])], axis=1)
     return np.maximum(FLOOR, nonnegative_weights(fit, w.T @ w)), doc, term, a
 
 
@@ -236,7 +249,6 @@ def nmf_fit(doc_term: DataFrame, n_terms: int, k: int = 4, iters: int = 500, tol
     with β = 0 as in the published run).  A pass reads the documents once: their factors are solved
     from W where they are, and only sums of terms x k numbers are grouped.
     Returns (W, H, losses), H being the factors of the last loss."""
-    spark = doc_term.sparkSession
     rng = np.random.default_rng(seed)
     W = rng.random((n_terms, k))
     W /= np.linalg.norm(W, axis=0, keepdims=True)
@@ -246,17 +258,19 @@ def nmf_fit(doc_term: DataFrame, n_terms: int, k: int = 4, iters: int = 500, tol
     A = cut_lineage(doc_term.groupBy(id_col).agg(F.collect_list(edge).alias("terms")))
     square = F.aggregate("terms", F.lit(0.0), lambda s, x: s + x["a"] * x["a"])
     a2 = A.agg(F.sum(square)).first()[0] or 0.0
-    s2 = ppmi.agg(F.sum(F.col("ppmi") * F.col("ppmi"))).first()[0] if ppmi is not None and alpha > 0 else 0.0
+    s2 = 0.0
+    if ppmi is not None and alpha > 0:
+        # one row for each term of the bounded vocabulary: made once, read twice in every pass
+        cell = F.struct(F.col("j").cast("long").alias("j"), "ppmi")
+        S = cut_lineage(ppmi.groupBy(F.col("i").cast("long").alias("i")).agg(F.collect_list(cell).alias("cells")))
+        s2 = S.agg(F.sum(F.aggregate("cells", F.lit(0.0), lambda s, x: s + x["ppmi"] * x["ppmi"]))).first()[0]
     losses: list[float] = []
     before = W.copy()
     for _ in range(iters):
         before = W.copy()
         AHm, HtH = _factor_pass(A, W)
         if ppmi is not None and alpha > 0:
-            SWc = _small_matrix(ppmi.join(F.broadcast(_w_table(spark, Wc).withColumnRenamed("term_id", "j")), "j")
-                                .groupBy(F.col("i").alias("term_id"))
-                                .agg(F.array(*[F.sum(F.col("ppmi") * F.col("w")[c]) for c in range(k)]).alias("s")),
-                                "term_id", "s", n_terms, k)
+            SWc = _side_product(S, Wc, False)
             WcWc = Wc.T @ Wc
         for j in range(k):
             num = W[:, j] * HtH[j, j] + AHm[:, j] - W @ HtH[:, j]
@@ -268,10 +282,7 @@ def nmf_fit(doc_term: DataFrame, n_terms: int, k: int = 4, iters: int = 500, tol
             W[:, j] /= max(np.linalg.norm(W[:, j]), FLOOR)
         if ppmi is not None and alpha > 0:
             WtW2 = W.T @ W
-            StW = _small_matrix(ppmi.join(F.broadcast(_w_table(spark, W).withColumnRenamed("term_id", "i")), "i")
-                                .groupBy(F.col("j").alias("term_id"))
-                                .agg(F.array(*[F.sum(F.col("ppmi") * F.col("w")[c]) for c in range(k)]).alias("s")),
-                                "term_id", "s", n_terms, k)
+            StW = _side_product(S, W, True)
             for j in range(k):
                 Wc[:, j] = np.maximum(FLOOR, Wc[:, j] + (StW[:, j] - Wc @ WtW2[:, j]) / WtW2[j, j])
         loss = float(a2 - 2.0 * np.sum(W * AHm) + np.sum((W.T @ W) * HtH))
