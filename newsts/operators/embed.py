@@ -21,7 +21,13 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-BLOCK_WORDS = 100_000  # documented parameter: words in a block, about
+# documented parameters: words in a block, about, while there are no more than
+# MANY_BLOCKS; then words in a block.  Every turn stores all vectors and there are as many turns as blocks
+BLOCK_WORDS, MANY_BLOCKS, LARGE_BLOCK = 100_000, 16, 500_000
+
+
+def n_blocks(words: int) -> int:
+    return max(4, min(-(-words // BLOCK_WORDS), MANY_BLOCKS), -(-words // LARGE_BLOCK))
 
 
 def alias_table(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -65,10 +71,10 @@ class Block:
         self._step(self.c, self.cg, at.ravel(), (error[:, :, None] * x[:, None, :]).reshape(-1, x.shape[1]), np.repeat(n, at.shape[1]))
 
     def _step(self, v: np.ndarray, g: np.ndarray, at: np.ndarray, gradient: np.ndarray, n: np.ndarray) -> None:
-        some, of = np.unique(at, return_inverse=True)
-        total, mass = np.zeros((len(some), v.shape[1])), np.zeros(len(some))
-        np.add.at(total, of, gradient)
-        np.add.at(mass, of, n)
+        order = np.argsort(at, kind="stable")
+        at = at[order]
+        starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        some, total, mass = at[starts], np.add.reduceat(gradient[order], starts, axis=0), np.add.reduceat(n[order], starts)
         total /= mass[:, None]
         g[some] += (total * total).mean(axis=1)
         v[some] -= self.rate * total / np.sqrt(g[some] + 1e-8)[:, None]
@@ -89,7 +95,7 @@ def word2vec(lists: DataFrame, size: int = 16, rounds: int = 2, steps: int = 5,
     a turn; no vector passes through the driver.  No pairs, no words."""
     pairs = cut_lineage(word_pairs(lists, tokens_col))
     freq = cut_lineage(pairs.groupBy("word").agg(F.sum("n").alias("n")))
-    m = blocks or max(4, -(-freq.count() // BLOCK_WORDS))
+    m = blocks or n_blocks(freq.count())
 
     def block(c: str):
         return F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(m)).cast("int")
