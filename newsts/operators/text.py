@@ -248,32 +248,35 @@ def cooccurrence(dt: DataFrame, n_terms: int, id_col: str = "doc_id", docs_whole
     from pyspark.ml.stat import Summarizer
 
     def partial(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tiles, held, rows, docs = Tiles(), [], 0, 0
-        rest = None
+        tiles, rest = Tiles(), None
+        held, docs, rows = [], 0, 0
+
+        def hold(part: pd.DataFrame) -> None:
+            nonlocal docs, rows
+            if len(part):
+                doc, own = pd.factorize(part[id_col], use_na_sentinel=False)
+                held.append((doc + docs, part["term_id"].to_numpy() - 1, part["tf"].to_numpy()))
+                docs, rows = docs + len(own), rows + len(part)
+
         for pdf in it:
             if not len(pdf):
                 continue
-            # adding to a tile costs as much for a few documents as for many
-            held.append(pdf)
-            rows, docs = rows + len(pdf), docs + pdf[id_col].nunique(dropna=False)
-            if docs <= DOCS and rows < ROWS:
-                continue
-            pdf = pd.concat(held if rest is None else [rest, *held])
-            held, rows, docs = [], 0, 0
+            pdf = pdf if rest is None else pd.concat([rest, pdf])
             last = pdf[id_col].iloc[-1]
             more = (pdf[id_col] == last).to_numpy() if last is not None else pdf[id_col].isna().to_numpy()
             cut = int(np.flatnonzero(~more)[-1]) + 1 if (~more).any() else 0
-            rest, whole = pdf.iloc[cut:], pdf.iloc[:cut]
-            yield from fold(tiles, whole)
-        if rest is not None or held:
-            yield from fold(tiles, pd.concat(held if rest is None else [rest, *held]))
+            rest = pdf.iloc[cut:]
+            hold(pdf.iloc[:cut])
+            # adding to a tile costs as much for a few documents as for many
+            if docs >= DOCS or rows >= ROWS:
+                yield from tiles.add(*map(np.concatenate, zip(*held, strict=True)))
+                held, docs, rows = [], 0, 0
+        if rest is not None:
+            hold(rest)
+        if held:
+            yield from tiles.add(*map(np.concatenate, zip(*held, strict=True)))
         yield from tiles.spill()
 
-    def fold(tiles: Tiles, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        if len(rows):
-            doc = pd.factorize(rows[id_col], use_na_sentinel=False)[0]
-            yield from tiles.add(doc, rows["term_id"].to_numpy() - 1, rows["tf"].to_numpy())
-
     # each document's rows must sit together in one task: dealt and sorted by
     # the document, unless they come straight from exploding one row per
     # document (a scan → explode → broadcast-join chain never splits one)
