@@ -177,10 +177,15 @@ def strip_padding(seq, value: int = 0):
 
 
 # T5 / T6 ----------------------------------------------------------------------
+def whitespace_lists(texts: DataFrame, id_col: str = "doc_id", text_col: str = "clean") -> DataFrame:
+    """(doc_id, terms): the tokens of a cleaned text split on whitespace, empty
+    pieces dropped, as one array."""
+    return texts.select(id_col, F.filter(F.split(F.col(text_col), r"\s+"), lambda t: t != "").alias("terms"))
+
+
 def whitespace_terms(texts: DataFrame, id_col: str = "doc_id", text_col: str = "clean") -> DataFrame:
-    """Tokens of a cleaned text split on whitespace, empty pieces dropped."""
-    arr = F.filter(F.split(F.col(text_col), r"\s+"), lambda t: t != "")
-    return texts.select(id_col, F.posexplode(arr).alias("pos", "term"))
+    """The tokens of :func:`whitespace_lists`, one row for each."""
+    return whitespace_lists(texts, id_col, text_col).select(id_col, F.posexplode("terms").alias("pos", "term"))
 
 
 def vocab_top(terms: DataFrame, min_count: int = 3, n: int = 2000) -> DataFrame:

@@ -19,99 +19,207 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut_lineage
+from ..session import cut_lineage, delete_tables, write_table
 from .reduce import nonnegative_solve as nonnegative_weights
+from .vectors import HOT_WORDS, token_blocks
 
 FLOOR = 1e-20
 
 
 # T11 --------------------------------------------------------------------------
 # documented parameters: pseudo-counts of a topic in a document and of a term
-# in a topic, steps of the shares of one document, cells summed before they leave a task
-TOPIC_PRIOR, TERM_PRIOR, INNER, CELLS = 0.25, 0.01, 30, 200_000
+# in a topic, steps of the shares of one document, numbers of terms given to every
+# task (terms x topics), rows of other terms summed before they leave a task, edges handled at once
+TOPIC_PRIOR, TERM_PRIOR, INNER, DENSE, CELLS, EDGES = 0.25, 0.01, 30, 8_000_000, 200_000, 1 << 15
 
 
 def term_edges(tokens: DataFrame, id_col: str = "doc_id", term_col: str = "term") -> tuple[DataFrame, DataFrame]:
-    """(edges, terms), both stored: edges (doc, term_id, n) with the count of
-    each term of a document, terms (term_id, term) with a number for each."""
-    counted = cut_lineage(tokens.groupBy(F.col(id_col).alias("doc"), F.col(term_col).alias("term")).agg(F.count(F.lit(1)).cast("double").alias("n")))
-    terms = cut_lineage(counted.select("term").distinct().withColumn("term_id", F.monotonically_increasing_id()))
-    return cut_lineage(counted.join(terms, "term").select("doc", "term_id", "n")), terms
+    """(documents, terms), both stored: documents (rid, doc, ids, n) with the
+    numbers of its terms in order and how often it holds each, terms (term_id, term), numbered
+    from 0 by falling frequency.  ``term_col`` has one token a row or an array of them.
+
+    The most frequent words, a bounded number, are numbered where the document
+    is; only the counted tokens of all other words are joined with their numbers."""
+    spark = tokens.sparkSession
+    listed = isinstance(tokens.schema[term_col].dataType, T.ArrayType)
+    words = F.explode(term_col) if listed else F.col(term_col)
+    counts = tokens.select(words.alias("term")).filter("term IS NOT NULL").groupBy("term").agg(F.count(F.lit(1)).alias("_n"))
+    ordered, _ = write_table(counts.orderBy(F.col("_n").desc(), "term").select("term", F.monotonically_increasing_id().alias("_at")))
+    # numbers without gaps: the rows of all partitions before, one number for each partition
+    part, sizes = F.shiftright("_at", 33), {}
+    for r in sorted(ordered.groupBy(part.alias("part")).count().collect()):
+        sizes[r["part"]] = r["count"]
+    before = {p: sum(n for o, n in sizes.items() if o < p) for p in sizes}
+    start = F.create_map(*[F.lit(x).cast("long") for pair in before.items() for x in pair])[part] if before else F.lit(0)
+    terms = ordered.select((F.col("_at").bitwiseAND((1 << 33) - 1) + start).cast("int").alias("term_id"), "term")
+    hot = terms.filter(F.col("term_id") < HOT_WORDS).orderBy("term_id").toArrow()  # bounded
+    given = spark.sparkContext.broadcast(hot.column("term").to_numpy())
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = pd.Index(given.value, dtype=object)
+        for ids, of, said in token_blocks(batches, "doc", "w"):
+            said = said.dictionary_encode()
+            known = index.get_indexer(said.dictionary.to_numpy(zero_copy_only=False)) if len(index) else np.full(len(said.dictionary), -1)
+            width = len(said.dictionary)
+            cells, n = np.unique(of * width + said.indices.to_numpy(), return_counts=True)
+            doc, word = cells // width, cells % width
+            place = known[word]
+            here = np.flatnonzero(place >= 0)
+            here = here[np.lexsort((place[here], doc[here]))]
+            if len(here):
+                own, starts = np.unique(doc[here], return_index=True)
+                yield _documents(ids.take(pa.array(own)), starts, place[here], n[here], pa.nulls(len(own), pa.string()))
+            rest = np.flatnonzero(place < 0)
+            if len(rest):
+                yield _documents(ids.take(pa.array(doc[rest])), np.arange(len(rest)), np.full(len(rest), -1), n[rest],
+                                 said.dictionary.take(pa.array(word[rest])).cast(pa.string()))
+
+    kind = T.StructField("doc", tokens.schema[id_col].dataType)
+    lists = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n", T.ArrayType(T.IntegerType()))]
+    counted, path = write_table(tokens.select(F.col(id_col).alias("doc"), F.col(term_col).alias("w"))
+                                .mapInArrow(count, T.StructType([kind, *lists, T.StructField("w", T.StringType())])))
+    given.destroy()
+    late = counted.filter("w IS NOT NULL").join(terms.withColumnRenamed("term", "w"), "w").select("doc", F.array("term_id").alias("ids"), "n")
+    parts = counted.filter("w IS NULL").select("doc", "ids", "n").unionByName(late)
+    whole = parts.repartition("doc").sortWithinPartitions("doc").mapInArrow(_merge, T.StructType([kind, *lists]))
+    docs, _ = write_table(whole.select(F.monotonically_increasing_id().alias("rid"), "doc", "ids", "n"))
+    del parts, late, whole, counted
+    delete_tables(spark, path)
+    return docs, terms
+
+
+def _documents(docs: pa.Array, starts: np.ndarray, ids: np.ndarray, n: np.ndarray, *more: pa.Array) -> pa.RecordBatch:
+    """Rows (doc, ids, n): document i has the edges from ``starts[i]`` on."""
+    ends = pa.array(np.append(starts, len(ids)).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (ids, n)]
+    return pa.RecordBatch.from_arrays([docs, *lists, *more], names=["doc", "ids", "n", "w"][:3 + len(more)])
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each document, from rows sorted by document."""
+    rest = None  # the last document may go on in the next batch
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        docs, lists = batch.column("doc"), batch.column("ids")
+        code = docs.dictionary_encode("encode").indices.to_numpy()
+        first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+        of = np.repeat(np.cumsum(np.isin(np.arange(len(code)), first)) - 1, lists.value_lengths().to_numpy())
+        ids, n, own = lists.flatten().to_numpy(), batch.column("n").flatten().to_numpy(), docs.take(pa.array(first))
+        if rest is not None and rest[0].to_pylist() == own.slice(0, 1).to_pylist():
+            of, ids, n = np.concatenate([np.zeros(len(rest[1]), int), of]), np.concatenate([rest[1], ids]), np.concatenate([rest[2], n])
+        elif rest is not None:
+            yield _documents(rest[0], np.array([0]), rest[1], rest[2])
+        cells, at = np.unique(of.astype(np.int64) << 32 | ids, return_inverse=True)
+        n, of, ids = np.bincount(at, n, len(cells)), cells >> 32, cells & 0xFFFFFFFF
+        starts = np.searchsorted(of, np.arange(len(own)))
+        rest = own.slice(len(own) - 1), ids[starts[-1]:], n[starts[-1]:]
+        if len(own) > 1:
+            yield _documents(own.slice(0, len(own) - 1), starts[:-1], ids[:starts[-1]], n[:starts[-1]])
+    if rest is not None:
+        yield _documents(rest[0], np.array([0]), rest[1], rest[2])
 
 
 def shares(n: np.ndarray, phi: np.ndarray, starts: np.ndarray, prior: float = TOPIC_PRIOR, steps: int = INNER) -> np.ndarray:
-    """Topic shares of documents, by expectation-maximisation from equal
+    """Topic shares of documents (k x documents), by expectation-maximisation from equal
     shares: document i has the edges from ``starts[i]`` on, with counts ``n`` and the
-    topic weights ``phi`` of their terms."""
-    k = phi.shape[1]
-    of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(n))))
-    theta = np.full((len(starts), k), 1.0 / k)
-    for _ in range(steps):
-        r = theta[of] * phi
-        r *= (n / np.maximum(r.sum(axis=1), 1e-300))[:, None]
-        theta = np.add.reduceat(r, starts, axis=0) + prior if len(n) else theta
-        theta /= theta.sum(axis=1, keepdims=True)
+    topic weights ``phi`` (k x edges) of their terms."""
+    k, size = len(phi), np.diff(np.append(starts, len(n)))
+    theta = np.full((k, len(starts)), 1.0 / k)
+    for _ in range(steps if len(n) else 0):
+        mass = np.einsum("ke,ke->e", np.repeat(theta, size, axis=1), phi)
+        theta *= np.add.reduceat(phi * (n / np.maximum(mass, 1e-300)), starts, axis=1)
+        theta += prior
+        theta /= theta.sum(axis=0)
     return theta
 
 
-def _expect(edges: DataFrame, phi: DataFrame, k: int) -> DataFrame:
-    """term_id, s0.. (expected counts of the term in each topic); the row of
-    term -1 holds the log likelihood and the log prior of the shares.
-
-    The weights of the terms go to the edges and these to their documents, a
-    document's in one task; sums by term leave a task already reduced."""
+def _dense(k: int) -> int:
+    return DENSE // k
+
+
+def _met(docs: DataFrame, weights: DataFrame, n_terms: int, k: int) -> tuple[DataFrame, np.ndarray]:
+    """(documents with the weights of their rarer terms, ``late`` in the order
+    of these terms; the weights of the frequent terms, a bounded number, k x terms)."""
+    most = min(_dense(k), n_terms)
+    top = weights.filter(F.col("term_id") < most).toArrow()  # bounded
+    dense = np.zeros((k, most))
+    dense[:, top.column("term_id").to_numpy()] = top.column("phi").combine_chunks().flatten().to_numpy().reshape(-1, k).T
+    if n_terms <= most:
+        return docs.select("doc", "ids", "n", F.lit(None).cast("array<double>").alias("late")), dense
+    rare = docs.select("rid", F.explode(F.filter("ids", lambda x: x >= most)).alias("term_id"))
+    late = rare.join(weights.filter(F.col("term_id") >= most), "term_id").groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("term_id", "phi"))).alias("_s"))
+    return docs.join(late, "rid", "left").select("doc", "ids", "n", F.flatten(F.col("_s.phi")).alias("late")), dense
+
+
+def _edges(batches: Iterator[pa.RecordBatch], dense: np.ndarray) -> Iterator[tuple]:
+    """(documents, their starts, term numbers, counts, weights k x edges) of
+    some whole documents at a time."""
+    k, most = dense.shape
+    for batch in batches:
+        ends = np.cumsum(batch.column("ids").value_lengths().to_numpy())
+        lo = 0
+        while lo < len(ends):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + EDGES, "right")))
+            part = batch.slice(lo, hi - lo)
+            lists = part.column("ids")
+            term, n = lists.flatten().to_numpy(), part.column("n").flatten().to_numpy().astype(float)
+            p = np.empty((k, len(term)))
+            known = term < most
+            if known.all():
+                p[:] = dense[:, term]
+            else:
+                p[:, known] = dense[:, term[known]]
+                p[:, ~known] = part.column("late").drop_null().flatten().to_numpy().reshape(-1, k).T
+            starts = np.cumsum(lists.value_lengths().to_numpy()) - lists.value_lengths().to_numpy()
+            yield part.column("doc"), starts, term, n, p
+            lo = hi
+
+
+def _expect(docs: DataFrame, phi: DataFrame, n_terms: int, k: int) -> tuple[DataFrame, str]:
+    """term_id, s0.. (expected counts of the term in each topic), stored, and their path; the
+    row of term -1 holds the log likelihood and the log prior of the shares.
+
+    The weights of the frequent terms are given to every task, where their
+    sums are kept too; those of the other terms go to the documents that hold them."""
     s = [f"s{j}" for j in range(k)]
-    at = edges.join(phi, "term_id").select("doc", "term_id", "n", *[F.col("phi")[j].alias(f"p{j}") for j in range(k)])
-    # whole numbers without nulls need no Python object for each edge
-    plain = isinstance(edges.schema["doc"].dataType, T.LongType) and edges.filter("doc IS NULL").isEmpty()
+    at, dense = _met(docs, phi, n_terms, k)
+    given = docs.sparkSession.sparkContext.broadcast(dense)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[tuple[np.ndarray, np.ndarray]] = []
-        total, held, rest = 0.0, 0, None
+    def rows(ids: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), *[pa.array(x) for x in sums]], names=["term_id", *s])
 
-        def learn(doc, term, n, p):
-            nonlocal total, held
-            starts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = given.value
+        sums, kept, held, total = np.zeros(weights.shape), [], 0, 0.0
+        for _, starts, term, n, p in _edges(batches, weights):
             theta = shares(n, p, starts)
-            r = np.repeat(theta, np.diff(np.append(starts, len(n))), axis=0) * p
-            mass = np.maximum(r.sum(axis=1), 1e-300)
+            r = np.repeat(theta, np.diff(np.append(starts, len(n))), axis=1)
+            r *= p
+            mass = np.maximum(r.sum(axis=0), 1e-300)
             total += float(n @ np.log(mass)) + TOPIC_PRIOR * float(np.log(theta).sum())
-            kept.append(_by_term(term, r * (n / mass)[:, None]))
-            held += len(kept[-1][0])
-
-        def out() -> pa.RecordBatch:
-            ids, sums = _by_term(np.concatenate([x for x, _ in kept]), np.concatenate([x for _, x in kept]))
-            return pa.RecordBatch.from_arrays([pa.array(ids), *[pa.array(sums[:, j]) for j in range(k)]], names=["term_id", *s])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            new = [batch.column("doc").to_numpy(zero_copy_only=False) if plain else np.asarray(batch.column("doc").to_pylist(), dtype=object), batch.column("term_id").to_numpy(), batch.column("n").to_numpy(),
-                   np.stack([batch.column(f"p{j}").to_numpy() for j in range(k)], axis=1)]
-            if rest is not None:
-                new = [np.concatenate([a, b]) for a, b in zip(rest, new, strict=True)]
-            # the last document may go on in the next batch
-            cut = int(np.flatnonzero(new[0] != new[0][-1])[-1]) + 1 if (new[0] != new[0][-1]).any() else 0
-            rest = [a[cut:] for a in new]
-            if cut:
-                learn(*[a[:cut] for a in new])
+            r *= n / mass
+            ids, of = np.unique(term, return_inverse=True)
+            own = np.stack([np.bincount(of, x, len(ids)) for x in r])
+            few = int(np.searchsorted(ids, sums.shape[1]))
+            sums[:, ids[:few]] += own[:, :few]
+            if few < len(ids):
+                kept.append((ids[few:], own[:, few:]))
+                held += len(ids) - few
             if held > CELLS:
-                yield out()
+                yield rows(np.concatenate([i for i, _ in kept]), np.concatenate([x for _, x in kept], axis=1))
                 kept, held = [], 0
-        if rest is not None:
-            learn(*rest)
         if kept:
-            yield out()
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), *[pa.array([total if j == 0 else 0.0]) for j in range(k)]], names=["term_id", *s])
+            yield rows(np.concatenate([i for i, _ in kept]), np.concatenate([x for _, x in kept], axis=1))
+        some = np.flatnonzero(sums.any(axis=0))
+        for lo in range(0, len(some), CELLS):
+            yield rows(some[lo:lo + CELLS], sums[:, some[lo:lo + CELLS]])
+        yield rows(np.array([-1]), np.array([[total if j == 0 else 0.0] for j in range(k)]))
 
-    part = (at.repartition("doc").sortWithinPartitions("doc")
-            .mapInArrow(run, "term_id long, " + ", ".join(f"{c} double" for c in s)))
-    return part.groupBy("term_id").agg(*[F.sum(c).alias(c) for c in s])
-
-
-def _by_term(term: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    ids, at = np.unique(term, return_inverse=True)
-    return ids, np.stack([np.bincount(at, r[:, j], len(ids)) for j in range(r.shape[1])], axis=1)
+    part = at.mapInArrow(run, "term_id int, " + ", ".join(f"{c} double" for c in s))
+    found = write_table(part.groupBy("term_id").agg(*[F.sum(c).alias(c) for c in s]))
+    given.destroy()
+    return found
 
 
 def lda_terms_fit(edges: DataFrame, terms: DataFrame, k: int = 4, seed: int = 42, max_iter: int = 10) -> tuple[DataFrame, list[float]]:
@@ -120,25 +228,29 @@ def lda_terms_fit(edges: DataFrame, terms: DataFrame, k: int = 4, seed: int = 42
 
     Expectation-maximisation for the most probable topics with Dirichlet
     pseudo-counts (declared instead of variational Bayes), ``max_iter`` passes
-    over all edges.  The vocabulary is a table like the documents: expected
-    counts are grouped sums by term, and only the k totals reach the driver.
+    over all documents.  The vocabulary is a table like the documents: expected
+    counts are grouped sums by term, and what reaches the driver are the k totals and the
+    weights of the ``DENSE`` most frequent terms.  A pass deletes the sums of the one before.
     """
+    spark = terms.sparkSession
     # start: weights of their own for each term, from a hash of the term
     noise = [1.0 + F.pmod(F.xxhash64("term", F.lit(seed), F.lit(j)), F.lit(1 << 20)) / float(1 << 20) for j in range(k)]
     weights = terms.select("term_id", *[n.alias(f"s{j}") for j, n in enumerate(noise)])
-    n_terms, losses = terms.count(), []
+    n_terms, losses, last = terms.count(), [], None
     phi = _normalised(weights, n_terms, k, 0.0)
     for _ in range(max_iter):
-        found = cut_lineage(_expect(edges, phi.select("term_id", "phi"), k))
+        found, path = _expect(edges, phi, n_terms, k)
         losses.append((found.filter("term_id = -1").agg(F.sum("s0")).first()[0] or 0.0) + _log_prior(phi, k))
         phi = _normalised(found.filter("term_id >= 0"), n_terms, k, TERM_PRIOR)
+        delete_tables(spark, *([last] if last else []))
+        last = path
     return phi.join(terms, "term_id").select("term_id", "term", "phi"), losses
 
 
 def _normalised(sums: DataFrame, n_terms: int, k: int, prior: float) -> DataFrame:
     total = sums.agg(*[F.sum(f"s{j}") for j in range(k)]).first()
     share = [(F.col(f"s{j}") + prior) / ((total[j] or 0.0) + prior * n_terms) for j in range(k)]
-    return cut_lineage(sums.select("term_id", F.array(*share).alias("phi")))
+    return sums.select("term_id", F.array(*share).alias("phi"))
 
 
 def _log_prior(phi: DataFrame, k: int) -> float:
@@ -151,16 +263,23 @@ def lda_terms_apply(edges: DataFrame, phi: DataFrame, k: int = 4, id_col: str =
     document's topics are the mean over its words (same result as scoring
     every word occurrence, with V instead of D·L transforms)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = np.array(batch.column("phi").to_pylist(), float).reshape(-1, k)
-            t = shares(np.ones(len(p)), p, np.arange(len(p)))
-            yield pa.RecordBatch.from_arrays([batch.column("term_id"), *[pa.array(t[:, j]) for j in range(k)]],
-                                             names=["term_id", *[f"t{j}" for j in range(k)]])
-
-    scored = phi.select("term_id", "phi").mapInArrow(run, "term_id long, " + ", ".join(f"t{j} double" for j in range(k)))
-    means = [(F.sum(F.col(f"t{j}") * F.col("n")) / F.sum("n")).alias(f"Topic{j + 1}") for j in range(k)]
-    return edges.join(cut_lineage(scored), "term_id").groupBy(F.col("doc").alias(id_col)).agg(*means)
+            p = batch.column("phi").flatten().to_numpy().reshape(-1, k).T
+            t = shares(np.ones(batch.num_rows), p, np.arange(batch.num_rows))
+            ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * k)
+            yield pa.RecordBatch.from_arrays([batch.column("term_id"), pa.ListArray.from_arrays(ends, pa.array(t.T.ravel()))], names=["term_id", "phi"])
+
+    scored, _ = write_table(phi.select("term_id", "phi").mapInArrow(score, "term_id int, phi array<double>"))
+    at, dense = _met(edges, scored, scored.count(), k)
+    given = edges.sparkSession.sparkContext.broadcast(dense)
+
+    def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for docs, starts, _, n, t in _edges(batches, given.value):
+            means = np.add.reduceat(t * n, starts, axis=1) / np.add.reduceat(n, starts)
+            yield pa.RecordBatch.from_arrays([docs, *[pa.array(x) for x in means]], names=[id_col, *[f"Topic{j + 1}" for j in range(k)]])
+
+    return at.mapInArrow(mean, T.StructType([T.StructField(id_col, edges.schema["doc"].dataType), *[T.StructField(f"Topic{j + 1}", T.DoubleType()) for j in range(k)]]))
 
 
 # T12 --------------------------------------------------------------------------

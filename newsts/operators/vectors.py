@@ -108,6 +108,30 @@ def nearest(df: DataFrame, col: str, id_col: str, patterns: list[tuple], n: int
 HOT_WORDS = 200_000
 
 
+# documented parameter: tokens handled at once in a task, or one document
+TOKENS = 500_000
+
+
+def token_blocks(batches: Iterator[pa.RecordBatch], id_col: str, token_col: str) -> Iterator[tuple[pa.Array, np.ndarray, pa.Array]]:
+    """(different documents, place of each token's document among them, tokens
+    without nulls) of some tokens at a time, from rows with one token or an array of them."""
+    for batch in batches:
+        column, lo = batch.column(token_col), 0
+        listed = pa.types.is_list(column.type)
+        ends = np.cumsum(column.value_lengths().fill_null(0).to_numpy()) if listed else np.arange(1, batch.num_rows + 1)
+        while lo < batch.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + TOKENS, "right")))
+            ids, said = batch.column(id_col).slice(lo, hi - lo).dictionary_encode("encode"), column.slice(lo, hi - lo)
+            of = ids.indices.to_numpy().astype(np.int64)
+            if listed:
+                of, said = np.repeat(of, said.value_lengths().fill_null(0).to_numpy()), said.flatten()
+            if said.null_count:
+                of, said = of[said.is_valid().to_numpy(zero_copy_only=False)], said.drop_null()
+            if len(said):
+                yield ids.dictionary, of, said
+            lo = hi
+
+
 def _frequent(counts: DataFrame) -> tuple[DataFrame, int]:
     """(words, their least count): the most frequent ones, at most
     ``HOT_WORDS``, cut between counts so that no ranking of all words is made."""

@@ -12,6 +12,7 @@ from ..operators import lagged as W
 from ..operators import models as M
 from ..operators import select as X
 from ..operators import stats as ST
+from ..operators import text as TO
 from ..operators import topics as TP
 from ..operators.split import number_rows, ordered_split
 from ..session import cut_lineage
@@ -19,7 +20,7 @@ from ..sources import tables as S
 from .core_queries import EWIDE
 from .ols_sql import fitted, ols_ctes
 from .registry import register
-from .text_queries import _cooc, _t2_terms, _vocab
+from .text_queries import _cooc, _t2_terms, _t2_texts, _vocab
 from .vector_queries import with_vectors
 
 
@@ -27,7 +28,7 @@ from .vector_queries import with_vectors
 def lda_counts(spark, sf):
     """LDA (k=4) over document term counts; a document's topics are the
     mean of its words' topic vectors."""
-    edges, terms = TP.term_edges(_t2_terms(spark, sf))
+    edges, terms = TP.term_edges(TO.whitespace_lists(_t2_texts(spark, sf)), term_col="terms")
     phi, _ = TP.lda_terms_fit(edges, terms, k=4)
     return TP.lda_terms_apply(edges, phi, k=4)
 
@@ -50,7 +51,6 @@ def lda_vectors(spark, sf):
 
 
 def _nmf_inputs(spark, sf):
-    from ..operators import text as TO
     vocab = _vocab(spark, sf)
     dt = TO.doc_term(_t2_terms(spark, sf), vocab)
     return dt
@@ -68,7 +68,6 @@ def nmf(spark, sf):
 def sea_nmf(spark, sf):
     """NMF with the PPMI semantic term (alpha 0.1, beta 0) with the
     operator's own stop rule: the term factor."""
-    from ..operators import text as TO
     c, _ = _cooc(spark, sf)
     pp = TO.ppmi(c).filter(F.col("ppmi") > 0)
     W_, H, losses = TP.nmf_fit(_nmf_inputs(spark, sf), 2000, k=4, ppmi=pp, alpha=0.1)

@@ -8,8 +8,10 @@ absent (tests, laptops) do we point it at a fresh temporary folder.
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -105,3 +107,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     executor loss, unlike a local checkpoint)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def write_table(df: DataFrame) -> tuple[DataFrame, str]:
+    """(the rows, read from a compressed Parquet table in the shared checkpoint
+    folder; its path).  A cut of lineage for tables that a pass replaces: see
+    :func:`delete_tables`."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def delete_tables(spark: SparkSession, *paths: str) -> None:
+    """Delete tables that nothing reads any more, and have the JVM collect its
+    garbage: the shuffle files of finished jobs stay until then."""
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    gc.collect()
+    spark._jvm.System.gc()
