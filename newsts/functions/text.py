@@ -7,11 +7,15 @@ letters/digits/underscore, or a run of other non-space characters
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # fixed value: tokenizer pattern (word runs, or punctuation runs)
 TOKEN_PATTERN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
+# the same in Python, where white space beyond ASCII counts as white space
+find_tokens = re.compile(r"\w+|[^\w \t\n\x0b\f\r]+").findall
 # fixed value: characters a frequency tokenizer treats as separators
 FILTER_CHARS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~\t\n"
 # fixed value: ASCII punctuation removed inside tokens by the cleaner

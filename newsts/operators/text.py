@@ -10,10 +10,13 @@ broadcast by hint; an uncut vocabulary joins by shuffle.
 from __future__ import annotations
 
 import re
+import unicodedata
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +24,7 @@ from pyspark.sql import types as T
 from ..functions import text as TX
 from ..functions.porter import stem as porter_stem
 from ..session import cut_lineage
+from .vectors import frequent
 
 
 # token tables -----------------------------------------------------------------
@@ -39,24 +43,49 @@ def basic_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 # T1 ---------------------------------------------------------------------------
-STEM_CACHE = 500_000  # documented parameter: stems kept by a task
+STEM_CACHE = 300_000  # documented parameter: cleaned tokens kept by a task
+STOPS, PUNCTUATION = frozenset(TX.STOP_WORDS), str.maketrans("", "", TX.PUNCTUATION)
 
 
-HOT_FORMS = 1000  # documented parameter: proper forms looked up inside the row, at most
+HOT_FORMS = 200_000  # documented parameter: proper forms given to every task, at most
+FORMS = 200_000  # documented parameter: forms counted before they leave a task
 
 
-def proper_forms(docs: DataFrame, tokens_col: str = "_t", threshold: float = 0.5, counts: bool = False) -> DataFrame:
+def _capital(token: str) -> bool:
+    return unicodedata.category(token[0]) == "Lu"
+
+
+def proper_forms(docs: DataFrame, text_col: str = "text", threshold: float = 0.5, counts: bool = False) -> DataFrame:
     """Form (and ``n``, how often it occurs there).  A lower-case form is a proper noun when at least ``threshold``
     of its occurrences away from a sentence start are capitalised (a corpus
     statistic replacing a POS tagger).  The sentence start is a test on the
-    array's neighbour; what is shuffled are counts per form."""
-    def inside(t, i):
-        start = F.coalesce(F.get(tokens_col, i - 1).rlike(r"^[.!?]+$"), F.lit(True))
-        return F.when(~start & t.rlike(r"^\p{L}"), t)
-    t = docs.select(F.explode(F.transform(tokens_col, inside)).alias("token")).filter(F.col("token").isNotNull())
-    cap = F.col("token").rlike(r"^\p{Lu}")
-    return (t.groupBy(F.lower("token").alias("form"))
-             .agg(F.avg(cap.cast("double")).alias("cap_share"), F.count(F.lit(1)).alias("n"))
+    token before; what is shuffled are counts per form."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        end, find = re.compile("[.!?]+[\u0085\u2028\u2029]?").fullmatch, TX.find_tokens
+        inside: Counter[str] = Counter()
+
+        def out() -> pa.RecordBatch:
+            kept: dict[str, list[int]] = {}
+            for w, n in inside.items():
+                if unicodedata.category(w[0])[0] == "L":
+                    both = kept.setdefault(w.lower(), [0, 0])
+                    both[0] += n * _capital(w)
+                    both[1] += n
+            return pa.RecordBatch.from_arrays([pa.array(kept.keys(), pa.string()), *[pa.array([v[i] for v in kept.values()], pa.int64()) for i in (0, 1)]],
+                                              names=["form", "capital", "n"])
+
+        for batch in batches:
+            for text in batch.column("t"):
+                toks = find(text.as_py() or "")
+                inside.update([t for p, t in zip(toks, toks[1:]) if p[0] not in ".!?" or not end(p)])
+                if len(inside) > FORMS:
+                    yield out()
+                    inside.clear()
+        yield out()
+
+    t = docs.select(F.col(text_col).alias("t")).mapInArrow(run, "form string, capital long, n long")
+    return (t.groupBy("form").agg((F.sum("capital") / F.sum("n")).alias("cap_share"), F.sum("n").alias("n"))
              .filter(F.col("cap_share") >= threshold).select("form", *(["n"] if counts else [])))
 
 
@@ -76,53 +105,79 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stem:
     noun (stems are lower-case) → drop stop words (after stemming, case
     sensitive) → delete ASCII punctuation inside tokens → all-digit token →
     ``<NUM>`` → drop empties → join by space, in token order."""
-    base = docs.select(F.col(id_col).alias("_id"), TX.tokens(text_col, lower=False).alias("_t"))
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_s"))
     if not stem:
-        w = F.transform("_t", F.lower)
-    else:
-        if proper:
-            # the proper forms of a document, from its distinct capitalised tokens.
-            # A form with more than 1/HOT_FORMS of all occurrences would be one
-            # hot key: these few are looked up inside the row
-            forms = cut_lineage(proper_forms(base, threshold=threshold, counts=True))
-            total = forms.agg(F.sum("n")).first()[0] or 0
-            hot = [r["form"] for r in forms.filter(F.col("n") > total / HOT_FORMS).select("form").collect()]
-            caps = F.array_distinct(F.transform(F.filter("_t", lambda t: t.rlike(r"^\p{Lu}")), F.lower))
-            is_hot = (lambda f: f.isin(hot)) if hot else (lambda f: F.lit(False))
-            rest = F.filter(caps, lambda f: ~is_hot(f))
-            found = (base.select("_id", F.explode(rest).alias("form")).join(forms.select("form"), "form")
-                     .groupBy("_id").agg(F.collect_set("form").alias("_own")))
-            base = base.withColumn("_hot", F.filter(caps, is_hot)).join(found, "_id", "left")
-            base = base.select("_id", "_t", F.concat("_hot", F.coalesce("_own", F.array().cast("array<string>"))).alias("_p"))
-        else:
-            base = base.withColumn("_p", F.lit(None).cast("array<string>"))
-
-        def run(it):
-            known: dict[str, str] = {}  # stems seen by this task
-            for pdf in it:
-                out = []
-                for toks, names in zip(pdf["_t"], pdf["_p"], strict=True):
-                    names = set(names) if names is not None else ()
-                    ws = []
-                    for t in toks if toks is not None else ():
-                        form = t.lower()
-                        if form in names and t[:1].isupper():
-                            ws.append(t)
-                            continue
-                        if form not in known:
-                            if len(known) >= STEM_CACHE:
-                                known.clear()
-                            known[form] = porter_stem(form)
-                        ws.append(known[form])
-                    out.append(ws)
-                yield pd.DataFrame({"_id": pdf["_id"], "_w": out})
-
-        base = base.mapInPandas(run, T.StructType([base.schema["_id"], T.StructField("_w", T.ArrayType(T.StringType()))]))
-        w = F.col("_w")
-    w = F.transform(TX.drop_stop_words(w), lambda t: TX.strip_punctuation(t))
-    w = F.filter(F.transform(w, lambda t: F.when(t.rlike("^[0-9]+$"), F.lit("<NUM>")).otherwise(t)), lambda t: t != "")
+        w = F.transform(TX.tokens("_s", lower=False), F.lower)
+        w = F.transform(TX.drop_stop_words(w), lambda t: TX.strip_punctuation(t))
+        w = F.filter(F.transform(w, lambda t: F.when(t.rlike("^[0-9]+$"), F.lit("<NUM>")).otherwise(t)), lambda t: t != "")
+        return texts.select(F.col("_id").alias(id_col), F.coalesce(F.array_join(w, " "), F.lit("")).alias("clean"))
+    spark, names, rare = docs.sparkSession, frozenset(), False
+    if proper:
+        # the most frequent proper forms, a bounded number, are given to every task;
+        # documents are joined with the rest of theirs, if there are any
+        forms = cut_lineage(proper_forms(texts, "_s", threshold, counts=True))
+        hot, least = frequent(forms, HOT_FORMS)
+        names = frozenset(hot.select("form").toArrow().column("form").to_pylist())  # bounded
+        rest = forms if least is None else forms.filter(F.col("n") < least)
+        rare = not rest.isEmpty()
+    given = spark.sparkContext.broadcast(names)
+    texts = texts.withColumn("_own", F.lit(None).cast("array<string>"))
+    if rare:
+        def capitals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at, forms = [], []
+                for i, text in enumerate(batch.column("_s")):
+                    own = {t.lower() for t in set(TX.find_tokens(text.as_py() or "")) if _capital(t)} - given.value
+                    at += [i] * len(own)
+                    forms += own
+                yield pa.RecordBatch.from_arrays([batch.column("_id").take(pa.array(at, pa.int64())), pa.array(forms, pa.string())], names=["_id", "form"])
+
+        said = texts.select("_id", "_s").mapInArrow(capitals, T.StructType([texts.schema["_id"], T.StructField("form", T.StringType())]))
+        own = said.join(rest.select("form"), "form").groupBy("_id").agg(F.collect_set("form").alias("_own"))
+        texts = texts.drop("_own").join(own, "_id", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot, open_ = given.value, {}  # forms of capitalised tokens that a document decides
+
+        def finished(word: str) -> str:
+            if word in STOPS:
+                return ""
+            word = word.translate(PUNCTUATION)
+            return "<NUM>" if word.isascii() and word.isdigit() else word
+
+        class Known(dict):
+            """What this task has cleaned."""
+
+            def __missing__(self, token: str) -> str:
+                if len(self) >= STEM_CACHE:
+                    self.clear()
+                    open_.clear()
+                form = token.lower()
+                if _capital(token):
+                    if form in hot:
+                        self[token] = finished(token)
+                        return self[token]
+                    open_[token] = form
+                self[token] = finished(porter_stem(form))
+                return self[token]
+
+        known, find = Known(), TX.find_tokens
+        for batch in batches:
+            out = []
+            for text, own in zip(batch.column("_s"), batch.column("_own").to_pylist(), strict=True):
+                toks = find(text.as_py() or "")
+                if own:
+                    words, own = [], set(own)
+                    for t in toks:
+                        word = known[t]
+                        words.append(finished(t) if open_.get(t) in own else word)
+                else:
+                    words = map(known.__getitem__, toks)
+                out.append(" ".join(filter(None, words)))
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(out, pa.string())], names=[id_col, "clean"])
+
     # documents whose every token was removed keep an empty text
-    return base.select(F.col("_id").alias(id_col), F.coalesce(F.array_join(w, " "), F.lit("")).alias("clean"))
+    return texts.select("_id", "_s", "_own").mapInArrow(run, T.StructType([T.StructField(id_col, texts.schema["_id"].dataType), T.StructField("clean", T.StringType())]))
 
 
 def clean_fast(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -335,13 +390,30 @@ def sentiment(docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", text_
     Scores are the mean over hits; documents without hits score 0.  The
     neighbour of a token comes from its document's array, so no token rows
     are shuffled to order them."""
-    arrays = docs.select(id_col, TX.tokens(text_col).alias("_t")).filter(F.size("_t") > 0)
-    pairs = F.transform("_t", lambda t, i: F.struct(t.alias("token"), F.get("_t", i - 1).alias("prev")))
     listed = [r[0] for r in lexicon.select("term").limit(LEXICON_TERMS + 1).collect()]
     if len(listed) <= LEXICON_TERMS:
-        # a small lexicon is looked up inside the row; only hits leave it
-        pairs = F.filter(pairs, lambda p: p["token"].isin(listed))
-    rows = arrays.select(id_col, F.explode_outer(pairs).alias("_p")).select(id_col, "_p.token", "_p.prev")
+        # a small lexicon is looked up where the document is; only hits leave it
+        terms = frozenset(listed)
+
+        def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at, found, before = [], [], []
+                for k, text in enumerate(batch.column("_s")):
+                    toks = TX.find_tokens(text.as_py() or "")
+                    places = [i for i, t in enumerate(toks) if t in terms]
+                    if toks:  # a document without a hit has one row, one without tokens none
+                        at += [k] * max(len(places), 1)
+                        found += [toks[i] for i in places] or [None]
+                        before += [toks[i - 1] if i else None for i in places] or [None]
+                yield pa.RecordBatch.from_arrays([batch.column(id_col).take(pa.array(at, pa.int64())), pa.array(found, pa.string()), pa.array(before, pa.string())],
+                                                 names=[id_col, "token", "prev"])
+
+        texts = docs.select(id_col, F.lower(text_col).alias("_s"))
+        rows = texts.mapInArrow(hits, T.StructType([texts.schema[id_col], *[T.StructField(c, T.StringType()) for c in ("token", "prev")]]))
+    else:
+        arrays = docs.select(id_col, TX.tokens(text_col).alias("_t")).filter(F.size("_t") > 0)
+        pairs = F.transform("_t", lambda t, i: F.struct(t.alias("token"), F.get("_t", i - 1).alias("prev")))
+        rows = arrays.select(id_col, F.explode_outer(pairs).alias("_p")).select(id_col, "_p.token", "_p.prev")
     hit = rows.join(lexicon.withColumnRenamed("term", "token"), on="token", how="left")
     mult = lexicon.select(F.col("term").alias("prev"), F.col("intensity").alias("_mult")).filter(F.col("_mult") != 1.0)
     hit = hit.join(mult, on="prev", how="left")

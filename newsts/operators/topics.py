@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from ..session import cut_lineage, delete_tables, write_table
 from .reduce import nonnegative_solve as nonnegative_weights
-from .vectors import HOT_WORDS, token_blocks
+from .vectors import HOT_WORDS, token_blocks, word_counts
 
 FLOOR = 1e-20
 
@@ -33,18 +33,17 @@ FLOOR = 1e-20
 TOPIC_PRIOR, TERM_PRIOR, INNER, DENSE, CELLS, EDGES = 0.25, 0.01, 30, 8_000_000, 200_000, 1 << 15
 
 
-def term_edges(tokens: DataFrame, id_col: str = "doc_id", term_col: str = "term") -> tuple[DataFrame, DataFrame]:
+def term_edges(tokens: DataFrame, id_col: str = "doc_id", term_col: str = "term", split: bool = False) -> tuple[DataFrame, DataFrame]:
     """(documents, terms), both stored: documents (rid, doc, ids, n) with the
     numbers of its terms in order and how often it holds each, terms (term_id, term), numbered
-    from 0 by falling frequency.  ``term_col`` has one token a row or an array of them.
+    from 0 by falling frequency.  ``term_col`` has one token a row, an array of them or, with ``split``, a
+    text whose tokens stand between white space.
 
     The most frequent words, a bounded number, are numbered where the document
     is; only the counted tokens of all other words are joined with their numbers."""
     spark = tokens.sparkSession
-    listed = isinstance(tokens.schema[term_col].dataType, T.ArrayType)
-    words = F.explode(term_col) if listed else F.col(term_col)
-    counts = tokens.select(words.alias("term")).filter("term IS NOT NULL").groupBy("term").agg(F.count(F.lit(1)).alias("_n"))
-    ordered, _ = write_table(counts.orderBy(F.col("_n").desc(), "term").select("term", F.monotonically_increasing_id().alias("_at")))
+    counts = word_counts(tokens, term_col, split)
+    ordered, _ = write_table(counts.orderBy(F.col("n").desc(), "w").select(F.col("w").alias("term"), F.monotonically_increasing_id().alias("_at")))
     # numbers without gaps: the rows of all partitions before, one number for each partition
     part, sizes = F.shiftright("_at", 33), {}
     for r in sorted(ordered.groupBy(part.alias("part")).count().collect()):
@@ -57,7 +56,7 @@ def term_edges(tokens: DataFrame, id_col: str = "doc_id", term_col: str = "term"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = pd.Index(given.value, dtype=object)
-        for ids, of, said in token_blocks(batches, "doc", "w"):
+        for ids, of, said in token_blocks(batches, "doc", "w", split):
             said = said.dictionary_encode()
             known = index.get_indexer(said.dictionary.to_numpy(zero_copy_only=False)) if len(index) else np.full(len(said.dictionary), -1)
             width = len(said.dictionary)
@@ -283,13 +282,172 @@ def lda_terms_apply(edges: DataFrame, phi: DataFrame, k: int = 4, id_col: str =
 
 
 # T12 --------------------------------------------------------------------------
+# documented parameters: rows handled at once, change of a row's weights at which its inference ends
+VECTORS, CHANGE = 2048, 1e-3
+
+
+def _digamma(x: np.ndarray) -> np.ndarray:
+    r = np.zeros_like(x)
+    for i in range(6):
+        r -= 1.0 / (x + i)
+    x = x + 6.0
+    f = 1.0 / (x * x)
+    t = f * (-1 / 12 + f * (1 / 120 + f * (-1 / 252 + f * (1 / 240 + f * (-1 / 132 + f * (691 / 32760 + f * (-1 / 12 + f * 3617 / 8160)))))))
+    return r + np.log(x) - 0.5 / x + t
+
+
+def _trigamma(x: np.ndarray) -> np.ndarray:
+    r = np.zeros_like(x)
+    for i in range(6):
+        r += 1.0 / (x + i) ** 2
+    x = x + 6.0
+    f = 1.0 / (x * x)
+    return r + 1 / x + f / 2 + f / x * (1 / 6 + f * (-1 / 30 + f * (1 / 42 + f * (-1 / 30 + f * (5 / 66 - f * 691 / 2730)))))
+
+
+def _expectation(x: np.ndarray) -> np.ndarray:
+    """Expected logarithms of Dirichlet shares, row by row."""
+    return _digamma(x) - _digamma(x.sum(axis=-1, keepdims=True))
+
+
+def _theta(gamma: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """exp(digamma(gamma)) times ``scale`` for rows of few numbers, with one
+    exponential and two divisions for each."""
+    p = gamma * (gamma + 5.0)
+    r = (gamma + gamma + 5.0) * ((3.0 * p + 20.0) * p + 24.0) / (p * (p + 4.0) * (p + 6.0))
+    x = gamma + 6.0
+    i = 1.0 / x
+    f = i * i
+    t = f * (-1 / 12 + f * (1 / 120 + f * (-1 / 252 + f * (1 / 240 + f * (-1 / 132 + f * (691 / 32760 + f * (-1 / 12 + f * 3617 / 8160)))))))
+    return x * np.exp(t - 0.5 * i - r) * scale
+
+
+def _infer(x: np.ndarray, beta: np.ndarray, alpha: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Topic weights of rows that are not all zero, by variational inference of
+    ``VECTORS`` rows at once; rows that change by less than ``CHANGE`` give their places
+    to the next."""
+    # after one step the weights of a row sum to its own sum and that of the prior
+    mass = np.exp(-_digamma(x.sum(axis=1) + alpha.sum()))[:, None]
+    done, across = np.empty((len(x), len(alpha))), np.ascontiguousarray(beta.T)
+    begin = np.exp(_expectation(start))
+    new = 0
+    at, going = np.empty(0, int), np.empty(0, bool)
+    rows, scale, g, theta = x[:0], mass[:0], done[:0], done[:0]
+    while True:
+        if going.sum() <= 0.8 * len(at):  # rows that ended leave together
+            at, rows, scale, g, theta = at[going], rows[going], scale[going], g[going], theta[going]
+            some = np.arange(new, min(len(x), new + VECTORS - len(at)))
+            new += len(some)
+            at, rows, scale = np.concatenate([at, some]), np.concatenate([rows, x[some]]), np.concatenate([scale, mass[some]])
+            g, theta = np.concatenate([g, np.tile(start, (len(some), 1))]), np.concatenate([theta, np.tile(begin, (len(some), 1))])
+            if not len(at):
+                break
+            going, shared = np.ones(len(at), bool), np.empty(rows.shape)
+        np.matmul(theta, across, out=shared)
+        shared += 1e-100
+        np.divide(rows, shared, out=shared)
+        last, g = g, theta * (shared @ beta) + alpha
+        theta = _theta(g, scale)
+        ended = going & ~(np.abs(g - last).sum(axis=1) > CHANGE * len(alpha))
+        if ended.any():
+            done[at[ended]] = g[ended]
+            going &= ~ended
+    return done
+
+
 def lda_vectors_fit(df: DataFrame, col: str, k: int = 5, seed: int = 42, max_iter: int = 10):
     """Fit on non-negative (min-max scaled) dense vectors: ``max_iter`` passes,
-    each over all rows."""
-    from pyspark.ml.clustering import LDA
-    from pyspark.ml.functions import array_to_vector
-    data = cut_lineage(df.select(array_to_vector(col).alias("features")))
-    return LDA(k=k, seed=seed, maxIter=max_iter, optimizer="online", subsamplingRate=1.0).fit(data)
+    each over all rows.
+
+    The steps, samples and random starts are those of Spark ML's online LDA
+    with all rows a pass, and its model comes back; a task infers many rows at once, where
+    the library takes them one by one."""
+    from pyspark.ml.clustering import LDA, LocalLDAModel
+    from pyspark.ml.linalg import Vectors
+    spark = df.sparkSession
+    data = cut_lineage(df.select(F.col(col).cast("array<double>").alias("x")))
+    first = data.first()
+    if first is None:
+        raise ValueError("no vectors to fit topics on")
+    size = len(first["x"])
+    lda = LDA(k=k, seed=seed, maxIter=max_iter, optimizer="online", subsamplingRate=1.0)
+    # the library's random start, from no pass at all
+    one = spark.createDataFrame([(Vectors.dense(np.ones(size)),)], ["features"])
+    begun = lda.copy({lda.maxIter: 0}).fit(one)
+    weights = begun.topicsMatrix().toArray().T.copy()
+    alpha, eta = begun.estimatedDocConcentration().toArray().copy(), 1.0 / k
+    jvm = spark._jvm
+    draws = jvm.java.util.Random(seed)
+    draws.nextLong()  # went into the weights
+    for i in range(1, max_iter + 1):
+        batch = data.sample(True, 1.0, draws.nextLong())
+        own = draws.nextLong()
+        beta = np.exp(_expectation(weights)).T
+        stats, logs, n = _pass(batch, beta, alpha, [_start(jvm, own + p, k) for p in range(data.rdd.getNumPartitions())])
+        if not n:
+            continue
+        rho = (lda.getLearningOffset() + i) ** -lda.getLearningDecay()
+        weights = (1 - rho) * weights + rho * (stats * beta.T + eta)
+        alpha = _concentration(alpha, logs / n, n, rho)
+    return _model(spark, lda, weights, alpha, eta, draws.nextLong(), LocalLDAModel)
+
+
+def _start(jvm, seed: int, k: int) -> np.ndarray:
+    """Random weights with which the rows of one partition begin."""
+    seed = (seed + (1 << 63)) % (1 << 64) - (1 << 63)
+    basis = jvm.breeze.stats.distributions.RandBasis(jvm.org.apache.commons.math3.random.MersenneTwister(seed))
+    gamma = jvm.breeze.stats.distributions.Gamma(100.0, 0.01, basis)
+    return np.array([gamma.draw() for _ in range(k)])
+
+
+def _pass(batch: DataFrame, beta: np.ndarray, alpha: np.ndarray, starts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, float]:
+    """(sums k x dimensions, sum of the expected log shares, rows that are not all zero)."""
+    size, k = beta.shape
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+        start = starts[TaskContext.get().partitionId()]
+        total = np.zeros(k * size + k + 1)
+        for part in batches:
+            lists = part.column("x")
+            every = lists.flatten().to_numpy().reshape(part.num_rows, size)
+            x = every[every.any(axis=1)]
+            logs = _expectation(_infer(x, beta, alpha, start))
+            theta = np.exp(logs)
+            total += np.concatenate([(theta.T @ (x / (theta @ beta.T + 1e-100))).ravel(), logs.sum(axis=0), [len(x)]])
+        yield pa.RecordBatch.from_arrays([pa.array([total])], names=["total"])
+
+    found = batch.mapInArrow(run, "total array<double>").toArrow().column("total")  # one row for each task
+    total = found.combine_chunks().flatten().to_numpy().reshape(-1, k * size + k + 1).sum(axis=0)
+    return total[:k * size].reshape(k, size), total[k * size:-1], float(total[-1])
+
+
+def _concentration(alpha: np.ndarray, logs: np.ndarray, n: float, rho: float) -> np.ndarray:
+    """One Newton step of the prior of the shares, kept positive."""
+    grad = n * (logs - _expectation(alpha))
+    c, q = n * float(_trigamma(alpha.sum(keepdims=True))[0]), -n * _trigamma(alpha)
+    step = -(grad - (grad / q).sum() / (1.0 / c + (1.0 / q).sum())) / q
+    return alpha + rho * step if (alpha + rho * step > 0).all() else alpha
+
+
+def _model(spark, lda, weights: np.ndarray, alpha: np.ndarray, eta: float, seed: int, kind):
+    """Spark ML's model with these topics and the parameters of the estimator."""
+    jvm, (k, size) = spark._jvm, weights.shape
+
+    def numbers(x: np.ndarray):
+        out = spark.sparkContext._gateway.new_array(jvm.double, len(x))
+        for i, v in enumerate(x.tolist()):
+            out[i] = v
+        return out
+
+    linalg = jvm.org.apache.spark.mllib.linalg
+    old = jvm.org.apache.spark.mllib.clustering.LocalLDAModel(
+        linalg.DenseMatrix(size, k, numbers(weights.ravel())), linalg.DenseVector(numbers(alpha)), float(eta), 100.0)
+    old.setSeed(seed)
+    lda._transfer_params_to_java()
+    made = jvm.org.apache.spark.ml.clustering.LocalLDAModel(lda.uid, size, old, spark._jsparkSession)
+    lda._java_obj.copyValues(made, lda._java_obj.extractParamMap())
+    return lda._copyValues(kind(made))
 
 
 def lda_vectors_apply(df: DataFrame, col: str, lda, keep: Sequence[str] = ()) -> DataFrame:

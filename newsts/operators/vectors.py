@@ -85,12 +85,27 @@ def pattern_similarity(df: DataFrame, col: str, patterns: list[tuple], by: Seque
                        prefix: str = "sim_", how: str = "max") -> DataFrame:
     """Cosine of each row's vector with every pattern vector, then the
     per-group max (one column per pattern)."""
-    cols = {}
-    for name, vec in patterns:
-        lit = F.array(*[F.lit(float(v)) for v in vec])
-        cols[f"{prefix}{name}"] = FV.cosine(col, lit)
-    scored = df.select(*by, *[c.alias(n) for n, c in cols.items()])
-    return scored.groupBy(*by).agg(*[_AGG[how](n).alias(n) for n in cols])
+    given = np.array([vec for _, vec in patterns], float)
+    size = np.sqrt((given * given).sum(axis=1)) if len(patterns) else np.zeros(0)
+    names = [f"{prefix}{name}" for name, _ in patterns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("_v")
+            known = np.flatnonzero((lists.is_valid().to_numpy(zero_copy_only=False)) & (lists.value_lengths().fill_null(0).to_numpy() == given.shape[1]))
+            x = lists.take(pa.array(known)).flatten().to_numpy(zero_copy_only=False).reshape(len(known), given.shape[1])
+            den = np.sqrt((x * x).sum(axis=1))[:, None] * size
+            sims = np.full((batch.num_rows, len(names)), np.nan)
+            sims[known] = np.divide(x @ given.T, den, out=np.full(den.shape, np.nan), where=den > 0)
+            none = np.ones(sims.shape, bool)
+            none[known] = ~(den > 0)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in by], *[pa.array(sims[:, j], mask=none[:, j]) for j in range(len(names))]], names=[*by, *names])
+
+    if not names:
+        return df.select(*by).distinct()
+    scored = df.select(*by, F.col(col).cast("array<double>").alias("_v"))
+    scored = scored.mapInArrow(run, T.StructType([*[scored.schema[c] for c in by], *[T.StructField(n, T.DoubleType()) for n in names]]))
+    return scored.groupBy(*by).agg(*[_AGG[how](n).alias(n) for n in names])
 
 
 def nearest(df: DataFrame, col: str, id_col: str, patterns: list[tuple], n: int = 5) -> DataFrame:
@@ -112,43 +127,73 @@ HOT_WORDS = 200_000
 TOKENS = 500_000
 
 
-def token_blocks(batches: Iterator[pa.RecordBatch], id_col: str, token_col: str) -> Iterator[tuple[pa.Array, np.ndarray, pa.Array]]:
-    """(different documents, place of each token's document among them, tokens
-    without nulls) of some tokens at a time, from rows with one token or an array of them."""
+def token_parts(batches: Iterator[pa.RecordBatch], col: str, split: bool = False) -> Iterator[tuple[pa.RecordBatch, np.ndarray, pa.Array]]:
+    """(some rows, row of each token, tokens) of ``TOKENS`` tokens at a time, from rows
+    with one token, an array of them or, with ``split``, a text that is split on white space."""
     for batch in batches:
-        column, lo = batch.column(token_col), 0
-        listed = pa.types.is_list(column.type)
-        ends = np.cumsum(column.value_lengths().fill_null(0).to_numpy()) if listed else np.arange(1, batch.num_rows + 1)
+        if split:
+            lo, size, words = 0, [], []
+            for i, text in enumerate(batch.column(col)):
+                own = (text.as_py() or "").encode().split()  # at ASCII white space
+                size.append(len(own))
+                words += own
+                if len(words) >= TOKENS or i + 1 == batch.num_rows:
+                    yield batch.slice(lo, i + 1 - lo), np.repeat(np.arange(i + 1 - lo), size), pa.array(words, pa.string())
+                    lo, size, words = i + 1, [], []
+            continue
+        listed, lo = pa.types.is_list(batch.column(col).type), 0
+        ends = np.cumsum(batch.column(col).value_lengths().fill_null(0).to_numpy()) if listed else np.arange(1, batch.num_rows + 1)
         while lo < batch.num_rows:
             hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + TOKENS, "right")))
-            ids, said = batch.column(id_col).slice(lo, hi - lo).dictionary_encode("encode"), column.slice(lo, hi - lo)
-            of = ids.indices.to_numpy().astype(np.int64)
-            if listed:
-                of, said = np.repeat(of, said.value_lengths().fill_null(0).to_numpy()), said.flatten()
-            if said.null_count:
-                of, said = of[said.is_valid().to_numpy(zero_copy_only=False)], said.drop_null()
-            if len(said):
-                yield ids.dictionary, of, said
+            part, size = batch.slice(lo, hi - lo), np.diff(ends[lo:hi], prepend=ends[lo - 1] if lo else 0)
+            yield part, np.repeat(np.arange(hi - lo), size), part.column(col).flatten() if listed else part.column(col)
             lo = hi
 
 
-def _frequent(counts: DataFrame) -> tuple[DataFrame, int]:
-    """(words, their least count): the most frequent ones, at most
-    ``HOT_WORDS``, cut between counts so that no ranking of all words is made."""
+def token_blocks(batches: Iterator[pa.RecordBatch], id_col: str, token_col: str, split: bool = False) -> Iterator[tuple[pa.Array, np.ndarray, pa.Array]]:
+    """(different documents, place of each token's document among them, tokens
+    without nulls) of the parts."""
+    for part, row, said in token_parts(batches, token_col, split):
+        ids = part.column(id_col).dictionary_encode("encode")
+        if said.null_count:
+            row, said = row[said.is_valid().to_numpy(zero_copy_only=False)], said.drop_null()
+        if len(said):
+            yield ids.dictionary, ids.indices.to_numpy().astype(np.int64)[row], said
+
+
+def word_counts(tokens: DataFrame, col: str, split: bool = False) -> DataFrame:
+    """(w, n): how often each word is among the tokens, one a row, an array of them
+    or a text to be split."""
+    if not split and not isinstance(tokens.schema[col].dataType, T.ArrayType):
+        return tokens.select(F.col(col).alias("w")).filter("w IS NOT NULL").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, said in token_parts(batches, "w", split):
+            found = said.drop_null().value_counts()
+            yield pa.RecordBatch.from_arrays([found.field("values").cast(pa.string()), found.field("counts")], names=["w", "n"])
+
+    return tokens.select(F.col(col).alias("w")).mapInArrow(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
+
+
+def frequent(counts: DataFrame, most: int) -> tuple[DataFrame, int | None]:
+    """(rows of the most frequent words, their least count): at most
+    ``most``, cut between counts so that no ranking of all words is made."""
     level = F.floor(F.log2("n") * 8)
     cut, held = None, 0
     for r in sorted(counts.groupBy(level.alias("level")).agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("words")).collect(), reverse=True):
         held += r["words"]
-        if held > HOT_WORDS:
+        if held > most:
             break
         cut = r["n"]
-    return counts.filter(F.lit(False) if cut is None else F.col("n") >= cut), held
+    return counts.filter(F.lit(False) if cut is None else F.col("n") >= cut), cut
 
 
 def sentence_vectors(tokens: DataFrame, word_vectors: DataFrame | Callable[[DataFrame], DataFrame], id_col: str = "doc_id",
-                     token_col: str = "token", term_col: str = "term", vec_col: str = "vector") -> DataFrame:
+                     token_col: str = "token", term_col: str = "term", vec_col: str = "vector", split: bool = False) -> DataFrame:
     """Mean of the unit word vectors of a document's known tokens
     (unknown tokens dropped; a document of such tokens alone has no row).
+    ``token_col`` has one token a row or an array of them, or with ``split`` texts
+    whose tokens stand between white space.
     ``word_vectors`` is a table of words or a function that joins the vectors
     to rows with a word.
 
@@ -156,7 +201,7 @@ def sentence_vectors(tokens: DataFrame, word_vectors: DataFrame | Callable[[Data
     document is: a batch of tokens leaves one sum for each document.  Only the
     counted tokens of all other words meet their vectors in a join, a few for
     each word; these and the sums are added by document."""
-    counts = cut_lineage(tokens.select(F.col(token_col).alias("w")).filter("w IS NOT NULL").groupBy("w").agg(F.count(F.lit(1)).alias("n")))
+    counts = cut_lineage(word_counts(tokens, token_col, split))
 
     def looked_up(rows: DataFrame) -> DataFrame:
         named = rows.withColumnRenamed("w", term_col)
@@ -165,7 +210,7 @@ def sentence_vectors(tokens: DataFrame, word_vectors: DataFrame | Callable[[Data
         return found.filter("norm > 0").withColumnRenamed(vec_col, "v")
 
     spark, schema = tokens.sparkSession, tokens.schema
-    hot = looked_up(_frequent(counts)[0].select("w")).select("w", "v", "norm").toArrow()  # bounded
+    hot = looked_up(frequent(counts, HOT_WORDS)[0].select("w")).select("w", "v", "norm").toArrow()  # bounded
     words, at = _index(hot.column("w"))
     flat, size = hot.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False), 0
     if len(at):
@@ -182,40 +227,44 @@ def sentence_vectors(tokens: DataFrame, word_vectors: DataFrame | Callable[[Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, vectors, norm, many = given.value
         index = pd.Index(words)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = batch.column("_id").dictionary_encode("encode")
-            said = batch.column("w").dictionary_encode()
+        for ids, of, said in token_blocks(batches, "_id", "w", split):
+            said = said.dictionary_encode()
             place = index.get_indexer(said.dictionary.to_numpy(zero_copy_only=False)) if len(index) else np.full(len(said.dictionary), -1)
             width = len(said.dictionary)
-            cells, n = np.unique(ids.indices.to_numpy().astype(np.int64) * width + said.indices.to_numpy(), return_counts=True)
+            cells, n = np.unique(of * width + said.indices.to_numpy(), return_counts=True)
             doc, word = cells // width, cells % width
             n, place = n.astype(float), place[word]
             known = place >= 0
             if known.any():
                 d, k = doc[known], place[known]
                 starts = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
-                total = np.add.reduceat(vectors[k] * (n[known] / norm[k])[:, None], starts, axis=0)
-                yield pa.RecordBatch.from_arrays([ids.dictionary.take(pa.array(d[starts])), pa.nulls(len(starts), pa.string()),
+                total, times = np.empty((len(starts), size)), n[known] / norm[k]
+                lo = 0
+                while lo < len(starts):  # a few documents at a time stay in the processor's cache
+                    hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + 4096, "right")) - 1)
+                    here = slice(starts[lo], starts[hi] if hi < len(starts) else None)
+                    total[lo:hi] = np.add.reduceat(vectors[k[here]] * times[here, None], starts[lo:hi] - starts[lo], axis=0)
+                    lo = hi
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(d[starts])), pa.nulls(len(starts), pa.string()),
                                                   pa.array(np.add.reduceat(n[known] * many[k], starts)), _lists(total)], names=["_id", "w", "n", "total"])
             if not known.all():
                 d, k = doc[~known], word[~known]
-                yield pa.RecordBatch.from_arrays([ids.dictionary.take(pa.array(d)), said.dictionary.take(pa.array(k)).cast(pa.string()),
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(d)), said.dictionary.take(pa.array(k)).cast(pa.string()),
                                                   pa.array(n[~known]), pa.nulls(len(d), pa.list_(pa.float64()))], names=["_id", "w", "n", "total"])
 
     fields = [T.StructField("_id", schema[id_col].dataType), T.StructField("w", T.StringType()), T.StructField("n", T.DoubleType()),
               T.StructField("total", T.ArrayType(T.DoubleType()))]
-    read = cut_lineage(tokens.select(F.col(id_col).alias("_id"), F.col(token_col).alias("w")).filter("w IS NOT NULL").mapInArrow(run, T.StructType(fields)))
+    read = cut_lineage(tokens.select(F.col(id_col).alias("_id"), F.col(token_col).alias("w")).mapInArrow(run, T.StructType(fields)))
     given.unpersist()
     rest = looked_up(read.filter("w IS NOT NULL").select("w", "_id", "n"))
     rows = read.filter("w IS NULL").select("_id", "n", "total").unionByName(rest.select("_id", "n", "v", "norm"), allowMissingColumns=True)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple | None = None  # the last document may go on in the next batch
+        last, kind = None, None  # the last document may go on in the next batch
         for batch in batches:
             if not batch.num_rows:
                 continue
+            kind = batch.column("_id").type
             summed, plain = batch.column("total"), batch.column("v")
             is_sum = summed.is_valid().to_numpy(zero_copy_only=False)
             sums, vectors = summed.drop_null().flatten().to_numpy(), plain.drop_null().flatten().to_numpy()
@@ -237,7 +286,7 @@ def sentence_vectors(tokens: DataFrame, word_vectors: DataFrame | Callable[[Data
             if len(own) > 1:
                 yield _means(own[:-1], total[:-1], mass[:-1], ids.type, id_col)
         if last is not None:
-            yield _means([last[0]], last[1][None], np.array([last[2]]), None, id_col)
+            yield _means([last[0]], last[1][None], np.array([last[2]]), kind, id_col)
 
     out = T.StructType([T.StructField(id_col, schema[id_col].dataType), T.StructField("sentence_vector", T.ArrayType(T.DoubleType()))])
     return rows.repartition("_id").sortWithinPartitions("_id").mapInArrow(add, out)

@@ -102,13 +102,11 @@ def news_features(spark: SparkSession, sf: str, fitted: A.Opened | None = None)
 
     phrases = spark.createDataFrame(list(GEO_PHRASES.items()), "name string, phrase string")
     said = phrases.select("name", F.explode(TX.tokens("phrase")).alias("token"))
-    # split anew where they are read: stored tokens would be several times the text
-    tokens = TO.whitespace_terms(cleaned).select("doc_id", F.col("term").alias("token"))
 
     def words(rows: DataFrame) -> DataFrame:
         return with_vectors(spark, sf, rows)
 
-    docs = cut_lineage(VE.sentence_vectors(tokens, words).join(dated, "doc_id"))
+    docs = cut_lineage(VE.sentence_vectors(cleaned, words, token_col="clean", split=True).join(dated, "doc_id"))
 
     first = docs.first()
     size = len(first["sentence_vector"]) if first is not None else 0
