@@ -144,6 +144,8 @@ def lag_rows(feats: DataFrame, prices: DataFrame, past: int, train: bool) -> tup
 
 def train(spark: SparkSession, sf: str, base: str, past: int = PAST, n_select: int = SELECTED) -> dict:
     """§3.1: fit everything and write it as one version below ``base``."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Summarizer
     feats, fitted = news_features(spark, sf)
     m, names = lag_rows(feats, price_features(spark, sf), past, train=True)
     m, xs = cut_lineage(m), [f"x{i}" for i in range(len(names))]
@@ -151,8 +153,9 @@ def train(spark: SparkSession, sf: str, base: str, past: int = PAST, n_select: i
     if row is None or row["n"] < n_select + 2:
         raise ValueError("too few days with all features to train on")
     g = G.to_numpy(row.asDict())
-    bounds = m.agg(*[F.min(x).alias(f"{x}_lo") for x in xs], *[F.max(x).alias(f"{x}_hi") for x in xs]).first()
-    lo, hi = (np.array([bounds[f"{x}_{e}"] for x in xs], float) for e in ("lo", "hi"))
+    # one aggregate of vectors: a plan of two aggregates a feature takes long to make
+    bounds = m.agg(Summarizer.metrics("min", "max").summary(array_to_vector(F.array(*xs))).alias("s")).select("s.*").first()
+    lo, hi = bounds["min"].toArray(), bounds["max"].toArray()
     penalty = PENALTY * float(np.sqrt(max(g["yy"] / g["n"] - (g["sy"] / g["n"]) ** 2, 0.0)))
     ranks = X.rfe_order(X.scale_gram(g, lo, hi), min(n_select, len(xs)), "lasso", penalty, max_iter=1000, tol=1e-6)
     chosen = [x for x, r in zip(xs, ranks, strict=True) if r == 1]
