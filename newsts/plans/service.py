@@ -85,11 +85,9 @@ def price_features(spark: SparkSession, sf: str) -> DataFrame:
             .agg(F.min("p").alias("CLC4"), F.max("p").alias("CLC3"), F.median("p").alias("CLC2"), F.avg("p").alias("CLC1")))
 
 
-def news_features(spark: SparkSession, sf: str, fitted: A.Opened | None = None) -> tuple[DataFrame, dict]:
-    """(daily features, what was fitted for them: scaler and topic model of the
-    document vectors).  With ``fitted`` both come from there."""
-    from pyspark.ml.clustering import LocalLDAModel
-
+def news_parts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What is read from the texts without any fit: daily sentiment, dated document
+    vectors and daily similarity with the pattern phrases, all stored."""
     from .text_queries import NEGATIONS, lexicon
     news = service_news(spark, sf)
     dated = news.select("doc_id", "Date")
@@ -108,6 +106,20 @@ def news_features(spark: SparkSession, sf: str, fitted: A.Opened | None = None)
 
     docs = cut_lineage(VE.sentence_vectors(cleaned, words, token_col="clean", split=True).join(dated, "doc_id"))
 
+    patterns = VE.inline_patterns(VE.sentence_vectors(said, words, id_col="name"), "name", "sentence_vector")  # six vectors
+    daily_g = VE.pattern_similarity(docs, "sentence_vector", patterns, prefix="")
+    daily_g = W.linear_decay(daily_g, [n for n, _ in patterns])
+    return cut_lineage(daily_s), docs, cut_lineage(daily_g)
+
+
+def news_features(spark: SparkSession, sf: str, fitted: A.Opened | None = None,
+                  parts: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> tuple[DataFrame, dict]:
+    """(daily features, what was fitted for them: scaler and topic model of the
+    document vectors).  With ``fitted`` both come from there; with ``parts``,
+    the :func:`news_parts` of the same tables, the texts are not read again."""
+    from pyspark.ml.clustering import LocalLDAModel
+
+    daily_s, docs, daily_g = news_parts(spark, sf) if parts is None else parts
     first = docs.first()
     size = len(first["sentence_vector"]) if first is not None else 0
     dims = [f"d{i}" for i in range(size)]
@@ -120,9 +132,6 @@ def news_features(spark: SparkSession, sf: str, fitted: A.Opened | None = None)
     tcols = [f"Topic{i + 1}" for i in range(TOPICS)]
     daily_t = W.linear_decay(topics.groupBy("Date").agg(*[F.avg(c).alias(c) for c in tcols]), tcols)
 
-    patterns = VE.inline_patterns(VE.sentence_vectors(said, words, id_col="name"), "name", "sentence_vector")  # six vectors
-    daily_g = VE.pattern_similarity(docs, "sentence_vector", patterns, prefix="")
-    daily_g = W.linear_decay(daily_g, [n for n, _ in patterns])
     # one row per day, read by several later jobs
     return cut_lineage(columns_outer([daily_s, daily_t, daily_g])), {"emb_scaler": scaler, "lda": lda}
 
@@ -146,7 +155,8 @@ def train(spark: SparkSession, sf: str, base: str, past: int = PAST, n_select: i
     """§3.1: fit everything and write it as one version below ``base``."""
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.stat import Summarizer
-    feats, fitted = news_features(spark, sf)
+    parts = news_parts(spark, sf)
+    feats, fitted = news_features(spark, sf, parts=parts)
     m, names = lag_rows(feats, price_features(spark, sf), past, train=True)
     m, xs = cut_lineage(m), [f"x{i}" for i in range(len(names))]
     row = G.gram(m, xs, "y").first()
@@ -163,9 +173,9 @@ def train(spark: SparkSession, sf: str, base: str, past: int = PAST, n_select: i
     linear = M.linear_fit(G.gram(m, chosen, "y"))
     fit = cut_lineage(M.linear_apply(m, linear, chosen, out="lin").withColumn("res", F.col("y") - F.col("lin")))
     feature_scaler = minmax_fit(fit, chosen)
-    parts = ST.decompose_classical(fit, "res", PERIOD).dropna(subset=PARTS)
-    label_scaler = minmax_fit(parts, PARTS)
-    scaled = cut_lineage(minmax_apply(minmax_apply(parts, feature_scaler, chosen), label_scaler, PARTS))
+    targets = ST.decompose_classical(fit, "res", PERIOD).dropna(subset=PARTS)
+    label_scaler = minmax_fit(targets, PARTS)
+    scaled = cut_lineage(minmax_apply(minmax_apply(targets, feature_scaler, chosen), label_scaler, PARTS))
     version = A.Version(spark, base)
     version.table("selector", spark.createDataFrame([(x, names[int(x[1:])], past) for x in chosen], "x string, feature string, past int"))
     for name, table in (("linear", linear), ("feature_scaler", feature_scaler), ("label_scaler", label_scaler), ("emb_scaler", fitted["emb_scaler"])):
@@ -174,18 +184,19 @@ def train(spark: SparkSession, sf: str, base: str, past: int = PAST, n_select: i
     for part in PARTS:
         model, _ = M.ml_fit(scaled, chosen, part, "gbt", maxDepth=2, maxIter=10, seed=42)
         version.model(f"part_{part}", model)
-    return {"path": version.complete(), "fit": fit, "chosen": chosen, "names": {x: names[int(x[1:])] for x in chosen}, "linear": linear}
+    return {"path": version.complete(), "fit": fit, "chosen": chosen, "names": {x: names[int(x[1:])] for x in chosen}, "linear": linear,
+            "parts": parts}
 
 
-def predict(spark: SparkSession, sf: str, base: str) -> DataFrame:
+def predict(spark: SparkSession, sf: str, base: str, parts: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
     """§3.2: Date (of the day after), lin, yhat from the newest complete
-    version below ``base``; nothing is fitted."""
+    version below ``base``; nothing is fitted.  ``parts`` as in :func:`news_features`."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressionModel
     saved = A.Opened(spark, base)
     picked = [(r["x"], r["past"]) for r in saved.table("selector").collect()]  # the kept features
     chosen = sorted((x for x, _ in picked), key=lambda x: int(x[1:]))
-    feats, _ = news_features(spark, sf, saved)
+    feats, _ = news_features(spark, sf, saved, parts)
     rows, _ = lag_rows(feats, price_features(spark, sf), picked[0][1], train=False)
     rows = M.linear_apply(rows.select("Date", *chosen), saved.table("linear"), chosen, out="lin")
     scaled = minmax_apply(rows, saved.table("feature_scaler"), chosen)
@@ -219,14 +230,14 @@ def service_train(spark, sf):
 @register("service_forecast")
 def service_forecast(spark, sf):
     """§3.2: forecast from the newest complete version of this application's
-    artefacts (one is trained if there is none), published without the days
-    already there (K6: last 20, weekend roll, anti-join)."""
-    base = _base(spark, sf)
+    artefacts (one is trained if there is none, and its texts are not read twice), published
+    without the days already there (K6: last 20, weekend roll, anti-join)."""
+    base, parts = _base(spark, sf), None
     try:
         A.Opened(spark, base)
     except FileNotFoundError:
-        train(spark, sf, base)
-    fc = cut_lineage(predict(spark, sf, base).select("Date", "yhat"))
+        parts = train(spark, sf, base)["parts"]
+    fc = cut_lineage(predict(spark, sf, base, parts).select("Date", "yhat"))
     published = fc.filter(F.col("Date") <= F.date_sub(fc.select(F.max("Date")).scalar(), 5)).select("Date")
     return K.publish_frame(fc, published, value_col="yhat", last_n=20)
 

@@ -67,3 +67,43 @@ def test_a_lexicon_looked_up_in_texts_equals_a_joined_one(spark, monkeypatch):
     want = sorted(map(tuple, TO.sentiment(docs, lexicon).collect()))
     assert [g[0] for g in got] == [w[0] for w in want] == [1, 2, 5]
     np.testing.assert_allclose(got, want)
+
+
+def test_a_forecast_that_trains_first_reads_the_texts_once(spark, monkeypatch):
+    from newsts.plans import service as P
+    from tests.conftest import SF001
+    parts, given = (object(), object(), object()), []
+    monkeypatch.setattr(P, "_base", lambda spark, sf: "/nowhere")
+
+    def none(*args):
+        raise FileNotFoundError
+    monkeypatch.setattr(P.A, "Opened", none)
+    monkeypatch.setattr(P, "train", lambda spark, sf, base: {"parts": parts})
+
+    def predict(spark, sf, base, *more):
+        given.append(more)
+        return spark.createDataFrame([(f"2024-01-{d:02d}", 1.0) for d in range(1, 31)], "Date string, yhat double").selectExpr("to_date(Date) AS Date", "yhat")
+    monkeypatch.setattr(P, "predict", predict)
+    P.service_forecast(spark, SF001).collect()
+    assert given == [(parts,)]
+
+
+def test_features_from_parts_do_not_read_the_texts(spark, monkeypatch):
+    from newsts.plans import service as P
+    from tests.conftest import SF001
+    parts = P.news_parts(spark, SF001)
+
+    def no(*args, **options):
+        raise AssertionError("the texts are read again")
+    for name in ("clean", "sentiment"):
+        monkeypatch.setattr(P.TO, name, no)
+    monkeypatch.setattr(P.VE, "sentence_vectors", no)
+    feats, _ = P.news_features(spark, SF001, parts=parts)
+    assert feats.count() > 20 and len(feats.columns) == 29
+
+
+def test_bounds_of_the_features_are_one_aggregate():
+    import inspect
+
+    from newsts.plans import service as P
+    assert "Summarizer" in inspect.getsource(P.train) and "_lo" not in inspect.getsource(P.train)
